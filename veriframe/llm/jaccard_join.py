@@ -55,13 +55,13 @@ def jaccard_components(docs: DataFrame, levels: Levels = LEVELS) -> DataFrame:
     entries = table(setjoin.lists(sets))
     shared = entries.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     entries = table(entries.join(shared, "token", "left_semi"))
-    first = setjoin.verified(setjoin.neighbours(entries, F.col("n"), F.col("sid")), texts, _records)
+    first = setjoin.verified(setjoin.neighbours(entries, ["n", "sid"]), texts, _records)
 
     label = setjoin.components(first, rounds=3)
     labelled = entries.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
     labelled = table(labelled.join(mixed, "token", "left_semi"))
-    rest = setjoin.pairs(labelled, lambda x, y: F.col(f"{x}.label") != F.col(f"{y}.label"))
+    rest = setjoin.pairs(labelled, ["n", "sid"], lambda x, y: F.col(f"{x}.label") != F.col(f"{y}.label"))
     rest = table(rest.join(first, ["a", "b"], "left_anti"))
     links = first.union(setjoin.verified(rest, texts, _records))
 

@@ -100,9 +100,15 @@ def lowered(raw: np.ndarray) -> np.ndarray:
 
 def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, from prefix sums of a polynomial."""
-    sums = np.zeros(len(raw) + 1, U)
-    np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _power(_INVERSE, len(raw) + 1)[starts]
+    return symbol_span_hash(_BYTE[raw], starts, ends)
+
+
+def symbol_span_hash(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As ``span_hash``, of symbols that stand as random 64-bit values."""
+    n = len(symbols)
+    sums = np.zeros(n + 1, U)
+    np.cumsum(symbols * _power(_BASE, n), out=sums[1:])
+    value = (sums[ends] - sums[starts]) * _power(_INVERSE, n + 1)[starts]
     return mix(value + (ends - starts).astype(U) * _MUL)
 
 

@@ -102,18 +102,22 @@ def lists(sets: DataFrame, lead: int | None = None) -> DataFrame:
     return sets.select(*rest, F.explode(zipped).alias("e")).select(*rest, F.col("e.tokens").alias("token"), F.col("e.pos").alias("pos"))
 
 
-def neighbours(entries: DataFrame, *order: Column) -> DataFrame:
-    """Pairs (a, b), a < b, of sets that stand next to each other in a list: as many as entries, so copies in a large group meet without all their pairs."""
+def _before(x: str, y: str, order: list[str]) -> Column:
+    return F.struct(*(F.col(f"{x}.{c}") for c in order)) < F.struct(*(F.col(f"{y}.{c}") for c in order))
+
+
+def neighbours(entries: DataFrame, order: list[str]) -> DataFrame:
+    """Pairs (a, b), a before b in ``order``, of sets that stand next to each other in a list: as many as entries, so copies in a large group meet without all their pairs."""
     w = Window.partitionBy("token").orderBy(*order)
-    now, before = F.struct("sid", "n", "sig", "pos"), F.lag(F.struct("sid", "n", "sig", "pos")).over(w)
-    near = entries.select(now.alias("x"), before.alias("y")).filter(F.col("y").isNotNull() & (F.col("x.sid") != F.col("y.sid")) & may_link("x", "y"))
-    return near.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+    here = F.struct("sid", "n", "sig", "pos")
+    near = entries.select(here.alias("y"), F.lag(here).over(w).alias("x")).filter(F.col("x").isNotNull() & (F.col("x.sid") != F.col("y.sid")) & may_link("x", "y"))
+    return near.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
 
 
-def pairs(entries: DataFrame, apart: Callable[[str, str], Column]) -> DataFrame:
-    """All pairs (a, b), a < b, that pass the filters and for which ``apart`` holds."""
+def pairs(entries: DataFrame, order: list[str], apart: Callable[[str, str], Column]) -> DataFrame:
+    """All pairs (a, b), a before b in ``order``, that pass the filters and for which ``apart`` holds."""
     x, y = entries.alias("x"), entries.alias("y")
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & may_link("x", "y") & apart("x", "y")
+    on = (F.col("x.token") == F.col("y.token")) & _before("x", "y", order) & may_link("x", "y") & apart("x", "y")
     return x.join(y, on).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
 
 
