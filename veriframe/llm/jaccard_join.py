@@ -30,7 +30,7 @@ from .common import ship, table
 from .rarity import Levels, count_levels
 
 SHINGLE_WORDS = 5
-LEVELS = Levels(thresholds=(2, 8, 64), bits=(27, 24, 22))
+LEVELS = Levels(thresholds=tuple(2**i for i in range(1, 17)), bits=(27, 25, 24, *(22,) * 13))
 
 
 def _records(batch: pa.RecordBatch) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
@@ -38,9 +38,11 @@ def _records(batch: pa.RecordBatch) -> Iterator[tuple[list[pa.Array], np.ndarray
         yield [batch.column(0).slice(first, len(bounds) - 1)], values, bounds
 
 
-def _tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for _, values, _ in _records(batch):
-        yield values
+def _copies(texts: DataFrame) -> DataFrame:
+    """(sid): the row keys of all but the first of equal texts."""
+    keys = texts.select("doc_id", "tid", F.xxhash64("doc_id", "tid").alias("sid"))
+    first = keys.groupBy("tid").agg(F.min(F.struct("doc_id", "sid")).alias("f"), F.count("*").alias("k")).filter("k > 1")
+    return keys.join(first, "tid").filter(F.col("sid") != F.col("f.sid")).select("sid")
 
 
 def jaccard_components(docs: DataFrame, levels: Levels = LEVELS) -> DataFrame:
@@ -48,7 +50,17 @@ def jaccard_components(docs: DataFrame, levels: Levels = LEVELS) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    maps = spark.sparkContext.broadcast(count_levels(texts, _tokens, levels))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tid"))
+    copies = spark.sparkContext.broadcast(setjoin.bitmap(_copies(keyed), "sid"))
+
+    def tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, bool]]:
+        copied = setjoin.in_bitmap(copies.value, batch.column(2).to_numpy())
+        for first, values, bounds in kernel.shingles(batch.column(1), SHINGLE_WORDS):
+            own = np.repeat(copied[first : first + len(bounds) - 1], np.diff(bounds))
+            yield values[~own], False
+            yield values[own], True
+
+    maps = spark.sparkContext.broadcast(count_levels(keyed.select("doc_id", "text", F.xxhash64("doc_id", "tid").alias("sid")), tokens, levels))
     records = table(setjoin.index(texts, _records, "doc_id long", levels, maps))
 
     sets = records.filter("size(tokens) > 0").dropDuplicates(["sid"]).drop("doc_id")
@@ -57,7 +69,7 @@ def jaccard_components(docs: DataFrame, levels: Levels = LEVELS) -> DataFrame:
     entries = table(entries.join(shared, "token", "left_semi"))
     first = setjoin.verified(setjoin.neighbours(entries, ["n", "sid"]), texts, _records)
 
-    label = setjoin.components(first, rounds=3)
+    label = setjoin.components(first, rounds=6)
     labelled = entries.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
     labelled = table(labelled.join(mixed, "token", "left_semi"))

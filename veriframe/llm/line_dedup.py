@@ -65,9 +65,9 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels
     ship(spark)
     texts, records = _keyed(docs), line_sets(min_tokens)
 
-    def tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    def tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, bool]]:
         for _, values, _ in records(batch):
-            yield values
+            yield values, False
 
     maps = spark.sparkContext.broadcast(count_levels(texts, tokens, levels))
     lines = table(setjoin.index(texts, records, "doc_id long, tid long, line_no int", levels, maps))

@@ -24,12 +24,16 @@ KEY_BITS = 40
 FLUSH = 1 << 21
 _SHIFT = np.uint64(64 - KEY_BITS)
 
-Tokens = Callable[[pa.RecordBatch], Iterator[np.ndarray]]
+#: (tokens, whether they come from a copy of a record that is counted elsewhere).
+Tokens = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, bool]]]
 
 
 @dataclass(frozen=True)
 class Levels:
-    """Token counts at or over ``thresholds[i]`` set a bit of the bitmap of ``2 ** bits[i]`` slots."""
+    """Token counts at or over ``thresholds[i]`` set a bit of the bitmap of ``2 ** bits[i]`` slots.
+
+    The first threshold is on all occurrences, the others leave out those in copies, so that a text doesn't look frequent for its copies.
+    """
 
     thresholds: tuple[int, ...]
     bits: tuple[int, ...]
@@ -56,7 +60,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 
 def _counted(tokens: Tokens, range_bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(held: list[np.ndarray], copy: bool) -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(held) >> _SHIFT, return_counts=True)
         which = (keys >> np.uint64(KEY_BITS - range_bits)).astype(np.int64)
         at = np.flatnonzero(np.diff(which, prepend=-1))
@@ -66,22 +70,24 @@ def _counted(tokens: Tokens, range_bits: int) -> Callable[[Iterable[pa.RecordBat
                 pa.array(which[at], pa.int32()),
                 pa.array([_packed(keys[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary()),
                 pa.array([zstandard.compress(counts[a:b].astype("<u4").tobytes(), 1) for a, b in zip(at, ends, strict=True)], pa.binary()),
+                pa.array([copy] * len(at)),
             ],
-            names=["range", "keys", "counts"],
+            names=["range", "keys", "counts", "copy"],
         )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n = 0
+        held: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        n = {False: 0, True: 0}
         for batch in batches:
-            for values in tokens(batch):
-                held.append(values)
-                n += len(values)
-                if n >= FLUSH:
-                    yield flush(held)
-                    held, n = [], 0
-        if n:
-            yield flush(held)
+            for values, copy in tokens(batch):
+                held[copy].append(values)
+                n[copy] += len(values)
+                if n[copy] >= FLUSH:
+                    yield flush(held[copy], copy)
+                    held[copy], n[copy] = [], 0
+        for copy in (False, True):
+            if n[copy]:
+                yield flush(held[copy], copy)
 
     return run
 
@@ -100,19 +106,20 @@ def count_levels(df: DataFrame, tokens: Tokens, levels: Levels) -> list[np.ndarr
     def piece(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([_unpacked(x) for x in group["keys"]])
         counts = np.concatenate([np.frombuffer(zstandard.decompress(x), "<u4") for x in group["counts"]])
+        own = np.where(np.repeat(group["copy"].to_numpy(), [len(zstandard.decompress(x)) // 4 for x in group["counts"]]), 0, counts)
         order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
+        keys = keys[order]
         first = np.flatnonzero(np.diff(keys, prepend=~keys[0]))
-        keys, counts = keys[first], np.add.reduceat(counts.astype(np.int64), first)
+        keys, counts, own = keys[first], np.add.reduceat(counts[order].astype(np.int64), first), np.add.reduceat(own[order].astype(np.int64), first)
         out = []
-        for least, bits in zip(levels.thresholds, levels.bits, strict=True):
-            slots = (keys[counts >= least] >> np.uint64(KEY_BITS - bits)).astype(np.int64) - (int(key[0]) << (bits - range_bits))
+        for i, (least, bits) in enumerate(zip(levels.thresholds, levels.bits, strict=True)):
+            slots = (keys[(own if i else counts) >= least] >> np.uint64(KEY_BITS - bits)).astype(np.int64) - (int(key[0]) << (bits - range_bits))
             flags = np.zeros(1 << (bits - range_bits), bool)
             flags[slots] = True
             out.append(np.packbits(flags, bitorder="little").tobytes())
         return pd.DataFrame({"range": [key[0]], "bits": [b"".join(out)]})
 
-    counted = df.mapInArrow(_counted(tokens, range_bits), "range int, keys binary, counts binary")
+    counted = df.mapInArrow(_counted(tokens, range_bits), "range int, keys binary, counts binary, copy boolean")
     maps = [np.zeros(1 << (b - 3), np.uint8) for b in levels.bits]
     for row in counted.groupBy("range").applyInPandas(piece, "range int, bits binary").collect():
         at = 0

@@ -148,5 +148,9 @@ def span_digests(scanned: DataFrame, rules: tuple[Rule, ...] = RULES, base: int
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["number"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
     own = F.filter("spans", lambda x: x["number"] < base)
-    counts = [F.size(F.filter("spans", lambda x, i=i: x["number"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules[:base])]
+
+    def of(number: int) -> Column:
+        return F.size(F.filter("spans", lambda x: x["number"] == number)).cast("long")
+
+    counts = [of(i).alias(f"n_{r.kind}") for i, r in enumerate(rules[:base])]
     return scanned.select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -11,6 +11,7 @@ distance never exceeds the sets' symmetric difference.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -107,10 +108,16 @@ def _before(x: str, y: str, order: list[str]) -> Column:
 
 
 def neighbours(entries: DataFrame, order: list[str]) -> DataFrame:
-    """Pairs (a, b), a before b in ``order``, of sets that stand next to each other in a list: as many as entries, so copies in a large group meet without all their pairs."""
-    w = Window.partitionBy("token").orderBy(*order)
+    """Pairs (a, b), a before b in ``order``: each set with the one before it in a list, and with the first of its list of about its size.
+
+    There are at most two for an entry, so copies in a large group meet without all their pairs.
+    """
     here = F.struct("sid", "n", "sig", "pos")
-    near = entries.select(here.alias("y"), F.lag(here).over(w).alias("x")).filter(F.col("x").isNotNull() & (F.col("x.sid") != F.col("y.sid")) & may_link("x", "y"))
+    size = F.floor(F.log("n") / math.log(1.25))
+    before = F.lag(here).over(Window.partitionBy("token").orderBy(*order))
+    lead = F.first(here).over(Window.partitionBy("token", size).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = entries.select(here.alias("y"), before.alias("before"), lead.alias("lead"))
+    near = both.select("y", F.explode(F.array("before", "lead")).alias("x")).filter(F.col("x").isNotNull() & (F.col("x.sid") != F.col("y.sid")) & may_link("x", "y"))
     return near.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
 
 
