@@ -10,7 +10,8 @@ arrays of the frequent words, whose number is bounded; a task replays the merges
 for the rarer words it meets.  Decoding joins the tokens' bytes.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; text
-that looks like a special token is ordinary text; all rows and columns stay.
+that looks like a special token is ordinary text; all rows and columns stay,
+except that a column named as the new one is replaced.
 """
 
 from __future__ import annotations
@@ -146,6 +147,7 @@ def encode(docs: DataFrame, vocabulary_path: str, column: str = "ids", head_word
     """``docs`` with the token ids of ``text`` in the array column ``column``."""
     spark = docs.sparkSession
     ship(spark)
+    docs = docs.drop(column)
     with open(vocabulary_path, "rb") as f:
         content = f.read()
     words = table(word_ids(docs, content))
@@ -174,6 +176,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, column: str = "ids", to: st
     """``encoded`` with the bytes of its ids in the binary column ``to``."""
     spark = encoded.sparkSession
     ship(spark)
+    encoded = encoded.drop(to)
     with open(vocabulary_path, "rb") as f:
         tokens = Ranks(f.read()).token
     sizes = np.array([len(t) for t in tokens], np.int64)

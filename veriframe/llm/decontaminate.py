@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, setjoin
-from .common import ship, table
+from .common import fresh, ship, table
 
 CONTAINMENT = 0.8
 SMALL_ITEM = 16
@@ -127,6 +127,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, containment: float =
 def clean_documents(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """``docs`` without those that contain an item; all columns and all other rows stay."""
     bad = contained_items(docs, benchmark, containment).select("doc_id", "tid").distinct().alias("b")
-    d = docs.withColumn("_tid", F.xxhash64("text")).alias("d")
-    on = (F.col("d._tid") == F.col("b.tid")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.doc_id"))
+    name = fresh(docs, "tid")
+    d = docs.withColumn(name, F.xxhash64("text")).alias("d")
+    on = (F.col(f"d.{name}") == F.col("b.tid")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.doc_id"))
     return d.join(bad, on, "left_anti").select(*docs.columns)

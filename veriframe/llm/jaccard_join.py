@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, setjoin
-from .common import ship, table
+from .common import fresh, ship, table
 from .rarity import Levels, count_levels
 
 SHINGLE_WORDS = 5
@@ -35,23 +35,27 @@ LEVELS = Levels(thresholds=tuple(2**i for i in range(1, 17)), bits=(27, 25, 24,
 
 def _records(batch: pa.RecordBatch) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
     for first, values, bounds in kernel.shingles(batch.column(1), SHINGLE_WORDS):
-        yield [batch.column(0).slice(first, len(bounds) - 1)], values, bounds
+        n = len(bounds) - 1
+        yield [batch.column(0).slice(first, n), batch.column(2).slice(first, n)], values, bounds
 
 
 def _copies(texts: DataFrame) -> DataFrame:
-    """(sid): the row keys of all but the first of equal texts."""
-    keys = texts.select("doc_id", "tid", F.xxhash64("doc_id", "tid").alias("sid"))
+    """(sid): the keys of all but the first of equal texts."""
+    keys = texts.select("doc_id", F.xxhash64("text").alias("tid"), F.col("key").alias("sid"))
     first = keys.groupBy("tid").agg(F.min(F.struct("doc_id", "sid")).alias("f"), F.count("*").alias("k")).filter("k > 1")
     return keys.join(first, "tid").filter(F.col("sid") != F.col("f.sid")).select("sid")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
+
+
 def jaccard_components(docs: DataFrame, levels: Levels = LEVELS) -> DataFrame:
-    """doc_id, n_shingles, set_id, component_id of every document."""
+    """doc_id, key, n_shingles, set_id, component_id of every document; key is the xxhash64 of doc_id and text."""
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tid"))
-    copies = spark.sparkContext.broadcast(setjoin.bitmap(_copies(keyed), "sid"))
+    texts = _keyed(docs)
+    copies = spark.sparkContext.broadcast(setjoin.bitmap(_copies(texts), "sid"))
 
     def tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, bool]]:
         copied = setjoin.in_bitmap(copies.value, batch.column(2).to_numpy())
@@ -60,10 +64,10 @@ def jaccard_components(docs: DataFrame, levels: Levels = LEVELS) -> DataFrame:
             yield values[~own], False
             yield values[own], True
 
-    maps = spark.sparkContext.broadcast(count_levels(keyed.select("doc_id", "text", F.xxhash64("doc_id", "tid").alias("sid")), tokens, levels))
-    records = table(setjoin.index(texts, _records, "doc_id long", levels, maps))
+    maps = spark.sparkContext.broadcast(count_levels(texts, tokens, levels))
+    records = table(setjoin.index(texts, _records, "doc_id long, key long", levels, maps))
 
-    sets = records.filter("size(tokens) > 0").dropDuplicates(["sid"]).drop("doc_id")
+    sets = records.filter("size(tokens) > 0").dropDuplicates(["sid"]).drop("doc_id", "key")
     entries = table(setjoin.lists(sets))
     shared = entries.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     entries = table(entries.join(shared, "token", "left_semi"))
@@ -78,9 +82,21 @@ def jaccard_components(docs: DataFrame, levels: Levels = LEVELS) -> DataFrame:
     links = first.union(setjoin.verified(rest, texts, _records))
 
     label = setjoin.components(links)
-    whole = records.select("doc_id", "n", "sid").join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    whole = records.select("doc_id", "key", "n", "sid").join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = whole.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return (
-        whole.join(least, "label", "left")
-        .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("sid").alias("set_id"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return whole.join(least, "label", "left").select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), F.col("sid").alias("set_id"), own.alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, levels: Levels = LEVELS) -> DataFrame:
+    """The rows of ``docs``, with all columns, of one document of each component: that with the least (doc_id, key), a null doc_id last.
+
+    Documents without words all stay; of repeated rows one stays.
+    """
+    found = jaccard_components(docs, levels)
+    full = found.filter("n_shingles > 0").withColumn("component", F.coalesce("component_id", F.col("set_id")))
+    first = full.groupBy("component", F.col("component_id").isNull().alias("unnamed")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f")).select("f.key")
+    name = fresh(docs, "key")
+    kept = first.union(found.filter("n_shingles = 0").select("key")).distinct().toDF(name)
+    keyed = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, setjoin
-from .common import ship, table
+from .common import fresh, ship, table
 from .rarity import Levels, count_levels
 
 MIN_TOKENS = 5
@@ -97,21 +97,16 @@ def removed_by_document(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: L
     return repeated_lines(docs, min_tokens, levels).groupBy("doc_id", "tid").agg(F.sort_array(F.collect_list("line_no")).alias("removed_lines"))
 
 
-def with_removals(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` with the array column removed_lines, empty for documents that lose no line."""
-    d, r = docs.withColumn("_tid", F.xxhash64("text")).alias("d"), removed.alias("r")
-    on = (F.col("d._tid") == F.col("r.tid")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id"))
-    return d.join(r, on, "left").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.coalesce("r.removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
-
-
-def kept_text() -> Column:
-    """The text without the lines in removed_lines."""
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
-    return F.when(F.size("removed_lines") > 0, kept).otherwise(F.col("text"))
+def kept_text(text: Column, removed: Column) -> Column:
+    """The text without the lines whose numbers are in ``removed``."""
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(removed, i)), "\n")
+    return F.when(F.size(removed) > 0, kept).otherwise(text)
 
 
 def dedup_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels = LEVELS) -> DataFrame:
     """``docs`` with the matching later lines taken out of ``text``; all other columns and all rows stay."""
-    marked = with_removals(docs, removed_by_document(docs, min_tokens, levels))
-    return marked.withColumn("text", kept_text()).select(*docs.columns)
+    name = fresh(docs, "tid")
+    d, r = docs.withColumn(name, F.xxhash64("text")).alias("d"), removed_by_document(docs, min_tokens, levels).alias("r")
+    on = (F.col(f"d.{name}") == F.col("r.tid")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id"))
+    text = kept_text(F.col("d.text"), F.coalesce("r.removed_lines", F.array().cast("array<int>")))
+    return d.join(r, on, "left").select(*(text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns))
