@@ -2,12 +2,12 @@
 
 Index lists hold, for each prefix shingle, the sets in order of size with the
 shingle's position, so that whole runs of a list are passed over by length and
-position.  Links within a large group of similar sets are not computed pair by
-pair: each set is first compared with its neighbours in its lists, which gives
-every set of a group one label; a set then takes over the answers of the sets
-that share its label, and only pairs of differently labelled sets are still
-joined and verified.  No pair of different texts is left undecided, since
-equally labelled sets are connected.
+position.  Each set first meets the one set that leads most of its lists, its
+centre, and takes over that set's answers where the two link: they then carry
+one label.  What is left are pairs of different labels.  Those with one centre
+are answered together, by one product over the tokens of their group; those with
+different centres are joined from the lists and verified pair by pair.  No pair
+of different texts is left undecided, since equally labelled sets are connected.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and links with nothing; fewer than five words are one shingle; repeated rows
@@ -67,19 +67,23 @@ def jaccard_components(docs: DataFrame, levels: Levels = LEVELS) -> DataFrame:
     maps = spark.sparkContext.broadcast(count_levels(texts, tokens, levels))
     records = table(setjoin.index(texts, _records, "doc_id long, key long", levels, maps))
 
-    sets = records.filter("size(tokens) > 0").dropDuplicates(["sid"]).drop("doc_id", "key")
+    sets = records.filter("size(tokens) > 0").dropDuplicates(["sid"]).drop("doc_id", "key").withColumn("k", F.size("tokens"))
     entries = table(setjoin.lists(sets))
-    shared = entries.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+    shared = entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
     entries = table(entries.join(shared, "token", "left_semi"))
-    first = setjoin.verified(setjoin.neighbours(entries, ["n", "sid"]), texts, _records)
+    centre = table(setjoin.centres(entries))
+    first = setjoin.verified(centre.filter("sid <> centre").toDF("a", "b"), texts, _records)
 
     label = setjoin.components(first, rounds=6)
-    labelled = entries.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    known = table(centre.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    dealt = table(setjoin.grouped(known))
+    labelled = entries.join(known, "sid")
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
     labelled = table(labelled.join(mixed, "token", "left_semi"))
-    rest = setjoin.pairs(labelled, ["n", "sid"], lambda x, y: F.col(f"{x}.label") != F.col(f"{y}.label"))
-    rest = table(rest.join(first, ["a", "b"], "left_anti"))
-    links = first.union(setjoin.verified(rest, texts, _records))
+    rest = table(setjoin.pairs(labelled, ["n", "sid"], lambda x, y: (F.col(f"{x}.label") != F.col(f"{y}.label")) & (F.col(f"{x}.centre") != F.col(f"{y}.centre"))))
+    wanted = rest.select(F.explode(F.array("a", "b")).alias("sid")).union(dealt.select("sid")).distinct()
+    texts_of = table(setjoin.members(texts, _records, wanted))
+    links = first.union(setjoin.linked(rest, texts_of)).union(setjoin.group_links(dealt, texts_of))
 
     label = setjoin.components(links)
     whole = records.select("doc_id", "key", "n", "sid").join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))

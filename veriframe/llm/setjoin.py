@@ -173,10 +173,8 @@ def members(df: DataFrame, records: Records, wanted: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "sid long, members binary").join(wanted.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("members").alias("members"))
 
 
-def verified(candidates: DataFrame, df: DataFrame, records: Records) -> DataFrame:
-    """The pairs of ``candidates`` whose sets link, by their exact intersections."""
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    sets = table(members(df, records, wanted))
+def linked(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of ``candidates`` whose sets, of the table ``sets``, link by their exact intersections."""
     both = candidates.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +190,83 @@ def verified(candidates: DataFrame, df: DataFrame, records: Records) -> DataFram
     return table(both.mapInArrow(run, "a long, b long"))
 
 
+def verified(candidates: DataFrame, df: DataFrame, records: Records) -> DataFrame:
+    """The pairs of ``candidates`` that link; their sets are read from ``df``."""
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    return linked(candidates, table(members(df, records, wanted)))
+
+
+def centres(entries: DataFrame) -> DataFrame:
+    """(sid, centre): for each set, the one that leads most of its lists among sets of about its size.
+
+    A list is led by the set with the largest part of its prefix listed: in a
+    group of near copies that is the text the others were made from, for their
+    changes are listed nowhere.
+    """
+    size = F.log("n") / math.log(1.25)
+    share = F.col("k") / F.expr("n - ceil(n * 4 / 5D) + 1")
+    lead = lambda bucket: F.first(F.struct((-share).alias("share"), "sid")).over(Window.partitionBy("token", bucket).orderBy((-share), "n", "sid").rowsBetween(Window.unboundedPreceding, 0))
+    led = entries.select("sid", lead(F.floor(size)).alias("x"), lead(F.floor(size + 0.5)).alias("y")).select("sid", F.explode(F.array("x", "y")).alias("lead"))
+    return led.groupBy("sid", F.col("lead.sid").alias("centre")).agg(F.count("*").alias("times"), F.min("lead.share").alias("share")).groupBy("sid").agg(F.max_by("centre", F.struct("times", -F.col("share"), "centre")).alias("centre"))
+
+
+GROUP_CHUNK = 2048
+_SLAB = 4096
+
+
+def grouped(groups: DataFrame) -> DataFrame:
+    """(centre, i, j, part, sid, label): the members of each group of several labels, dealt to the pairs of its chunks.
+
+    A group of up to GROUP_CHUNK sets is one task's work, a larger one is spread over pairs of chunks.
+    """
+    sizes = groups.groupBy("centre").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    cut = groups.join(sizes.select("centre", F.ceil(F.col("k") / GROUP_CHUNK).cast("int").alias("chunks")), "centre").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+    dealt = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    return dealt.select("centre", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.col("chunk").alias("part"), "sid", "label")
+
+
+def group_links(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between sets of a group that have different labels: as few as connect what the group's links connect.
+
+    Intersections come from one product of the sets' incidence matrices over the tokens they share.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = [np.frombuffer(x, np.uint64) for x in group["members"]]
+        n = np.array([len(x) for x in rows], np.float32)
+        tokens, column, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+        place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column]
+        owner = np.repeat(np.arange(len(rows)), n.astype(int))
+        common = np.zeros((len(rows), len(rows)), np.float32)
+        for start in range(0, int((count > 1).sum()), _SLAB):
+            some = (place >= start) & (place < start + _SLAB)
+            held = np.zeros((len(rows), _SLAB), np.float32)
+            held[owner[some], place[some] - start] = 1
+            common += held @ held.T
+        label = group["label"].to_numpy()
+        link = 100 * common >= 80 * (n[:, None] + n[None, :] - common)
+        a, b = np.nonzero(np.triu(link, 1))
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        top = {x: x for x in label.tolist()}
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        out = []
+        sids = group["sid"].to_numpy()
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            u, v = find(label[x]), find(label[y])
+            if u != v:
+                top[u] = v
+                out.append((sids[x], sids[y]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return table(dealt.join(sets, "sid").groupBy("centre", "i", "j").applyInPandas(run, "a long, b long"))
+
+
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(sid, label): the least id that links reach from each set of ``edges``.
 
