@@ -6,10 +6,11 @@ earlier line, in the order (doc_id, text hash, line number), is removed.  Tokens
 are ordered by rarity over all lines, and prefix, positional and length filters
 leave few pairs to verify.
 
-Copies need no pairs: equal token sets are one set with a first occurrence.  A
-set that matches its predecessor in a list of its two rarest shared tokens is
-settled at once, so a large group of near copies never forms all its pairs; the
-full join then covers every pair with at least one set not settled.
+Copies need no pairs: equal token sets are one set with a first occurrence.  In
+lists of SETTLED_LIST sets or more that share their two rarest tokens, a set that
+matches an earlier neighbour is settled at once, so a large group of near copies
+never forms all its pairs; the full join then covers every pair whose later set
+is not settled.
 
 Defined results: lines are split at \\n; lines with fewer than ``min_tokens``
 distinct words, and null or empty texts, are never removed and never match;
@@ -32,6 +33,9 @@ from .common import fresh, ship, table
 from .rarity import Levels, count_levels
 
 MIN_TOKENS = 5
+SETTLED_LIST = 16
+#: Bytes of a token's hash in the sets that are compared.
+PACKED_BYTES = 5
 LEVELS = Levels(thresholds=tuple(2**i for i in range(1, 15)), bits=(26, *(24,) * 4, *(22,) * 9))
 
 
@@ -70,28 +74,39 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels
             yield values, False
 
     maps = spark.sparkContext.broadcast(count_levels(texts, tokens, levels))
-    lines = table(setjoin.index(texts, records, "doc_id long, tid long, line_no int", levels, maps))
+    lines = table(setjoin.index(texts, records, "doc_id long, tid long, line_no int", levels, maps, narrow=True))
     where = F.struct("doc_id", "tid", "line_no")
 
-    sets = lines.filter("size(tokens) > 0").select("sid", "n", "sig", "tokens", "pos", where.alias("f"))
-    lead = sets.withColumns({"tokens": F.slice("tokens", 1, 2), "pos": F.slice("pos", 1, 2)})
-    lead = lead.groupBy("sid").agg(F.min("f").alias("f"), *(F.first(c).alias(c) for c in ("n", "sig", "tokens", "pos")))
-    settled = setjoin.verified(table(setjoin.neighbours(setjoin.lists(lead), ["f", "sid"])), texts, records)
-
-    done = settled.select(F.col("b").alias("sid"), F.lit(True).alias("settled")).distinct()
-    every = sets.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "sig", "tokens", "pos"))).join(done, "sid", "left")
-    entries = setjoin.lists(every.withColumn("settled", F.col("settled").isNotNull()))
-    rest = setjoin.pairs(entries, ["sid"], lambda x, y: ~(F.col(f"{x}.settled") & F.col(f"{y}.settled")))
-    links = setjoin.verified(table(rest), texts, records)
-
-    firsts = lines.groupBy("sid").agg(F.min(where).alias("f"), F.count("*").alias("k"))
-    linked = table(firsts.join(links.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("sid", "f"))
-    sides = links.join(linked.toDF("a", "fa"), "a").join(linked.toDF("b", "fb"), "b")
-    later = sides.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("sid")).union(settled.select(F.col("b").alias("sid"))).distinct().withColumn("later", F.lit(True))
-    decided = firsts.join(later, "sid", "left").filter("k > 1 or later").select("sid", "f", F.coalesce("later", F.lit(False)).alias("later"))
+    # a line without a listed token has a token of its own and matches nothing
+    sets = lines.filter("size(tokens) > 0").groupBy("sid").agg(F.min(where).alias("f"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "sig", "tokens", "pos")))
+    sets = table(sets.withColumn("id", F.monotonically_increasing_id()))
+
+    lead = sets.select("sid", "n", "sig", "f", F.col("pos")[0].alias("pos"), F.xxhash64(F.slice("tokens", 1, 2)).alias("token"))
+    near = table(setjoin.neighbours(lead, ["f", "sid"], least=SETTLED_LIST))
+    settled = _linked(near, sets.select("sid", "f"), texts, records)
+    done = table(settled.select(F.col("b").alias("sid"), F.lit(True).alias("settled")).distinct())
+
+    known = sets.select("sid", "id", "f", "n", "sig", "tokens", "pos").join(done, "sid", "left").withColumn("settled", F.col("settled").isNotNull())
+    each = known.select("id", "sig", "n", "settled", F.explode(F.arrays_zip("tokens", "pos")).alias("e"))
+    entries = each.select(F.col("e.tokens").alias("token"), "id", "sig", setjoin.sized(F.col("n"), F.col("e.pos"), F.col("settled")).alias("meta"))
+    found = setjoin.pairs(entries, ["id"], lambda x, y: ~(setjoin.flagged(x) & setjoin.flagged(y)), sid="id", packed=True)
+    names = known.select("id", F.struct("f", "sid", "settled").alias("s"))
+    both = found.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    open_ = table(both.filter(~F.col("y.settled")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")))
+    links = _linked(open_, sets.select("sid", "f"), texts, records)
+
+    later = settled.select("b").union(links.select("b")).distinct().select(F.col("b").alias("sid"), F.lit(True).alias("later"))
+    decided = sets.select("sid", "f", "k").join(later, "sid", "left").filter("k > 1 or later").select("sid", "f", F.coalesce("later", F.lit(False)).alias("later"))
     return lines.select("doc_id", "tid", "line_no", "sid").join(decided, "sid").filter(F.col("later") | (where != F.col("f"))).select("doc_id", "tid", "line_no").distinct()
 
 
+def _linked(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, records: setjoin.Records) -> DataFrame:
+    """The pairs that match; each set is read from the text of its first line."""
+    wanted = firsts.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("sid", F.col("f.tid").alias("tid"))
+    sets = table(setjoin.members(texts, records, table(wanted), text_key=1, width=PACKED_BYTES))
+    return setjoin.linked(pairs, sets, PACKED_BYTES)
+
+
 def removed_by_document(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels = LEVELS) -> DataFrame:
     """(doc_id, tid, removed_lines): sorted line numbers, for documents that lose any."""
     return repeated_lines(docs, min_tokens, levels).groupBy("doc_id", "tid").agg(F.sort_array(F.collect_list("line_no")).alias("removed_lines"))

@@ -57,8 +57,11 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def index(df: DataFrame, records: Records, keys: str, levels: Levels, maps) -> DataFrame:
-    """One row per record: its key columns, n, sid (equal sets have equal ids), sig, and listed prefix tokens with positions."""
+def index(df: DataFrame, records: Records, keys: str, levels: Levels, maps, narrow: bool = False) -> DataFrame:
+    """One row per record: its key columns, n, sid (equal sets have equal ids), sig, and listed prefix tokens with positions.
+
+    ``narrow`` lists the top 32 bits of tokens: lists of some tokens fall together, which only adds candidates.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = maps.value
@@ -66,6 +69,8 @@ def index(df: DataFrame, records: Records, keys: str, levels: Levels, maps) -> D
             for key, values, bounds in records(batch):
                 tokens, pos, at = prefixes(values, bounds, levels.of(held, values))
                 at = pa.array(at, pa.int32())
+                if narrow:
+                    tokens = (tokens >> 32).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *key,
@@ -78,18 +83,31 @@ def index(df: DataFrame, records: Records, keys: str, levels: Levels, maps) -> D
                     names=names,
                 )
 
-    schema = f"{keys}, n int, sid long, sig long, tokens array<long>, pos array<int>"
+    schema = f"{keys}, n int, sid long, sig long, tokens array<{'int' if narrow else 'long'}>, pos array<int>"
     names = [x.split()[0] for x in schema.split(", ")]
     return df.mapInArrow(run, schema)
 
 
-def may_link(a: str, b: str) -> Column:
+def sized(n: Column, pos: Column, flag: Column) -> Column:
+    """Size, position and a flag of a list entry in one long, as ``may_link`` and ``flagged`` read them."""
+    return F.shiftleft(n.cast("long"), 32).bitwiseOR(F.shiftleft(pos.cast("long"), 1)).bitwiseOR(flag.cast("long"))
+
+
+def flagged(entry: str) -> Column:
+    return F.col(f"{entry}.meta").bitwiseAND(1) == 1
+
+
+def may_link(a: str, b: str, packed: bool = False) -> Column:
     """Length, positional and signature filters on two list entries."""
-    an, bn = F.col(f"{a}.n"), F.col(f"{b}.n")
+    if packed:
+        an, bn = (F.shiftright(F.col(f"{e}.meta"), 32) for e in (a, b))
+        ap, bp = (F.shiftright(F.col(f"{e}.meta").bitwiseAND(0xFFFFFFFF), 1) for e in (a, b))
+    else:
+        an, bn, ap, bp = (F.col(f"{e}.{c}") for c in ("n", "pos") for e in (a, b))
     return (
         (5 * an >= 4 * bn)
         & (5 * bn >= 4 * an)
-        & (9 * F.least(an - F.col(f"{a}.pos"), bn - F.col(f"{b}.pos")) >= 4 * (an + bn))
+        & (9 * F.least(an - ap, bn - bp) >= 4 * (an + bn))
         & (9 * F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= an + bn)
     )
 
@@ -107,11 +125,13 @@ def _before(x: str, y: str, order: list[str]) -> Column:
     return F.struct(*(F.col(f"{x}.{c}") for c in order)) < F.struct(*(F.col(f"{y}.{c}") for c in order))
 
 
-def neighbours(entries: DataFrame, order: list[str]) -> DataFrame:
+def neighbours(entries: DataFrame, order: list[str], least: int = 1) -> DataFrame:
     """Pairs (a, b), a before b in ``order``: each set with the one before it in a list, and with the first of its list of about its size.
 
-    There are at most two for an entry, so copies in a large group meet without all their pairs.
+    There are at most two for an entry, so copies in a large group meet without all their pairs.  Lists of fewer than ``least`` sets give none.
     """
+    if least > 1:
+        entries = entries.withColumn("m", F.count("*").over(Window.partitionBy("token"))).filter(F.col("m") >= least)
     here = F.struct("sid", "n", "sig", "pos")
     size = F.floor(F.log("n") / math.log(1.25))
     before = F.lag(here).over(Window.partitionBy("token").orderBy(*order))
@@ -121,11 +141,11 @@ def neighbours(entries: DataFrame, order: list[str]) -> DataFrame:
     return near.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
 
 
-def pairs(entries: DataFrame, order: list[str], apart: Callable[[str, str], Column]) -> DataFrame:
-    """All pairs (a, b), a before b in ``order``, that pass the filters and for which ``apart`` holds."""
+def pairs(entries: DataFrame, order: list[str], apart: Callable[[str, str], Column], sid: str = "sid", packed: bool = False) -> DataFrame:
+    """All pairs (a, b) of the column ``sid``, a before b in ``order``, that pass the filters and for which ``apart`` holds."""
     x, y = entries.alias("x"), entries.alias("y")
-    on = (F.col("x.token") == F.col("y.token")) & _before("x", "y", order) & may_link("x", "y") & apart("x", "y")
-    return x.join(y, on).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    on = (F.col("x.token") == F.col("y.token")) & _before("x", "y", order) & may_link("x", "y", packed) & apart("x", "y")
+    return x.join(y, on).select(F.col(f"x.{sid}").alias("a"), F.col(f"y.{sid}").alias("b")).distinct()
 
 
 def bitmap(ids: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
@@ -151,13 +171,31 @@ def in_bitmap(held: np.ndarray, ids: np.ndarray, bits: int = BITMAP_BITS) -> np.
     return ((held[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def members(df: DataFrame, records: Records, wanted: DataFrame) -> DataFrame:
-    """(sid, members): the sorted values of the sets whose ids are among ``wanted``, and of a few more."""
-    held = df.sparkSession.sparkContext.broadcast(bitmap(wanted, "sid"))
+def _pack(values: np.ndarray, width: int) -> bytes:
+    """The top ``width`` bytes of ascending values."""
+    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack(members: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(members) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(members, np.uint8).reshape(-1, width)
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
+def members(df: DataFrame, records: Records, wanted: DataFrame, text_key: int | None = None, width: int = 8) -> DataFrame:
+    """(sid, members): the packed values of the sets whose ids are among ``wanted``, and of a few more.
+
+    Where ``wanted`` has the column tid, only texts whose key, in column ``text_key`` of ``df``, is among them are cut into sets.
+    """
+    sc = df.sparkSession.sparkContext
+    held = sc.broadcast(bitmap(wanted, "sid"))
+    some = sc.broadcast(bitmap(wanted, "tid")) if text_key is not None else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
+            if some is not None:
+                batch = batch.filter(pa.array(in_bitmap(some.value, batch.column(text_key).to_numpy())))
             for _, values, bounds in records(batch):
                 ids = kernel.set_ids(values, bounds)
                 rows = [i for i in np.flatnonzero(in_bitmap(held.value, ids) & (np.diff(bounds) > 0)).tolist() if ids[i] not in seen]
@@ -166,14 +204,14 @@ def members(df: DataFrame, records: Records, wanted: DataFrame) -> DataFrame:
                 if len(seen) < 1_000_000:
                     seen.update(ids[rows].tolist())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[rows]), pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in rows], pa.binary())],
+                    [pa.array(ids[rows]), pa.array([_pack(values[bounds[i] : bounds[i + 1]], width) for i in rows], pa.binary())],
                     names=["sid", "members"],
                 )
 
-    return df.mapInArrow(run, "sid long, members binary").join(wanted.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("members").alias("members"))
+    return df.mapInArrow(run, "sid long, members binary").groupBy("sid").agg(F.first("members").alias("members"))
 
 
-def linked(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(candidates: DataFrame, sets: DataFrame, width: int = 8) -> DataFrame:
     """The pairs of ``candidates`` whose sets, of the table ``sets``, link by their exact intersections."""
     both = candidates.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
 
@@ -181,7 +219,7 @@ def linked(candidates: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                u, v = _unpack(x.as_py(), width), _unpack(y.as_py(), width)
                 at = np.searchsorted(v, u)
                 common = int((v[np.minimum(at, len(v) - 1)] == u).sum())
                 ok.append(100 * common >= 80 * (len(u) + len(v) - common))
@@ -232,7 +270,7 @@ def group_links(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [np.frombuffer(x, np.uint64) for x in group["members"]]
+        rows = [_unpack(x, 8) for x in group["members"]]
         n = np.array([len(x) for x in rows], np.float32)
         tokens, column, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
         place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column]
