@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ def _lookup(key: Column, table: dict) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it stands in the result."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _text(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
@@ -78,7 +85,10 @@ def _period(kind: str, label: Column, year: Column, quarter: Column | None = Non
 
 def parse_period(text: Column) -> Column:
     """The fiscal period that a text names, by the first form that fits, or null."""
-    t = _text(text)
+    return let(_text(text), _parse_period)
+
+
+def _parse_period(t: Column) -> Column:
     part = lambda pattern, i: F.regexp_extract(t, pattern, i)
     month = F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.lower(part(MONTHS_ENDED, 2)))
     date = F.concat_ws("-", part(MONTHS_ENDED, 4), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(MONTHS_ENDED, 3), 2, "0")).try_cast("date")
@@ -101,18 +111,19 @@ def periods_match(a: Column, b: Column) -> Column:
     return a.isNull() | b.isNull() | F.when(dated, by_date).otherwise(by_name)
 
 
-def _six(x: Column) -> tuple[Column, Column]:
-    """(digits, exponent) of x rounded to six significant digits."""
-    size = F.abs(x)
-    e = F.floor(F.log10(size))
-    six = F.round(size / F.pow(F.lit(10.0), e - 5)).cast("bigint")
-    over = six >= 1_000_000
-    return F.when(over, F.lit("100000")).otherwise(six.cast("string")), F.when(over, e + 1).otherwise(e).cast("int")
+def _six(x: Column) -> Column:
+    """struct(digits, e): x rounded to six significant digits, and its exponent."""
+    rounded = let(F.floor(F.log10(F.abs(x))), lambda e: F.struct(F.round(F.abs(x) / F.pow(F.lit(10.0), e - 5)).cast("bigint").alias("six"), e.alias("e")))
+    over = lambda r: r["six"] >= 1_000_000
+    return let(rounded, lambda r: F.struct(F.when(over(r), F.lit("100000")).otherwise(r["six"].cast("string")).alias("digits"), F.when(over(r), r["e"] + 1).otherwise(r["e"]).cast("int").alias("e")))
 
 
 def short_number(x: Column, commas: bool = False) -> Column:
     """x with up to six significant digits, without trailing zeros, and in powers of ten when very large or small."""
-    digits, e = _six(x)
+    return let(x, lambda v: let(_six(v), lambda six: _shown(v, six["digits"], six["e"], commas)))
+
+
+def _shown(x: Column, digits: Column, e: Column, commas: bool) -> Column:
     sign = F.when(x < 0, "-").otherwise("")
     dot = lambda whole, rest: F.concat(whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
     trimmed = lambda s: F.regexp_replace(s, "0+$", "")
@@ -137,16 +148,20 @@ def parse_quantity(text: Column, table_unit: Column | str = "", period: Column |
     """
     table_unit = F.lit(table_unit) if isinstance(table_unit, str) else table_unit
     context = F.lit(context) if isinstance(context, str) else context
-    t = F.trim(F.regexp_replace(_text(text), r"^\s+|\s+$", ""))
-    number = _number(t)
-    tail = F.regexp_extract(t, rf"(?s)^.*?(?:{NUMBER})(.*)$", 1)
+
+    def cut(t: Column) -> Column:
+        return F.struct(t.alias("t"), _number(t).alias("number"), F.regexp_extract(t, rf"(?s)^.*?(?:{NUMBER})(.*)$", 1).alias("tail"), F.concat(t, F.lit(" "), _text(context)).alias("both"))
+
+    return let(let(F.regexp_replace(_text(text), r"^\s+|\s+$", ""), cut), lambda p: _quantity(p["t"], p["number"], p["tail"], p["both"], table_unit, period))
+
+
+def _quantity(t: Column, number: Column, tail: Column, both: Column, table_unit: Column, period: Column | None) -> Column:
     plain = F.regexp_replace(number, ",", "").try_cast("double")
     bps, percent = tail.rlike(BASIS_POINTS), tail.rlike(PERCENT)
     suffix = F.regexp_extract(tail, SCALE_SUFFIX, 1)
     value = F.when(bps, plain / 100.0).otherwise(plain)
     unit = F.when(bps | percent, "percent").when(t.contains("$"), "USD").otherwise("count")
     scale = F.when(bps | percent, 1.0).when(suffix != "", scale_of_word(suffix)).otherwise(parse_table_scale(table_unit))
-    both = F.concat(t, F.lit(" "), _text(context))
     found = parse_period(both) if period is None else F.coalesce(period, parse_period(both))
     quantity = F.struct(
         F.when(t.rlike(NEGATIVE), -value).otherwise(value).alias("value"),
@@ -165,7 +180,10 @@ def base_value(quantity: Column) -> Column:
 
 def significant_figures(raw: Column) -> Column:
     """Significant figures of a number as written; end zeros of an integer don't count."""
-    s = F.regexp_replace(_text(raw), r"[^\d.]", "")
+    return let(F.regexp_replace(_text(raw), r"[^\d.]", ""), _figures)
+
+
+def _figures(s: Column) -> Column:
     decimal = F.regexp_replace(F.regexp_replace(s, r"\.", ""), "^0+", "")
     whole = F.regexp_replace(s, "^0+|0+$", "")
     return F.when(s == "", 0).when(s.contains("."), F.greatest(F.length(decimal), F.lit(1))).otherwise(F.greatest(F.length(whole), F.lit(1)))

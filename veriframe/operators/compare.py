@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import base_value, periods_match, short_number, significant_figures
+from ..functions.normalize import base_value, let, periods_match, short_number, significant_figures
 from ..types import QUANTITY
 
 # Fixed values of the decision rules.
@@ -22,31 +22,48 @@ PRIMARY_ORDER = ("GAAP", "unknown")
 
 def numeric_band(value: Column, raw: Column) -> Column:
     """Half a unit of the last significant digit of a figure as written."""
-    sig = significant_figures(raw)
-    exponent = F.floor(F.log10(F.abs(value))) - (sig - 1)
-    return F.when((sig == 0) | (value == 0), F.abs(value) * RELATIVE_BAND).otherwise(F.pow(F.lit(10.0), exponent.cast("double")) * BAND_ULPS)
+
+    def band(sig: Column) -> Column:
+        exponent = F.floor(F.log10(F.abs(value))) - (sig - 1)
+        return F.when((sig == 0) | (value == 0), F.abs(value) * RELATIVE_BAND).otherwise(F.pow(F.lit(10.0), exponent.cast("double")) * BAND_ULPS)
+
+    return let(significant_figures(raw), band)
 
 
 def within_tolerance(claimed: Column, actual: Column) -> Column:
     """struct(ok, code, reason): unit, period and scale are looked at before the band."""
+    return let(mismatch(claimed, actual), lambda code: F.struct((code == "").alias("ok"), code.alias("code"), _reason(code, claimed, actual).alias("reason")))
+
+
+def mismatch(claimed: Column, actual: Column) -> Column:
+    """What keeps two figures apart: "unit", "period", "scale" or "band"; "" where nothing does."""
     c, a = base_value(claimed), base_value(actual)
     unit = claimed["unit"].isin(*STATED_UNITS) & actual["unit"].isin(*STATED_UNITS) & (claimed["unit"] != actual["unit"])
     period = ~periods_match(claimed["period"], actual["period"])
     ratio = F.try_divide(F.abs(c), F.abs(a))
     scale = (c != 0) & (a != 0) & ((ratio >= SCALE_RATIO) | (ratio <= 1 / SCALE_RATIO))
-    band = numeric_band(claimed["value"], claimed["raw"]) * claimed["scale"]
-    inside = F.abs(c - a) <= band
+    inside = F.abs(c - a) <= _claim_band(claimed)
+    return F.when(unit, "unit").when(period, "period").when(scale, "scale").when(inside, "").otherwise("band")
+
+
+def _claim_band(claimed: Column) -> Column:
+    return numeric_band(claimed["value"], claimed["raw"]) * claimed["scale"]
+
+
+def _reason(code: Column, claimed: Column, actual: Column) -> Column:
     name = lambda p: F.coalesce(F.nullif(p["label"], F.lit("")), F.concat_ws(" ", p["kind"], p["year"].cast("string"), p["quarter"].cast("string")))
-    code = F.when(unit, "unit").when(period, "period").when(scale, "scale").when(inside, "").otherwise("band")
-    sides = F.concat(short_number(c, commas=True), F.lit(" vs "), short_number(a, commas=True))
-    reason = (
-        F.when(unit, F.concat(F.lit("unit mismatch: "), claimed["unit"], F.lit(" vs "), actual["unit"]))
-        .when(period, F.concat(F.lit("period mismatch: claim "), name(claimed["period"]), F.lit(" vs evidence "), name(actual["period"])))
-        .when(scale, F.concat(F.lit("scale mismatch: "), sides))
-        .when(inside, "")
-        .otherwise(F.concat(F.lit("outside band: "), sides, F.lit(" (+/-"), short_number(band, commas=True), F.lit(")")))
+    figures = F.transform(F.array(base_value(claimed), base_value(actual), _claim_band(claimed)), lambda x: short_number(x, commas=True))
+
+    def of_figures(shown: Column) -> Column:
+        sides = F.concat(F.get(shown, F.lit(0)), F.lit(" vs "), F.get(shown, F.lit(1)))
+        return F.when(code == "scale", F.concat(F.lit("scale mismatch: "), sides)).otherwise(F.concat(F.lit("outside band: "), sides, F.lit(" (+/-"), F.get(shown, F.lit(2)), F.lit(")")))
+
+    return (
+        F.when(code == "", "")
+        .when(code == "unit", F.concat(F.lit("unit mismatch: "), claimed["unit"], F.lit(" vs "), actual["unit"]))
+        .when(code == "period", F.concat(F.lit("period mismatch: claim "), name(claimed["period"]), F.lit(" vs evidence "), name(actual["period"])))
+        .otherwise(let(figures, of_figures))
     )
-    return F.struct((code == "").alias("ok"), code.alias("code"), reason.alias("reason"))
 
 
 def compute(operation: Column, quantities: Column) -> Column:
@@ -87,7 +104,7 @@ def decide(joined: DataFrame) -> DataFrame:
     staged = staged.withColumn("_actual", compute(F.col("operation"), of_basis(F.col("_primary"))))
     staged = staged.withColumn("_check", within_tolerance(F.col("value"), F.col("_actual")))
     others = F.transform(F.filter("_bases", lambda b: b != F.col("_primary")), lambda b: F.struct(b.alias("basis"), compute(F.col("operation"), of_basis(b)).alias("figure")))
-    fits = F.filter(others, lambda o: o["figure"].isNotNull() & within_tolerance(F.col("value"), o["figure"])["ok"])
+    fits = F.filter(others, lambda o: o["figure"].isNotNull() & (mismatch(F.col("value"), o["figure"]) == ""))
     staged = staged.withColumn("_alt", F.get(fits, F.lit(0)))
     uncovered = ~covers(F.col("period"), F.col("covered_periods"), F.col("_q"))
     empty, short, ok, alt = F.size("_q") == 0, F.col("_actual").isNull(), F.col("_check.ok"), F.col("_alt").isNotNull()
