@@ -103,3 +103,11 @@ def test_contained_items(spark, docs, rows):
     bad = {x[0] for x in expected}
     assert clean.columns == docs.columns
     assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((r[0] for r in rows if r[0] not in bad), key=repr)
+
+
+def test_many_near_copies_of_a_line(spark):
+    base = sentence(7, 40)
+    rows = [(i, edited(base, i % 40) + "\n" + sentence(2000 + i, 12)) for i in range(60)] + [(100 + i, edited(edited(edited(base, i), i + 9), i + 20)) for i in range(15)]
+    _, gone = repeated(rows)
+    got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "line_no").collect()
+    assert sorted(map(tuple, got)) == sorted((x[4], x[2]) for x in gone)

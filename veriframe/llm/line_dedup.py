@@ -7,8 +7,8 @@ are ordered by rarity over all lines, and prefix, positional and length filters
 leave few pairs to verify.
 
 Copies need no pairs: equal token sets are one set with a first occurrence.  In
-lists of SETTLED_LIST sets or more that share their two rarest tokens, a set that
-matches an earlier neighbour is settled at once, so a large group of near copies
+lists of SETTLED_LIST sets or more that share two of their rarest tokens, a set
+that matches an earlier neighbour is settled at once, so a large group of near copies
 never forms all its pairs; the full join then covers every pair whose later set
 is not settled.
 
@@ -21,7 +21,7 @@ stay as they are.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ from .rarity import Levels, count_levels
 
 MIN_TOKENS = 5
 SETTLED_LIST = 16
+LEAD_TOKENS = 4
 #: Bytes of a token's hash in the sets that are compared.
 PACKED_BYTES = 5
 LEVELS = Levels(thresholds=tuple(2**i for i in range(1, 15)), bits=(26, *(24,) * 4, *(22,) * 9))
@@ -81,8 +82,7 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels
     sets = lines.filter("size(tokens) > 0").groupBy("sid").agg(F.min(where).alias("f"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "sig", "tokens", "pos")))
     sets = table(sets.withColumn("id", F.monotonically_increasing_id()))
 
-    lead = sets.select("sid", "n", "sig", "f", F.col("pos")[0].alias("pos"), F.xxhash64(F.slice("tokens", 1, 2)).alias("token"))
-    near = table(setjoin.neighbours(lead, ["f", "sid"], least=SETTLED_LIST))
+    near = table(setjoin.neighbours(_large_lists(sets), ["f", "sid"], least=SETTLED_LIST))
     settled = _linked(near, sets.select("sid", "f"), texts, records)
     done = table(settled.select(F.col("b").alias("sid"), F.lit(True).alias("settled")).distinct())
 
@@ -100,6 +100,35 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels
     return lines.select("doc_id", "tid", "line_no", "sid").join(decided, "sid").filter(F.col("later") | (where != F.col("f"))).select("doc_id", "tid", "line_no").distinct()
 
 
+def _large_lists(sets: DataFrame) -> DataFrame:
+    """(token, sid, n, sig, pos, f): entries of lists, by pairs of a set's rarest tokens, that hold SETTLED_LIST sets or more.
+
+    A pair of the first tokens is still shared after a word has come or gone.
+    """
+    spark = sets.sparkSession
+    first = [F.get("tokens", F.lit(i)) for i in range(LEAD_TOKENS)]
+    keys = F.array_compact(F.array(*(F.when(b.isNotNull(), F.xxhash64(a, b)) for i, a in enumerate(first) for b in first[i + 1 :])))
+    keyed = sets.select(keys.alias("keys"), "sid", "n", "sig", F.col("pos")[0].alias("pos"), "f.*")
+
+    def tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, bool]]:
+        yield batch.column(0).flatten().to_numpy().view(np.uint64), False
+
+    levels = Levels(thresholds=(SETTLED_LIST,), bits=(24,))
+    large = spark.sparkContext.broadcast(count_levels(keyed.select("keys"), tokens, levels))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).flatten().to_numpy()
+            some = np.flatnonzero(levels.of(large.value, own.view(np.uint64)))
+            rows = np.repeat(np.arange(len(batch)), np.diff(batch.column(0).offsets.to_numpy()))[some]
+            rest = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(own[some]), *rest.columns[1:]], names=["token", *names])
+
+    names = ["sid", "n", "sig", "pos", "doc_id", "tid", "line_no"]
+    entries = keyed.mapInArrow(run, "token long, sid long, n int, sig long, pos int, doc_id long, tid long, line_no int")
+    return entries.select("token", "sid", "n", "sig", "pos", F.struct("doc_id", "tid", "line_no").alias("f"))
+
+
 def _linked(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, records: setjoin.Records) -> DataFrame:
     """The pairs that match; each set is read from the text of its first line."""
     wanted = firsts.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("sid", F.col("f.tid").alias("tid"))
