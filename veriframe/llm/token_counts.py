@@ -17,6 +17,7 @@ each have their count.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,6 +42,7 @@ def piece_counts(docs: DataFrame, tokenizer_json: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(shared.value)

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,6 +39,7 @@ SAMPLE_DOCS = 1000
 DICTIONARY_BYTES = 64 << 10
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
 CACHE_IDS = 8_000_000
+WORDS_AT_ONCE = 4096
 _caches: dict[str, tuple] = {}
 
 
@@ -45,8 +47,10 @@ def _encoder(tokenizer_json: str) -> tuple:
     """(tokenizer, special strings, known words) of this worker; the words are kept from task to task."""
     key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
     if key not in _caches or len(_caches[key][2].flat) > CACHE_IDS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
         from tokenizers import Tokenizer
 
+        _caches.clear()
         specials = [t["content"] for t in json.loads(tokenizer_json)["added_tokens"]]
         _caches[key] = Tokenizer.from_str(tokenizer_json), specials, pretoken.WordTable(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
     return _caches[key]
@@ -57,7 +61,7 @@ def encoded(column: pa.Array, tokenizer_json: str, end_id: int) -> Iterator[np.n
     tokenizer, specials, words = _encoder(tokenizer_json)
 
     def encode(new: list[str]) -> list[list[int]]:
-        return [x.ids for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        return [x.ids for i in range(0, len(new), WORDS_AT_ONCE) for x in tokenizer.encode_batch_fast(new[i : i + WORDS_AT_ONCE], add_special_tokens=False)]
 
     end = np.array([end_id], np.int32)
     for first, ids, bounds in pretoken.encode_column(column, words, encode):
