@@ -8,8 +8,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import sentence
 from pyspark.sql import functions as F
+from samples import sentence
 
 from veriframe.llm import html_templates, quality_rules, secret_scan, warc_revisit
 
@@ -68,11 +68,11 @@ def test_main_text(spark):
     deck = "<div>Join our list today</div>"
     article = "<article><h1>A &amp; B</h1><p>one\n two<br><p><b>three &lt;x&gt;{}<div class='share'>share me</div><form>mail<input></form><div class=\"comments\"><p>nice</p></div></article>"
     rows = [(i, f"http://h.org/{i}", PAGE.replace("{}", deck, 1).replace("{}", article.replace("{}", str(i)))) for i in range(8)]
-    rows += [(100 + i, f"http://k.org/{i}", f"<body>{deck}<section><p>only {i}</p><p>x</p></section>loose &eacute; text") for i in range(8)]
+    rows += [(100 + i, f"http://k.org/{i}", f"<body>{deck}<section><p>only {i}</p><p>x{i}</p><p>on every page</p></section>loose &eacute; text") for i in range(8)]
     rows += [(200, None, None), (201, "http://h.org", ""), (202, "odd", "plain text"), (203, "http://x.org", "<p>a<script>var t='</p>';</script> b<!-- c --> d"), (204, "http://z.org", deck + "<p>solo"), (3, rows[3][1], rows[3][2]), (None, "http://h.org/n", "<main>m<aside>no</aside></main>rest")]
     got = {r.page_id: r for r in html_templates.extract_main_text(spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, key int")).collect()}
     assert got[3].text == "A & B\none two\nthree <x>3" and got[3].n_chars == len(got[3].text)
-    assert got[105].text == "only 5\nx\nloose é text"
+    assert got[105].text == "only 5\nx5\nloose é text"
     assert (got[200].text, got[201].text, got[202].text, got[203].text) == ("", "", "plain text", "a b d")
     assert got[204].text == "Join our list today\nsolo" and got[None].text == "m"
     assert html_templates.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

@@ -2,7 +2,7 @@
 
 import re
 
-from conftest import edited, sentence
+from samples import edited, sentence
 
 from veriframe.llm import decontaminate, jaccard_join, line_dedup
 
