@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretoken, vocabulary
-from .common import ship, table
+from .common import fresh, ship, table
 
-BLOCK_WORDS = 20_000
-CACHE_IDS = 8_000_000
+BLOCK_WORDS = 5_000
+KNOWN_PAIRS = 200_000
+CACHE_IDS = 2_000_000
 
 
 class Ranks:
@@ -49,7 +50,7 @@ class Ranks:
         key = a << 20 | b
         r = self._pairs.get(key)
         if r is None:
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) > KNOWN_PAIRS:
                 self._pairs.clear()
             r = self._pairs[key] = self.rank.get(self.token[a] + self.token[b], -1)
         return r
@@ -143,8 +144,8 @@ def word_table(words: pa.Table, column: str) -> pretoken.WordTable:
     return pretoken.WordTable(keys, sizes, lists.flatten().to_numpy().astype(np.int32))
 
 
-def encode(docs: DataFrame, vocabulary_path: str, column: str = "ids", head_words: int = vocabulary.HEAD_WORDS) -> DataFrame:
-    """``docs`` with the token ids of ``text`` in the array column ``column``."""
+def encode(docs: DataFrame, vocabulary_path: str, column: str = "ids", head_words: int = vocabulary.HEAD_WORDS, keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with the token ids of ``text`` in the array column ``column``."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop(column)
@@ -153,8 +154,10 @@ def encode(docs: DataFrame, vocabulary_path: str, column: str = "ids", head_word
     words = table(word_ids(docs, content))
     head = word_table(vocabulary.frequent(words, head_words).select("word", "ids").toArrow(), "ids")
     shared = spark.sparkContext.broadcast((content, head.keys, head.sizes, head.starts, head.flat))
-    place = docs.columns.index("text")
-    schema = docs.select("*", F.lit(None).cast("array<int>").alias(column)).schema
+    kept = docs.columns if keep is None else keep
+    schema = docs.select(*kept, F.lit(None).cast("array<int>").alias(column)).schema
+    texts = docs.select(*kept, F.col("text").alias(fresh(docs, "text")))
+    width = len(kept)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content, keys, sizes, starts, flat = shared.value
@@ -162,14 +165,14 @@ def encode(docs: DataFrame, vocabulary_path: str, column: str = "ids", head_word
         held.keys, held.sizes, held.starts = keys, sizes, starts
         start = len(flat)
         for batch in batches:
-            for first, ids, bounds in pretoken.encode_column(batch.column(place), held, _ranks(content).replay):
+            for first, ids, bounds in pretoken.encode_column(batch.column(width), held, _ranks(content).replay):
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 rows = batch.slice(first, len(bounds) - 1)
-                yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, column])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:width], lists], names=[*rows.schema.names[:width], column])
             if len(held.flat) - start > CACHE_IDS:
                 held.keys, held.sizes, held.starts, held.flat = keys, sizes, starts, flat
 
-    return docs.mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, column: str = "ids", to: str = "decoded") -> DataFrame:

@@ -11,9 +11,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch stands in memory on both sides.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers of every executor, once per context."""
+    """Makes this package importable in the Python workers of every executor, once per context.
+
+    Where the session leaves Arrow batches at Spark's default of 10,000 rows, they are made smaller.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(sc, "_llm_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]

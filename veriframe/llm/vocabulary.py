@@ -14,7 +14,7 @@ from . import pretoken
 #: The frequent words that tasks get at once: at most so many, none longer than LONGEST bytes.
 HEAD_WORDS = 1 << 18
 LONGEST = 64
-FLUSH = 300_000
+FLUSH = 150_000
 _STEPS = 16  # parts of a doubling of the count, among which the head's limit is chosen
 
 
