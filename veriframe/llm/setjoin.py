@@ -24,7 +24,7 @@ from . import kernel
 from .common import table
 from .rarity import Levels
 
-#: Fixed: two sets link when 100 * intersection >= 80 * union.
+#: Bits of the slot numbers of id bitmaps; 2 MB each.
 BITMAP_BITS = 24
 
 #: (key columns, sorted distinct values, bounds) of runs of records.
