@@ -126,7 +126,7 @@ def html_documents(pages: DataFrame) -> DataFrame:
 
 def paged_documents(pages: DataFrame) -> DataFrame:
     """Documents from extracted pages (doc_id, page, text): a heading before each page, stripped lines, a blank line after it."""
-    lines = F.concat(F.array(F.concat(F.lit("# Page "), F.col("page").cast("string"))), F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.trim), F.array(F.lit("")))
+    lines = F.concat(F.array(F.concat(F.lit("# Page "), F.col("page").cast("string"))), F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x)), F.array(F.lit("")))
     each = pages.select("doc_id", F.col("page").cast("int").alias("page"), lines.alias("lines"))
     whole = each.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "lines"))).alias("p"))
     numbers = F.flatten(F.transform("p", lambda x: F.transform(x["lines"], lambda _, i: F.when(i < F.size(x["lines"]) - 1, x["page"]))))
