@@ -190,6 +190,15 @@ def test_perplexity(spark):
         assert np.allclose(model.score(grams), expected, atol=2e-3)
 
 
+def test_no_ngram_is_left_out(spark, varied):
+    df = spark.createDataFrame(varied, "doc_id long, text string, lang string")
+    assert len(quality_rules.ranges(df, 2000)) > 3
+    # many small ranges give the same scores as one that holds all n-grams
+    parted, whole = (sorted(map(tuple, quality_rules.quality(df, n).select("doc_id", "bits_per_byte", "kept").collect()), key=str) for n in (2000, 1 << 21))
+    assert len(parted) == len(whole) and all(abs(a[1] - b[1]) <= 0.001 for a, b in zip(parted, whole, strict=True))
+    assert sorted(str(r.doc_id) for r in quality_rules.keep_good(df, 2000).collect()) == sorted(str(r[0]) for r in parted if r[2])
+
+
 def test_keep_good(spark, varied):
     df = spark.createDataFrame([(*r, 1, "x") for r in varied], "doc_id long, text string, lang string, code_ int, text_ string")
     good = quality_rules.keep_good(df)

@@ -3,12 +3,12 @@
 Spark counts the byte 5-grams of all documents of each language (bytes, A-Z
 lowered, with line ends before the start), and from them the continuation counts
 of all lower orders.  The interpolated modified Kneser-Ney model, with its three
-discounts by order and language, is kept in sorted hash arrays.  At most
-``max_ngrams`` 5-grams and 4-grams, the most frequent by a limit on their count,
-are kept; the rest back off, so every byte of every document is scored and the
-arrays that go to the tasks are bounded.  A document's score is the mean negative log2
-probability of a byte.  A language's band runs from Q1 - 3 IQR to Q3 + 3 IQR of
-the scores of its documents that pass the base rules.
+discounts by order and language, is computed by group-bys and joins; every n-gram
+counts.  Documents are scored against sorted arrays of at most ``range_ngrams``
+5-grams, one hash range after another, so the arrays that go to the tasks are
+bounded while their number follows the n-grams.  A document's score is the mean
+negative log2 probability of a byte.  A language's band runs from Q1 - 3 IQR to
+Q3 + 3 IQR of the scores of its documents that pass the base rules.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null language is a language of its own; all rows stay; an empty table gives no
@@ -29,16 +29,20 @@ from . import kernel
 from .common import fresh, ship, table
 
 ORDER = 5
-MAX_NGRAMS = 1 << 21
+RANGE_NGRAMS = 1 << 21
 FENCE = 3.0
 LEAST_IQR = 0.02
 MIN_WORDS = 50
 FLUSH = 1 << 22
+#: Fixed: parts of a bit in which the sums of hash ranges are added.
+UNIT = 1 << 20
 #: Fixed: the characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 _U = np.uint64
+#: Of a gram, as a signed long: the language.
+_LANG = -1 << 40
 
 
 def _grams(raw: np.ndarray, bounds: np.ndarray, langs: np.ndarray) -> np.ndarray:
@@ -82,18 +86,6 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["gram", "n"])
 
 
-def _limited(grams: DataFrame, most: int) -> DataFrame:
-    """The most frequent rows, at most ``most`` by a limit on n; all of them where there are no more."""
-    step = F.floor(F.log2("n") * 16).cast("int")
-    total, least = 0, None
-    for row in sorted(grams.groupBy(step.alias("step")).count().collect(), reverse=True):
-        total += row["count"]
-        if total > most:
-            break
-        least = row["step"]
-    return grams.filter(step >= least) if least is not None else grams.limit(0)
-
-
 @dataclass
 class Model:
     """For each order from 1: sorted hashes of n-grams with log2 probabilities, and of contexts with log2 back-off weights."""
@@ -115,11 +107,6 @@ class Model:
         return out
 
 
-def _suffix(grams: np.ndarray, order: int) -> np.ndarray:
-    """Language and the last ``order`` bytes."""
-    return (grams & _U(0xFFFFFF0000000000)) | (grams & _U((1 << 8 * order) - 1))
-
-
 def _hash(grams: np.ndarray, order: int, langs: np.ndarray | None = None) -> np.ndarray:
     low = grams & _U((1 << 8 * order) - 1)
     return kernel.mix(((grams if langs is None else langs) & _U(0xFFFFFF0000000000)) | low)
@@ -132,55 +119,76 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def _discounts(counts: np.ndarray) -> tuple[float, float, float]:
-    n1, n2, n3, n4 = (float((counts == i).sum()) for i in (1, 2, 3, 4))
-    if min(n1, n2, n3, n4) == 0:
-        return 0.5, 0.75, 0.9
-    y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
-
-
-def kneser_ney(counted: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The model from (grams, counts) of the orders 1, 2, ...: raw counts for the highest, continuation counts below."""
-    model = Model([])
-    for order, (grams, counts) in enumerate(counted, 1):
-        sort = np.argsort(grams)
-        grams, counts = grams[sort], counts[sort].astype(np.float64)
-        context = (grams & _U(0xFFFFFF0000000000)) | ((grams & _U((1 << 8 * order) - 1)) >> _U(8))
-        first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(grams) else np.zeros(0, np.int64)
-        group = np.cumsum(np.append(True, context[1:] != context[:-1])) - 1 if len(grams) else np.zeros(0, np.int64)
-        discount = np.zeros(len(grams))
-        lang = grams >> _U(40)
-        for code in np.unique(lang):
-            mine = lang == code
-            d = _discounts(counts[mine])
-            discount[mine] = np.choose(np.minimum(counts[mine], 3).astype(int) - 1, d)
-        total = np.bincount(group, counts, minlength=len(first))
-        weight = np.bincount(group, discount, minlength=len(first)) / np.maximum(total, 1e-9)
-        below = np.exp2(model.score(grams, order - 1).astype(np.float64))
-        p = (counts - discount) / total[group] + weight[group] * below if len(grams) else counts
-        h, hc = _hash(grams, order), kernel.mix(context[first])
-        a, b = np.argsort(h), np.argsort(hc)
-        model.orders.append((h[a], np.log2(p[a]).astype(np.float32), hc[b], np.log2(weight[b]).astype(np.float32)))
-    return model
+def _shared(order: int) -> Column:
+    """Of a gram: its language and the last ``order`` bytes."""
+    return F.col("gram").bitwiseAND(_LANG | ((1 << 8 * order) - 1))
 
 
-def _texts(docs: DataFrame, *also: Column) -> DataFrame:
-    return docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("lang").bitwiseAND(0xFFFFFF).alias("code"), *also)
+def _context(order: int) -> Column:
+    """Of a gram of ``order`` bytes: its language and all bytes but the last."""
+    return F.col("gram").bitwiseAND(_LANG).bitwiseOR(F.shiftright(F.col("gram").bitwiseAND((1 << 8 * order) - 1), 8))
+
+
+def _discounted(grams: DataFrame) -> DataFrame:
+    """gram, n and d, the discount of the gram's count by the counts of counts of its language."""
+    lang = F.col("gram").bitwiseAND(_LANG)
+    n = [F.col(f"n{i}") for i in (1, 2, 3, 4)]
+    seen = grams.groupBy(lang.alias("lang")).agg(*(F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)))
+    y = n[0] / (n[0] + 2 * n[1])
+    full = F.least(*n) > 0
+    own = [F.when(full, F.least(F.greatest(k - (k + 1) * y * n[k] / n[k - 1], F.lit(0.05)), F.lit(k - 0.05))).otherwise(flat).alias(f"d{k}") for k, flat in ((1, 0.5), (2, 0.75), (3, 0.9))]
+    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    return grams.withColumn("lang", lang).join(seen.select("lang", *own), "lang").select("gram", "n", d.alias("d"))
 
 
-def fit(docs: DataFrame, max_ngrams: int = MAX_NGRAMS) -> Model:
-    """The model of all documents."""
+def estimates(docs: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1: (gram, p) and (context, weight) of the interpolated model of all documents.
+
+    Counts are raw for the highest order and continuation counts below.
+    """
     ship(docs.sparkSession)
-    full = table(_texts(docs).mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    orders = [_limited(full, max_ngrams)]
-    grams = full
+    counted = [table(_texts(docs).mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))]
     for order in range(ORDER - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND(~0xFFFFFFFFFF).bitwiseOR(F.col("gram").bitwiseAND((1 << 8 * order) - 1))
-        grams = table(grams.groupBy(suffix.alias("gram")).agg(F.count("*").alias("n")))
-        orders.append(_limited(grams, max_ngrams))
-    found = [df.toArrow() for df in reversed(orders)]
-    return kneser_ney([(t["gram"].to_numpy().view(_U), t["n"].to_numpy()) for t in found])
+        counted.append(table(counted[-1].groupBy(_shared(order).alias("gram")).agg(F.count("*").alias("n"))))
+    found: list[tuple[DataFrame, DataFrame]] = []
+    for order, grams in enumerate(reversed(counted), 1):
+        own = _discounted(grams).withColumn("context", _context(order))
+        sums = table(own.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("held")))
+        placed = own.join(sums, "context")
+        if found:
+            placed = placed.withColumn("suffix", _shared(order - 1)).join(found[-1][0].toDF("suffix", "below"), "suffix")
+        else:
+            placed = placed.withColumn("below", F.lit(1 / 256))
+        p = (F.col("n") - F.col("d") + F.col("held") * F.col("below")) / F.col("total")
+        found.append((table(placed.select("gram", p.alias("p"))), sums.select("context", (F.col("held") / F.col("total")).alias("weight"))))
+    return found
+
+
+def _sorted_logs(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The rows (key, value) as ascending hashes with log2 values."""
+    held = df.toArrow()
+    keys = kernel.mix(held[0].to_numpy().view(_U))
+    order = np.argsort(keys)
+    return keys[order], np.log2(held[1].to_numpy()[order]).astype(np.float32)
+
+
+def _texts(docs: DataFrame, *also: Column) -> DataFrame:
+    return docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("lang").bitwiseAND(0xFFFFFF).alias("code"), *also)
+
+
+def fit(docs: DataFrame) -> Model:
+    """The model of all documents with all orders in one place, for texts that needn't be among them."""
+    return Model([(*_sorted_logs(p), *_sorted_logs(w)) for p, w in estimates(docs)])
+
+
+def ranges(docs: DataFrame, range_ngrams: int = RANGE_NGRAMS) -> list[DataFrame]:
+    """(gram, p) of the highest order in hash ranges of about ``range_ngrams`` at most.
+
+    The model is of all documents, so none of their 5-grams backs off.
+    """
+    grams = estimates(docs)[-1][0]
+    n = max(1, -(-grams.count() * 9 // (8 * range_ngrams)))
+    return [grams.filter(F.pmod(F.xxhash64("gram"), F.lit(n)) == i) for i in range(n)]
 
 
 def _base(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
@@ -235,32 +243,52 @@ def _failed(base: dict[str, np.ndarray]) -> np.ndarray:
     return (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
 
 
-def _bits(model: Model, raw: np.ndarray, bounds: np.ndarray, langs: np.ndarray) -> np.ndarray:
-    """Mean bits a byte of each text, in thousandths; 0 for empty texts."""
-    sums = np.concatenate([[0.0], np.cumsum(model.score(_grams(raw, bounds, langs)), dtype=np.float64)])
-    size = np.diff(bounds)
-    return np.rint(-1000 * (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(size, 1)).astype(np.int64)
+def _bits(keys: np.ndarray, logs: np.ndarray, raw: np.ndarray, bounds: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """The bits that the n-grams among ``keys`` add to each text, in units of 2**-20."""
+    at, found = _find(keys, kernel.mix(_grams(raw, bounds, langs)))
+    sums = np.concatenate([[0.0], np.cumsum(np.where(found, logs[at], np.float32(0)) if len(keys) else np.zeros(len(raw)), dtype=np.float64)])
+    return np.rint(-UNIT * (sums[bounds[1:]] - sums[bounds[:-1]])).astype(np.int64)
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, the base columns, base_failed and millibits (of a byte) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.orders)
+def _millibits(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Mean bits a byte, in thousandths; 0 for empty texts."""
+    return np.rint(1000 * bits / (UNIT * np.maximum(size, 1))).astype(np.int64)
+
+
+def scores(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """doc_id, lang, code, tid, the base columns, base_failed and millibits (of a byte) of every document; written as a table."""
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    texts = _texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("tid"))
+    sc = docs.sparkSession.sparkContext
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Model(shared.value)
+    def first_run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = batch.column(1).to_numpy(zero_copy_only=False)
             for first, raw, bounds, base in _base(batch.column(0)):
                 n = len(bounds) - 1
-                rows = [batch.column(i).slice(first, n) for i in (2, 3, 1)]
+                rows = [batch.column(i).slice(first, n) for i in (2, 3, 1, 4)]
                 values = [pa.array(base[c].astype(np.int64)) for c in columns]
-                yield pa.RecordBatch.from_arrays(
-                    [*rows, *values, pa.array(_failed(base)), pa.array(_bits(held, raw, bounds, codes[first : first + n]))],
-                    names=["doc_id", "lang", "code", *columns, "base_failed", "millibits"],
-                )
+                bits = _bits(*shared.value, raw, bounds, codes[first : first + n])
+                yield pa.RecordBatch.from_arrays([*rows, *values, pa.array(_failed(base)), pa.array(np.diff(bounds)), pa.array(bits)], names=["doc_id", "lang", "code", "tid", *columns, "base_failed", "size", "bits"])
 
-    return _texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "doc_id long, lang string, code long, " + ", ".join(f"{c} long" for c in columns) + ", base_failed boolean, millibits long")
+    def more_run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(1).to_numpy(zero_copy_only=False)
+            for first, raw, bounds in kernel.chunks(batch.column(0)):
+                n = len(bounds) - 1
+                bits = _bits(*shared.value, raw, bounds, codes[first : first + n])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, n), batch.column(4).slice(first, n), pa.array(bits)], names=["code", "tid", "more"])
+
+    shared = sc.broadcast(_sorted_logs(parts[0]))
+    schema = "doc_id long, lang string, code long, tid long, " + ", ".join(f"{c} long" for c in columns) + ", base_failed boolean, size long, bits long"
+    scored = table(texts.mapInArrow(first_run, schema))
+    for part in parts[1:]:
+        shared.unpersist()
+        shared = sc.broadcast(_sorted_logs(part))
+        more = table(texts.mapInArrow(more_run, "code long, tid long, more long").dropDuplicates(["code", "tid"]))
+        scored = table(scored.join(more, ["code", "tid"]).withColumn("bits", F.col("bits") + F.col("more")).drop("more"))
+    millibits = F.rint(1000 * F.col("bits") / (UNIT * F.greatest("size", F.lit(1)))).cast("long")
+    return scored.withColumn("millibits", millibits).drop("size", "bits")
 
 
 def bands(scored: DataFrame, fence: float = FENCE, least_iqr: float = LEAST_IQR) -> DataFrame:
@@ -274,37 +302,44 @@ def bands(scored: DataFrame, fence: float = FENCE, least_iqr: float = LEAST_IQR)
     return cut.select("code", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
 
 
-def quality(docs: DataFrame, max_ngrams: int = MAX_NGRAMS) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the score in bits a byte, of every document."""
-    scored = table(scores(docs, fit(docs, max_ngrams)))
-    banded = scored.join(bands(scored), "code", "left")
+def _judged(scored: DataFrame) -> DataFrame:
+    """``scored`` with kept: whether a document passes the base rules and its language's band."""
     inside = F.coalesce((F.col("millibits") >= F.col("low")) & (F.col("millibits") <= F.col("high")), F.lit(False))
-    return banded.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), (F.col("millibits") / 1000).alias("bits_per_byte")
-    )
+    return scored.join(bands(scored), "code", "left").withColumn("kept", ~F.col("base_failed") & inside)
+
+
+def quality(docs: DataFrame, range_ngrams: int = RANGE_NGRAMS) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the score in bits a byte, of every document."""
+    judged = _judged(scores(docs, ranges(docs, range_ngrams)))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", (F.col("millibits") / 1000).alias("bits_per_byte"))
 
 
-def keep_good(docs: DataFrame, max_ngrams: int = MAX_NGRAMS) -> DataFrame:
+def keep_good(docs: DataFrame, range_ngrams: int = RANGE_NGRAMS) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and their language's band, with all columns.
 
-    Rows are judged where they are read, by the model and the bands, so no text is shuffled.
+    Where the model is one hash range, rows are judged where they are read, by
+    the model and the bands, so no text is shuffled; else they meet their verdicts by text and language.
     """
     spark = docs.sparkSession
-    model = fit(docs, max_ngrams)
-    limits = bands(scores(docs, model)).toPandas()  # one row per language code, of which there are 2**24 at most
-    shared = spark.sparkContext.broadcast((model.orders, dict(zip(limits["code"], zip(limits["low"], limits["high"], strict=True), strict=True))))
+    parts = ranges(docs, range_ngrams)
+    scored = scores(docs, parts)
     keyed = docs.withColumns({fresh(docs, "text_"): F.col("text").cast("string"), fresh(docs, "code_"): F.xxhash64("lang").bitwiseAND(0xFFFFFF)})
     width = len(docs.columns)
+    if len(parts) > 1:
+        code, tid = keyed.columns[width + 1], fresh(keyed, "tid_")
+        good = _judged(scored).filter("kept").select(F.col("code").alias(code), F.col("tid").alias(tid)).distinct()
+        return keyed.withColumn(tid, F.xxhash64("text")).join(good, [code, tid], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    limits = bands(scored).toPandas()  # one row per language code, of which there are 2**24 at most
+    shared = spark.sparkContext.broadcast((_sorted_logs(parts[0]), dict(zip(limits["code"], zip(limits["low"], limits["high"], strict=True), strict=True))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders, band = shared.value
-        held = Model(orders)
+        held, band = shared.value
         for batch in batches:
             codes = batch.column(width + 1).to_numpy(zero_copy_only=False)
             for first, raw, bounds, base in _base(batch.column(width)):
                 n = len(bounds) - 1
                 own = codes[first : first + n]
-                bits = _bits(held, raw, bounds, own)
+                bits = _millibits(_bits(*held, raw, bounds, own), np.diff(bounds))
                 low, high = np.array([band.get(int(c), (1.0, 0.0)) for c in own], float).reshape(-1, 2).T
                 keep = ~_failed(base) & (bits >= low) & (bits <= high)
                 rows = batch.slice(first, n).filter(pa.array(keep))
