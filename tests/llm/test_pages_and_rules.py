@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from samples import sentence
+from samples import edited, sentence
 
 from veriframe.llm import html_templates, quality_rules, secret_scan, warc_revisit
 
@@ -199,6 +199,14 @@ def test_no_ngram_is_left_out(spark, varied):
     assert sorted(str(r.doc_id) for r in quality_rules.keep_good(df, 2000).collect()) == sorted(str(r[0]) for r in parted if r[2])
 
 
+def test_copies_do_not_narrow_the_band(spark):
+    other = [(i, sentence(700 + i, 60 + 9 * i), "fr") for i in range(12)]
+    near = [(100 + i, edited(sentence(1, 80), i), "fr") for i in range(60)] + [(200 + i, sentence(1, 80), "fr") for i in range(20)]
+    also = [(300 + i, sentence(800 + i, 90), "en") for i in range(30)]
+    kept = {r.doc_id for r in quality_rules.quality(spark.createDataFrame(other + near + also, "doc_id long, text string, lang string")).collect() if r.kept}
+    assert kept >= {r[0] for r in other}
+
+
 def test_keep_good(spark, varied):
     df = spark.createDataFrame([(*r, 1, "x") for r in varied], "doc_id long, text string, lang string, code_ int, text_ string")
     good = quality_rules.keep_good(df)

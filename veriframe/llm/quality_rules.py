@@ -8,7 +8,9 @@ counts.  Documents are scored against sorted arrays of at most ``range_ngrams``
 5-grams, one hash range after another, so the arrays that go to the tasks are
 bounded while their number follows the n-grams.  A document's score is the mean
 negative log2 probability of a byte.  A language's band runs from Q1 - 3 IQR to
-Q3 + 3 IQR of the scores of its documents that pass the base rules.
+Q3 + 3 IQR of the scores of its distinct texts that pass the base rules, where a
+group of near copies weighs about as much as one text.  The IQR is that of the
+language, or, where that is less, of the distances from the median over all languages.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null language is a language of its own; all rows stay; an empty table gives no
@@ -36,6 +38,10 @@ MIN_WORDS = 50
 FLUSH = 1 << 22
 #: Fixed: parts of a bit in which the sums of hash ranges are added.
 UNIT = 1 << 20
+#: Texts are alike if the least hashes of their word 5-grams agree in all rows of a band.
+SKETCH_BANDS, SKETCH_ROWS = 6, 3
+#: Fixed: the weight of a text that no other is like.
+WEIGHT = 1 << 24
 #: Fixed: the characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, bool)
@@ -243,6 +249,22 @@ def _failed(base: dict[str, np.ndarray]) -> np.ndarray:
     return (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
 
 
+def _sketches(raw: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each text one key a band; near copies share one or more of them."""
+    n = len(bounds) - 1
+    low = kernel.lowered(raw)
+    starts, ends, rows = kernel.words(low, bounds)
+    value, whose = kernel.windows(kernel.span_hash(low, starts, ends), rows, n, 5)
+    full, first = np.unique(whose, return_index=True)
+    out = np.zeros((n, SKETCH_BANDS), _U)
+    if len(full):
+        odd = kernel.mix(np.arange(1, SKETCH_BANDS * SKETCH_ROWS + 1, dtype=_U)) | _U(1)
+        for i, by in enumerate(odd):
+            band = i // SKETCH_ROWS
+            out[full, band] = kernel.mix(out[full, band] ^ np.minimum.reduceat(value * by, first))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * SKETCH_BANDS, pa.int32()), pa.array(out.ravel().view(np.int64)))
+
+
 def _bits(keys: np.ndarray, logs: np.ndarray, raw: np.ndarray, bounds: np.ndarray, langs: np.ndarray) -> np.ndarray:
     """The bits that the n-grams among ``keys`` add to each text, in units of 2**-20."""
     at, found = _find(keys, kernel.mix(_grams(raw, bounds, langs)))
@@ -256,7 +278,7 @@ def _millibits(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def scores(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """doc_id, lang, code, tid, the base columns, base_failed and millibits (of a byte) of every document; written as a table."""
+    """doc_id, lang, code, tid, the base columns, base_failed, sketch and millibits (of a byte) of every document."""
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     texts = _texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("tid"))
     sc = docs.sparkSession.sparkContext
@@ -269,7 +291,7 @@ def scores(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
                 rows = [batch.column(i).slice(first, n) for i in (2, 3, 1, 4)]
                 values = [pa.array(base[c].astype(np.int64)) for c in columns]
                 bits = _bits(*shared.value, raw, bounds, codes[first : first + n])
-                yield pa.RecordBatch.from_arrays([*rows, *values, pa.array(_failed(base)), pa.array(np.diff(bounds)), pa.array(bits)], names=["doc_id", "lang", "code", "tid", *columns, "base_failed", "size", "bits"])
+                yield pa.RecordBatch.from_arrays([*rows, *values, pa.array(_failed(base)), pa.array(np.diff(bounds)), pa.array(bits), _sketches(raw, bounds)], names=["doc_id", "lang", "code", "tid", *columns, "base_failed", "size", "bits", "sketch"])
 
     def more_run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,7 +302,7 @@ def scores(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, n), batch.column(4).slice(first, n), pa.array(bits)], names=["code", "tid", "more"])
 
     shared = sc.broadcast(_sorted_logs(parts[0]))
-    schema = "doc_id long, lang string, code long, tid long, " + ", ".join(f"{c} long" for c in columns) + ", base_failed boolean, size long, bits long"
+    schema = "doc_id long, lang string, code long, tid long, " + ", ".join(f"{c} long" for c in columns) + ", base_failed boolean, size long, bits long, sketch array<long>"
     scored = table(texts.mapInArrow(first_run, schema))
     for part in parts[1:]:
         shared.unpersist()
@@ -291,15 +313,32 @@ def scores(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
     return scored.withColumn("millibits", millibits).drop("size", "bits")
 
 
+def _quartiles(weighed: DataFrame, value: str, *by: str) -> DataFrame:
+    """q1, q2, q3 of ``value``, by the column weight, for each of ``by``."""
+    hist = weighed.groupBy(*by, value).agg(F.sum("weight").alias("n"))
+    upto, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
+    ranked = hist.select(*by, value, F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("total"))
+    return ranked.groupBy(*by).agg(*(F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col(value))).alias(f"q{q}") for q in (1, 2, 3)))
+
+
+def weighed(scored: DataFrame) -> DataFrame:
+    """(code, millibits, weight) of each distinct text that passes the base rules; k texts that are alike weigh 1/k each."""
+    texts = scored.filter(~F.col("base_failed")).dropDuplicates(["code", "tid"])
+    keys = texts.select("code", "tid", F.posexplode("sketch").alias("band", "key"))
+    shared = keys.groupBy("code", "band", "key").agg(F.count("*").alias("k")).filter("k > 1")
+    alike = keys.join(shared, ["code", "band", "key"]).groupBy("code", "tid").agg(F.max("k").alias("k"))
+    weight = F.greatest(F.lit(1), F.floor(F.lit(WEIGHT) / F.coalesce("k", F.lit(1)))).cast("long")
+    return texts.join(alike, ["code", "tid"], "left").select("code", "millibits", weight.alias("weight"))
+
+
 def bands(scored: DataFrame, fence: float = FENCE, least_iqr: float = LEAST_IQR) -> DataFrame:
     """(code, low, high): the band of each language, in thousandths of a bit."""
-    hist = scored.filter(~F.col("base_failed")).groupBy("code", "millibits").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("code").orderBy("millibits")
-    ranked = hist.select("code", "millibits", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy("code")).alias("total"))
-    quarter = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("millibits")))
-    cut = ranked.groupBy("code").agg(quarter(1).alias("q1"), quarter(3).alias("q3"))
-    width = F.greatest(F.col("q3") - F.col("q1"), F.lit(1000 * least_iqr)) * fence
-    return cut.select("code", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
+    texts = table(weighed(scored))
+    cut = table(_quartiles(texts, "millibits", "code"))
+    # the values are a few thousand at most, so their ranks are one task's work
+    normal = _quartiles(texts.join(cut, "code").withColumn("off", F.col("millibits") - F.col("q2")), "off").select((F.col("q3") - F.col("q1")).alias("normal"))
+    width = F.greatest(F.col("q3") - F.col("q1"), F.col("normal"), F.lit(1000 * least_iqr)) * fence
+    return cut.crossJoin(normal).select("code", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
 
 
 def _judged(scored: DataFrame) -> DataFrame:
