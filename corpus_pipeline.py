@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go; so do documents that have no word left."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    """Lines of any number of words that match an earlier line go; so do documents that have no word left."""
+    return line_dedup.dedup_lines(docs, min_tokens=1).withColumn("n_chars", F.length("text").cast("long")).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

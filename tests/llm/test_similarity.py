@@ -111,3 +111,23 @@ def test_many_near_copies_of_a_line(spark):
     _, gone = repeated(rows)
     got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "line_no").collect()
     assert sorted(map(tuple, got)) == sorted((x[4], x[2]) for x in gone)
+
+
+def test_short_lines_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    texts = ["read more\nHome About\n" + sentence(1, 12), "Read  more\na b c d\n-- Ann\n" + sentence(2, 12), "about home\na b c d e\n-- ann\n-- Ann Lee\nx", "x x x\na b d c\nread\n\nh i j k l\nh i j k"]
+    rows = list(enumerate(texts))
+    lines, seen = [], []
+    for doc_id, text in rows:
+        kept = []
+        for line in text.split("\n"):
+            own = set(words(line))
+            if not any(similar(own, x) for x in seen):
+                kept.append(line)
+            seen.append(own)
+        if words(text := "\n".join(kept)):
+            lines.append((doc_id, text))
+    got = corpus_pipeline.lines(spark, spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars long"), "")
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == lines
+    assert lines[2][1] == "-- Ann Lee\nx"

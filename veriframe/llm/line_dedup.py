@@ -12,6 +12,9 @@ that matches an earlier neighbour is settled at once, so a large group of near c
 never forms all its pairs; the full join then covers every pair whose later set
 is not settled.
 
+A line of fewer than LEAST_JOINED words links with no other set (four words may
+match five), so it takes part in no join: equal sets of any size are decided by first occurrence.
+
 Defined results: lines are split at \\n; lines with fewer than ``min_tokens``
 distinct words, and null or empty texts, are never removed and never match;
 repeated rows (equal doc_id and text) are one document, so they lose the same
@@ -33,6 +36,8 @@ from .common import fresh, ship, table
 from .rarity import Levels, count_levels
 
 MIN_TOKENS = 5
+#: Fixed: two different sets with a Jaccard similarity of 0.8 have four tokens at least.
+LEAST_JOINED = 4
 SETTLED_LIST = 16
 LEAD_TOKENS = 4
 #: Bytes of a token's hash in the sets that are compared.
@@ -82,11 +87,12 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels
     sets = lines.filter("size(tokens) > 0").groupBy("sid").agg(F.min(where).alias("f"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "sig", "tokens", "pos")))
     sets = table(sets.withColumn("id", F.monotonically_increasing_id()))
 
-    near = table(setjoin.neighbours(_large_lists(sets), ["f", "sid"], least=SETTLED_LIST))
+    joined = sets.filter(F.col("n") >= LEAST_JOINED)
+    near = table(setjoin.neighbours(_large_lists(joined), ["f", "sid"], least=SETTLED_LIST))
     settled = _linked(near, sets.select("sid", "f"), texts, records)
     done = table(settled.select(F.col("b").alias("sid"), F.lit(True).alias("settled")).distinct())
 
-    known = sets.select("sid", "id", "f", "n", "sig", "tokens", "pos").join(done, "sid", "left").withColumn("settled", F.col("settled").isNotNull())
+    known = joined.select("sid", "id", "f", "n", "sig", "tokens", "pos").join(done, "sid", "left").withColumn("settled", F.col("settled").isNotNull())
     each = known.select("id", "sig", "n", "settled", F.explode(F.arrays_zip("tokens", "pos")).alias("e"))
     entries = each.select(F.col("e.tokens").alias("token"), "id", "sig", setjoin.sized(F.col("n"), F.col("e.pos"), F.col("settled")).alias("meta"))
     found = setjoin.pairs(entries, ["id"], lambda x, y: ~(setjoin.flagged(x) & setjoin.flagged(y)), sid="id", packed=True)
