@@ -78,6 +78,18 @@ def test_main_text(spark):
     assert html_templates.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_names_do_not_empty_a_page():
+    long = "<p>" + "some words " * 20 + "</p>"
+    text = lambda page: html_templates.main_text(page, set()).split("\n")
+    body = ("some words " * 20).strip()
+    assert text(f'<div class="content sidebar"><main><article>{long}</article></main></div>') == [body]
+    assert text(f'<article class="post no-sidebar">{long}<section id="related-work"><p>prior</p></section></article>') == [body, "prior"]
+    assert text(f'<div class="layout with-sidebar widget">{long}<div class="sidebar">links</div></div>') == [body]
+    assert text(f"<main><h1>title</h1><p>lead</p><article>{long}</article><nav>menu</nav></main>") == ["title", "lead", body]
+    assert text(f'<form id="page"><header>top<nav>menu</nav></header><article>{long}</article><article>{long}</article></form>') == [body, body]
+    assert text('<article><p>one</p><p>two three</p><div class="ad">buy</div></article><aside class="social"><article>other</article></aside>') == ["one", "two three"]
+
+
 def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, "http://c.org/", "<body><div><p>the very same words</p></div></body>") for i in range(30)]
     got = html_templates.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

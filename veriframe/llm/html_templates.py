@@ -4,9 +4,12 @@ Every element subtree of a page that may be a template is hashed (tag,
 attributes, texts and children).  Spark counts, for each host, on how many
 different pages each hash stands; subtrees that recur on many of them are
 deleted, copies of one page counting once.  What is left is the page's article:
-the ``article`` elements, else ``main``, else the body, without elements that by
-tag, role or class are menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles or reader comments.
+what the ``article`` and ``main`` elements have in common around them, else the
+body, without elements that by tag, role or class are menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles or reader comments.  A whole
+class or id must be such a name, and by its name no element goes that is or
+holds an ``article`` or ``main`` or more than half of the page's text; nor does a
+form or header that holds an ``article`` or ``main``.
 
 Inside an article only containers can be templates, not its paragraphs,
 headings or list items: a passage may well recur in many articles of a host.
@@ -40,6 +43,8 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("aside center details div dl fieldset figure footer form header menu nav ol search section table ul".split())
 NOT_CONTENT = frozenset("aside button dialog fieldset footer form head iframe input menu nav noscript script search select style svg template textarea title".split())
+#: Fixed: tags that may also stand around a whole page.
+WRAPPERS = frozenset("fieldset form header".split())
 NOT_CONTENT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NOT_CONTENT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
@@ -50,11 +55,10 @@ SCOPE = frozenset("ul ol dl table article section div main body html td th block
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAME = re.compile(r"[^a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "parts", "in_article")
+    __slots__ = ("tag", "attributes", "parts", "in_article", "holds_main", "n_chars")
 
     def __init__(self, tag: str, attributes: str, in_article: bool) -> None:
         self.tag, self.attributes, self.in_article = tag, attributes, in_article
@@ -66,16 +70,32 @@ class Element:
             found.setdefault(name.lower(), entities.unescape(a or b or c))
         return found
 
-    def is_content(self) -> bool:
-        if self.tag in NOT_CONTENT or (self.tag == "header" and not self.in_article):
+    def is_main(self) -> bool:
+        return self.tag in ("article", "main") or "main" in self.attributes and self.values().get("role", "").lower() == "main"
+
+    def weigh(self) -> None:
+        """Sets, here and below, whether it is or holds a main element, and how many characters of text it has."""
+        self.holds_main, self.n_chars = self.is_main(), 0
+        for part in self.parts:
+            if isinstance(part, str):
+                self.n_chars += len("".join(part.split()))
+            else:
+                part.weigh()
+                if part.tag not in NOT_CONTENT or part.tag in WRAPPERS:
+                    self.n_chars += part.n_chars
+                    self.holds_main |= part.holds_main
+
+    def is_content(self, page_chars: int) -> bool:
+        wraps = self.tag in WRAPPERS and self.holds_main
+        if not wraps and (self.tag in NOT_CONTENT or (self.tag == "header" and not self.in_article)):
             return False
         if not self.attributes.strip():
             return True
         own = self.values()
-        if own.get("role", "").lower() in NOT_CONTENT_ROLES:
+        if own.get("role", "").lower() in NOT_CONTENT_ROLES and not wraps:
             return False
-        names = set(_NAME.split(f"{own.get('class', '')} {own.get('id', '')}".lower()))
-        return self.tag in ("html", "body", "main") or not names & NOT_CONTENT_NAMES
+        names = {*own.get("class", "").lower().split(), own.get("id", "").strip().lower()}
+        return self.tag in ("html", "body") or self.holds_main or 2 * self.n_chars > page_chars or not names & NOT_CONTENT_NAMES
 
     def may_be_template(self) -> bool:
         return self.tag in (CONTAINER if self.in_article else BLOCK) and self.tag not in ("html", "head", "body", "main", "article", "title")
@@ -155,20 +175,15 @@ def main_text(page: str, templates: set[int]) -> str:
         for value, element in found:
             if value in templates:
                 element.tag, element.parts = "template", []
-    articles: list[Element] = []
-    mains: list[Element] = []
+    root.weigh()
 
-    def look(element: Element) -> None:
-        for part in element.parts:
-            if isinstance(part, Element) and part.is_content():
-                if part.tag == "article":
-                    articles.append(part)
-                else:
-                    if part.tag == "main" or "main" in part.attributes and part.values().get("role") == "main":
-                        mains.append(part)
-                    look(part)
+    def around(element: Element) -> Element:
+        """The least element around all article and main elements; ``element`` if there are none."""
+        if element.is_main():
+            return element
+        inner = [part for part in element.parts if isinstance(part, Element) and part.holds_main and part.is_content(root.n_chars)]
+        return around(inner[0]) if len(inner) == 1 else element
 
-    look(root)
     blocks: list[str] = []
     inline: list[str] = []
 
@@ -185,7 +200,7 @@ def main_text(page: str, templates: set[int]) -> str:
                 inline.append(part)
             elif part.tag == "br":
                 inline.append(" ")
-            elif part.is_content():
+            elif part.is_content(root.n_chars):
                 if part.tag in BLOCK:
                     flush()
                     walk(part)
@@ -193,9 +208,8 @@ def main_text(page: str, templates: set[int]) -> str:
                 else:
                     walk(part)
 
-    for element in articles or mains[:1] or [root]:
-        walk(element)
-        flush()
+    walk(around(root))
+    flush()
     return "\n".join(blocks)
 
 
