@@ -1,8 +1,8 @@
 """Operator 1: n-gram Jaccard join of documents, with set-relation skipping.
 
-Index lists hold, for each prefix shingle, the sets in order of size with the
-shingle's position, so that whole runs of a list are passed over by length and
-position.  Each set first meets the one set that leads most of its lists, its
+Index lists hold, for each prefix shingle, the sets with their sizes and the
+shingle's position; length and position are tested for each pair of a list, and
+runs of a list are not passed over as blocks.  Each set first meets the one set that leads most of its lists, its
 centre, and takes over that set's answers where the two link: they then carry
 one label.  What is left are pairs of different labels.  Those with one centre
 are answered together, by one product over the tokens of their group; those with
