@@ -5,16 +5,17 @@ In the partition of sizes up to 2**c, one-permutation MinHash with 4 * 2**c bins
 keeps the least hash of each bin, so a short item inside a long document still
 has most of its own bin minima among the document's, however long that is.
 An item's sketch is made once for each partition.  Documents that share a
-minimum with an item are candidates; a bitmap of fixed size, over the items'
-shingles, leaves out all others before the shuffle.  Each candidate is verified
+minimum with an item are candidates; a bitmap over the items' shingles, of 32 MB
+at most, leaves out all others before the shuffle.  Each candidate is verified
 by exact containment of 5-word shingles.  Items with fewer than 16 shingles use
 all their shingles as sketch, which makes their search exact; for longer ones
 the chance to miss a contained item is below 1e-9.
 
 Defined results: texts are compared by words, A-Z lowered; items or documents
 without words match nothing; an item of fewer than five words matches only a
-document of the same words; a null doc_id or item_id keeps its rows; repeated
-rows give one row per (doc_id, text, item_id); empty tables give no rows.
+document of the same words; very long texts are taken whole; a null doc_id or
+item_id keeps its rows; repeated rows give one row per (doc_id, text, item_id);
+other columns, whatever their names, are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ CONTAINMENT = 0.8
 SMALL_ITEM = 16
 SIZE_CLASSES = 40
 BINS_BITS = 2
-FILTER_BITS = 26
 
 
 def _first_in_bin(hashes: np.ndarray, rows: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -81,14 +81,17 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, containment: float =
     items = table(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().mapInArrow(_items, "item_id long, n_item long, grams array<long>, size_class array<int>, key array<long>"))
     items = items.withColumn("item", F.xxhash64("item_id", "grams"))
     small = items.filter(F.col("n_item") < SMALL_ITEM)
-    held = spark.sparkContext.broadcast(setjoin.bitmap(items.select(F.explode("grams").alias("sid")), "sid", FILTER_BITS))
-    tiny = spark.sparkContext.broadcast(setjoin.bitmap(small.select(F.explode("grams").alias("sid")), "sid", FILTER_BITS))
+    held = spark.sparkContext.broadcast(setjoin.id_filter(items.select(F.explode("grams").alias("sid")).distinct(), "sid"))
+    tiny = spark.sparkContext.broadcast(setjoin.id_filter(small.select(F.explode("grams").alias("sid")).distinct(), "sid"))
+
+    def among(filter_: setjoin.IdFilter | None, values: np.ndarray) -> np.ndarray:
+        return filter_.of(values) if filter_ is not None else np.ones(len(values), bool)  # more shingles than a filter tells apart
 
     def hits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, values, bounds in kernel.shingles(batch.column(2)):
                 n = np.diff(bounds)
-                found = np.flatnonzero(setjoin.in_bitmap(held.value, values, FILTER_BITS))
+                found = np.flatnonzero(among(held.value, values))
                 if not len(found):
                     continue
                 rows = np.searchsorted(bounds, found, side="right") - 1
@@ -96,7 +99,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, containment: float =
                 # the least hash of a bin is the one whose predecessor lies in another bin or another row
                 before = values[np.maximum(found - 1, 0)]
                 shift = np.uint64(64) - (size[rows] + BINS_BITS).astype(np.uint64)
-                sketched = (found == bounds[rows]) | ((values[found] >> shift) != (before >> shift)) | setjoin.in_bitmap(tiny.value, values[found], FILTER_BITS)
+                sketched = (found == bounds[rows]) | ((values[found] >> shift) != (before >> shift)) | among(tiny.value, values[found])
                 docs_hit, start = np.unique(rows, return_index=True)
                 at = pa.array(np.append(start, len(rows)), pa.int32())
                 which = pa.array(docs_hit + first)

@@ -1,19 +1,24 @@
 """Operator 1: n-gram Jaccard join of documents, with set-relation skipping.
 
 Index lists hold, for each prefix shingle, the sets with their sizes and the
-shingle's position; length and position are tested for each pair of a list, and
-runs of a list are not passed over as blocks.  Each set first meets the one set that leads most of its lists, its
-centre, and takes over that set's answers where the two link: they then carry
-one label.  What is left are pairs of different labels.  Those with one centre
-are answered together, by one product over the tokens of their group; those with
-different centres are joined from the lists and verified pair by pair.  No pair
-of different texts is left undecided, since equally labelled sets are connected.
+shingle's position.  Each set first meets the one set that leads most of its
+lists, its centre, and takes over that set's answers where the two link: they
+then carry one label.  What is left are pairs of different labels.
+
+Where both sets are near copies of one centre, their answer is derived from the
+two answers that the centre has given: the changes against the centre tell how
+far they are from each other, and an index of the changes finds the pairs
+(``setjoin.answered_pairs``).  Other pairs come from the lists, whose blocks, by
+size class, are passed over as length and position allow (``setjoin.block_pairs``),
+and are verified on the sets.  No pair of different texts is left undecided, since
+equally labelled sets are connected.
 
 Defined results: a null or empty text, or one without words, has an empty set
-and links with nothing; fewer than five words are one shingle; repeated rows
-are given back as often as they come; other columns are ignored; an empty table
-gives no rows.  A null doc_id keeps its row; its component is the least id that
-is not null, or null.
+and links with nothing; fewer than five words are one shingle; very long texts
+are taken whole, a text at a time; repeated rows are given back as often as they
+come; other columns, whatever their names, are ignored; an empty table gives no
+rows.  A null doc_id keeps its row; its component is the least id that is not
+null, or null.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from .common import fresh, ship, table
 from .rarity import Levels, count_levels
 
 SHINGLE_WORDS = 5
-LEVELS = Levels(thresholds=tuple(2**i for i in range(1, 17)), bits=(27, 25, 24, *(22,) * 13))
+LEVELS = Levels(thresholds=tuple(2**i for i in range(1, 17)))
 
 
 def _records(batch: pa.RecordBatch) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
@@ -55,35 +60,41 @@ def jaccard_components(docs: DataFrame, levels: Levels = LEVELS) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     texts = _keyed(docs)
-    copies = spark.sparkContext.broadcast(setjoin.bitmap(_copies(texts), "sid"))
+    copies = spark.sparkContext.broadcast(setjoin.id_filter(table(_copies(texts)), "sid"))
 
     def tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, bool]]:
-        copied = setjoin.in_bitmap(copies.value, batch.column(2).to_numpy())
+        # beyond the bound of a filter copies are counted like other texts, which makes their shingles look more frequent
+        copied = copies.value.of(batch.column(2).to_numpy()) if copies.value is not None else np.zeros(len(batch), bool)
         for first, values, bounds in kernel.shingles(batch.column(1), SHINGLE_WORDS):
             own = np.repeat(copied[first : first + len(bounds) - 1], np.diff(bounds))
             yield values[~own], False
             yield values[own], True
 
     maps = spark.sparkContext.broadcast(count_levels(texts, tokens, levels))
-    records = table(setjoin.index(texts, _records, "doc_id long, key long", levels, maps))
+    records = table(setjoin.index(texts, _records, "doc_id long, key long", maps))
 
     sets = records.filter("size(tokens) > 0").dropDuplicates(["sid"]).drop("doc_id", "key").withColumn("k", F.size("tokens"))
     entries = table(setjoin.lists(sets))
     shared = entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
     entries = table(entries.join(shared, "token", "left_semi"))
     centre = table(setjoin.centres(entries))
-    first = setjoin.verified(centre.filter("sid <> centre").toDF("a", "b"), texts, _records)
-
-    label = setjoin.components(first, rounds=6)
-    known = table(centre.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
-    dealt = table(setjoin.grouped(known))
-    labelled = entries.join(known, "sid")
+    asked = centre.filter("sid <> centre").toDF("a", "b")
+    sets_of = table(setjoin.members(texts, _records, table(asked.select(F.explode(F.array("a", "b")).alias("sid")).distinct())))
+    first = table(setjoin.compared(asked, sets_of))
+    answers = first.filter("link").select("a", "b")
+
+    label = setjoin.components(answers, rounds=6)
+    near = first.filter("near").select(F.col("a").alias("sid"), F.col("na").alias("size"), "link", "change")
+    known = centre.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid")).join(near, "sid", "left")
+    known = table(known.withColumn("near", F.col("change").isNotNull() | (F.col("sid") == F.col("centre"))))
+    groups = known.filter("change is not null").select("sid", "centre", F.col("size").alias("n"), "label", "link", "change")
+    labelled = entries.join(known.select("sid", "centre", "label", "near"), "sid", "left").withColumns({"label": F.coalesce("label", "sid"), "centre": F.coalesce("centre", "sid"), "near": F.coalesce("near", F.lit(True))})
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
     labelled = table(labelled.join(mixed, "token", "left_semi"))
-    rest = table(setjoin.pairs(labelled, ["n", "sid"], lambda x, y: (F.col(f"{x}.label") != F.col(f"{y}.label")) & (F.col(f"{x}.centre") != F.col(f"{y}.centre"))))
-    wanted = rest.select(F.explode(F.array("a", "b")).alias("sid")).union(dealt.select("sid")).distinct()
-    texts_of = table(setjoin.members(texts, _records, wanted))
-    links = first.union(setjoin.linked(rest, texts_of)).union(setjoin.group_links(dealt, texts_of))
+    answered = lambda x, y: (F.col(f"{x}.centre") == F.col(f"{y}.centre")) & F.col(f"{x}.near") & F.col(f"{y}.near")
+    rest = table(setjoin.block_pairs(labelled, lambda x, y: (F.col(f"{x}.label") != F.col(f"{y}.label")) & ~answered(x, y)))
+    wanted = table(rest.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    links = answers.union(setjoin.linked(rest, table(setjoin.members(texts, _records, wanted)))).union(setjoin.answered_pairs(groups))
 
     label = setjoin.components(links)
     whole = records.select("doc_id", "key", "n", "sid").join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))

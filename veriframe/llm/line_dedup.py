@@ -6,20 +6,21 @@ earlier line, in the order (doc_id, text hash, line number), is removed.  Tokens
 are ordered by rarity over all lines, and prefix, positional and length filters
 leave few pairs to verify.
 
-Copies need no pairs: equal token sets are one set with a first occurrence.  In
-lists of SETTLED_LIST sets or more that share two of their rarest tokens, a set
-that matches an earlier neighbour is settled at once, so a large group of near copies
-never forms all its pairs; the full join then covers every pair whose later set
-is not settled.
+One earlier match is all that counts.  Copies need no pairs: equal token sets
+are one set with a first occurrence.  In lists of SETTLED_LIST sets or more that
+share two of their rarest tokens, each set meets the earliest ones of each list
+and is compared with the likest of them: that settles a large group of near
+copies by one pair a set.  The full join then covers every pair whose later set
+isn't settled.
 
 A line of fewer than LEAST_JOINED words links with no other set (four words may
 match five), so it takes part in no join: equal sets of any size are decided by first occurrence.
 
 Defined results: lines are split at \\n; lines with fewer than ``min_tokens``
-distinct words, and null or empty texts, are never removed and never match;
-repeated rows (equal doc_id and text) are one document, so they lose the same
-lines; a null doc_id sorts first; an empty table gives no rows; other columns
-stay as they are.
+distinct words, and null or empty texts, are never removed and never match; very
+long texts and lines are taken whole; repeated rows (equal doc_id and text) are
+one document, so they lose the same lines; a null doc_id sorts first; an empty
+table gives no rows; other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -40,9 +41,9 @@ MIN_TOKENS = 5
 LEAST_JOINED = 4
 SETTLED_LIST = 16
 LEAD_TOKENS = 4
-#: Bytes of a token's hash in the sets that are compared.
-PACKED_BYTES = 5
-LEVELS = Levels(thresholds=tuple(2**i for i in range(1, 15)), bits=(26, *(24,) * 4, *(22,) * 9))
+#: The earliest sets of a large list that all others meet.
+LEADERS = 4
+LEVELS = Levels(thresholds=tuple(2**i for i in range(1, 15)))
 
 
 def line_sets(min_tokens: int) -> Callable[[pa.RecordBatch], Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]]:
@@ -80,21 +81,20 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels
             yield values, False
 
     maps = spark.sparkContext.broadcast(count_levels(texts, tokens, levels))
-    lines = table(setjoin.index(texts, records, "doc_id long, tid long, line_no int", levels, maps, narrow=True))
+    lines = table(setjoin.index(texts, records, "doc_id long, tid long, line_no int", maps, narrow=True))
     where = F.struct("doc_id", "tid", "line_no")
 
     # a line without a listed token has a token of its own and matches nothing
-    sets = lines.filter("size(tokens) > 0").groupBy("sid").agg(F.min(where).alias("f"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "sig", "tokens", "pos")))
+    sets = lines.filter("size(tokens) > 0").groupBy("sid").agg(F.min(where).alias("f"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "sig", "sig2", "tokens", "pos")))
     sets = table(sets.withColumn("id", F.monotonically_increasing_id()))
 
     joined = sets.filter(F.col("n") >= LEAST_JOINED)
-    near = table(setjoin.neighbours(_large_lists(joined), ["f", "sid"], least=SETTLED_LIST))
-    settled = _linked(near, sets.select("sid", "f"), texts, records)
-    done = table(settled.select(F.col("b").alias("sid"), F.lit(True).alias("settled")).distinct())
+    settled = _linked(table(_likest_leaders(_large_lists(joined))), sets.select("sid", "f"), texts, records)
+    done = settled.select(F.col("b").alias("sid"), F.lit(True).alias("settled"))
 
-    known = joined.select("sid", "id", "f", "n", "sig", "tokens", "pos").join(done, "sid", "left").withColumn("settled", F.col("settled").isNotNull())
-    each = known.select("id", "sig", "n", "settled", F.explode(F.arrays_zip("tokens", "pos")).alias("e"))
-    entries = each.select(F.col("e.tokens").alias("token"), "id", "sig", setjoin.sized(F.col("n"), F.col("e.pos"), F.col("settled")).alias("meta"))
+    known = joined.select("sid", "id", "f", "n", "sig", "sig2", "tokens", "pos").join(done, "sid", "left").withColumn("settled", F.col("settled").isNotNull())
+    each = known.select("id", "sig", "sig2", "n", "settled", F.explode(F.arrays_zip("tokens", "pos")).alias("e"))
+    entries = each.select(F.col("e.tokens").alias("token"), "id", "sig", "sig2", setjoin.sized(F.col("n"), F.col("e.pos"), F.col("settled")).alias("meta"))
     found = setjoin.pairs(entries, ["id"], lambda x, y: ~(setjoin.flagged(x) & setjoin.flagged(y)), sid="id", packed=True)
     names = known.select("id", F.struct("f", "sid", "settled").alias("s"))
     both = found.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
@@ -107,39 +107,47 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels
 
 
 def _large_lists(sets: DataFrame) -> DataFrame:
-    """(token, sid, n, sig, pos, f): entries of lists, by pairs of a set's rarest tokens, that hold SETTLED_LIST sets or more.
+    """(token, sid, n, sig, sig2, pos, f): entries of lists, by pairs of a set's rarest tokens, that hold SETTLED_LIST sets or more.
 
     A pair of the first tokens is still shared after a word has come or gone.
     """
     spark = sets.sparkSession
     first = [F.get("tokens", F.lit(i)) for i in range(LEAD_TOKENS)]
     keys = F.array_compact(F.array(*(F.when(b.isNotNull(), F.xxhash64(a, b)) for i, a in enumerate(first) for b in first[i + 1 :])))
-    keyed = sets.select(keys.alias("keys"), "sid", "n", "sig", F.col("pos")[0].alias("pos"), "f.*")
+    keyed = sets.select(keys.alias("keys"), "sid", "n", "sig", "sig2", F.col("pos")[0].alias("pos"), "f.*")
 
     def tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, bool]]:
         yield batch.column(0).flatten().to_numpy().view(np.uint64), False
 
-    levels = Levels(thresholds=(SETTLED_LIST,), bits=(24,))
-    large = spark.sparkContext.broadcast(count_levels(keyed.select("keys"), tokens, levels))
+    large = spark.sparkContext.broadcast(count_levels(keyed.select("keys"), tokens, Levels(thresholds=(SETTLED_LIST,))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0).flatten().to_numpy()
-            some = np.flatnonzero(levels.of(large.value, own.view(np.uint64)))
+            some = np.flatnonzero(large.value.of(own.view(np.uint64)))
             rows = np.repeat(np.arange(len(batch)), np.diff(batch.column(0).offsets.to_numpy()))[some]
             rest = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([pa.array(own[some]), *rest.columns[1:]], names=["token", *names])
 
-    names = ["sid", "n", "sig", "pos", "doc_id", "tid", "line_no"]
-    entries = keyed.mapInArrow(run, "token long, sid long, n int, sig long, pos int, doc_id long, tid long, line_no int")
-    return entries.select("token", "sid", "n", "sig", "pos", F.struct("doc_id", "tid", "line_no").alias("f"))
+    names = ["sid", "n", "sig", "sig2", "pos", "doc_id", "tid", "line_no"]
+    entries = keyed.mapInArrow(run, "token long, sid long, n int, sig long, sig2 long, pos int, doc_id long, tid long, line_no int")
+    return entries.select("token", "sid", "n", "sig", "sig2", "pos", F.struct("doc_id", "tid", "line_no").alias("f"))
+
+
+def _likest_leaders(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b), one for each set b that has any: a is, of the earliest sets of each part of b's lists, the likest by signature."""
+    parted = entries.withColumn("part", F.pmod("sid", F.lit(LEADERS)))
+    lead = parted.groupBy("token", "part").agg(F.min(F.struct("f", "sid", "n", "sig", "sig2", "pos")).alias("x")).select("token", "x.*")
+    x, y = lead.alias("x"), entries.alias("y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.f") < F.col("y.f")) & setjoin.may_link("x", "y")
+    met = x.join(y, on).select(F.col("y.sid").alias("b"), F.struct(setjoin.signature_distance("x", "y").alias("apart"), F.col("x.f").alias("f"), F.col("x.sid").alias("a")).alias("best"))
+    return met.groupBy("b").agg(F.min("best").alias("best")).select("best.a", "b")
 
 
 def _linked(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, records: setjoin.Records) -> DataFrame:
     """The pairs that match; each set is read from the text of its first line."""
     wanted = firsts.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("sid", F.col("f.tid").alias("tid"))
-    sets = table(setjoin.members(texts, records, table(wanted), text_key=1, width=PACKED_BYTES))
-    return setjoin.linked(pairs, sets, PACKED_BYTES)
+    return setjoin.linked(pairs, table(setjoin.members(texts, records, table(wanted), text_key=1)))
 
 
 def removed_by_document(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels = LEVELS) -> DataFrame:

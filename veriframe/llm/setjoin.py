@@ -5,8 +5,10 @@ sets.  Two sets that link share a token among the first ``n - ceil(0.8 n) + 1``
 of each, so an inverted list per prefix token finds every pair.  Tokens that
 occur once in the corpus take a place in the order, but no list.  Lists are
 joined under the length filter, the positional filter (what can still overlap
-from this position on) and, where a set has one, a parity signature whose
-distance never exceeds the sets' symmetric difference.
+from this position on) and a parity signature of 128 bits, whose distance never
+exceeds the sets' symmetric difference.  Sets and tokens are 64-bit hashes and
+taken as equal by them: among 10**9 distinct values two fall together with a
+chance of 3 %, and that only alters what holds one of the two.
 """
 
 from __future__ import annotations
@@ -17,15 +19,18 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
 from .common import table
-from .rarity import Levels
+from .rarity import Maps, bitmap_bits
 
-#: Bits of the slot numbers of id bitmaps; 2 MB each.
-BITMAP_BITS = 24
+#: Ids beyond so many are matched by a join, up to it by a bitmap of 32 MB at most.
+MOST_IDS = 1 << 26
+#: Sizes of one class differ by less than this factor.
+CLASS_RATIO = 1.25
 
 #: (key columns, sorted distinct values, bounds) of runs of records.
 Records = Callable[[pa.RecordBatch], Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]]
@@ -47,43 +52,49 @@ def prefixes(values: np.ndarray, bounds: np.ndarray, level: np.ndarray) -> tuple
     return v[keep].view(np.int64), pos[keep].astype(np.int32), np.concatenate([[0], np.cumsum(keep)])[start]
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """64 parity bits of each set: two sets' distance is at most their symmetric difference."""
-    bit = np.uint64(1) << (kernel.mix(values) >> np.uint64(58))
-    out = np.zeros(len(bounds) - 1, np.uint64)
+def signatures(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 parity bits of each set, in two halves: two sets' distance is at most their symmetric difference."""
+    place = kernel.mix(values)
+    bit = np.uint64(1) << (place >> np.uint64(58))
+    high = (place & np.uint64(1)).astype(bool)
     full = np.flatnonzero(np.diff(bounds))
-    if len(full):
-        out[full] = np.bitwise_xor.reduceat(bit, bounds[full])
-    return out.view(np.int64)
+    halves = []
+    for some in (~high, high):
+        out = np.zeros(len(bounds) - 1, np.uint64)
+        if len(full):
+            out[full] = np.bitwise_xor.reduceat(np.where(some, bit, np.uint64(0)), bounds[full])
+        halves.append(out.view(np.int64))
+    return halves[0], halves[1]
 
 
-def index(df: DataFrame, records: Records, keys: str, levels: Levels, maps, narrow: bool = False) -> DataFrame:
-    """One row per record: its key columns, n, sid (equal sets have equal ids), sig, and listed prefix tokens with positions.
+def index(df: DataFrame, records: Records, keys: str, maps: Broadcast[Maps], narrow: bool = False) -> DataFrame:
+    """One row per record: its key columns, n, sid (equal sets have equal ids), sig, sig2, and listed prefix tokens with positions.
 
     ``narrow`` lists the top 32 bits of tokens: lists of some tokens fall together, which only adds candidates.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = maps.value
         for batch in batches:
             for key, values, bounds in records(batch):
-                tokens, pos, at = prefixes(values, bounds, levels.of(held, values))
+                tokens, pos, at = prefixes(values, bounds, maps.value.of(values))
                 at = pa.array(at, pa.int32())
                 if narrow:
                     tokens = (tokens >> 32).astype(np.int32)
+                sig, sig2 = signatures(values, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *key,
                         pa.array(np.diff(bounds), pa.int32()),
                         pa.array(kernel.set_ids(values, bounds)),
-                        pa.array(signatures(values, bounds)),
+                        pa.array(sig),
+                        pa.array(sig2),
                         pa.ListArray.from_arrays(at, pa.array(tokens)),
                         pa.ListArray.from_arrays(at, pa.array(pos)),
                     ],
                     names=names,
                 )
 
-    schema = f"{keys}, n int, sid long, sig long, tokens array<{'int' if narrow else 'long'}>, pos array<int>"
+    schema = f"{keys}, n int, sid long, sig long, sig2 long, tokens array<{'int' if narrow else 'long'}>, pos array<int>"
     names = [x.split()[0] for x in schema.split(", ")]
     return df.mapInArrow(run, schema)
 
@@ -97,6 +108,10 @@ def flagged(entry: str) -> Column:
     return F.col(f"{entry}.meta").bitwiseAND(1) == 1
 
 
+def signature_distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) + F.bit_count(F.col(f"{a}.sig2").bitwiseXOR(F.col(f"{b}.sig2")))
+
+
 def may_link(a: str, b: str, packed: bool = False) -> Column:
     """Length, positional and signature filters on two list entries."""
     if packed:
@@ -104,12 +119,7 @@ def may_link(a: str, b: str, packed: bool = False) -> Column:
         ap, bp = (F.shiftright(F.col(f"{e}.meta").bitwiseAND(0xFFFFFFFF), 1) for e in (a, b))
     else:
         an, bn, ap, bp = (F.col(f"{e}.{c}") for c in ("n", "pos") for e in (a, b))
-    return (
-        (5 * an >= 4 * bn)
-        & (5 * bn >= 4 * an)
-        & (9 * F.least(an - ap, bn - bp) >= 4 * (an + bn))
-        & (9 * F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= an + bn)
-    )
+    return (5 * an >= 4 * bn) & (5 * bn >= 4 * an) & (9 * F.least(an - ap, bn - bp) >= 4 * (an + bn)) & (9 * signature_distance(a, b) <= an + bn)
 
 
 def lists(sets: DataFrame, lead: int | None = None) -> DataFrame:
@@ -122,23 +132,25 @@ def lists(sets: DataFrame, lead: int | None = None) -> DataFrame:
 
 
 def _before(x: str, y: str, order: list[str]) -> Column:
-    return F.struct(*(F.col(f"{x}.{c}") for c in order)) < F.struct(*(F.col(f"{y}.{c}") for c in order))
+    found = F.lit(False)
+    for c in reversed(order):
+        a, b = F.col(f"{x}.{c}"), F.col(f"{y}.{c}")
+        found = (a < b) if c == order[-1] else (a < b) | ((a == b) & found)
+    return found
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(CLASS_RATIO)).cast("int")
 
 
-def neighbours(entries: DataFrame, order: list[str], least: int = 1) -> DataFrame:
-    """Pairs (a, b), a before b in ``order``: each set with the one before it in a list, and with the first of its list of about its size.
+def blocks_probed(n: Column, pos: Column) -> Column:
+    """The size classes of the sets, as large or larger, that a set of ``n`` tokens can link with from position ``pos`` of a list on.
 
-    There are at most two for an entry, so copies in a large group meet without all their pairs.  Lists of fewer than ``least`` sets give none.
+    With the token at ``pos`` as the first that they share, ``n - pos`` more can
+    overlap, so the other set has (5 n - 9 pos) / 4 tokens at most: the later a
+    token stands, the fewer blocks of its list are looked at.
     """
-    if least > 1:
-        entries = entries.withColumn("m", F.count("*").over(Window.partitionBy("token"))).filter(F.col("m") >= least)
-    here = F.struct("sid", "n", "sig", "pos")
-    size = F.floor(F.log("n") / math.log(1.25))
-    before = F.lag(here).over(Window.partitionBy("token").orderBy(*order))
-    lead = F.first(here).over(Window.partitionBy("token", size).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    both = entries.select(here.alias("y"), before.alias("before"), lead.alias("lead"))
-    near = both.select("y", F.explode(F.array("before", "lead")).alias("x")).filter(F.col("x").isNotNull() & (F.col("x.sid") != F.col("y.sid")) & may_link("x", "y"))
-    return near.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    return F.sequence(size_class(n), F.greatest(size_class(n), size_class(F.greatest(F.lit(1), F.floor((5 * n - 9 * pos) / 4)))))
 
 
 def pairs(entries: DataFrame, order: list[str], apart: Callable[[str, str], Column], sid: str = "sid", packed: bool = False) -> DataFrame:
@@ -148,9 +160,33 @@ def pairs(entries: DataFrame, order: list[str], apart: Callable[[str, str], Colu
     return x.join(y, on).select(F.col(f"x.{sid}").alias("a"), F.col(f"y.{sid}").alias("b")).distinct()
 
 
-def bitmap(ids: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A bit for each hash of ``column``; its size is 2 ** bits, whatever the number of rows."""
-    part = min(9, bits - 3)
+def block_pairs(entries: DataFrame, apart: Callable[[str, str], Column]) -> DataFrame:
+    """As ``pairs`` in the order (n, sid), with each list cut into blocks by size class: an entry is joined with the blocks that it probes and passes over the others."""
+    held = entries.withColumn("block", size_class(F.col("n")))
+    probes = entries.withColumn("block", F.explode(blocks_probed(F.col("n"), F.col("pos"))))
+    x, y = probes.alias("x"), held.alias("y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & _before("x", "y", ["n", "sid"]) & may_link("x", "y") & apart("x", "y")
+    return x.join(y, on).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+
+
+class IdFilter:
+    """A bit for each hash among some ids: most others are told apart by it, sixteen slots standing for each id."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.held = bits, np.zeros(1 << (bits - 3), np.uint8)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        slot = ids.view(np.uint64) >> np.uint64(64 - self.bits)
+        return ((self.held[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def id_filter(ids: DataFrame, column: str) -> IdFilter | None:
+    """The filter of the values of ``column``, of 32 MB at most; None if there are more than MOST_IDS of them."""
+    n = ids.count()
+    if n > MOST_IDS:
+        return None
+    out = IdFilter(bitmap_bits(n, least=12))
+    bits, part = out.bits, min(9, out.bits - 3)
 
     def piece(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         flags = np.zeros(1 << (bits - part), bool)
@@ -159,150 +195,130 @@ def bitmap(ids: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
 
     slot = F.shiftrightunsigned(F.col(column), 64 - bits)
     cut = ids.select(F.shiftright(slot, bits - part).alias("part"), slot.bitwiseAND((1 << (bits - part)) - 1).alias("slot")).distinct()
-    out = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (bits - part - 3)
     for row in cut.groupBy("part").applyInPandas(piece, "part long, bits binary").collect():
-        out[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+        out.held[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
-def in_bitmap(held: np.ndarray, ids: np.ndarray, bits: int = BITMAP_BITS) -> np.ndarray:
-    slot = ids.view(np.uint64) >> np.uint64(64 - bits)
-    return ((held[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-
-
-def _pack(values: np.ndarray, width: int) -> bytes:
-    """The top ``width`` bytes of ascending values."""
-    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def _unpack(members: bytes) -> np.ndarray:
+    return np.frombuffer(members, "<u8")
 
 
-def _unpack(members: bytes, width: int) -> np.ndarray:
-    wide = np.zeros((len(members) // width, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(members, np.uint8).reshape(-1, width)
-    return wide.view(">u8").ravel().astype(np.uint64)
-
-
-def members(df: DataFrame, records: Records, wanted: DataFrame, text_key: int | None = None, width: int = 8) -> DataFrame:
+def members(df: DataFrame, records: Records, wanted: DataFrame, text_key: int | None = None) -> DataFrame:
     """(sid, members): the packed values of the sets whose ids are among ``wanted``, and of a few more.
 
     Where ``wanted`` has the column tid, only texts whose key, in column ``text_key`` of ``df``, is among them are cut into sets.
     """
     sc = df.sparkSession.sparkContext
-    held = sc.broadcast(bitmap(wanted, "sid"))
-    some = sc.broadcast(bitmap(wanted, "tid")) if text_key is not None else None
+    found = id_filter(wanted, "sid")
+    held = sc.broadcast(found)
+    some = sc.broadcast(id_filter(wanted, "tid") if text_key is not None else None)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            if some is not None:
-                batch = batch.filter(pa.array(in_bitmap(some.value, batch.column(text_key).to_numpy())))
+            if some.value is not None:
+                batch = batch.filter(pa.array(some.value.of(batch.column(text_key).to_numpy())))
             for _, values, bounds in records(batch):
                 ids = kernel.set_ids(values, bounds)
-                rows = [i for i in np.flatnonzero(in_bitmap(held.value, ids) & (np.diff(bounds) > 0)).tolist() if ids[i] not in seen]
+                mine = np.diff(bounds) > 0
+                if held.value is not None:
+                    mine &= held.value.of(ids)
+                rows = [i for i in np.flatnonzero(mine).tolist() if ids[i] not in seen]
                 if not rows:
                     continue
                 if len(seen) < 1_000_000:
                     seen.update(ids[rows].tolist())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[rows]), pa.array([_pack(values[bounds[i] : bounds[i + 1]], width) for i in rows], pa.binary())],
+                    [pa.array(ids[rows]), pa.array([values[bounds[i] : bounds[i + 1]].astype("<u8").tobytes() for i in rows], pa.binary())],
                     names=["sid", "members"],
                 )
 
-    return df.mapInArrow(run, "sid long, members binary").groupBy("sid").agg(F.first("members").alias("members"))
+    sets = df.mapInArrow(run, "sid long, members binary")
+    if found is None:
+        sets = sets.join(wanted.select("sid").distinct(), "sid", "left_semi")
+    return sets.groupBy("sid").agg(F.first("members").alias("members"))
 
 
-def linked(candidates: DataFrame, sets: DataFrame, width: int = 8) -> DataFrame:
-    """The pairs of ``candidates`` whose sets, of the table ``sets``, link by their exact intersections."""
+def compared(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, link, near, change): the pairs of ``candidates`` by their exact sets, of the table ``sets``.
+
+    ``near`` pairs differ by twice what a link may at most; ``change`` then has the tokens in one of the two sets only.
+    """
     both = candidates.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            na, nb, link, near, change = [], [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = _unpack(x.as_py(), width), _unpack(y.as_py(), width)
-                at = np.searchsorted(v, u)
-                common = int((v[np.minimum(at, len(v) - 1)] == u).sum())
-                ok.append(100 * common >= 80 * (len(u) + len(v) - common))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    return table(both.mapInArrow(run, "a long, b long"))
-
-
-def verified(candidates: DataFrame, df: DataFrame, records: Records) -> DataFrame:
-    """The pairs of ``candidates`` that link; their sets are read from ``df``."""
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    return linked(candidates, table(members(df, records, wanted)))
+                u, v = _unpack(x.as_py()), _unpack(y.as_py())
+                at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+                shared = v[at] == u
+                common = int(shared.sum())
+                na.append(len(u))
+                nb.append(len(v))
+                link.append(100 * common >= 80 * (len(u) + len(v) - common))
+                near.append(9 * (len(u) + len(v) - 2 * common) <= 2 * (len(u) + len(v)))
+                if near[-1]:
+                    rest = np.ones(len(v), bool)
+                    rest[at[shared]] = False
+                    change.append(np.concatenate([u[~shared], v[rest]]).view(np.int64))
+                else:
+                    change.append(None)
+            columns = [pa.array(na, pa.int32()), pa.array(nb, pa.int32()), pa.array(link, pa.bool_()), pa.array(near, pa.bool_()), pa.array(change, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["a", "b", "na", "nb", "link", "near", "change"])
+
+    return both.mapInArrow(run, "a long, b long, na int, nb int, link boolean, near boolean, change array<long>")
+
+
+def linked(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of ``candidates`` whose sets, of the table ``sets``, link by their exact intersections."""
+    return table(compared(candidates, sets).filter("link").select("a", "b"))
 
 
 def centres(entries: DataFrame) -> DataFrame:
     """(sid, centre): for each set, the one that leads most of its lists among sets of about its size.
 
-    A list is led by the set with the largest part of its prefix listed: in a
-    group of near copies that is the text the others were made from, for their
-    changes are listed nowhere.
+    A block of a list is led by the set with the largest part of its prefix
+    listed: in a group of near copies that is the text the others were made
+    from, for their changes are listed nowhere.
     """
-    size = F.log("n") / math.log(1.25)
     share = F.col("k") / F.expr("n - ceil(n * 4 / 5D) + 1")
-    lead = lambda bucket: F.first(F.struct((-share).alias("share"), "sid")).over(Window.partitionBy("token", bucket).orderBy((-share), "n", "sid").rowsBetween(Window.unboundedPreceding, 0))
-    led = entries.select("sid", lead(F.floor(size)).alias("x"), lead(F.floor(size + 0.5)).alias("y")).select("sid", F.explode(F.array("x", "y")).alias("lead"))
-    return led.groupBy("sid", F.col("lead.sid").alias("centre")).agg(F.count("*").alias("times"), F.min("lead.share").alias("share")).groupBy("sid").agg(F.max_by("centre", F.struct("times", -F.col("share"), "centre")).alias("centre"))
-
-
-GROUP_CHUNK = 2048
-_SLAB = 4096
-
-
-def grouped(groups: DataFrame) -> DataFrame:
-    """(centre, i, j, part, sid, label): the members of each group of several labels, dealt to the pairs of its chunks.
-
-    A group of up to GROUP_CHUNK sets is one task's work, a larger one is spread over pairs of chunks.
-    """
-    sizes = groups.groupBy("centre").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    cut = groups.join(sizes.select("centre", F.ceil(F.col("k") / GROUP_CHUNK).cast("int").alias("chunks")), "centre").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
-    dealt = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    return dealt.select("centre", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.col("chunk").alias("part"), "sid", "label")
-
-
-def group_links(dealt: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between sets of a group that have different labels: as few as connect what the group's links connect.
-
-    Intersections come from one product of the sets' incidence matrices over the tokens they share.
+    size = F.log("n") / math.log(CLASS_RATIO)
+    # two ways to cut sizes, so that sets on either side of one bound meet in the other
+    bucket = F.explode(F.array(2 * F.floor(size), 2 * F.floor(size + 0.5) + 1))
+    placed = entries.select("token", "sid", bucket.alias("bucket"), F.struct((-share).alias("share"), "n", "sid").alias("rank"))
+    lead = placed.groupBy("token", "bucket").agg(F.min("rank").alias("lead"), F.count("*").alias("m")).filter("m > 1")
+    met = placed.join(lead, ["token", "bucket"]).groupBy("sid", F.col("lead.sid").alias("centre")).agg(F.count("*").alias("times"), F.min("lead.share").alias("share"))
+    return met.groupBy("sid").agg(F.max_by("centre", F.struct("times", -F.col("share"), "centre")).alias("centre"))
+
+
+def answered_pairs(groups: DataFrame) -> DataFrame:
+    """Links (a, b) between sets of one centre that have different labels, derived from what is known of each set and the centre.
+
+    ``groups``: sid, centre, n, label, link (with the centre) and change.  Two
+    sets x and y differ by the changes that only one of them has, so they link
+    if and only if 9 |cx + cy - 2 (cx and cy)| <= nx + ny: their texts aren't
+    looked at again.  Of two labels one set at least, y, doesn't link with the
+    centre: 9 cy > nc + ny.  With nx <= nc + cx a link then shares more than 4/9
+    of the changes of x; and where x does link with the centre, more than
+    cy - ny / 4 of those of y, and at least one.  So a prefix of each set's
+    changes finds all its partners.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [_unpack(x, 8) for x in group["members"]]
-        n = np.array([len(x) for x in rows], np.float32)
-        tokens, column, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-        place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column]
-        owner = np.repeat(np.arange(len(rows)), n.astype(int))
-        common = np.zeros((len(rows), len(rows)), np.float32)
-        for start in range(0, int((count > 1).sum()), _SLAB):
-            some = (place >= start) & (place < start + _SLAB)
-            held = np.zeros((len(rows), _SLAB), np.float32)
-            held[owner[some], place[some] - start] = 1
-            common += held @ held.T
-        label = group["label"].to_numpy()
-        link = 100 * common >= 80 * (n[:, None] + n[None, :] - common)
-        a, b = np.nonzero(np.triu(link, 1))
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
-        top = {x: x for x in label.tolist()}
-
-        def find(x: int) -> int:
-            while top[x] != x:
-                top[x] = x = top[top[x]]
-            return x
-
-        out = []
-        sids = group["sid"].to_numpy()
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            u, v = find(label[x]), find(label[y])
-            if u != v:
-                top[u] = v
-                out.append((sids[x], sids[y]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return table(dealt.join(sets, "sid").groupBy("centre", "i", "j").applyInPandas(run, "a long, b long"))
+    k = F.size("change")
+    least = F.when(F.col("link"), F.floor(k * 4 / 9) + 1).otherwise(F.greatest(F.lit(1), F.least(F.floor(k * 4 / 9) + 1, k - F.floor(F.col("n") / 4)))).cast("int")
+    held = groups.filter(k > 0).select("sid", "centre", "n", "label", "link", k.alias("k"), F.slice(F.array_sort("change"), F.lit(1), k - least + 1).alias("listed"))
+    entries = held.select("sid", "centre", "n", "label", "link", "k", F.posexplode("listed").alias("pos", "token"))
+    x, y = entries.alias("x"), entries.alias("y")
+    need = 9 * (F.col("x.k") + F.col("y.k")) - F.col("x.n") - F.col("y.n")
+    left = F.least(F.col("x.k") - F.col("x.pos"), F.col("y.k") - F.col("y.pos"))
+    on = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.label") != F.col("y.label")) & (18 * left >= need)
+    maybe = x.join(y, on).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    own = groups.select("sid", "n", "change")
+    both = maybe.join(own.toDF("a", "na", "ca"), "a").join(own.toDF("b", "nb", "cb"), "b")
+    common = F.size(F.array_intersect("ca", "cb"))
+    return table(both.filter(9 * (F.size("ca") + F.size("cb") - 2 * common) <= F.col("na") + F.col("nb")).select("a", "b"))
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
