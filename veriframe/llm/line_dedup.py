@@ -8,10 +8,9 @@ leave few pairs to verify.
 
 One earlier match is all that counts.  Copies need no pairs: equal token sets
 are one set with a first occurrence.  In lists of SETTLED_LIST sets or more that
-share two of their rarest tokens, each set meets the earliest ones of each list
-and is compared with the likest of them: that settles a large group of near
-copies by one pair a set.  The full join then covers every pair whose later set
-isn't settled.
+share a lead key, each set meets the earliest ones of each list and is compared
+with the likest of them: that settles a large group of near copies by one pair a
+set.  The full join then covers every pair whose later set isn't settled.
 
 A line of fewer than LEAST_JOINED words links with no other set (four words may
 match five), so it takes part in no join: equal sets of any size are decided by first occurrence.
@@ -39,8 +38,8 @@ from .rarity import Levels, count_levels
 MIN_TOKENS = 5
 #: Fixed: two different sets with a Jaccard similarity of 0.8 have four tokens at least.
 LEAST_JOINED = 4
-SETTLED_LIST = 16
-LEAD_TOKENS = 4
+#: Lists of so many sets are settled by their earliest ones, and tokens of the level of that count make lead keys.
+SETTLED_LIST, LEAD_LEVEL = 16, 4
 #: The earliest sets of a large list that all others meet.
 LEADERS = 4
 LEVELS = Levels(thresholds=tuple(2**i for i in range(1, 15)))
@@ -81,11 +80,11 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels
             yield values, False
 
     maps = spark.sparkContext.broadcast(count_levels(texts, tokens, levels))
-    lines = table(setjoin.index(texts, records, "doc_id long, tid long, line_no int", maps, narrow=True))
+    lines = table(setjoin.index(texts, records, "doc_id long, tid long, line_no int", maps, narrow=True, lead_level=LEAD_LEVEL))
     where = F.struct("doc_id", "tid", "line_no")
 
     # a line without a listed token has a token of its own and matches nothing
-    sets = lines.filter("size(tokens) > 0").groupBy("sid").agg(F.min(where).alias("f"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "sig", "sig2", "tokens", "pos")))
+    sets = lines.filter("size(tokens) > 0").groupBy("sid").agg(F.min(where).alias("f"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "sig", "sig2", "tokens", "pos", "leads")))
     sets = table(sets.withColumn("id", F.monotonically_increasing_id()))
 
     joined = sets.filter(F.col("n") >= LEAST_JOINED)
@@ -107,14 +106,9 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels
 
 
 def _large_lists(sets: DataFrame) -> DataFrame:
-    """(token, sid, n, sig, sig2, pos, f): entries of lists, by pairs of a set's rarest tokens, that hold SETTLED_LIST sets or more.
-
-    A pair of the first tokens is still shared after a word has come or gone.
-    """
+    """(token, sid, n, sig, sig2, pos, f): entries of the lists, by lead key, that hold SETTLED_LIST sets or more."""
     spark = sets.sparkSession
-    first = [F.get("tokens", F.lit(i)) for i in range(LEAD_TOKENS)]
-    keys = F.array_compact(F.array(*(F.when(b.isNotNull(), F.xxhash64(a, b)) for i, a in enumerate(first) for b in first[i + 1 :])))
-    keyed = sets.select(keys.alias("keys"), "sid", "n", "sig", "sig2", F.col("pos")[0].alias("pos"), "f.*")
+    keyed = sets.select(F.col("leads").alias("keys"), "sid", "n", "sig", "sig2", F.lit(0).alias("pos"), "f.*")
 
     def tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, bool]]:
         yield batch.column(0).flatten().to_numpy().view(np.uint64), False

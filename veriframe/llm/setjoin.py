@@ -67,17 +67,51 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return halves[0], halves[1]
 
 
-def index(df: DataFrame, records: Records, keys: str, maps: Broadcast[Maps], narrow: bool = False) -> DataFrame:
+#: Of a set's rarest LEAD_WINDOW tokens that are frequent enough, the LEAD_TOKENS of least hash make its lead keys, in pairs.
+LEAD_WINDOW, LEAD_TOKENS = 12, 4
+
+
+def lead_keys(values: np.ndarray, bounds: np.ndarray, level: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, bounds): keys that most sets of a group of near copies share, and few others do.
+
+    They are made of tokens of level ``least`` or more, as the tokens of a large
+    group are, so words that only a copy or two have take no part.
+    """
+    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    some = level >= least
+    v, r = values[some], rows[some]
+    order = np.argsort(r * 256 + level[some], kind="stable")
+    v, r = v[order], r[order]
+    near = np.arange(len(r)) - np.searchsorted(r, r) < LEAD_WINDOW
+    v, r = v[near], r[near]
+    order = np.lexsort((kernel.mix(v), r))
+    v, r = v[order], r[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    v, r, place = v[place < LEAD_TOKENS], r[place < LEAD_TOKENS], place[place < LEAD_TOKENS]
+    held, there = np.zeros((len(bounds) - 1, LEAD_TOKENS), np.uint64), np.zeros((len(bounds) - 1, LEAD_TOKENS), bool)
+    held[r, place], there[r, place] = v, True
+    i, j = np.triu_indices(LEAD_TOKENS, 1)
+    both = there[:, i] & there[:, j]
+    return kernel.mix(held[:, i] * np.uint64(3) + held[:, j])[both].view(np.int64), np.concatenate([[0], np.cumsum(both.sum(axis=1))])
+
+
+def index(df: DataFrame, records: Records, keys: str, maps: Broadcast[Maps], narrow: bool = False, lead_level: int = 0) -> DataFrame:
     """One row per record: its key columns, n, sid (equal sets have equal ids), sig, sig2, and listed prefix tokens with positions.
 
     ``narrow`` lists the top 32 bits of tokens: lists of some tokens fall together, which only adds candidates.
+    With ``lead_level`` there are also the lead keys of tokens of that level or more.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, values, bounds in records(batch):
-                tokens, pos, at = prefixes(values, bounds, maps.value.of(values))
+                level = maps.value.of(values)
+                tokens, pos, at = prefixes(values, bounds, level)
                 at = pa.array(at, pa.int32())
+                leads = []
+                if lead_level:
+                    found, upto = lead_keys(values, bounds, level, lead_level)
+                    leads.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(found)))
                 if narrow:
                     tokens = (tokens >> 32).astype(np.int32)
                 sig, sig2 = signatures(values, bounds)
@@ -90,11 +124,12 @@ def index(df: DataFrame, records: Records, keys: str, maps: Broadcast[Maps], nar
                         pa.array(sig2),
                         pa.ListArray.from_arrays(at, pa.array(tokens)),
                         pa.ListArray.from_arrays(at, pa.array(pos)),
+                        *leads,
                     ],
                     names=names,
                 )
 
-    schema = f"{keys}, n int, sid long, sig long, sig2 long, tokens array<{'int' if narrow else 'long'}>, pos array<int>"
+    schema = f"{keys}, n int, sid long, sig long, sig2 long, tokens array<{'int' if narrow else 'long'}>, pos array<int>" + ", leads array<long>" * bool(lead_level)
     names = [x.split()[0] for x in schema.split(", ")]
     return df.mapInArrow(run, schema)
 
