@@ -42,6 +42,8 @@ LEAST_JOINED = 4
 SETTLED_LIST, LEAD_LEVEL = 16, 4
 #: The earliest sets of a large list that all others meet.
 LEADERS = 4
+#: Ids of settled sets that are broadcast at most; more are joined.
+MOST_BROADCAST = 1 << 21
 LEVELS = Levels(thresholds=tuple(2**i for i in range(1, 15)))
 
 
@@ -84,21 +86,28 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels
     where = F.struct("doc_id", "tid", "line_no")
 
     # a line without a listed token has a token of its own and matches nothing
-    sets = lines.filter("size(tokens) > 0").groupBy("sid").agg(F.min(where).alias("f"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "sig", "sig2", "tokens", "pos", "leads")))
+    sets = lines.filter("size(tokens) > 0").groupBy("sid").agg(F.min(where).alias("f"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "sig", "sig2", "alone", "tokens", "leads")))
     sets = table(sets.withColumn("id", F.monotonically_increasing_id()))
 
     joined = sets.filter(F.col("n") >= LEAST_JOINED)
     settled = _linked(table(_likest_leaders(_large_lists(joined))), sets.select("sid", "f"), texts, records)
     done = settled.select(F.col("b").alias("sid"), F.lit(True).alias("settled"))
+    done = F.broadcast(done) if done.count() <= MOST_BROADCAST else done
 
-    known = joined.select("sid", "id", "f", "n", "sig", "sig2", "tokens", "pos").join(done, "sid", "left").withColumn("settled", F.col("settled").isNotNull())
-    each = known.select("id", "sig", "sig2", "n", "settled", F.explode(F.arrays_zip("tokens", "pos")).alias("e"))
-    entries = each.select(F.col("e.tokens").alias("token"), "id", "sig", "sig2", setjoin.sized(F.col("n"), F.col("e.pos"), F.col("settled")).alias("meta"))
+    known = joined.select("sid", "id", "f", "n", "sig", "sig2", "alone", "tokens").join(done, "sid", "left").withColumn("settled", F.col("settled").isNotNull())
+    each = known.select("id", "sig", "sig2", "n", "alone", "settled", F.posexplode("tokens").alias("i", "token"))
+    entries = each.select("token", "id", "sig", "sig2", setjoin.sized(F.col("n"), F.col("alone") + F.col("i"), F.col("settled")).alias("meta"))
     found = setjoin.pairs(entries, ["id"], lambda x, y: ~(setjoin.flagged(x) & setjoin.flagged(y)), sid="id", packed=True)
     names = known.select("id", F.struct("f", "sid", "settled").alias("s"))
-    both = found.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    open_ = table(both.filter(~F.col("y.settled")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")))
-    links = _linked(open_, sets.select("sid", "f"), texts, records)
+    both = found.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "distance")
+    open_ = table(both.filter(~F.col("y.settled")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), "distance"))
+
+    # each line's likest partner first; the others only of lines that it doesn't settle
+    best = table(open_.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("x")).select("x.a", "b"))
+    links = _linked(best, sets.select("sid", "f"), texts, records)
+    rest = table(open_.join(links.select("b"), "b", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b"))
+    if not rest.isEmpty():
+        links = links.union(_linked(rest, sets.select("sid", "f"), texts, records))
 
     later = settled.select("b").union(links.select("b")).distinct().select(F.col("b").alias("sid"), F.lit(True).alias("later"))
     decided = sets.select("sid", "f", "k").join(later, "sid", "left").filter("k > 1 or later").select("sid", "f", F.coalesce("later", F.lit(False)).alias("later"))
@@ -106,9 +115,11 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels
 
 
 def _large_lists(sets: DataFrame) -> DataFrame:
-    """(token, sid, n, sig, sig2, pos, f): entries of the lists, by lead key, that hold SETTLED_LIST sets or more."""
+    """(token, sid, n, sig, sig2, pos, f): entries of the lists, by lead key, that hold SETTLED_LIST sets or more; a key is a pair of lead tokens."""
     spark = sets.sparkSession
-    keyed = sets.select(F.col("leads").alias("keys"), "sid", "n", "sig", "sig2", F.lit(0).alias("pos"), "f.*")
+    lead = [F.get("leads", F.lit(i)) for i in range(setjoin.LEAD_TOKENS)]
+    keys = F.array_compact(F.array(*(F.when(b.isNotNull(), F.xxhash64(a, b)) for i, a in enumerate(lead) for b in lead[i + 1 :])))
+    keyed = sets.select(keys.alias("keys"), "sid", "n", "sig", "sig2", F.lit(0).alias("pos"), "f.*")
 
     def tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, bool]]:
         yield batch.column(0).flatten().to_numpy().view(np.uint64), False

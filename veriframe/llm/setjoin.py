@@ -37,7 +37,7 @@ Records = Callable[[pa.RecordBatch], Iterator[tuple[list[pa.Array], np.ndarray,
 
 
 def prefixes(values: np.ndarray, bounds: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, positions, bounds): the listed prefix tokens of each set, in the global order."""
+    """(tokens, bounds, alone): the listed prefix tokens of each set, in the global order, and the number of tokens before them, which no other set has."""
     n = np.diff(bounds)
     rows = np.repeat(np.arange(len(n)), n)
     alone = np.bincount(rows[level == 0], minlength=len(n))
@@ -49,7 +49,7 @@ def prefixes(values: np.ndarray, bounds: np.ndarray, level: np.ndarray) -> tuple
     start = np.searchsorted(r, np.arange(len(n) + 1))
     pos = np.arange(len(v)) - start[r] + alone[r]
     keep = pos < (n + (-4 * n) // 5 + 1)[r]
-    return v[keep].view(np.int64), pos[keep].astype(np.int32), np.concatenate([[0], np.cumsum(keep)])[start]
+    return v[keep].view(np.int64), np.concatenate([[0], np.cumsum(keep)])[start], alone
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,15 +67,15 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return halves[0], halves[1]
 
 
-#: Of a set's rarest LEAD_WINDOW tokens that are frequent enough, the LEAD_TOKENS of least hash make its lead keys, in pairs.
+#: Of a set's rarest LEAD_WINDOW tokens that are frequent enough, the LEAD_TOKENS of least hash lead it.
 LEAD_WINDOW, LEAD_TOKENS = 12, 4
 
 
-def lead_keys(values: np.ndarray, bounds: np.ndarray, level: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, bounds): keys that most sets of a group of near copies share, and few others do.
+def lead_tokens(values: np.ndarray, bounds: np.ndarray, level: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, bounds): tokens that most sets of a group of near copies share, in one order for all sets.
 
-    They are made of tokens of level ``least`` or more, as the tokens of a large
-    group are, so words that only a copy or two have take no part.
+    They are of level ``least`` or more, as the tokens of a large group are, so
+    words that only a copy or two have take no part.
     """
     rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     some = level >= least
@@ -86,31 +86,27 @@ def lead_keys(values: np.ndarray, bounds: np.ndarray, level: np.ndarray, least:
     v, r = v[near], r[near]
     order = np.lexsort((kernel.mix(v), r))
     v, r = v[order], r[order]
-    place = np.arange(len(r)) - np.searchsorted(r, r)
-    v, r, place = v[place < LEAD_TOKENS], r[place < LEAD_TOKENS], place[place < LEAD_TOKENS]
-    held, there = np.zeros((len(bounds) - 1, LEAD_TOKENS), np.uint64), np.zeros((len(bounds) - 1, LEAD_TOKENS), bool)
-    held[r, place], there[r, place] = v, True
-    i, j = np.triu_indices(LEAD_TOKENS, 1)
-    both = there[:, i] & there[:, j]
-    return kernel.mix(held[:, i] * np.uint64(3) + held[:, j])[both].view(np.int64), np.concatenate([[0], np.cumsum(both.sum(axis=1))])
+    first = np.arange(len(r)) - np.searchsorted(r, r) < LEAD_TOKENS
+    v, r = v[first], r[first]
+    return (v.view(np.int64) >> 32).astype(np.int32), np.searchsorted(r, np.arange(len(bounds)))
 
 
 def index(df: DataFrame, records: Records, keys: str, maps: Broadcast[Maps], narrow: bool = False, lead_level: int = 0) -> DataFrame:
-    """One row per record: its key columns, n, sid (equal sets have equal ids), sig, sig2, and listed prefix tokens with positions.
+    """One row per record: its key columns, n, sid (equal sets have equal ids), sig, sig2, and alone (tokens that no other set has) and the listed prefix tokens that follow them.
 
     ``narrow`` lists the top 32 bits of tokens: lists of some tokens fall together, which only adds candidates.
-    With ``lead_level`` there are also the lead keys of tokens of that level or more.
+    With ``lead_level`` there are also the lead tokens, of that level or more.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, values, bounds in records(batch):
                 level = maps.value.of(values)
-                tokens, pos, at = prefixes(values, bounds, level)
+                tokens, at, alone = prefixes(values, bounds, level)
                 at = pa.array(at, pa.int32())
                 leads = []
                 if lead_level:
-                    found, upto = lead_keys(values, bounds, level, lead_level)
+                    found, upto = lead_tokens(values, bounds, level, lead_level)
                     leads.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(found)))
                 if narrow:
                     tokens = (tokens >> 32).astype(np.int32)
@@ -122,14 +118,14 @@ def index(df: DataFrame, records: Records, keys: str, maps: Broadcast[Maps], nar
                         pa.array(kernel.set_ids(values, bounds)),
                         pa.array(sig),
                         pa.array(sig2),
+                        pa.array(alone, pa.int32()),
                         pa.ListArray.from_arrays(at, pa.array(tokens)),
-                        pa.ListArray.from_arrays(at, pa.array(pos)),
                         *leads,
                     ],
                     names=names,
                 )
 
-    schema = f"{keys}, n int, sid long, sig long, sig2 long, tokens array<{'int' if narrow else 'long'}>, pos array<int>" + ", leads array<long>" * bool(lead_level)
+    schema = f"{keys}, n int, sid long, sig long, sig2 long, alone int, tokens array<{'int' if narrow else 'long'}>" + ", leads array<int>" * bool(lead_level)
     names = [x.split()[0] for x in schema.split(", ")]
     return df.mapInArrow(run, schema)
 
@@ -157,13 +153,10 @@ def may_link(a: str, b: str, packed: bool = False) -> Column:
     return (5 * an >= 4 * bn) & (5 * bn >= 4 * an) & (9 * F.least(an - ap, bn - bp) >= 4 * (an + bn)) & (9 * signature_distance(a, b) <= an + bn)
 
 
-def lists(sets: DataFrame, lead: int | None = None) -> DataFrame:
-    """Inverted-list entries (token, sid, n, sig, pos, ...), of the first ``lead`` listed tokens or of all."""
-    zipped = F.arrays_zip("tokens", "pos")
-    if lead:
-        zipped = F.slice(zipped, 1, lead)
-    rest = [c for c in sets.columns if c not in ("tokens", "pos")]
-    return sets.select(*rest, F.explode(zipped).alias("e")).select(*rest, F.col("e.tokens").alias("token"), F.col("e.pos").alias("pos"))
+def lists(sets: DataFrame) -> DataFrame:
+    """Inverted-list entries (token, sid, n, sig, sig2, pos, ...) of the listed tokens."""
+    rest = [c for c in sets.columns if c not in ("tokens", "alone")]
+    return sets.select(*rest, "alone", F.posexplode("tokens").alias("i", "token")).select(*rest, "token", (F.col("alone") + F.col("i")).alias("pos"))
 
 
 def _before(x: str, y: str, order: list[str]) -> Column:
@@ -189,10 +182,10 @@ def blocks_probed(n: Column, pos: Column) -> Column:
 
 
 def pairs(entries: DataFrame, order: list[str], apart: Callable[[str, str], Column], sid: str = "sid", packed: bool = False) -> DataFrame:
-    """All pairs (a, b) of the column ``sid``, a before b in ``order``, that pass the filters and for which ``apart`` holds."""
+    """All pairs (a, b) of the column ``sid``, a before b in ``order``, that pass the filters and for which ``apart`` holds, with the distance of their signatures."""
     x, y = entries.alias("x"), entries.alias("y")
     on = (F.col("x.token") == F.col("y.token")) & _before("x", "y", order) & may_link("x", "y", packed) & apart("x", "y")
-    return x.join(y, on).select(F.col(f"x.{sid}").alias("a"), F.col(f"y.{sid}").alias("b")).distinct()
+    return x.join(y, on).select(F.col(f"x.{sid}").alias("a"), F.col(f"y.{sid}").alias("b"), signature_distance("x", "y").alias("distance")).distinct()
 
 
 def block_pairs(entries: DataFrame, apart: Callable[[str, str], Column]) -> DataFrame:
