@@ -22,7 +22,11 @@ def squeezed(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(norm(text), " +"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"))
 
 
 def digits(text: Column) -> Column:

@@ -28,6 +28,8 @@ BASIS_MARKERS = (
     ("GAAP", r"(?i)\bGAAP\b|\btotal\s+revenue\b|\brevenue\b"),
 )
 SCALE_WORDS = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mm": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9, "t": 1e12, "trillion": 1e12}
+#: Fixed: white space beside the ASCII kind; all of it counts as a space.
+OTHER_SPACES = "\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 TAG_SCALES = {"": 1.0, "K": 1e3, "M": 1e6, "B": 1e9, "T": 1e12}
 MONTH_COUNTS = {"one": 1, "two": 2, "three": 3, "six": 6, "nine": 9, "twelve": 12}
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -43,8 +45,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _text(x: Column) -> Column:
-    return F.coalesce(x, F.lit(""))
+def plain_spaces(text: Column) -> Column:
+    """The text, empty if null, with every other white space as a plain space: filings are full of non-breaking ones."""
+    return F.translate(F.coalesce(text, F.lit("")), OTHER_SPACES, " " * len(OTHER_SPACES))
+
+
+_text = plain_spaces
 
 
 def detect_basis(text: Column) -> Column:

@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grounding import squeezed, words
+from .probe import small
 
 _KEY = 3
 
 
+def _runs(w: Column, n: int) -> Column:
+    """The runs of ``n`` words."""
+    starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+
+
+def _lengths(keyed: DataFrame) -> list[int]:
+    """The numbers of words that the runs have: three at most."""
+    return sorted(r[0] for r in keyed.select(F.size(F.split("run", " "))).distinct().collect()) or [_KEY]
+
+
 def quotes_in_texts(quotes: DataFrame, texts: DataFrame, min_words: int = 3) -> DataFrame:
     """(quote_id, key) for each quote (quote_id, text) that stands in a text (key, text), both squeezed.
 
-    A quote's second to fourth words stand whole in any text that holds it, so
-    quotes and texts meet on such runs of words and only then are compared.
-    Quotes too short for that, and few, are compared with every text.
+    A quote's words but the first and the last stand whole in any text that holds
+    it.  So quotes and texts meet on the quote's second to fourth words, or on the
+    words between its ends where it has fewer than five, and then are compared.
+    Few quotes go to the texts, and nothing of a text is shuffled; many meet the
+    texts' runs by a join, and what meets is compared after another by the text's
+    key.  Quotes of one or two words, which ``min_words`` may let in, have no such
+    run and are compared with every text.
     """
     q = quotes.select("quote_id", squeezed(F.col("text")).alias("quote"), words(F.col("text")).alias("w")).filter(F.size("w") >= min_words)
-    t = texts.select("key", squeezed(F.col("text")).alias("hay"), words(F.col("text")).alias("w"))
-    long = q.filter(F.size("w") >= _KEY + 2).select("quote_id", "quote", F.array_join(F.slice("w", 2, _KEY), " ").alias("run"))
-    starts = F.sequence(F.lit(1), F.size("w") - _KEY + 1)
-    runs = t.filter(F.size("w") >= _KEY).select("key", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(_KEY)), " ")))).alias("run"))
-    met = runs.join(long, "run").join(t.select("key", "hay"), "key").filter(F.contains("hay", F.col("quote"))).select("quote_id", "key")
-    short = q.filter(F.size("w") < _KEY + 2).join(t, F.contains("hay", F.col("quote"))).select("quote_id", "key")
-    return met.union(short).distinct()
+    keyed = q.filter(F.size("w") > 2).select("quote_id", "quote", F.array_join(F.slice("w", F.lit(2), F.least(F.lit(_KEY), F.size("w") - 2)), " ").alias("run"))
+    t = texts.select("key", squeezed(F.col("text")).alias("hay"))
+    w = F.split("hay", " ")
+    every = F.explode(F.array_distinct(F.concat(*(_runs(w, n) for n in _lengths(keyed)))))
+    if small(keyed):
+        met = t.select("key", "hay", every.alias("run")).join(F.broadcast(keyed), "run")
+    else:
+        met = t.select("key", every.alias("run")).join(keyed, "run").join(t, "key")
+    found = met.filter(F.contains("hay", F.col("quote"))).select("quote_id", "key")
+    if min_words < 3:
+        tiny = q.filter(F.size("w") <= 2)
+        found = found.union(tiny.join(t, F.contains("hay", F.col("quote"))).select("quote_id", "key"))
+    return found.distinct()

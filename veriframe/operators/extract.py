@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import NUMBER, detect_basis, parse_period, parse_quantity, tagged_quantity
+from ..functions.normalize import NUMBER, detect_basis, parse_period, parse_quantity, plain_spaces, tagged_quantity
 
 #: Fixed: a figure in running text, with its sign, currency and scale.
 FIGURE = r"\$?\(?\$?" + NUMBER + r"\)?(?:\s*(?:%|percent|bps|basis points|[kmbt]n?\b|thousand|million|billion|trillion))?"
@@ -14,12 +14,17 @@ GROUP_SIZE = 10
 
 def claim_key(text: Column) -> Column:
     """Lower case with single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(plain_spaces(text)), r"\s+", " "))
 
 
 def first_wins(rows: DataFrame, key: Column, *order: str) -> DataFrame:
-    """The first row of each key, by ``order``."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
+    """The first row of each key, by ``order``.
+
+    Keys are grouped by their digests; each task keeps one row of a key, so a large group of copies isn't gathered.
+    """
+    columns = rows.columns
+    first = rows.groupBy(F.sha2(key.cast("string"), 256).alias("_key")).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_row"))
+    return first.select(*(F.col("_row")[c].alias(c) for c in columns))
 
 
 def claims_from_tags(tagged: DataFrame) -> DataFrame:
@@ -55,10 +60,26 @@ def tag_text(lines: DataFrame) -> DataFrame:
     return figures.select("doc_id", "line_no", "s", "f", F.trim("sentence").alias("text"), F.trim("figure").alias("figure"), operation.alias("operation"), F.coalesce("section", F.lit("")).alias("section"), detect_basis(F.col("sentence")).alias("basis"))
 
 
-def in_groups(claims: DataFrame, *order: str, size: int = GROUP_SIZE, by: str | None = None) -> DataFrame:
-    """``claims`` with group_no: ``size`` of them in each group, in order, within each value of ``by``."""
-    w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    return claims.withColumn("group_no", F.floor((F.row_number().over(w.orderBy(*order)) - 1) / size))
+def in_groups(claims: DataFrame, *order: str, size: int = GROUP_SIZE, by: str | None = None, span: int = 1 << 20) -> DataFrame:
+    """``claims`` with group_no: ``size`` of them in each group, in order, within each value of ``by``.
+
+    Rows are numbered within ranges of ``span`` values of the first column of
+    ``order``, a whole number, and the ranges' counts are added up, so that no task numbers more.
+    """
+    whole = [by] if by else []
+    part = F.floor(F.col(order[0]) / span)
+    ranged = claims.withColumn("_range", part)
+    counts = ranged.groupBy(*whole, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*(whole or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = counts.select(*whole, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    keys = [*whole, "_range"]
+    held, at = ranged.alias("c"), offsets.alias("o")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"c.{k}").eqNullSafe(F.col(f"o.{k}"))
+    inside = Window.partitionBy(*(f"c.{k}" for k in keys)).orderBy(*(f"c.{o}" for o in order))
+    number = F.row_number().over(inside) - 1 + F.col("o._offset")
+    return held.join(at, on).select(*(F.col(f"c.`{c}`") for c in claims.columns), F.floor(number / size).alias("group_no"))
 
 
 def requested(claims: DataFrame, most: int) -> DataFrame:

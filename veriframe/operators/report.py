@@ -38,9 +38,16 @@ def matching(claims: DataFrame, operation: str | None = None, text: str | None =
     return out if not text else out.filter(F.lower("text").contains(text.lower()) | F.col("figure").contains(text))
 
 
-def operations_seen(claims: DataFrame, pos: str) -> DataFrame:
-    """operation, first position and count, in the order they are first seen."""
-    return claims.groupBy("operation").agg(F.min(pos).alias("first_pos"), F.count("*").alias("n")).orderBy("first_pos")
+def operations_seen(claims: DataFrame, pos: str, *by: str) -> DataFrame:
+    """operation, first position and count, in the order they are first seen; with the number carried where claims say so."""
+    more = [F.count_if("carried").alias("carried")] if "carried" in claims.columns else []
+    return claims.groupBy(*by, "operation").agg(F.min(pos).alias("first_pos"), F.count("*").alias("n"), *more).orderBy("first_pos")
+
+
+def carried(claims: DataFrame, later: DataFrame, *keys: str) -> DataFrame:
+    """``claims`` with whether a later extraction has them too."""
+    seen = later.select(*keys).distinct().withColumn("carried", F.lit(True))
+    return claims.join(seen, list(keys), "left").withColumn("carried", F.coalesce("carried", F.lit(False)))
 
 
 def missing(expected: DataFrame, seen: DataFrame, *keys: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grounding import words
+from ..functions.grounding import word_count, words
+from ..functions.normalize import let
 from . import tree
 
+# How roles are shown.
 ASSERTION = "assertion (the deck being checked)"
 EVIDENCE = "evidence (a filing to check against)"
 #: Fixed: the usual parameters of the ranking function.
@@ -54,24 +56,31 @@ def content(requests: DataFrame, nodes: DataFrame, documents: DataFrame, manifes
     """
     asked = requests.select("request", "doc_id", F.size("node_ids").alias("wanted"), F.posexplode("node_ids").alias("pos", "node_id"))
     met = asked.join(nodes.select("doc_id", "node_id", "title", "path", "line_start", "line_end", "anchor", "page_start", "page_end"), ["doc_id", "node_id"])
-    full = met.withColumn("got", F.count("*").over(Window.partitionBy("request"))).filter("got = wanted")
-    url = F.coalesce("url", F.lit(""))
+    node = F.struct("pos", "doc_id", "node_id", "title", "path", "line_start", "line_end", "anchor", "page_start", "page_end")
+    # a document's text meets a request once and is cut there; a request asks for sections of one document
+    full = met.groupBy("request", "doc_id", "wanted").agg(F.sort_array(F.collect_list(node)).alias("n")).filter(F.size("n") == F.col("wanted"))
     with_text = full.join(documents.select("doc_id", "markdown", "pages"), "doc_id").join(manifest.select("doc_id", "url"), "doc_id", "left")
-    lines = F.split("markdown", "\n", -1)
-    paged = F.filter(lines, lambda _, i: F.try_element_at("pages", i + 1).between(F.col("page_start"), F.col("page_end")))
-    body = F.when(F.col("page_start").isNull(), F.array_join(F.slice(lines, F.col("line_start"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0))), "\n")).otherwise(F.array_join(paged, "\n"))
+
+    def body(lines: Column, n: Column) -> Column:
+        paged = F.filter(lines, lambda _, i: F.try_element_at("pages", i + 1).between(n["page_start"], n["page_end"]))
+        own = F.slice(lines, n["line_start"], F.greatest(n["line_end"] - n["line_start"] + 1, F.lit(0)))
+        return F.array_join(F.when(n["page_start"].isNull(), own).otherwise(paged), "\n")
+
+    texts = let(F.split("markdown", "\n", -1), lambda lines: F.transform("n", lambda n: body(lines, n)))
+    rows = with_text.select("request", "url", F.explode(F.arrays_zip("n", texts.alias("content"))).alias("e")).select("request", "url", "e.n.*", "e.content")
+    url = F.coalesce("url", F.lit(""))
     cite = F.when(url == "", "").when(F.col("page_start").isNotNull(), F.concat(url, F.lit("#page="), F.col("page_start").cast("string"))).when(F.col("anchor").isNotNull(), F.concat(url, F.lit("#"), F.col("anchor"))).otherwise(url)
-    return with_text.select("request", "pos", "doc_id", "node_id", "title", "path", body.alias("content"), cite.alias("cite"), F.struct("line_start", "line_end", "anchor", "page_start", "page_end").alias("loc"))
+    return rows.select("request", "pos", "doc_id", "node_id", "title", "path", "content", cite.alias("cite"), F.struct("line_start", "line_end", "anchor", "page_start", "page_end").alias("loc"))
 
 
 def bm25(queries: DataFrame, texts: DataFrame, k: int, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """query_id, key, score and rank of the ``k`` best texts (key, text) for each query (query_id, text).
 
-    Only postings of the queries' terms are shuffled.
+    Of a text's words only those that a query asks for are shuffled.
     """
-    terms = texts.select("key", words(F.col("text")).alias("w")).select("key", F.size("w").alias("length"), F.explode("w").alias("term"))
-    totals = texts.select(F.size(words(F.col("text"))).alias("length")).agg(F.count("*").alias("n_texts"), F.avg("length").alias("avg_length"))
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    terms = texts.select("key", word_count(F.col("text")).alias("length"), F.explode(words(F.col("text"))).alias("term"))
+    totals = texts.select(word_count(F.col("text")).alias("length")).agg(F.count("*").alias("n_texts"), F.avg("length").alias("avg_length"))
     wanted = terms.join(asked.select("term").distinct(), "term", "left_semi")
     tf = wanted.groupBy("term", "key").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

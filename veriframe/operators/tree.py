@@ -2,7 +2,8 @@
 
 Input lines: doc_id, line_no (from 1), text, and where known anchor and page.
 A document's headings are windowed over that document alone; text stays out of
-the node table.
+the node table.  A document whose lines have pages keeps every section, however
+short, and its sections aren't split: they are addressed by page.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 # Fixed values of the tree rules.
 MOST_CHARS = 80_000
 LEAST_LINES = 6
-HEADING = r"^(#{1,6})\s+(.*)$"
-ITEM = r"(?i)^(PART|ITEM)\s"
+HEADING = r"(?U)^(#{1,6})\s+(.*)$"
+ITEM = r"(?iU)^(PART|ITEM)\s"
 PATH_SEPARATOR = " › "
 
 
@@ -43,11 +44,11 @@ def place(heads: DataFrame, sizes: DataFrame) -> DataFrame:
     parents = [F.when(level > k, F.last(F.when(level == k, F.col("ord")), ignorenulls=True).over(before)) for k in range(1, 6)]
     ends = [F.when(level >= k, F.first(F.when(level == k, F.col("line_no")), ignorenulls=True).over(after)) for k in range(1, 7)]
     placed = heads.select("*", F.coalesce(F.greatest(*parents), F.lit(0)).alias("parent_ord"), F.least(*ends).alias("_next"))
-    return placed.join(sizes, "doc_id").select("doc_id", "ord", "parent_ord", "level", "title", F.col("line_no").alias("line_start"), F.coalesce(F.col("_next") - 1, F.col("n_lines")).cast("int").alias("line_end"))
+    return placed.join(sizes, "doc_id").select("doc_id", "ord", "parent_ord", "level", "title", F.col("line_no").alias("line_start"), F.coalesce(F.col("_next") - 1, F.col("n_lines")).cast("int").alias("line_end"), "paged")
 
 
 def prune(nodes: DataFrame, min_lines: int = LEAST_LINES) -> DataFrame:
-    """Drops sections too short to go to, unless they or a section in them is a PART or ITEM.
+    """Drops sections too short to go to, unless they or a section in them is a PART or ITEM, or the document has pages.
 
     A section in another is never longer, so this equals folding leaves away from below.
     """
@@ -55,12 +56,12 @@ def prune(nodes: DataFrame, min_lines: int = LEAST_LINES) -> DataFrame:
     inside = Window.partitionBy("doc_id").orderBy("line_start").rangeBetween(1, Window.unboundedFollowing)
     next_item = F.coalesce(item, F.lit(False)) | (F.min(F.when(item, F.col("line_start"))).over(inside) <= F.col("line_end"))
     long = (F.col("line_end") - F.col("line_start")) >= min_lines
-    return nodes.withColumn("_keep", long | F.coalesce(next_item, F.lit(False))).filter("_keep").drop("_keep")
+    return nodes.withColumn("_keep", long | F.coalesce(next_item, F.lit(False))).filter("_keep or paged").drop("_keep")
 
 
 def split_long(nodes: DataFrame, lines: DataFrame, most: int = MOST_CHARS) -> DataFrame:
-    """Adds part nodes below leaves of more than ``most`` characters, on even line steps."""
-    leaf = nodes.join(nodes.select("doc_id", F.col("parent_id").alias("node_id")).distinct(), ["doc_id", "node_id"], "left_anti")
+    """Adds part nodes below leaves of more than ``most`` characters, on even line steps, in documents without pages."""
+    leaf = nodes.filter("not paged").join(nodes.select("doc_id", F.col("parent_id").alias("node_id")).distinct(), ["doc_id", "node_id"], "left_anti")
     upto = Window.partitionBy("doc_id").orderBy("line_no")
     ends = lines.select("doc_id", "line_no", F.sum(F.length("text") + 1).over(upto).alias("upto"), F.length("text").alias("own"))
     first = ends.select("doc_id", F.col("line_no").alias("line_start"), (F.col("upto") - F.col("own") - 1).alias("before"))
@@ -87,16 +88,17 @@ def build_tree(lines: DataFrame, min_lines: int = LEAST_LINES, most_chars: int =
     A document without headings is one section n1.  The root, which spans all
     lines, is not a row: it is the parent_id "root".
     """
-    sizes = lines.groupBy("doc_id").agg(F.max("line_no").alias("n_lines"))
+    paged = F.max(F.col("page").isNotNull()) if "page" in lines.columns else F.lit(False)
+    sizes = lines.groupBy("doc_id").agg(F.max("line_no").alias("n_lines"), paged.alias("paged"))
     heads = headings(lines)
     placed = place(heads, sizes)
     kept = prune(placed, min_lines)
     # a kept section's parent contains it, so it is kept too
     node = lambda ord_: F.concat(F.lit("n"), ord_.cast("string"))
-    named = kept.select("doc_id", node(F.col("ord")).alias("node_id"), F.when(F.col("parent_ord") == 0, "root").otherwise(node(F.col("parent_ord"))).alias("parent_id"), "ord", "level", "title", "line_start", "line_end")
+    named = kept.select("doc_id", node(F.col("ord")).alias("node_id"), F.when(F.col("parent_ord") == 0, "root").otherwise(node(F.col("parent_ord"))).alias("parent_id"), "ord", "level", "title", "line_start", "line_end", "paged")
     bare = sizes.join(heads.select("doc_id").distinct(), "doc_id", "left_anti")
-    single = bare.select("doc_id", F.lit("n1").alias("node_id"), F.lit("root").alias("parent_id"), F.lit(1).alias("ord"), F.lit(1).alias("level"), F.col("doc_id").cast("string").alias("title"), F.lit(1).alias("line_start"), F.col("n_lines").cast("int").alias("line_end"))
-    return split_long(named.unionByName(single), lines, most_chars)
+    single = bare.select("doc_id", F.lit("n1").alias("node_id"), F.lit("root").alias("parent_id"), F.lit(1).alias("ord"), F.lit(1).alias("level"), F.col("doc_id").cast("string").alias("title"), F.lit(1).alias("line_start"), F.col("n_lines").cast("int").alias("line_end"), "paged")
+    return split_long(named.unionByName(single), lines, most_chars).drop("paged")
 
 
 def with_addresses(nodes: DataFrame, lines: DataFrame) -> DataFrame:
@@ -137,3 +139,22 @@ def with_summaries(nodes: DataFrame, summaries: DataFrame) -> DataFrame:
 def note_references(content: Column) -> Column:
     """The note numbers that a text refers to."""
     return F.array_distinct(F.regexp_extract_all(content, F.lit(r"(?i)\bsee note (\d+)"), F.lit(1)))
+
+
+def node_counts(nodes: DataFrame) -> DataFrame:
+    """doc_id and the number of its sections, the root aside."""
+    return nodes.filter("node_id <> 'root'").groupBy("doc_id").agg(F.count("*").alias("n_nodes"))
+
+
+def notes(content: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, note, note_node): the notes that sections (doc_id, node_id, content) refer to, with the first section of that document titled so."""
+    titled = nodes.select("doc_id", F.regexp_extract("title", r"(?i)^note\s+(\d+)\b", 1).alias("note"), "line_start", F.col("node_id").alias("note_node")).filter("note <> ''")
+    first = titled.groupBy("doc_id", "note").agg(F.min_by("note_node", F.struct("line_start", "note_node")).alias("note_node"))
+    asked = content.select("doc_id", "node_id", F.explode(note_references(F.col("content"))).alias("note"))
+    return asked.join(first, ["doc_id", "note"], "left").select("doc_id", "node_id", "note", "note_node")
+
+
+def unread(nodes: DataFrame, seen: DataFrame) -> DataFrame:
+    """The leaf sections (doc_id, node_id) of documents that no step of a walk (doc_id, node_id) went to."""
+    parents = nodes.select("doc_id", F.col("parent_id").alias("node_id")).distinct()
+    return nodes.filter("node_id <> 'root'").join(parents, ["doc_id", "node_id"], "left_anti").join(seen.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti").select("doc_id", "node_id")

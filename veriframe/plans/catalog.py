@@ -155,7 +155,8 @@ def verdict_basis_mismatch(spark, sf_dir):
 
 # --- parsing ---------------------------------------------------------------------
 
-_FORMS = ("concat('$', p_size, '.', p_partkey % 10, ' million')", "concat('$(', p_size, ',', lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0'), ')')", "concat(p_size, '%')", "concat(p_partkey, ' bps')", "concat(p_size, '.', p_partkey % 10, 'B')", "'no figure'")
+# every other scale word stands behind a non-breaking space
+_FORMS = ("concat('$', p_size, '.', p_partkey % 10, CASE WHEN p_partkey % 4 = 0 THEN chr(160) ELSE ' ' END, 'million')", "concat('$(', p_size, ',', lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0'), ')')", "concat(p_size, '%')", "concat(p_partkey, ' bps')", "concat(p_size, '.', p_partkey % 10, 'B')", "'no figure'")
 _FORM = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(_FORMS)) + " END"
 
 
@@ -179,6 +180,7 @@ def parse_period_forms(spark, sf_dir):
     year = F.year(date).cast("string")
     forms = [F.concat(F.lit("Q"), F.quarter(date).cast("string"), F.lit(" FY"), year), F.concat(F.lit("fiscal year "), year), F.concat(F.lit("FY"), F.substring(year, 3, 2)), F.concat(F.lit("nine months ended "), F.date_format(date, "MMMM d, yyyy"))]
     text = F.get(F.array(*forms), F.col("o_orderkey") % 4)
+    text = F.when(F.col("o_orderkey") % 8 < 4, F.translate(text, " ", "\u00a0")).otherwise(text)
     rows = _read(spark, sf_dir, "orders").withColumn("p", nz.parse_period(text))
     return rows.select("o_orderkey", "p.kind", "p.year", "p.quarter", "p.months", F.date_format("p.end_date", "yyyy-MM-dd").alias("end_date"))
 
@@ -227,15 +229,19 @@ def quote_ungrounded(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT doc_id, regexp_extract(coalesce(text, ''), '[0-9][0-9,.]*', 0) AS raw, regexp_replace(coalesce(text, ''), '[^0-9]', '', 'g') AS ds FROM documents),
-p AS (SELECT a.doc_id, a.raw, a.ds AS own, coalesce(b.ds, '') AS other FROM d a LEFT JOIN d b ON b.doc_id = a.doc_id + 1 WHERE a.raw <> ''),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[0-9][0-9,.]*') AS raws, regexp_replace(coalesce(text, ''), '[^0-9]', '', 'g') AS ds FROM documents),
+e AS (SELECT doc_id, ds, unnest(range(len(raws))) AS pos, unnest(raws) AS raw FROM d),
+p AS (SELECT a.doc_id, a.pos, a.raw, a.ds AS own, coalesce(b.ds, '') AS other FROM e a LEFT JOIN d b ON b.doc_id = a.doc_id + 1),
 f AS (SELECT *, list_filter(list_distinct([regexp_replace(raw, '[^0-9]', '', 'g'), regexp_replace(regexp_replace(raw, '\\.0+\\b', '', 'g'), '[^0-9]', '', 'g'), CASE WHEN contains(raw, '.') THEN regexp_replace(string_split(raw, '.')[1], '[^0-9]', '', 'g') ELSE '' END]), lambda x: x <> '') AS forms FROM p)
-SELECT doc_id, raw, len(list_filter(forms, lambda x: contains(own, x))) > 0 AS in_own, len(list_filter(forms, lambda x: contains(other, x))) > 0 AS in_next FROM f""")
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, raw, len(list_filter(forms, lambda x: contains(own, x))) > 0 AS in_own, len(list_filter(forms, lambda x: contains(other, x))) > 0 AS in_next FROM f""")
 def figure_grounding(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract(F.coalesce("text", F.lit("")), "[0-9][0-9,.]*", 0).alias("raw"), g.digits(F.col("text")).alias("own"))
+    """Every figure of every text, looked for in its own text and in the next document."""
+    text = F.coalesce("text", F.lit(""))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(text, F.lit("[0-9][0-9,.]*"), F.lit(0)).alias("raws"), g.digits(text).alias("own"))
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("own").alias("other"))
-    both = docs.filter("raw <> ''").join(after, "doc_id", "left")
-    return both.select("doc_id", "raw", g.figure_retrievable(F.col("raw"), F.col("own")).alias("in_own"), g.figure_retrievable(F.col("raw"), F.coalesce("other", F.lit(""))).alias("in_next"))
+    other = F.coalesce("other", F.lit(""))
+    looked = F.transform("raws", lambda r: F.struct(r.alias("raw"), g.figure_retrievable(r, F.col("own")).alias("in_own"), g.figure_retrievable(r, other).alias("in_next")))
+    return docs.filter(F.size("raws") > 0).join(after, "doc_id", "left").select("doc_id", F.posexplode(looked).alias("pos", "f")).select("doc_id", "pos", "f.*")
 
 
 _STOPS = ", ".join(f"'{w}'" for w in g.STOP_WORDS)
@@ -267,6 +273,51 @@ def findings_left_join(spark, sf_dir):
     return validate.validate_all(claims, findings, none).select("claim_index", "status", "rejected")
 
 
+@query(f"""
+WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1),
+j AS (SELECT d.doc_id, text, CASE d.doc_id % 3 WHEN 0 THEN regexp_extract(coalesce(text, ''), '[0-9][0-9,.]*') WHEN 1 THEN '$7,777,777' ELSE '' END AS found,
+    CASE WHEN d.doc_id % 2 = 0 THEN left({_SQUEEZED}, 40) ELSE 'in none of the texts' END AS quote, {_SQUEEZED} AS hay, regexp_replace(coalesce(text, ''), '[^0-9]', '', 'g') AS ds, quality IS NOT NULL AS told
+  FROM documents d LEFT JOIN l USING (doc_id)),
+r AS (SELECT *, CASE WHEN NOT told THEN 'agent returned no finding for this claim' WHEN doc_id % 5 = 0 THEN 'cited node not retrievable: ' || doc_id
+    WHEN found <> '' AND doc_id % 3 = 1 AND NOT contains(ds, '7777777') THEN 'figure is not in the cited text: ' || found
+    WHEN found = '' AND NOT (len(list_filter(string_split(quote, ' '), lambda w: w <> '')) >= 3 AND contains(hay, trim(quote))) THEN 'quote is not in the cited text: ' || left(quote, 60) ELSE '' END AS rejected FROM j)
+SELECT CAST(doc_id AS INTEGER) AS claim_index, CASE WHEN rejected = '' THEN 'SUPPORTED' ELSE 'NO_EVIDENCE' END AS status, rejected, CASE WHEN rejected = '' THEN 'c' || doc_id ELSE '' END AS cite FROM r""")
+def finding_contract(spark, sf_dir):
+    """Findings with figures and quotes held against the texts that were fetched for them; every fifth text wasn't."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.lit("r").alias("run"), F.col("doc_id").cast("int").alias("claim_index"), "text")
+    told = docs.join(_read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    found = F.when(F.col("doc_id") % 3 == 0, F.regexp_extract(text, "[0-9][0-9,.]*", 0)).when(F.col("doc_id") % 3 == 1, "$7,777,777").otherwise("")
+    quote = F.when(F.col("doc_id") % 2 == 0, F.substring(g.squeezed(F.col("text")), 1, 40)).otherwise("in none of the texts")
+    finding = F.struct("claim_index", F.lit("supported").alias("verdict"), found.alias("found"), quote.alias("quote"), F.col("doc_id").cast("string").alias("doc_id"), F.array(F.lit("n1")).alias("node_ids"))
+    answers = told.select("run", F.to_json(F.struct(F.array(finding).alias("findings"))).alias("content"))
+    fetched = docs.filter("doc_id % 5 <> 0").select("run", "claim_index", F.col("text").alias("content"), F.lit("").alias("titles"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("cite"))
+    return validate.validate_all(docs.drop("doc_id"), validate.parse_findings(validate.decode_findings(answers)), fetched).select("claim_index", "status", "rejected", "cite")
+
+
+@query("""
+WITH t AS (SELECT CAST(p_partkey AS BIGINT) AS claim_id, p_size * 1000 + p_partkey % 1000 AS v, p_partkey % 4 AS d, p_size || ',' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS raw FROM part)
+SELECT claim_id, CASE d WHEN 0 THEN 'CONTRADICTED' WHEN 3 THEN 'SUPPORTED' ELSE 'NO_SOURCE' END AS status, v * CASE WHEN d = 0 THEN 3.0 ELSE 1.0 END * 1000 AS claimed, CASE WHEN d IN (0, 3) THEN v * 1000.0 END AS actual,
+  CASE d WHEN 0 THEN 'band' WHEN 3 THEN '' ELSE 'not_covered' END AS reason_code, CASE WHEN d = 2 THEN 0 ELSE 1 END AS n_quantities, CASE WHEN d = 2 THEN '' ELSE 'u' || claim_id END AS cite,
+  '[dropped, not present in the cited text: ' || CASE WHEN d = 2 THEN raw || ', ' ELSE '' END || '888888888]' AS note FROM t""")
+def evidence_verdicts(spark, sf_dir):
+    """Figures of findings, grounded in what was fetched, as evidence for verdicts: of four claims one is tripled, one of another year and one has nothing fetched."""
+    part = _read(spark, sf_dir, "part").withColumn("d", F.col("p_partkey") % 4)
+    raw = F.concat(F.col("p_size").cast("string"), F.lit(","), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"))
+    key = [F.lit("r").alias("run"), F.col("p_partkey").cast("int").alias("claim_index")]
+    figure = lambda x: F.struct(x.alias("raw"), F.lit("total revenue").alias("label"), F.lit("").alias("unit"), F.lit("FY2024").alias("period"))
+    one = F.struct(F.col("p_partkey").cast("int").alias("claim_index"), F.array(figure(raw), figure(F.lit("888888888"))).alias("figures"), F.lit("filing").alias("doc_id"), F.array(F.lit("n1")).alias("node_ids"), F.lit("").alias("quote"))
+    answers = part.select(F.lit("r").alias("run"), F.to_json(F.struct(F.array(one).alias("findings"))).alias("content"))
+    rows = part.filter("d <> 2").select(*key, F.lit(0).alias("pos"), F.concat(F.lit("(in thousands) Revenue "), raw, F.lit(" and more")).alias("content"), F.lit("Results").alias("title"), F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("cite"))
+    fetched = validate.gathered(rows.withColumn("request", F.col("claim_index"))).withColumnRenamed("request", "claim_index").withColumn("run", F.lit("r"))
+    evidence = validate.to_evidence(part.select(*key), validate.parse_figure_findings(validate.decode_findings(answers)), fetched).withColumn("claim_id", F.col("claim_index").cast("bigint"))
+    value = (F.col("p_size") * 1000 + F.col("p_partkey") % 1000) * F.when(F.col("d") == 0, 3).otherwise(1)
+    year = F.when(F.col("d") == 1, 2023).otherwise(2024)
+    claims = _claims(part.withColumn("claim_id", F.col("p_partkey").cast("bigint")), _q(value, "count", F.lit(1000.0), _fy(year), F.lit("GAAP"), value.cast("string")), "absolute")
+    done = compare.verdicts(claims, evidence).withColumnsRenamed({"citation_url": "cite", "quote": "note"})
+    return done.select("claim_id", "status", "claimed", "actual", "reason_code", F.size("quantities").alias("n_quantities"), "cite", "note")
+
+
 # --- extraction ---------------------------------------------------------------------
 
 
@@ -319,26 +370,43 @@ def section_paths(spark, sf_dir):
     return tree.paths(tree.build_tree(tree.lines_of(outlines(spark, sf_dir))))
 
 
-@query(f"""WITH {_HEADS.replace('i / 3', 'i // 3')}, l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
-SELECT CAST(k.doc_id AS VARCHAR) AS doc_id, 'n' || ord AS node_id, CAST(sum(length(CASE WHEN x % 3 = 0 THEN repeat('#', CAST(1 + (k.doc_id + x) % 3 AS INTEGER)) || ' ' || CASE WHEN x % 9 = 0 THEN 'Item ' || x ELSE 's' || x END ELSE ls[x + 1] END) + 1) - 1 AS BIGINT) AS n_chars
-FROM (SELECT *, unnest(range(line_start - 1, line_end)) AS x FROM kept) k JOIN l ON k.doc_id = l.doc_id GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {_HEADS.replace('i / 3', 'i // 3')}, l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+up AS (SELECT doc_id, ord, title AS path FROM kept WHERE parent = 0 UNION ALL SELECT k.doc_id, k.ord, up.path || ' › ' || k.title FROM kept k JOIN up ON k.doc_id = up.doc_id AND k.parent = up.ord),
+texts AS (SELECT k.doc_id, ord, line_start, line_end, string_agg(CASE WHEN x % 3 = 0 THEN repeat('#', CAST(1 + (k.doc_id + x) % 3 AS INTEGER)) || ' ' || CASE WHEN x % 9 = 0 THEN 'Item ' || x ELSE 's' || x END ELSE ls[x + 1] END, chr(10) ORDER BY x) AS t
+  FROM (SELECT *, unnest(range(line_start - 1, line_end)) AS x FROM kept) k JOIN l ON k.doc_id = l.doc_id GROUP BY 1, 2, 3, 4)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'n' || ord AS node_id, path, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'http://x/' || doc_id END AS cite, CAST(line_start AS BIGINT) AS first_line, CAST(line_end AS BIGINT) AS last_line, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM texts JOIN up USING (doc_id, ord)""")
 def section_content(spark, sf_dir):
-    """The length of every section's text, fetched by one request for each document."""
+    """Every section's text, path, place and citation, fetched by one request for each document."""
     docs = outlines(spark, sf_dir)
     nodes = retrieve.addressed(docs)
     asked = nodes.filter("node_id <> 'root'").groupBy("doc_id").agg(F.collect_list("node_id").alias("node_ids")).select(F.col("doc_id").alias("request"), "doc_id", "node_ids")
-    rows = retrieve.content(asked, nodes, docs, corpus.read_manifest(spark, None))
-    return rows.select("doc_id", "node_id", F.length("content").cast("bigint").alias("n_chars"))
+    manifest = docs.filter(F.col("doc_id").cast("bigint") % 3 != 0).select("doc_id", F.concat(F.lit("http://x/"), "doc_id").alias("url"))
+    rows = retrieve.content(asked, nodes, docs, manifest)
+    return rows.select("doc_id", "node_id", "path", "cite", F.col("loc.line_start").cast("bigint").alias("first_line"), F.col("loc.line_end").cast("bigint").alias("last_line"), F.length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("text_md5"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents),
+p AS (SELECT doc_id, n, unnest(range(1, (n + 2) // 3 + 1)) AS page FROM l)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'n' || page AS node_id, 'Page ' || page AS title, CAST(5 * page - 4 AS BIGINT) AS line_start, CAST(CASE WHEN 3 * page < n THEN 5 * page ELSE 5 * (page - 1) + n - 3 * (page - 1) + 2 END AS BIGINT) AS line_end, CAST(page AS BIGINT) AS page_start, CAST(page AS BIGINT) AS page_end FROM p""")
+def paged_tree(spark, sf_dir):
+    """Documents as extracted pages of three lines: every page is a section."""
+    lines = F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("#"), F.lit("")), "\n", -1)
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), lines.alias("l"))
+    pages = docs.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 3).cast("int")), lambda i: F.array_join(F.slice("l", 3 * i + 1, F.lit(3)), "\n"))).alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("page"), "text")
+    found = tree.lines_of(corpus.paged_documents(pages))
+    nodes = tree.with_addresses(tree.build_tree(found), found)
+    return nodes.select("doc_id", "node_id", "title", *(F.col(c).cast("bigint").alias(c) for c in ("line_start", "line_end", "page_start", "page_end")))
 
 
 # --- pages, listing, search ------------------------------------------------------------
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS doc_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages WHERE regexp_extract(html, '<h1>(.*?)</h1>', 1) NOT LIKE '%&a' AND regexp_extract(html, '<h1>(.*?)</h1>', 1) NOT LIKE '%&am'")
+@query("SELECT CAST(page_id AS VARCHAR) AS doc_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
 def page_titles(spark, sf_dir):
-    """The heading blocks h1 of pages; titles cut inside a character reference stay out."""
+    """The heading blocks h1 of pages; what is no whole character reference stays as it is."""
     pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
-    return corpus.page_blocks(pages).filter("kind = 'text' and tag = 'h1'").filter(~F.col("text").rlike("&(a|am)$")).select("doc_id", F.col("text").alias("title"))
+    return corpus.page_blocks(pages).filter("kind = 'text' and tag = 'h1'").select("doc_id", F.col("text").alias("title"))
 
 
 @query()
@@ -380,7 +448,7 @@ def json_props(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-_RUNS = "runs AS (SELECT 'm' || (event_id % 5) AS model, CAST((event_id // 5) % 40 AS BIGINT) AS c, CASE WHEN event_type = 'click' THEN 'SUPPORTED' WHEN event_type = 'view' THEN 'CONTRADICTED' ELSE 'NO_EVIDENCE' END AS status, CASE WHEN (event_id // 5) % 2 = 0 THEN 'SUPPORTED|BASIS_MISMATCH' ELSE 'CONTRADICTED' END AS expected, event_id % 60 AS seconds FROM events)"
+_RUNS = "runs AS (SELECT 'm' || (event_id % 5) AS model, CAST(event_id // 5 AS BIGINT) AS c, CASE WHEN event_type = 'click' THEN 'SUPPORTED' WHEN event_type = 'view' THEN 'CONTRADICTED' ELSE 'NO_EVIDENCE' END AS status, CASE WHEN (event_id // 5) % 2 = 0 THEN 'SUPPORTED|BASIS_MISMATCH' ELSE 'CONTRADICTED' END AS expected, event_id % 60 AS seconds FROM events)"
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,7 +456,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     case = F.floor(F.col("event_id") / 5)
     status = F.when(F.col("event_type") == "click", "SUPPORTED").when(F.col("event_type") == "view", "CONTRADICTED").otherwise("NO_EVIDENCE")
-    return e.select(F.concat(F.lit("m"), (F.col("event_id") % 5).cast("string")).alias("model"), (case % 40).alias("case"), status.alias("status"), F.when(case % 2 == 0, "SUPPORTED|BASIS_MISMATCH").otherwise("CONTRADICTED").alias("expected"), (F.col("event_id") % 60).alias("seconds"), F.lit("").alias("rejected"))
+    return e.select(F.concat(F.lit("m"), (F.col("event_id") % 5).cast("string")).alias("model"), case.alias("case"), status.alias("status"), F.when(case % 2 == 0, "SUPPORTED|BASIS_MISMATCH").otherwise("CONTRADICTED").alias("expected"), (F.col("event_id") % 60).alias("seconds"), F.lit("").alias("rejected"))
 
 
 @query(f"WITH {_RUNS} SELECT model, count(*) FILTER (list_contains(string_split(expected, '|'), status)) AS hits, count(*) AS total, CAST(sum(seconds) AS BIGINT) AS seconds, max(seconds) AS slowest FROM runs GROUP BY 1")
@@ -423,8 +491,17 @@ def sse_frames(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", sinks.sse_frame(F.col("event_type"), F.struct("event_id", "user_id")).alias("frame"))
 
 
-@query(f"""WITH {_BASE} SELECT d, CAST(count(*) AS BIGINT) AS n, CASE d WHEN 0 THEN 'clean' WHEN 1 THEN 'seeded: scale' WHEN 2 THEN 'seeded: digits' WHEN 3 THEN 'seeded: period' WHEN 4 THEN 'seeded: sign' WHEN 5 THEN 'seeded: unit' ELSE 'seeded: basis' END AS why FROM pairs GROUP BY 1""")
+@query(f"""WITH {_BASE} SELECT claim_id, CASE d WHEN 0 THEN 'clean' WHEN 1 THEN 'seeded: scale' WHEN 2 THEN 'seeded: digits' WHEN 3 THEN 'seeded: period' WHEN 4 THEN 'seeded: sign' WHEN 5 THEN 'seeded: unit' ELSE 'seeded: basis' END AS why,
+  k * CASE d WHEN 2 THEN 3.0 WHEN 4 THEN -1.0 ELSE 1.0 END AS value, CASE WHEN d = 1 THEN 1000000.0 ELSE 1000.0 END AS scale, CAST(CASE WHEN d = 3 THEN y - 1 ELSE y END AS INTEGER) AS year, CASE WHEN d = 5 THEN 'percent' ELSE 'USD' END AS unit, CASE WHEN d = 6 THEN 'adjusted' ELSE 'GAAP' END AS basis FROM pairs""")
 def seeded_defects(spark, sf_dir):
     rows = revenue(spark, sf_dir)
     claims = rows.withColumn("value", _q(F.col("k"), "USD", F.lit(1000.0), _fy(F.col("y")), F.lit("GAAP"), F.col("k").cast("string")))
-    return report.seed_defects(claims, F.col("d")).groupBy("d", "why").agg(F.count("*").alias("n"))
+    return report.seed_defects(claims, F.col("d")).select("claim_id", "why", "value.value", "value.scale", "value.period.year", "value.unit", "value.basis")
+
+
+@query("SELECT 'm' || (event_id % 5) AS model, event_type AS operation, CAST(min(event_id) AS BIGINT) AS first_pos, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS carried FROM events GROUP BY 1, 2")
+def operations_by_model(spark, sf_dir):
+    """Operations in the order they are first seen, and how many of them a later extraction carries over."""
+    claims = _read(spark, sf_dir, "events").select(F.concat(F.lit("m"), (F.col("event_id") % 5).cast("string")).alias("model"), F.col("event_type").alias("operation"), "event_id")
+    later = claims.filter("operation = 'click'").select("event_id")
+    return report.operations_seen(report.carried(claims, later, "event_id"), "event_id", "model")

@@ -1,122 +1,157 @@
 """HTML pages as rows of leaf blocks; what the blocks mean is decided in Spark.
 
-A task parses a page with the standard library's tokenizer, closing what is left
-open, and emits its blocks in page order.  Heading rules, table collapsing and
-line numbering are Column expressions in ``corpus``.
+A task reads a page tag by tag and keeps one flat state: the open elements with
+marks into the lists of texts, cells and blocks so far.  When an element ends, its marks say what it was: a table, a block that held
+no further block, or something to be looked through.  Nothing recurses and no
+list is copied, so depth costs no more than length.  Heading rules, table
+collapsing and line numbering are Column expressions in ``corpus``.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 
+from .html_tokens import attributes, tokens
+
 #: Fixed: elements that make a block, that never hold content, and that a new block ends.
 BLOCK = frozenset("div p li tr td th table body html h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
-BOLD = frozenset(("b", "strong"))
+BARRIERS = frozenset("table div ul ol td th body".split())
+STYLED = frozenset("span font b strong".split())
+#: Fixed: blocks that don't make the block around them a container.
+CELLS = frozenset("td th tr".split())
+#: Fixed: the most columns that HTML lets a cell span.
+MOST_COLUMNS = 1000
 BLOCK_TYPE = "struct<seq:int,kind:string,tag:string,text:string,bold:boolean,grid:array<array<struct<text:string,colspan:int>>>>"
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "children")
-
-    def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.children = tag, attrs, []
+class _Open:
+    """An open element, and how much had been seen when it began."""
 
-    def each(self) -> Iterator[Node]:
-        """All elements below."""
-        for child in self.children:
-            if isinstance(child, Node):
-                yield child
-                yield from child.each()
+    __slots__ = ("tag", "bold", "has_block", "blocks", "texts", "styled", "plain", "first_cell", "row", "cell")
 
-    def strings(self) -> Iterator[str]:
-        for child in self.children:
-            if isinstance(child, Node):
-                yield from child.strings()
-            elif text := child.strip():
-                yield text
+    def __init__(self, tag: str, bold: bool) -> None:
+        self.tag, self.bold, self.has_block = tag, bold, False
+        self.row: list[list[int]] = []
+        self.cell: list[int] = []
 
-    def text(self) -> str:
-        return re.sub(r"\s+", " ", " ".join(self.strings())).strip()
 
-    def bold(self) -> bool:
-        style = self.attrs.get("style", "")
-        return self.tag in BOLD or "font-weight:7" in style or "font-weight:bold" in style
+def _columns(colspan: str) -> int:
+    number = re.match(r"[ \t\r\n]*0*([0-9]{1,9})", colspan)
+    return min(max(int(number[1]), 1), MOST_COLUMNS) if number else 1
 
 
-class _Builder(HTMLParser):
+class _Blocks:
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Node("", {})
-        self.open = [self.root]
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        ends = CLOSES.get(tag, {"p"} if tag in BLOCK else set())
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in ends:
-                del self.open[i:]
-                break
-            if self.open[i].tag in ("table", "div", "ul", "ol", "td", "th", "body") and self.open[i].tag not in ends:
-                break
-        node = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
+        self.blocks: list[dict] = []
+        self.texts: list[str] = []
+        self.rows: list[list[list[int]]] = []  # of the outermost open table
+        self.cells: list[list[int]] = []  # first text, text after the last, columns
+        self.styled = self.plain = 0  # styled elements so far, and those of them with text that isn't bold
+        self.open: list[_Open] = []
+        self.counts: Counter[str] = Counter()
+        self.body_depth = -1
+
+    def start(self, tag: str, written: str) -> None:
+        if tag == "body":
+            if self.body_depth >= 0:
                 return
-
-    def handle_data(self, data: str) -> None:
-        if self.open[-1].tag not in ("script", "style"):
-            self.open[-1].children.append(data)
-
-
-def _table(node: Node) -> list[list[dict]]:
-    rows = []
-    for tr in (x for x in node.each() if x.tag == "tr"):
-        cells = [c for c in tr.children if isinstance(c, Node) and c.tag in ("td", "th")] or [c for c in tr.each() if c.tag in ("td", "th")]
-        rows.append([{"text": c.text(), "colspan": max(1, int(c.attrs["colspan"]) if c.attrs.get("colspan", "").isdigit() else 1)} for c in cells])
-    return rows
-
-
-def leaf_blocks(html: str) -> Iterator[dict]:
+            self.body_depth = len(self.open)
+            self.blocks.clear()
+        self._end_before(tag)
+        own = attributes(written)
+        style = own.get("style", "")
+        if own.get("id") and ":" not in tag and tag != "body":
+            self.blocks.append({"kind": "anchor", "tag": tag, "text": own["id"]})
+        element = _Open(tag, tag in ("b", "strong") or "font-weight:7" in style or "font-weight:bold" in style)
+        if tag == "table" and not self.counts["table"]:
+            self.rows, self.cells = [], []
+        element.blocks, element.texts, element.styled, element.plain, element.first_cell = len(self.blocks), len(self.texts), self.styled, self.plain, len(self.cells)
+        if tag == "tr":
+            self.rows.append(element.row)
+        elif tag in ("td", "th"):
+            element.cell = [len(self.texts), len(self.texts), _columns(own.get("colspan", ""))]
+            self.cells.append(element.cell)
+            if self.open and self.open[-1].tag == "tr":
+                self.open[-1].row.append(element.cell)
+        self.open.append(element)
+        self.counts[tag] += 1
+        if tag in VOID or written.endswith("/"):
+            self._close()
+
+    def end(self, tag: str) -> None:
+        # what stands behind the body's end still belongs to it
+        if self.counts[tag] and tag not in ("body", "html"):
+            depth = len(self.open) - 1
+            while self.open[depth].tag != tag:
+                depth -= 1
+            self.close_to(depth)
+
+    def text(self, data: str) -> None:
+        if not (self.open and self.open[-1].tag in ("script", "style")) and (text := unescape(data).strip()):
+            self.texts.append(text)
+
+    def _end_before(self, tag: str) -> None:
+        ends = CLOSES.get(tag, {"p"} if tag in BLOCK else set())
+        depth = len(self.open) - 1 if any(self.counts[t] for t in ends) else -1
+        while depth >= 0 and self.open[depth].tag not in ends:
+            depth = -1 if self.open[depth].tag in BARRIERS else depth - 1
+        if depth >= 0:
+            self.close_to(depth)
+
+    def close_to(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self._close()
+
+    def _close(self) -> None:
+        done = self.open.pop()
+        tag = done.tag
+        self.counts[tag] -= 1
+        if done.cell:
+            done.cell[1] = len(self.texts)
+        if tag == "tr" and not done.row:
+            done.row.extend(self.cells[done.first_cell :])
+        if len(self.open) > self.body_depth and not self.counts["table"]:
+            if tag == "table":
+                grid = [[{"text": self._text(a, b), "colspan": n} for a, b, n in row] for row in self.rows]
+                self.blocks[done.blocks :] = [{"kind": "table", "tag": tag, "grid": grid}]
+            elif tag in BLOCK and not done.has_block:
+                bold = self.plain == done.plain if self.styled > done.styled else done.bold
+                self.blocks[done.blocks :] = [{"kind": "text", "tag": tag, "text": self._text(done.texts, len(self.texts)), "bold": bold}]
+        if tag in STYLED:
+            self.styled += 1
+            self.plain += len(self.texts) > done.texts and not done.bold
+        if self.open and (done.has_block or (tag in BLOCK and tag not in CELLS)):
+            self.open[-1].has_block = True
+
+    def _text(self, start: int, end: int) -> str:
+        return re.sub(r"\s+", " ", " ".join(self.texts[start:end])).strip()
+
+
+def leaf_blocks(html: str) -> list[dict]:
     """Blocks in page order: anchors, whole tables, and texts of blocks that hold no further block."""
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    body = next((x for x in builder.root.each() if x.tag == "body"), builder.root)
-
-    def walk(node: Node) -> Iterator[dict]:
-        for child in node.children:
-            if not isinstance(child, Node):
-                continue
-            if child.attrs.get("id") and ":" not in child.tag:
-                yield {"kind": "anchor", "tag": child.tag, "text": child.attrs["id"]}
-            if child.tag == "table":
-                yield {"kind": "table", "tag": "table", "grid": _table(child)}
-            elif any(x.tag in BLOCK and x.tag not in ("td", "th", "tr") for x in child.each()):
-                yield from walk(child)
-            elif child.tag in BLOCK:
-                styled = [x for x in child.each() if x.tag in ("span", "font", "b", "strong")]
-                bold = all(x.bold() or not x.text() for x in styled) if styled else child.bold()
-                yield {"kind": "text", "tag": child.tag, "text": child.text(), "bold": bold}
-            else:
-                yield from walk(child)
-
-    yield from walk(body)
+    found = _Blocks()
+    for kind, what, written in tokens(html):
+        if kind == "start":
+            found.start(what, written)
+        elif kind == "end":
+            found.end(what)
+        else:
+            found.text(what)
+    found.close_to(0)
+    return found.blocks
 
 
 def block_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, html) to (doc_id, blocks)."""
     kind = pa.list_(pa.struct([("seq", pa.int32()), ("kind", pa.string()), ("tag", pa.string()), ("text", pa.string()), ("bold", pa.bool_()), ("grid", pa.list_(pa.list_(pa.struct([("text", pa.string()), ("colspan", pa.int32())]))))]))
     for batch in batches:
-        rows = [[{"seq": i, **b} for i, b in enumerate(leaf_blocks(x or ""))] for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "blocks"])
+        for i in range(batch.num_rows):  # a page at a time, as one may be very long
+            rows = [{"seq": k, **b} for k, b in enumerate(leaf_blocks(batch.column(1)[i].as_py() or ""))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([rows], kind)], names=["doc_id", "blocks"])
