@@ -96,6 +96,35 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r.text for r in got} == {"the very same words"} and len(got) == 30
 
 
+def test_hosts_decide_without_names(spark):
+    """Menus, adverts and footers of no known name or tag, with words of their own on each page, go by their slots."""
+    body = lambda i: f"<div class=zq{i}><div class=xx>go {i} there</div><div class=yy><h1>Head {i}</h1><p>{sentence(i, 40)}</p><p>{sentence(i + 50, 30)}</p></div><div class=ww>words {i * 7} below</div></div>"
+    rows = [(i, f"http://many.org/{i}", body(i)) for i in range(12)] + [(100, "http://few.org/", body(100))]
+    got = {r.page_id: r.text.split("\n") for r in html_templates.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == [f"Head {i}", sentence(i, 40), sentence(i + 50, 30)] for i in range(12))
+    assert got[100][0] == "go 100 there" and got[100][-1] == "words 700 below"
+
+
+def test_slots_alone_find_the_articles(spark):
+    """On hosts with enough pages the deleted templates leave the article, even where no tag tells it."""
+    page = lambda i: f"<body><u1><div>a{i} <a>b</a></div></u1><section class=s><div>home {i}</div></section><table class=t><tr><td>menu{i}</table><div class=k>{sentence(i, 60)}<p>{sentence(i + 9, 50)}</p></div></body>"
+    rows = [(i, "http://h.org/", page(i)) for i in range(9)]
+    found = html_templates.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    for i in range(9):
+        assert html_templates.main_text(page(i), set(found.subtrees), set(found.slots), False).split("\n")[-2:] == [sentence(i, 60), sentence(i + 9, 50)]
+        assert f"menu{i}" not in html_templates.main_text(page(i), set(found.subtrees), set(found.slots), False)
+
+
+def test_odd_pages():
+    text = lambda page: html_templates.main_text(page, set())
+    assert text("<div>" * 100_000 + "x") == "x" and text("<b>" * 100_000 + "y") == "y"
+    assert text("ab" + "<a " * 1_700_000) == "ab"
+    assert text('<article><h1>T</h1><p>the long text of the page</p></article><article class="teaser-list"><p>other story</p></article>') == "T\nthe long text of the page"
+    assert text("<article><p>the long text of the page</p><article><p>a comment</p></article></article>") == "the long text of the page"
+    assert text('<article><p class="social">a real paragraph</p><p>two</p></article>') == "a real paragraph\ntwo"
+    assert text('<p title="a>b">x</p><p title="open>y</p>') == "x\ny" and text("1 < 2 &amp; 3 > 2") == "1 < 2 & 3 > 2"
+
+
 def secrets(text):
     found = []
     for number, rule in enumerate(secret_scan.RULES):
