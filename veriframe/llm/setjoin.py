@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -332,12 +332,15 @@ def answered_pairs(groups: DataFrame) -> DataFrame:
     centre: 9 cy > nc + ny.  With nx <= nc + cx a link then shares more than 4/9
     of the changes of x; and where x does link with the centre, more than
     cy - ny / 4 of those of y, and at least one.  So a prefix of each set's
-    changes finds all its partners.
+    changes, those that few of the group's sets have first, finds all its
+    partners; changes that no other set has take a place but make no list.
     """
     k = F.size("change")
     least = F.when(F.col("link"), F.floor(k * 4 / 9) + 1).otherwise(F.greatest(F.lit(1), F.least(F.floor(k * 4 / 9) + 1, k - F.floor(F.col("n") / 4)))).cast("int")
-    held = groups.filter(k > 0).select("sid", "centre", "n", "label", "link", k.alias("k"), F.slice(F.array_sort("change"), F.lit(1), k - least + 1).alias("listed"))
-    entries = held.select("sid", "centre", "n", "label", "link", "k", F.posexplode("listed").alias("pos", "token"))
+    held = groups.filter(k > 0).select("sid", "centre", "n", "label", k.alias("k"), (k - least + 1).alias("prefix"), F.explode("change").alias("token"))
+    shared = held.groupBy("centre", "token").agg(F.count("*").alias("m")).filter("m > 1")
+    ranked = held.join(shared, ["centre", "token"], "left").withColumn("pos", F.row_number().over(Window.partitionBy("sid").orderBy(F.coalesce("m", F.lit(1)), "token")) - 1)
+    entries = table(ranked.filter("pos < prefix and m > 1").drop("prefix", "m"))
     x, y = entries.alias("x"), entries.alias("y")
     need = 9 * (F.col("x.k") + F.col("y.k")) - F.col("x.n") - F.col("y.n")
     left = F.least(F.col("x.k") - F.col("x.pos"), F.col("y.k") - F.col("y.pos"))
