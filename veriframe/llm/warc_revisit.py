@@ -12,7 +12,8 @@ none of them, it is accepted.  The merged headers are the response's with those
 of the revisit that a not-modified answer may update: all but the ones that
 describe the body or the connection.
 
-Defined results: records are ordered by (ts, record_id); a record without url or
+Defined results: records are ordered by (ts, record_id), and of responses that
+share URL, time and id that with the least digest and headers counts; a record without url or
 ts, or a full response without record_id, takes no part and a revisit without
 them is "no_earlier_response"; repeated rows give a row each; columns other than
 those named stay out of the result; an empty table gives no rows.
@@ -49,7 +50,7 @@ def parse_headers(block: Column) -> Column:
 
 
 def latest_full(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(record_id, canonical, ts, target): for each record that is not full, the id of the latest earlier full response."""
+    """(record_id, canonical, ts, target, target_ts): for each record that is not full, id and time of the latest earlier full response."""
     known = records.filter("canonical is not null and ts is not null")
     span = known.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
     width = F.greatest(F.ceil((F.col("high") - F.col("low") + 1) / buckets), F.lit(1))
@@ -60,7 +61,7 @@ def latest_full(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     across = Window.partitionBy("canonical").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     last = placed.groupBy("canonical", "bucket").agg(F.max(full).alias("last")).withColumn("carried", F.max("last").over(across)).select("canonical", "bucket", "carried")
     near = placed.withColumn("near", F.max(full).over(inside)).filter(~F.col("is_full"))
-    return near.join(last, ["canonical", "bucket"]).select("record_id", "canonical", "ts", F.coalesce("near", "carried")["record_id"].alias("target"))
+    return near.join(last, ["canonical", "bucket"]).select("record_id", "canonical", "ts", F.coalesce("near", "carried").alias("latest")).select("record_id", "canonical", "ts", F.col("latest.record_id").alias("target"), F.col("latest.ts").alias("target_ts"))
 
 
 def _weak(tag: Column) -> Column:
@@ -78,10 +79,14 @@ def resolve_revisits(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     revisits = keyed.filter("kind = 'revisit'")
     slim = keyed.filter("is_full or kind = 'revisit'").select("record_id", "canonical", "ts", "is_full")
     found = latest_full(slim.withColumn("is_full", F.coalesce("is_full", F.lit(False))), buckets).dropDuplicates(["record_id", "canonical", "ts"])
-    responses = keyed.filter("is_full and record_id is not null").dropDuplicates(["record_id"]).select(F.col("record_id").alias("target"), F.col("status").alias("t_status"), F.col("headers").alias("t_headers"), F.col("payload_digest").alias("t_digest"))
+    response = F.min_by(F.struct("status", "headers", "payload_digest"), F.struct("payload_digest", F.to_json("headers")))
+    responses = keyed.filter("is_full and record_id is not null").groupBy(F.col("record_id").alias("target"), F.col("ts").alias("t_ts"), F.col("canonical").alias("t_canonical")).agg(response.alias("t"))
+    responses = responses.select("target", "t_ts", "t_canonical", F.col("t.status").alias("t_status"), F.col("t.headers").alias("t_headers"), F.col("t.payload_digest").alias("t_digest"))
     r, f = revisits.alias("r"), found.alias("f")
     on = F.col("r.record_id").eqNullSafe(F.col("f.record_id")) & (F.col("r.canonical") == F.col("f.canonical")) & (F.col("r.ts") == F.col("f.ts"))
-    joined = r.join(f, on, "left").select("r.*", "f.target").join(responses, "target", "left")
+    told = r.join(f, on, "left").select("r.*", "f.target", "f.target_ts").alias("a")
+    same = (F.col("a.target") == F.col("b.target")) & (F.col("a.target_ts") == F.col("b.t_ts")) & (F.col("a.canonical") == F.col("b.t_canonical"))
+    joined = told.join(responses.alias("b"), same, "left").select("a.*", "t_status", "t_headers", "t_digest")
     own, theirs = F.coalesce("headers", F.create_map().cast("map<string,string>")), F.coalesce("t_headers", F.create_map().cast("map<string,string>"))
     valid = (
         F.when(own["etag"].isNotNull(), F.coalesce(_weak(own["etag"]) == _weak(theirs["etag"]), F.lit(False)))
