@@ -10,8 +10,10 @@ Everything runs as DataFrame expressions.
 A match's place follows from the texts between matches: splitting by the rule
 gives the pieces around what extraction gives.
 
-Defined results: a null or empty text has no spans; rows are given back as often
-as they come; offsets are code points, ends exclusive.
+Defined results: a null or empty text has no spans; very long texts are scanned
+whole; rows are given back as often as they come; other columns, whatever their
+names, are ignored; an empty table gives no rows; offsets are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
@@ -28,19 +30,24 @@ from .common import table
 
 @dataclass(frozen=True)
 class Rule:
-    """Matches of ``pattern`` count when their ``group`` has ``least`` characters or more."""
+    """Matches of ``pattern`` count when their ``group`` has ``least`` characters or more.
+
+    ``scan`` is a pattern that gives just the matches that count, where there is one.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    scan: str | None = None
 
 
 #: Fixed patterns of the base kinds, and further kinds after them.
 BASE = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", r"[0-9a-f]+", 0, 32),
+    # greedy runs: a run that counts is matched whole from the same place, a shorter one not at all
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, r"AKIA[A-Z0-9]{12,}"),
+    Rule("hex", r"[0-9a-f]+", 0, 32, r"[0-9a-f]{32,}+"),
 )
 FURTHER = (
     Rule("github", r"gh[opsu]_[A-Za-z0-9]+", 0, 40),
@@ -110,9 +117,10 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def _spans(text: Column, rule: Rule, number: int) -> Column:
     """Array of (start, number, end) of the rule's matches."""
-    pattern = F.lit(rule.pattern)
+    scan = rule.scan or rule.pattern
+    pattern = F.lit(scan)
     match, group = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    parts = F.transform(F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), match.alias("match"), group.alias("group")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("match"), F.length(x["group"]).alias("group")))
+    parts = F.transform(F.arrays_zip(F.split(text, scan, -1).alias("gap"), match.alias("match"), group.alias("group")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("match"), F.length(x["group"]).alias("group")))
     kind = "array<struct<start:int,number:int,end:int>>"
     first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
@@ -122,7 +130,7 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
         span = F.array(F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["group"] >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, first, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    return F.when(text.rlike(scan), F.aggregate(parts, first, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
