@@ -13,8 +13,9 @@ group of near copies weighs about as much as one text.  The IQR is that of the
 language, or, where that is less, of the distances from the median over all languages.
 
 Defined results: a null or empty text has no words and fails the base rules; a
-null language is a language of its own; all rows stay; an empty table gives no
-rows.
+null language is a language of its own; very long texts are taken whole; all rows
+stay, equal ones each; other columns, whatever their names, are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ RANGE_NGRAMS = 1 << 21
 FENCE = 3.0
 LEAST_IQR = 0.02
 MIN_WORDS = 50
+#: Keys of texts that are broadcast at most: 32 MB.
+MOST_BROADCAST = 1 << 21
 FLUSH = 1 << 22
 #: Fixed: parts of a bit in which the sums of hash ranges are added.
 UNIT = 1 << 20
@@ -356,32 +359,12 @@ def quality(docs: DataFrame, range_ngrams: int = RANGE_NGRAMS) -> DataFrame:
 def keep_good(docs: DataFrame, range_ngrams: int = RANGE_NGRAMS) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and their language's band, with all columns.
 
-    Where the model is one hash range, rows are judged where they are read, by
-    the model and the bands, so no text is shuffled; else they meet their verdicts by text and language.
+    Texts are scored once; the keys, by text and language, of those that fail are
+    broadcast where they are few enough, so that no text is shuffled, and else joined.
     """
-    spark = docs.sparkSession
-    parts = ranges(docs, range_ngrams)
-    scored = scores(docs, parts)
-    keyed = docs.withColumns({fresh(docs, "text_"): F.col("text").cast("string"), fresh(docs, "code_"): F.xxhash64("lang").bitwiseAND(0xFFFFFF)})
-    width = len(docs.columns)
-    if len(parts) > 1:
-        code, tid = keyed.columns[width + 1], fresh(keyed, "tid_")
-        good = _judged(scored).filter("kept").select(F.col("code").alias(code), F.col("tid").alias(tid)).distinct()
-        return keyed.withColumn(tid, F.xxhash64("text")).join(good, [code, tid], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
-    limits = bands(scored).toPandas()  # one row per language code, of which there are 2**24 at most
-    shared = spark.sparkContext.broadcast((_sorted_logs(parts[0]), dict(zip(limits["code"], zip(limits["low"], limits["high"], strict=True), strict=True))))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, band = shared.value
-        for batch in batches:
-            codes = batch.column(width + 1).to_numpy(zero_copy_only=False)
-            for first, raw, bounds, base in _base(batch.column(width)):
-                n = len(bounds) - 1
-                own = codes[first : first + n]
-                bits = _millibits(_bits(*held, raw, bounds, own), np.diff(bounds))
-                low, high = np.array([band.get(int(c), (1.0, 0.0)) for c in own], float).reshape(-1, 2).T
-                keep = ~_failed(base) & (bits >= low) & (bits <= high)
-                rows = batch.slice(first, n).filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays(rows.columns[:width], names=rows.schema.names[:width])
-
-    return keyed.mapInArrow(run, docs.schema)
+    judged = _judged(scores(docs, ranges(docs, range_ngrams)))
+    code, tid = fresh(docs, "code_"), fresh(docs, "tid_")
+    bad = table(judged.filter(~F.col("kept")).select(F.col("code").alias(code), F.col("tid").alias(tid)).distinct())
+    keyed = docs.withColumns({code: F.xxhash64("lang").bitwiseAND(0xFFFFFF), tid: F.xxhash64("text")})
+    few = bad.count() <= MOST_BROADCAST
+    return keyed.join(F.broadcast(bad) if few else bad, [code, tid], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
