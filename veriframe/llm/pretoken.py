@@ -23,7 +23,6 @@ OTHER, LETTER, DIGIT, SPACE = 0, 1, 2, 3
 #: Fixed: the code points of Unicode's White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _ALL = 0x110000
-_SEPARATOR = "\U0010ffff"
 
 
 @lru_cache(maxsize=1)
@@ -97,25 +96,19 @@ def texts(column: pa.Array) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]
 
 
 def lowered_texts(column: pa.Array, specials: tuple[str, ...] = ()) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, np.ndarray]]:
-    """As ``texts``, after NFC and lower case, with the number of special strings of each text, which are taken out.
-
-    Each text ends with a separator that is white space to ``split``.
-    """
+    """As ``texts``, after NFC and lower case, with the number of special strings of each text, which are taken out."""
     marks = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
     for first, raw, bounds in kernel.chunks(column):
-        parts = [raw[a:b].tobytes().decode("utf-8", errors="replace").replace(_SEPARATOR, "\ufffe") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        parts = [raw[a:b].tobytes().decode("utf-8", errors="replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         count = np.zeros(len(parts), np.int64)
-        if specials:
-            for i, part in enumerate(parts):
-                if specials[0][:2] in part:
-                    parts[i], count[i] = marks.subn(" ", part)
-        joined = _SEPARATOR.join([*parts, ""])
-        if not joined.isascii():  # lower case goes by single letters, so no sigma is a final one
-            joined = unicodedata.normalize("NFC", joined).replace("\u03a3", "\u03c3")
-        joined = joined.lower()
-        cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        at = np.flatnonzero(cp == 0x10FFFF)
-        yield first, joined, np.where(cp == 0x10FFFF, np.uint32(0x20), cp), np.concatenate([[0], at + 1]), count
+        for i, part in enumerate(parts):
+            if any(s in part for s in specials):
+                part, count[i] = marks.subn(" ", part)
+            if not part.isascii():  # lower case goes by single letters, so no sigma is a final one
+                part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")
+            parts[i] = part.lower()
+        joined = "".join(parts)
+        yield first, joined, np.frombuffer(joined.encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in parts])]), count
 
 
 class WordTable:
