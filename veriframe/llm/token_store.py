@@ -2,9 +2,11 @@
 
 Layout below the store's folder, all Parquet, so that any store Spark writes to will do:
 
-* ``dictionary``: one row (dict_sha256, content).  It is trained on the
-  serialised ids of at most ``sample_docs`` documents, those with the least
-  hashes of doc_id.
+* ``dictionary``: one row (dict_sha256, content, width).  It is trained on the
+  serialised ids of about ``sample_docs`` documents, those whose hash lies
+  under a threshold that their number gives, and of each on SAMPLE_BYTES at
+  most.  Where these are too few or too short to train on, their first
+  DICTIONARY_BYTES serve as the dictionary as they are.
 * ``data``: one row per block of documents in ascending doc_id order: shard,
   block, dict_sha256, doc_ids, n_tokens, offsets (one more than documents),
   shard_start (ids of the shard before the block) and frames.  Frame i is
@@ -13,9 +15,10 @@ Layout below the store's folder, all Parquet, so that any store Spark writes to
   so a short document costs one block row and one frame.
 
 Defined results: a null or empty text has only the end id; equal rows are kept
-each; rows with a null doc_id come first; ties are ordered by text; special
-strings inside a text are encoded as the library does by default; an empty
-table gives an empty store.
+each; rows with a null doc_id come first; ties are ordered by the hash of the text
+and the text; very long texts are taken whole; special strings inside a text are
+encoded as the library does by default; other columns, whatever their names, are
+ignored; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 from . import pretoken
 from .common import ship
 
-SAMPLE_DOCS = 1000
+SAMPLE_DOCS, SAMPLE_BYTES = 1000, 32 << 10
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
 CACHE_IDS = 8_000_000
@@ -72,15 +77,17 @@ def encoded(column: pa.Array, tokenizer_json: str, end_id: int) -> Iterator[np.n
             yield np.concatenate([own, end])
 
 
-def _train(spark: SparkSession, texts: DataFrame, tokenizer_json: str, end_id: int, width: str, sample_docs: int) -> bytes:
+def _train(spark: SparkSession, texts: DataFrame, n_docs: int, tokenizer_json: str, end_id: int, width: str, sample_docs: int) -> bytes:
     shared = spark.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype(width).tobytes() for x in encoded(batch.column(0), shared.value, end_id)], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(width).tobytes()[:SAMPLE_BYTES] for x in encoded(batch.column(0), shared.value, end_id)], pa.binary())], names=["ids"])
 
-    sample = texts.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(sample_docs).select("text")
-    rows = [bytes(r["ids"]) for r in sample.mapInArrow(run, "ids binary").collect()]
+    share = min(1.0, sample_docs / max(n_docs, 1))
+    # a doc_id that many rows share is told apart by the text
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select("text")
+    rows = sorted(bytes(r["ids"]) for r in sample.mapInArrow(run, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few or too short to train on
@@ -100,7 +107,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     model = json.loads(tokenizer_json)
     width = "<u2" if max([*model["model"]["vocab"].values(), *(t["id"] for t in model["added_tokens"])]) < 1 << 16 else "<u4"
     texts = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    content = _train(spark, texts, tokenizer_json, end_id, width, sample_docs)
+    size = texts.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    content = _train(spark, texts, size["docs"], tokenizer_json, end_id, width, sample_docs)
     digest = hashlib.sha256(content).hexdigest()
     spark.createDataFrame([(digest, content, width)], "dict_sha256 string, content binary, width string").coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast((tokenizer_json, content))
@@ -135,9 +143,10 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     ints = pa.list_(pa.int32())
     kinds = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("dict_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", ints), ("offsets", ints), ("shard_start", pa.int64()), ("frames", pa.binary())])
     schema = "shard int, block int, dict_sha256 string, doc_ids array<long>, n_tokens array<int>, offsets array<int>, shard_start long, frames binary"
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/data")
+    n = shards or max(1, -(-size["bytes"] // SHARD_BYTES))
+    keyed = texts.withColumn("h", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    ordered.select("text", "doc_id").mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/data")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
