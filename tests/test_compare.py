@@ -17,16 +17,16 @@ def pct(value, **k):
     return q(value, unit="percent", **k)
 
 
-#: label, claim value, operation, quantities, covered years, status, reason code
+#: Fixed figures and outcomes: label, claim value, operation, quantities, covered years, status, reason code
 CASES = [
-    ("rounds down", q(4.2, scale=1e6), "absolute", [q(4_183_204)], (2024, 2023), "SUPPORTED", ""),
-    ("rounds up", q(4.2, scale=1e6), "absolute", [q(4_249_000)], (2024,), "SUPPORTED", ""),
+    ("cut to two figures", q(4.2, scale=1e6), "absolute", [q(4_183_204)], (2024, 2023), "SUPPORTED", ""),
+    ("just below the next", q(4.2, scale=1e6), "absolute", [q(4_249_000)], (2024,), "SUPPORTED", ""),
     ("outside", q(4.2, scale=1e6), "absolute", [q(4_900_000)], (2024,), "CONTRADICTED", "band"),
     ("scale", q(4.2, scale=1e9), "absolute", [q(4_183_204)], (2024,), "CONTRADICTED", "scale"),
     ("exact", q(4_183_204, raw="4,183,204"), "absolute", [q(4_183_204)], (2024,), "SUPPORTED", ""),
-    ("margin figure", pct(72), "absolute", [pct(71.8)], (2024,), "SUPPORTED", ""),
-    ("wrong margin", pct(72), "absolute", [pct(64.1)], (2024,), "CONTRADICTED", "band"),
-    ("period swap", q(4.2, scale=1e6), "absolute", [q(4_183_204, year=2023)], (2024, 2023), "CONTRADICTED", "period"),
+    ("share as written", pct(72), "absolute", [pct(71.8)], (2024,), "SUPPORTED", ""),
+    ("share off", pct(72), "absolute", [pct(64.1)], (2024,), "CONTRADICTED", "band"),
+    ("last year", q(4.2, scale=1e6), "absolute", [q(4_183_204, year=2023)], (2024, 2023), "CONTRADICTED", "period"),
     ("unit", pct(72), "absolute", [q(72)], (2024,), "CONTRADICTED", "unit"),
     ("bare number", q(54, scale=1e6), "absolute", [q(54_284, unit="count", scale=1e3)], (2024,), "SUPPORTED", ""),
     ("growth wrong", pct(140), "growth", [q(2_806_411), q(1_978_224, year=2023)], (2024,), "CONTRADICTED", "band"),
@@ -66,7 +66,7 @@ def test_figures_and_reasons(decided):
     assert by["growth wrong"].actual == pytest.approx(41.87, abs=0.01)
     assert (by["other basis"].actual, by["other basis"].actual_basis, by["other basis"].claimed_basis) == (2.8e9, "ARR", "ARR")
     assert by["other basis"].reason == f"claim matches ARR ({3e9:,.6g}) but not GAAP ({2.8e9:,.6g})"
-    assert by["period swap"].reason == "period mismatch: claim FY2024 vs evidence FY2023"
+    assert by["last year"].reason == "period mismatch: claim FY2024 vs evidence FY2023"
     assert by["unit"].reason == "unit mismatch: percent vs USD"
     assert by["nothing found"].actual is None and by["one endpoint"].reason == "not enough quantities to compute growth"
 

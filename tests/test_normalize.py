@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import normalize as nz
 
+#: Fixed: the forms that must be read, and as what.
 QUANTITIES = [
     ("$4.2M", "", 4.2, "USD", 1e6), ("$4.2 million", "", 4.2, "USD", 1e6), ("$4.2B", "", 4.2, "USD", 1e9), ("4,183,204", "", 4183204.0, "count", 1.0),
     ("$4,183,204", "", 4183204.0, "USD", 1.0), ("(1,978)", "", -1978.0, "count", 1.0), ("$(1,978)", "(in thousands)", -1978.0, "USD", 1e3), ("2,806", "(in thousands)", 2806.0, "count", 1e3),
@@ -25,6 +26,7 @@ def test_context_and_raw(spark):
     assert (q.q.period.kind, q.q.period.year, q.q.basis, q.q.raw, q.b.raw) == ("FY", 2024, "GAAP", "4.2", "1.4")
 
 
+#: Fixed, as above.
 PERIODS = {
     "FY2024": ("FY", 2024, None, None, None), "fiscal 2024": ("FY", 2024, None, None, None), "fiscal year 2023": ("FY", 2023, None, None, None), "FY24": ("FY", 2024, None, None, None),
     "Q4 2023": ("Q", 2023, 4, None, None), "Q4 FY2024": ("Q", 2024, 4, None, None), "three months ended October 31, 2023": ("months_ended", 2023, None, 3, datetime.date(2023, 10, 31)),
@@ -44,6 +46,7 @@ def test_period_matching(spark):
     assert [r.m for r in got] == [p[2] for p in pairs]
 
 
+#: Fixed, as above.
 BASES = {"ARR of $3.0B": "ARR", "annual recurring revenue": "ARR", "product revenue of $2.6B": "product revenue", "adjusted EBITDA margin": "adjusted", "non-GAAP operating income": "non-GAAP", "total revenue": "GAAP", "headcount grew to 7,000": "unknown"}
 
 
@@ -60,3 +63,11 @@ def test_short_numbers(spark):
     xs = [0.0, 1.4, 2.0, 1234567.0, 4183204.0, 54284.0, 999999.5, 0.00012345, 0.000012345, -2684275000.0, 41.8654321, 1e21]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", nz.short_number(F.col("x")).alias("g"), nz.short_number(F.col("x"), commas=True).alias("c")).collect()
     assert [(r.g, r.c) for r in got] == [(format(x, "g"), format(x, ",.6g")) for x in xs]
+
+
+def test_non_breaking_spaces(spark):
+    texts = ["$4.2 million", "three months ended October 31, 2023", "total  revenue", "140 bps", "(in thousands)"]
+    t = F.translate(F.col("t"), " ", "\u00a0")
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(nz.parse_quantity(t).alias("q"), nz.parse_period(t).alias("p"), nz.detect_basis(t).alias("b"), nz.parse_table_scale(t).alias("s")).collect()
+    assert (got[0].q.value, got[0].q.scale) == (4.2, 1e6) and (got[1].p.months, got[1].p.end_date) == (3, datetime.date(2023, 10, 31))
+    assert got[2].b == "GAAP" and (got[3].q.value, got[3].q.unit) == (1.4, "percent") and got[4].s == 1e3

@@ -51,6 +51,7 @@ def _claim_band(claimed: Column) -> Column:
 
 
 def _reason(code: Column, claimed: Column, actual: Column) -> Column:
+    """What is said of a mismatch, in fixed words."""
     name = lambda p: F.coalesce(F.nullif(p["label"], F.lit("")), F.concat_ws(" ", p["kind"], p["year"].cast("string"), p["quarter"].cast("string")))
     figures = F.transform(F.array(base_value(claimed), base_value(actual), _claim_band(claimed)), lambda x: short_number(x, commas=True))
 
@@ -117,6 +118,7 @@ def decide(joined: DataFrame) -> DataFrame:
             "claimed_basis": F.col("basis"),
             "actual_basis": F.when(uncovered | empty | short, F.lit(None)).when(ok, F.col("_actual.basis")).when(alt, F.col("_alt.basis")).otherwise(F.col("_actual.basis")),
             "reason_code": F.when(uncovered, "not_covered").when(empty, "no_quantities").when(short, "not_enough").when(ok, "").when(alt, "basis").otherwise(F.col("_check.code")),
+            # fixed texts
             "reason": F.when(uncovered, "no document covers the claim's period")
             .when(empty, "no quantities retrieved")
             .when(short, F.concat(F.lit("not enough quantities to compute "), F.col("operation")))

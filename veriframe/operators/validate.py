@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -12,27 +13,34 @@ from pyspark.sql import functions as F
 from ..functions.grounding import digits, figure_retrievable, quote_retrievable, relevant, squeezed
 from ..functions.normalize import parse_period, parse_quantity
 from ..types import FIGURE_FINDING, FINDING, QUANTITY, STATUSES
+from .retrieve import evidence_only
 
 REQUIRED = ("claim_index", "verdict", "quote", "doc_id", "node_ids")
 #: Fixed: the unit statement of a table.
 TABLE_UNIT = r"(?i)\(in (thousands|millions|billions)[^)]*\)"
+# What a result says where its evidence doesn't hold.
 NO_FINDING = "agent returned no finding for this claim"
+_JSON = json.JSONDecoder()
 
 
-def _salvage(content: str | None) -> list[str]:
-    """The findings of a model's answer, each as JSON; what can't be read is left out."""
-    text = (content or "").split("</think>", 1)[-1]
-    decoder = json.JSONDecoder()
-    for mark, pick in (("{", lambda x: x.get("findings", [])), ('"findings"', lambda x: x)):
-        at = text.find(mark)
-        at = text.find("[", at) if at >= 0 and mark != "{" else at
-        if at < 0:
-            return []
+def _findings(content: str | None) -> list[str]:
+    """The findings of a model's answer, each as JSON.
+
+    An answer is read from its first object on, whatever follows it; where that
+    object is broken, the array named findings is read in the same way.
+    """
+    answer = (content or "").partition("</think>")[2] or content or ""
+    whole = re.search(r"\{", answer)
+    part = re.search(r'"findings"[^\[]*(?=\[)', answer)
+    for begin in (whole and whole.start(), part and part.end()):
+        if begin is None:
+            continue
         try:
-            found = pick(decoder.raw_decode(text[at:])[0])
-            return [json.dumps(x) for x in found if isinstance(x, dict)] if isinstance(found, list) else []
+            value, _ = _JSON.raw_decode(answer, begin)
         except json.JSONDecodeError:
             continue
+        listed = value.get("findings") if isinstance(value, dict) else value
+        return [json.dumps(x) for x in listed if isinstance(x, dict)] if isinstance(listed, list) else []
     return []
 
 
@@ -41,7 +49,7 @@ def decode_findings(answers: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_salvage(x) for x in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["run", "findings"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_findings(x) for x in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["run", "findings"])
 
     lists = answers.select(F.col("run").cast("string").alias("run"), "content").mapInArrow(run, "run string, findings array<string>")
     return lists.select("run", F.posexplode("findings").alias("pos", "finding"))
@@ -85,7 +93,7 @@ def validate_all(claims: DataFrame, findings: DataFrame, fetched: DataFrame) ->
     absent = verdict.isin("NO_SOURCE", "NO_EVIDENCE")
     found, quote = F.coalesce("found", F.lit("")), F.coalesce("quote", F.lit(""))
     has_digits = digits(found) != ""
-    rejected = (
+    rejected = (  # fixed texts
         F.when(F.col("keys").isNull(), NO_FINDING)
         .when(F.size(missing) > 0, F.concat(F.lit("missing required fields: "), F.array_join(missing, ", ")))
         .when(~verdict.isin(*STATUSES), F.concat(F.lit("verdict is not one of the known: "), verdict))
@@ -116,14 +124,17 @@ def parse_figure_findings(decoded: DataFrame) -> DataFrame:
     return parsed.select("run", "pos", "f.*").withColumn("_last", last).filter("_last = 1").drop("_last", "pos")
 
 
-def to_evidence(claims: DataFrame, findings: DataFrame, fetched: DataFrame, whole_numbers: bool = False) -> DataFrame:
+def to_evidence(claims: DataFrame, findings: DataFrame, fetched: DataFrame, whole_numbers: bool = False, listing: DataFrame | None = None) -> DataFrame:
     """Evidence for every claim: the grounded figures of its finding as quantities, in order.
 
     Scale comes from the finding's unit, else from the unit statement of what was
     fetched; the period from the figure's own, else from figure and label.  With
     ``whole_numbers`` a figure must be a number of the text, not digits across numbers.
+    With the ``listing`` of the corpus, findings that cite a deck, which can't prove itself, count as none.
     """
     key = ["run", "claim_index"]
+    if listing is not None:
+        findings = evidence_only(findings, listing)
     joined = claims.select(*key).join(findings, key, "left").join(fetched.select(*key, "content", "cite", "unit"), key, "left")
     text_digits = digits(F.coalesce("content", F.lit("")))
     numbers = F.transform(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"\d[\d,.]*"), F.lit(0)), digits) if whole_numbers else None

@@ -134,6 +134,11 @@ def paged_documents(pages: DataFrame) -> DataFrame:
     return whole.select("doc_id", F.lit("pdf").alias("doc_type"), F.array_join(F.flatten(F.transform("p", lambda x: x["lines"])), "\n").alias("markdown"), F.create_map().cast("map<int,string>").alias("anchors"), F.map_from_entries(entries).alias("pages"), F.lit(None).cast("string").alias("sha256"))
 
 
+def without_text(pages: DataFrame) -> DataFrame:
+    """Extracted pages (doc_id, page) that hold no text, as scanned ones do."""
+    return pages.filter(~F.coalesce("text", F.lit("")).rlike(r"(?U)\S")).select("doc_id", "page")
+
+
 def load(found: DataFrame, pdf_pages: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Documents from ``files`` rows.
 
