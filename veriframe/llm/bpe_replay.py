@@ -9,9 +9,10 @@ alone.  Documents are then encoded by looking their words up in sorted hash
 arrays of the frequent words, whose number is bounded; a task replays the merges
 for the rarer words it meets.  Decoding joins the tokens' bytes.
 
-Defined results: a null or empty text has no ids and decodes to no bytes; text
-that looks like a special token is ordinary text; all rows and columns stay,
-except that a column named as the new one is replaced.
+Defined results: a null or empty text has no ids and decodes to no bytes; very
+long texts and words are taken whole; text that looks like a special token is
+ordinary text; all rows, equal ones each, and columns stay, except that a column
+named as the new one is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from . import pretoken, vocabulary
 from .common import fresh, ship, table
 
+#: The frequent words that tasks get at once, about 40 MB.
+HEAD_WORDS = 1 << 20
 BLOCK_WORDS = 5_000
 KNOWN_PAIRS = 200_000
 CACHE_IDS = 2_000_000
@@ -144,7 +147,7 @@ def word_table(words: pa.Table, column: str) -> pretoken.WordTable:
     return pretoken.WordTable(keys, sizes, lists.flatten().to_numpy().astype(np.int32))
 
 
-def encode(docs: DataFrame, vocabulary_path: str, column: str = "ids", head_words: int = vocabulary.HEAD_WORDS, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary_path: str, column: str = "ids", head_words: int = HEAD_WORDS, keep: list[str] | None = None) -> DataFrame:
     """``docs``, or its columns ``keep``, with the token ids of ``text`` in the array column ``column``."""
     spark = docs.sparkSession
     ship(spark)
