@@ -61,6 +61,13 @@ def test_many_captures_of_one_url(spark):
     assert {r.record_id: r.target_id for r in got} == expected
 
 
+def test_responses_of_one_id(spark):
+    rows = [(1, "http://a/x", 1, "response", 200, {"etag": e}, d) for e, d in (("1", "b"), ("2", "a"), ("0", "b"))] + [(1, "http://a/y", 1, "response", 200, {"etag": "9"}, "a"), (2, "http://a/x", 5, "revisit", 304, {}, None)]
+    for order in (rows, rows[::-1]):
+        got = warc_revisit.resolve_revisits(spark.createDataFrame(order, RECORD)).first()
+        assert (got.outcome, got.target_id, got.payload_digest, got.headers) == ("resolved", 1, "a", {"etag": "2"})
+
+
 PAGE = "<html><head><title>T</title><style>p{margin:0}</style></head><body><nav><ul><li><a href='/'>home</a></li></ul></nav><div class=strip>{}</div>{}<footer>&copy; x</footer></body></html>"
 
 
@@ -257,6 +264,34 @@ def test_keep_good(spark, varied):
     assert kept and quality_rules.keep_good(df.limit(0)).count() == 0 and quality_rules.quality(df.limit(0)).count() == 0
 
 
+def test_the_verdict_by_brute_force(spark, varied):
+    """``kept`` is the base rules and the band over the textbook model's scores, near a bound aside."""
+    df = spark.createDataFrame(varied, "doc_id long, text string, lang string")
+    rows = [(r, f) for r in varied for f in [base_columns(r[1])]]
+    by_lang = {}
+    for r, _ in rows:
+        by_lang.setdefault(r[2], []).append(r[1])
+    models = {k: brute_model(v) for k, v in by_lang.items()}
+
+    def score(text, lang):
+        padded = b"\n" * 4 + (text or "").encode().lower()
+        bits = [-math.log2(models[lang](padded[i - 4 : i + 1])) for i in range(4, len(padded))]
+        return sum(bits) / len(bits) if bits else 0.0
+
+    scored = quality_rules.scores(df, quality_rules.ranges(df))
+    limits = {r.code: (r.low / 1000, r.high / 1000) for r in quality_rules.bands(scored).collect()}
+    code = {r.lang: r.c for r in df.select("lang", F.xxhash64("lang").bitwiseAND(0xFFFFFF).alias("c")).distinct().collect()}
+    got = {(r.doc_id, r.n_words, r.word_chars): r.kept for r in quality_rules.quality(df).collect()}
+    checked = 0
+    for (doc_id, text, lang), b in rows:
+        low, high = limits.get(code[lang], (1.0, 0.0))
+        s, failed = score(text, lang), b[0] < 50 or 100 * b[4] > 50 * b[0]
+        if failed or min(abs(s - low), abs(s - high)) > 0.003:
+            assert got[doc_id, b[0], b[1]] == (not failed and low <= s <= high), doc_id
+            checked += 1
+    assert checked > len(rows) - 5
+
+
 def test_kernel_rows_are_apart():
     from veriframe.llm import kernel
 

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from veriframe.llm import bpe_replay, pretoken, token_counts, token_store, vocabulary
 
-PARTS = ["a", "b", "'s", "'t", "'re", "'ll", "'", "''", " ", "  ", "\n", "\t", "\xa0", "1", "23", "é", "É", "ΑΣ", "İ", "漢字", "🙂", "́", "!", "?!", "<|endoftext|>", "<|startoftext|>", "don't", "I'll", "THE", "\x1c", "\x85", "²", "-", "​", "\r\n", "ſ"]
+PARTS = ["a", "b", "'s", "'t", "'re", "'ll", "'", "''", " ", "  ", "\n", "\t", "\xa0", "1", "23", "é", "É", "ΑΣ", "İ", "漢字", "🙂", "́", "!", "?!", "<|endoftext|>", "<|startoftext|>", "don't", "I'll", "THE", "\x1c", "\x85", "²", "-", "​", "\r\n", "ſ", "\U0010ffff", "\ufffe", "\ue000"]
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 

@@ -10,8 +10,9 @@ The tokenizer is one whose pre-tokens are encoded one by one, with NFC, lower
 case and the "bare" split (see ``pretoken``).
 
 Defined results: a null or empty text has no bytes and no tokens; special
-strings inside a text count as one token each; all rows stay, and equal rows
-each have their count.
+strings inside a text count as one token each; very long texts are taken whole;
+all rows stay, and equal rows each have their count; other columns, whatever their
+names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
