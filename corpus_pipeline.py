@@ -1,4 +1,11 @@
-"""A training-data pipeline over ``documents``: five stages of the operators in veriframe.llm."""
+"""A training-data pipeline over ``documents``: five stages of the operators in veriframe.llm.
+
+Defined results: documents without words go in the first stage, as the rules have
+it, or in the second, which may take all their lines; of repeated rows one stays;
+very long texts are taken whole; a null doc_id, lang or source is a value like
+others; further columns come through the first four stages; empty tables give
+empty tables.
+"""
 
 from __future__ import annotations
 
@@ -46,7 +53,7 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
-#: SQL can't express the perplexity model; tests compare the stages with brute force.
+#: SQL can't express the perplexity model; tests/llm/test_pipeline.py compares the chain with brute force.
 ORACLE_SQL = None
 
 
