@@ -121,8 +121,8 @@ def test_answers_come_from_the_centre(spark):
     centre = set(range(200))
     sets = [centre]
     for i in range(120):
-        own = set(centre)
-        for _ in range(draw.randint(5, 32)):
+        own = set(sets[draw.randrange(len(sets))])  # copies of copies
+        for _ in range(draw.randint(2, 12)):
             own.discard(draw.choice(sorted(own)))
             own.add(draw.choice([1000 + 100 * i + draw.randint(0, 99), 500 + draw.randint(0, 20)]))
         sets.append(own)

@@ -42,8 +42,6 @@ LEAST_JOINED = 4
 SETTLED_LIST, LEAD_LEVEL = 16, 4
 #: The earliest sets of a large list that all others meet.
 LEADERS = 4
-#: Ids of settled sets that are broadcast at most; more are joined.
-MOST_BROADCAST = 1 << 21
 LEVELS = Levels(thresholds=tuple(2**i for i in range(1, 15)))
 
 
@@ -92,7 +90,7 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels
     joined = sets.filter(F.col("n") >= LEAST_JOINED)
     settled = _linked(table(_likest_leaders(_large_lists(joined))), sets.select("sid", "f"), texts, records)
     done = settled.select(F.col("b").alias("sid"), F.lit(True).alias("settled"))
-    done = F.broadcast(done) if done.count() <= MOST_BROADCAST else done
+    done = F.broadcast(done) if done.count() <= setjoin.MOST_BROADCAST else done
 
     known = joined.select("sid", "id", "f", "n", "sig", "sig2", "alone", "tokens").join(done, "sid", "left").withColumn("settled", F.col("settled").isNotNull())
     each = known.select("id", "sig", "sig2", "n", "alone", "settled", F.posexplode("tokens").alias("i", "token"))
@@ -152,7 +150,7 @@ def _likest_leaders(entries: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, records: setjoin.Records) -> DataFrame:
     """The pairs that match; each set is read from the text of its first line."""
     wanted = firsts.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("sid", F.col("f.tid").alias("tid"))
-    return setjoin.linked(pairs, table(setjoin.members(texts, records, table(wanted), text_key=1)))
+    return setjoin.linked(pairs, table(setjoin.members(texts, records, table(wanted))))
 
 
 def removed_by_document(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels = LEVELS) -> DataFrame:

@@ -29,6 +29,8 @@ from .rarity import Maps, bitmap_bits
 
 #: Ids beyond so many are matched by a join, up to it by a bitmap of 32 MB at most.
 MOST_IDS = 1 << 26
+#: Ids that are broadcast at most, 16 MB; more are joined.
+MOST_BROADCAST = 1 << 21
 #: Sizes of one class differ by less than this factor.
 CLASS_RATIO = 1.25
 
@@ -233,21 +235,21 @@ def _unpack(members: bytes) -> np.ndarray:
     return np.frombuffer(members, "<u8")
 
 
-def members(df: DataFrame, records: Records, wanted: DataFrame, text_key: int | None = None) -> DataFrame:
+def members(df: DataFrame, records: Records, wanted: DataFrame) -> DataFrame:
     """(sid, members): the packed values of the sets whose ids are among ``wanted``, and of a few more.
 
-    Where ``wanted`` has the column tid, only texts whose key, in column ``text_key`` of ``df``, is among them are cut into sets.
+    Where ``wanted`` has the column tid, only the texts of ``df`` with these keys are cut into sets, unless they are very many.
     """
-    sc = df.sparkSession.sparkContext
     found = id_filter(wanted, "sid")
-    held = sc.broadcast(found)
-    some = sc.broadcast(id_filter(wanted, "tid") if text_key is not None else None)
+    held = df.sparkSession.sparkContext.broadcast(found)
+    if "tid" in wanted.columns:
+        keys = wanted.select("tid").distinct()
+        if keys.count() <= MOST_BROADCAST:
+            df = df.join(F.broadcast(keys), "tid", "left_semi").select(df.columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            if some.value is not None:
-                batch = batch.filter(pa.array(some.value.of(batch.column(text_key).to_numpy())))
             for _, values, bounds in records(batch):
                 ids = kernel.set_ids(values, bounds)
                 mine = np.diff(bounds) > 0
