@@ -32,15 +32,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pretoken
 from .common import ship
 
 SAMPLE_DOCS, SAMPLE_BYTES = 1000, 32 << 10
-#: Bytes of text in a shard, about.
-SHARD_BYTES = 16 << 20
+#: Bytes of text in a shard, about; of very large corpora more, so that there are MOST_SHARDS at most.
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 1 << 17
 DICTIONARY_BYTES = 64 << 10
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
 CACHE_IDS = 8_000_000
@@ -143,7 +143,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     ints = pa.list_(pa.int32())
     kinds = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("dict_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", ints), ("offsets", ints), ("shard_start", pa.int64()), ("frames", pa.binary())])
     schema = "shard int, block int, dict_sha256 string, doc_ids array<long>, n_tokens array<int>, offsets array<int>, shard_start long, frames binary"
-    n = shards or max(1, -(-size["bytes"] // SHARD_BYTES))
+    n = shards or min(MOST_SHARDS, max(1, -(-size["bytes"] // SHARD_BYTES)))
     keyed = texts.withColumn("h", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     ordered.select("text", "doc_id").mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/data")
@@ -179,13 +179,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                     names=["shard", "doc_id", "in_shard", "n_tokens", "ids"],
                 )
 
-    # one row per shard, of which there are as many as the writer had tasks
-    totals = data.select("shard", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n")).collect()
-    begins, total = [], 0
-    for r in sorted(totals):
-        begins.append((r["shard"], total))
-        total += r["n"]
-    shards = F.broadcast(spark.createDataFrame(begins, "shard int, shard_begins long"))
+    # one row per shard, MOST_SHARDS at most, so that one task may add them up and all may have them
+    totals = data.select("shard", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = F.broadcast(totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_begins")))
     blocks = data.select("shard", "dict_sha256", "doc_ids", "offsets", "shard_start", "frames")
     found = blocks.mapInArrow(run, "shard int, doc_id long, in_shard long, n_tokens long, ids array<int>")
     return found.join(shards, "shard").select("doc_id", (F.col("shard_begins") + F.col("in_shard")).alias("start"), "n_tokens", "ids")
