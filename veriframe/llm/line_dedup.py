@@ -35,7 +35,8 @@ from . import kernel, setjoin
 from .common import fresh, ship, table
 from .rarity import Levels, count_levels
 
-MIN_TOKENS = 5
+#: Lines of fewer distinct words are left alone.
+MIN_TOKENS = 1
 #: Fixed: two different sets with a Jaccard similarity of 0.8 have four tokens at least.
 LEAST_JOINED = 4
 #: Lists of so many sets are settled by their earliest ones, and tokens of the level of that count make lead keys.
