@@ -112,12 +112,23 @@ def with_addresses(nodes: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """doc_id, node_id and the titles from the root down, joined; sections nest at most seven deep."""
-    up = nodes.select("doc_id", F.col("node_id").alias("at"), F.col("parent_id").alias("up"), F.col("title").alias("up_title"))
-    found = nodes.select("doc_id", "node_id", F.col("parent_id").alias("at"), F.array("title").alias("path"))
-    for _ in range(6):
-        found = found.join(up, ["doc_id", "at"], "left").select("doc_id", "node_id", F.coalesce("up", F.lit("root")).alias("at"), F.when(F.col("up_title").isNotNull(), F.concat(F.array("up_title"), F.col("path"))).otherwise(F.col("path")).alias("path"))
-    return found.select("doc_id", "node_id", F.array_join("path", PATH_SEPARATOR).alias("path"))
+    """doc_id, node_id and the titles from the root down, joined.
+
+    In page order a section's ancestors are, for each smaller level, the last
+    section before it, unless one of a still smaller level stands between.  Parts
+    of a long section are a level below it.
+    """
+    order = Window.partitionBy("doc_id").orderBy("line_start", "level", "node_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = nodes.select("doc_id", "node_id", "line_start", "level", "title", F.row_number().over(order).alias("at"))
+    last = [F.last(F.when(F.col("level") == k, F.struct("at", "title")), ignorenulls=True).over(before).alias(f"l{k}") for k in range(1, 7)]
+    seen = numbered.select("*", *last)
+    steps, nearest = [], F.lit(0)
+    for k in range(1, 7):
+        above = F.col(f"l{k}")
+        steps.append(F.when((F.col("level") > k) & (above["at"] > nearest), above["title"]))
+        nearest = F.greatest(nearest, F.coalesce(above["at"], F.lit(0)))
+    return seen.select("doc_id", "node_id", F.array_join(F.concat(F.array_compact(F.array(*steps)), F.array("title")), PATH_SEPARATOR).alias("path"))
 
 
 def depths(nodes: DataFrame) -> DataFrame:
