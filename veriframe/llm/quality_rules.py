@@ -275,11 +275,6 @@ def _bits(keys: np.ndarray, logs: np.ndarray, raw: np.ndarray, bounds: np.ndarra
     return np.rint(-UNIT * (sums[bounds[1:]] - sums[bounds[:-1]])).astype(np.int64)
 
 
-def _millibits(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Mean bits a byte, in thousandths; 0 for empty texts."""
-    return np.rint(1000 * bits / (UNIT * np.maximum(size, 1))).astype(np.int64)
-
-
 def scores(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
     """doc_id, lang, code, tid, the base columns, base_failed, sketch and millibits (of a byte) of every document."""
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

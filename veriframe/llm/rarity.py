@@ -27,8 +27,8 @@ from .common import table
 
 KEY_BITS = 40
 FLUSH = 1 << 21
-#: The largest bitmap: 32 MB.
-MOST_BITS = 28
+#: The largest bitmap: 16 MB.
+MOST_BITS = 27
 #: The key ranges that are counted by themselves: 2 ** RANGE_BITS at most.
 RANGE_BITS = 20
 _SHIFT = np.uint64(64 - KEY_BITS)

@@ -215,7 +215,7 @@ def id_filter(ids: DataFrame, column: str) -> IdFilter | None:
     n = ids.count()
     if n > MOST_IDS:
         return None
-    out = IdFilter(bitmap_bits(n, least=12))
+    out = IdFilter(bitmap_bits(n, least=12, most=28))
     bits, part = out.bits, min(9, out.bits - 3)
 
     def piece(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
