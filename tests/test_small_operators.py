@@ -1,6 +1,8 @@
 """The small operators around trees, retrieval, reports and files, against plain Python."""
 
 import json
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -111,6 +113,35 @@ def test_odd_pages():
     assert [b["text"] for b in html_blocks.leaf_blocks("<p>1 &lt; 2<p title='a>b'>c</body><p>after")] == ["1 < 2", "c", "after"]
 
 
+def brute_markdown(page):
+    """A page without tables as lines, by plain rules over its leaf blocks."""
+    out, anchors, last = [], {}, None
+    for b in html_blocks.leaf_blocks(page or ""):
+        text = b["text"]
+        if b["kind"] == "anchor":
+            last = text
+            continue
+        if not text or text.lower() == "table of contents" or (text.isascii() and text.isdigit() and len(text) < 4):
+            continue
+        numbered = re.match(r"(?i)(PART|ITEM)\s+[IVX0-9]", text)
+        if len(text) <= 200 and (re.fullmatch("h[1-6]", b["tag"]) or numbered or b["bold"]):
+            level = int(b["tag"][1]) if b["tag"][0] == "h" else 1 if re.match(r"(?i)PART\s+[IVX]+", text) else 2 if re.match(r"(?i)ITEM\s+\d", text) else 3
+            out += ["", "#" * level + " " + text]
+            if last:
+                anchors[len(out)] = last
+        else:
+            out += ["", text]
+    return "\n".join(out), anchors
+
+
+def test_pages_as_markdown(spark):
+    draw = random.Random(8)
+    pieces = ["<p>", "</p>", "<div id=a1>", "</div>", "<h2 id=b>", "</h2>", "<b>", "</b>", "<span style='font-weight:700'>", "</span>", "Item 1. x", "PART II", "12", "text &amp; more ", "Table of Contents", "<li>", "<br>"]
+    pages = ["".join(draw.choice(pieces) for _ in range(draw.randint(0, 25))) for _ in range(300)] + [None, ""]
+    got = corpus.html_documents(spark.createDataFrame([(str(i), p, "") for i, p in enumerate(pages)], "doc_id string, html string, sha256 string")).collect()
+    assert {int(r.doc_id): (r.markdown, r.anchors) for r in got} == {i: brute_markdown(p) for i, p in enumerate(pages)}
+
+
 def test_statuses_by_window(spark):
     rows = spark.createDataFrame([("2024-01-01 00:00:10", "SUPPORTED"), ("2024-01-01 00:00:50", "SUPPORTED"), ("2024-01-01 00:01:10", "NO_SOURCE")], "t string, status string").select(F.to_timestamp("t").alias("ts"), "status")
     assert sorted((r.window.start.second, r.window.start.minute, r.status, r.n) for r in verify.statuses_by_window(rows, "1 minute").collect()) == [(0, 0, "SUPPORTED", 2), (0, 1, "NO_SOURCE", 1)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..types import DOCUMENT, MANIFEST
+from ..types import MANIFEST
 from .html_blocks import BLOCK_TYPE as BLOCK
 from .html_blocks import block_rows
 
@@ -196,7 +196,3 @@ def accept_uploads(uploads: DataFrame, most_bytes: int = 40 << 20) -> DataFrame:
     ok_type = F.col("ext").isin(*LISTED, "markdown", "txt")
     reason = F.when(~ok_type, F.concat(F.lit("unsupported format "), F.col("ext"))).when(F.length("content") > most_bytes, "too large").when(F.length("content") == 0, "empty").otherwise("")
     return uploads.withColumn("reason", reason).withColumn("status", F.when(F.col("reason") == "", "accepted").otherwise("rejected"))
-
-
-def empty_documents(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], DOCUMENT)
