@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import pretoken, vocabulary
 from .common import fresh, ship, table
 
-#: The frequent words that tasks get at once, about 40 MB.
-HEAD_WORDS = 1 << 20
+#: The frequent words that tasks get at once, about 20 MB.
+HEAD_WORDS = 1 << 19
 BLOCK_WORDS = 5_000
 KNOWN_PAIRS = 200_000
 CACHE_IDS = 2_000_000
