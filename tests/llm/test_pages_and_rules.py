@@ -64,7 +64,7 @@ def test_many_captures_of_one_url(spark):
 def test_responses_of_one_id(spark):
     rows = [(1, "http://a/x", 1, "response", 200, {"etag": e}, d) for e, d in (("1", "b"), ("2", "a"), ("0", "b"))] + [(1, "http://a/y", 1, "response", 200, {"etag": "9"}, "a"), (2, "http://a/x", 5, "revisit", 304, {}, None)]
     for order in (rows, rows[::-1]):
-        got = warc_revisit.resolve_revisits(spark.createDataFrame(order, RECORD)).first()
+        got = warc_revisit.resolve_revisits(spark.createDataFrame([(*r, "x") for r in order], RECORD)).first()
         assert (got.outcome, got.target_id, got.payload_digest, got.headers) == ("resolved", 1, "a", {"etag": "2"})
 
 
