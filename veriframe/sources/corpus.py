@@ -112,8 +112,9 @@ def page_blocks(pages: DataFrame) -> DataFrame:
 def html_documents(pages: DataFrame) -> DataFrame:
     """Documents from (doc_id, html, sha256): a blank line before each block, and the last id seen as anchor of each heading line."""
     text = F.coalesce("text", F.lit(""))
-    heading = (F.col("kind") == "text") & is_heading(F.col("tag"), text, F.coalesce("bold", F.lit(False)))
-    shown = F.when(F.col("kind") == "table", table_markdown(F.col("grid"))).when(heading, F.concat(F.repeat(F.lit("#"), heading_level(F.col("tag"), text)), F.lit(" "), text)).when(F.col("kind") == "text", F.when((F.lower(text) == NOISE) | text.rlike(r"^\d{1,3}$"), "").otherwise(text))
+    noise = (F.lower(text) == NOISE) | text.rlike(r"^\d{1,3}$")  # page numbers, bold ones too
+    heading = (F.col("kind") == "text") & ~noise & is_heading(F.col("tag"), text, F.coalesce("bold", F.lit(False)))
+    shown = F.when(F.col("kind") == "table", table_markdown(F.col("grid"))).when(heading, F.concat(F.repeat(F.lit("#"), heading_level(F.col("tag"), text)), F.lit(" "), text)).when(F.col("kind") == "text", F.when(noise, "").otherwise(text))
     seen = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     blocks = page_blocks(pages).select("doc_id", "seq", shown.alias("shown"), heading.alias("heading"), F.last(F.when(F.col("kind") == "anchor", F.col("text")), ignorenulls=True).over(seen).alias("anchor")).filter(F.coalesce(F.col("shown"), F.lit("")) != "")
     placed = blocks.withColumn("line_no", F.sum(F.size(F.split("shown", "\n", -1)) + 1).over(seen))
