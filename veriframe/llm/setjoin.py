@@ -38,17 +38,21 @@ CLASS_RATIO = 1.25
 Records = Callable[[pa.RecordBatch], Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]]
 
 
-def prefixes(values: np.ndarray, bounds: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, bounds, alone): the listed prefix tokens of each set, in the global order, and the number of tokens before them, which no other set has."""
-    n = np.diff(bounds)
-    rows = np.repeat(np.arange(len(n)), n)
-    alone = np.bincount(rows[level == 0], minlength=len(n))
+def ordered(values: np.ndarray, bounds: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, rows, levels) of the tokens that occur twice or more, each set's in the global order."""
+    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     some = level > 0
     v, r, lv = values[some], rows[some], level[some]
     # rows ascend and values ascend within them, so a stable sort by level is enough
     order = np.argsort(r * 256 + lv, kind="stable")
-    v, r = v[order], r[order]
+    return v[order], r[order], lv[order]
+
+
+def prefixes(v: np.ndarray, r: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, bounds, alone): the listed prefix tokens of each set, out of ``ordered`` ones, and the number of tokens before them, which no other set has."""
+    n = np.diff(bounds)
     start = np.searchsorted(r, np.arange(len(n) + 1))
+    alone = n - np.diff(start)
     pos = np.arange(len(v)) - start[r] + alone[r]
     keep = pos < (n + (-4 * n) // 5 + 1)[r]
     return v[keep].view(np.int64), np.concatenate([[0], np.cumsum(keep)])[start], alone
@@ -73,24 +77,20 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 LEAD_WINDOW, LEAD_TOKENS = 12, 4
 
 
-def lead_tokens(values: np.ndarray, bounds: np.ndarray, level: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, bounds): tokens that most sets of a group of near copies share, in one order for all sets.
+def lead_tokens(v: np.ndarray, r: np.ndarray, level: np.ndarray, n_rows: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, bounds): of ``ordered`` tokens, some that most sets of a group of near copies share, in one order for all sets.
 
     They are of level ``least`` or more, as the tokens of a large group are, so
     words that only a copy or two have take no part.
     """
-    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    some = level >= least
-    v, r = values[some], rows[some]
-    order = np.argsort(r * 256 + level[some], kind="stable")
-    v, r = v[order], r[order]
+    v, r = v[level >= least], r[level >= least]
     near = np.arange(len(r)) - np.searchsorted(r, r) < LEAD_WINDOW
     v, r = v[near], r[near]
     order = np.lexsort((kernel.mix(v), r))
     v, r = v[order], r[order]
     first = np.arange(len(r)) - np.searchsorted(r, r) < LEAD_TOKENS
     v, r = v[first], r[first]
-    return (v.view(np.int64) >> 32).astype(np.int32), np.searchsorted(r, np.arange(len(bounds)))
+    return (v.view(np.int64) >> 32).astype(np.int32), np.searchsorted(r, np.arange(n_rows + 1))
 
 
 def index(df: DataFrame, records: Records, keys: str, maps: Broadcast[Maps], narrow: bool = False, lead_level: int = 0) -> DataFrame:
@@ -103,12 +103,12 @@ def index(df: DataFrame, records: Records, keys: str, maps: Broadcast[Maps], nar
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, values, bounds in records(batch):
-                level = maps.value.of(values)
-                tokens, at, alone = prefixes(values, bounds, level)
+                v, r, level = ordered(values, bounds, maps.value.of(values))
+                tokens, at, alone = prefixes(v, r, bounds)
                 at = pa.array(at, pa.int32())
                 leads = []
                 if lead_level:
-                    found, upto = lead_tokens(values, bounds, level, lead_level)
+                    found, upto = lead_tokens(v, r, level, len(bounds) - 1, lead_level)
                     leads.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(found)))
                 if narrow:
                     tokens = (tokens >> 32).astype(np.int32)
@@ -271,24 +271,36 @@ def members(df: DataFrame, records: Records, wanted: DataFrame) -> DataFrame:
     return sets.groupBy("sid").agg(F.first("members").alias("members"))
 
 
+def _both(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    return candidates.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
+
+
+def _shared(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values ``u`` stand among ``v``, and whether they do; both ascend."""
+    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+    return at, v[at] == u
+
+
+def _links(nu: int, nv: int, common: int) -> bool:
+    return 100 * common >= 80 * (nu + nv - common)
+
+
 def compared(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, na, nb, link, near, change): the pairs of ``candidates`` by their exact sets, of the table ``sets``.
 
     ``near`` pairs differ by twice what a link may at most; ``change`` then has the tokens in one of the two sets only.
     """
-    both = candidates.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb, link, near, change = [], [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 u, v = _unpack(x.as_py()), _unpack(y.as_py())
-                at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-                shared = v[at] == u
-                common = int(shared.sum())
+                at, shared = _shared(u, v)
+                common = int(np.count_nonzero(shared))
                 na.append(len(u))
                 nb.append(len(v))
-                link.append(100 * common >= 80 * (len(u) + len(v) - common))
+                link.append(_links(len(u), len(v), common))
                 near.append(9 * (len(u) + len(v) - 2 * common) <= 2 * (len(u) + len(v)))
                 if near[-1]:
                     rest = np.ones(len(v), bool)
@@ -299,12 +311,19 @@ def compared(candidates: DataFrame, sets: DataFrame) -> DataFrame:
             columns = [pa.array(na, pa.int32()), pa.array(nb, pa.int32()), pa.array(link, pa.bool_()), pa.array(near, pa.bool_()), pa.array(change, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["a", "b", "na", "nb", "link", "near", "change"])
 
-    return both.mapInArrow(run, "a long, b long, na int, nb int, link boolean, near boolean, change array<long>")
+    return _both(candidates, sets).mapInArrow(run, "a long, b long, na int, nb int, link boolean, near boolean, change array<long>")
 
 
 def linked(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs of ``candidates`` whose sets, of the table ``sets``, link by their exact intersections."""
-    return table(compared(candidates, sets).filter("link").select("a", "b"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs_ = ((_unpack(x.as_py()), _unpack(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True))
+            ok = [_links(len(u), len(v), int(np.count_nonzero(_shared(u, v)[1]))) for u, v in pairs_]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return table(_both(candidates, sets).mapInArrow(run, "a long, b long"))
 
 
 def centres(entries: DataFrame) -> DataFrame:
