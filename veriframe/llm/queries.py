@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, html_templates, jaccard_join, line_dedup, quality_rules, secret_scan, token_counts, token_store, warc_revisit
+from . import bpe_replay, decontaminate, html_templates, importance, jaccard_join, line_dedup, minhash_dedup, quality_rules, secret_scan, token_counts, token_store, vector_codes, warc_revisit
 from .common import documents, shared_folder
 
 
@@ -18,26 +18,30 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '')"
 
-OP1_SQL = rf"""
+
+def _components_sql(k: int, percent: int, more: str = "") -> str:
+    return rf"""
 WITH RECURSIVE low AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 words AS (SELECT doc_id, {_WORDS} AS w FROM low),
 sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM words),
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i+{k - 1}], ' ') FOR i IN range(1, len(w) - {k - 2})]) END AS s FROM words),
 items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 common AS (
   SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c
-  FROM items x JOIN items y ON x.g = y.g AND x.doc_id < y.doc_id AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n GROUP BY 1, 2),
-links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+  FROM items x JOIN items y ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n GROUP BY 1, 2),
+links AS (SELECT a, b FROM common WHERE 100 * c >= {percent} * (na + nb - c)),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(doc_id, r) AS (
   SELECT doc_id, doc_id FROM sets UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.r = both_ways.a)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CAST(m.c AS BIGINT) AS component_id
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CAST(m.c AS BIGINT) AS component_id{more}
 FROM sets s JOIN (SELECT doc_id, min(r) AS c FROM reach GROUP BY 1) m ON s.doc_id = m.doc_id
 """
 
 
+OP1_SQL = _components_sql(5, 80)
+
 
 def op2_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = warc_revisit.resolve_revisits(page_captures(documents(spark, sf_dir, "pages")))
@@ -191,11 +195,81 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.with_crc32(token_store.read_store(spark, path))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+OP11_SQL = _components_sql(minhash_dedup.SHINGLE_WORDS, minhash_dedup.PERCENT, ", s.doc_id = m.c AS kept")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(documents(spark, sf_dir, "embeddings"))
+
+
+def _assigned(codebook: str) -> str:
+    """Each part with its nearest entry: the least (squared distance, index)."""
+    return f"""SELECT vec_id, p, any_value(q.v) AS v, min((list_sum([(q.v[i] - c.v[i]) * (q.v[i] - c.v[i]) FOR i IN range(1, len(q.v) + 1)]), e)) AS best FROM parts q JOIN {codebook} c USING (p) GROUP BY 1, 2"""
+
+
+def _moved(codebook: str, assigned: str) -> str:
+    return f"""SELECT p, e, coalesce(any_value(m.v), any_value(c.v)) AS v FROM {codebook} c LEFT JOIN (
+    SELECT p, best[2] AS e, list(y ORDER BY i) AS v FROM (
+      SELECT p, best, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS y FROM (
+        SELECT p, best[2] AS best2, [0, best[2]] AS best, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM {assigned}) GROUP BY 1, 2, 3) GROUP BY 1, 2) m USING (p, e) GROUP BY 1, 2"""
+
+
+def _vector_sql() -> str:
+    n, k = vector_codes.PARTS, vector_codes.ENTRIES
+    rounds = "".join(f", a{r} AS ({_assigned(f'c{r}')}), c{r + 1} AS ({_moved(f'c{r}', f'a{r}')})" for r in range(vector_codes.ROUNDS))
+    last = vector_codes.ROUNDS
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, [CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, p, v[p * len(v) // {n} + 1 : (p + 1) * len(v) // {n}] AS v FROM kept, range({n}) t(p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {k}),
+c0 AS (SELECT p, e, v FROM parts JOIN firsts USING (vec_id)){rounds}, final AS ({_assigned(f"c{last}")}),
+coded AS (SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM final GROUP BY 1),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS h FROM c{last})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM coded JOIN kept USING (vec_id), books
+"""
+
+
+OP12_SQL = _vector_sql()
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def _feature_sql(table: str, key: str) -> str:
+    return rf"""SELECT {key}, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM {table}"""
+
+
+OP13_SQL = f"""
+WITH table_ AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+d AS ({_feature_sql("documents", "doc_id")}), b AS ({_feature_sql("benchmark", "item_id")}),
+forms AS (SELECT w, [CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT) FOR i IN range(octet_length(encode(w)))] AS bytes FROM (SELECT w FROM d UNION SELECT w FROM b)),
+buckets AS (SELECT w, xor(list_reduce(bytes, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295) % {importance.BUCKETS} AS k FROM forms, table_),
+s AS (SELECT k, count(*) AS n FROM d JOIN buckets USING (w) GROUP BY 1), t AS (SELECT k, count(*) AS n FROM b JOIN buckets USING (w) GROUP BY 1),
+totals AS (SELECT CAST((SELECT count(*) FROM d) AS DOUBLE) AS s, CAST((SELECT count(*) FROM b) AS DOUBLE) AS t),
+gains AS (SELECT i AS k, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1) * (totals.s + {importance.BUCKETS}) / ((coalesce(s.n, 0) + 1) * (totals.t + {importance.BUCKETS})))) AS BIGINT) AS gain
+  FROM range({importance.BUCKETS}) r(i) LEFT JOIN s ON s.k = i LEFT JOIN t ON t.k = i, totals),
+sums AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS g FROM d JOIN buckets USING (w) JOIN gains USING (k) GROUP BY 1),
+weighed AS (SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (g - ((g % n) + n) % n) // n END AS weight FROM documents LEFT JOIN sums USING (doc_id)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{importance.SEED}:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM weighed),
+ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= {importance.LEAST_WORDS}
+  QUALIFY rank <= {importance.PERCENT} * count(*) OVER () // 100)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, rank FROM scored LEFT JOIN ranks USING (doc_id)
+"""
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_ngram_jaccard_join, op2_warc_revisit, op3_benchmark_decontamination, op4_html_site_templates, op5_secret_scan,
         op6_byte_bpe, op7_quality_perplexity, op8_token_counts, op9_line_dedup, op10_token_store,
+        op11_minhash_dedup, op12_vector_codes, op13_importance_resampling,
     )
 }
-ORACLE_SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op2_warc_revisit": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op5_secret_scan": OP5_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op2_warc_revisit": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op5_secret_scan": OP5_SQL, "op9_line_dedup": OP9_SQL, "op11_minhash_dedup": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_importance_resampling": OP13_SQL}

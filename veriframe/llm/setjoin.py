@@ -1,4 +1,4 @@
-"""Exact set-similarity join at Jaccard >= 0.8, shared by two operators.
+"""Exact set-similarity join at Jaccard >= 0.8, shared by two operators; a third one verifies its pairs here, at a bound of its own.
 
 A set's tokens are ordered by (rarity level, hash), the same order for all
 sets.  Two sets that link share a token among the first ``n - ceil(0.8 n) + 1``
@@ -281,15 +281,16 @@ def _shared(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, v[at] == u
 
 
-def _links(nu: int, nv: int, common: int) -> bool:
-    return 100 * common >= 80 * (nu + nv - common)
+def _links(nu: int, nv: int, common: int, percent: int = 80) -> bool:
+    return 100 * common >= percent * (nu + nv - common)
 
 
-def compared(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+def compared(candidates: DataFrame, sets: DataFrame, percent: int = 80, near_by: tuple[int, int] = (2, 9)) -> DataFrame:
     """(a, b, na, nb, link, near, change): the pairs of ``candidates`` by their exact sets, of the table ``sets``.
 
-    ``near`` pairs differ by twice what a link may at most; ``change`` then has the tokens in one of the two sets only.
+    ``near`` pairs differ by the part ``near_by`` of both sizes, twice what a link may, at most; ``change`` then has the tokens in one of the two sets only.
     """
+    share, whole = near_by
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,8 +301,8 @@ def compared(candidates: DataFrame, sets: DataFrame) -> DataFrame:
                 common = int(np.count_nonzero(shared))
                 na.append(len(u))
                 nb.append(len(v))
-                link.append(_links(len(u), len(v), common))
-                near.append(9 * (len(u) + len(v) - 2 * common) <= 2 * (len(u) + len(v)))
+                link.append(_links(len(u), len(v), common, percent))
+                near.append(whole * (len(u) + len(v) - 2 * common) <= share * (len(u) + len(v)))
                 if near[-1]:
                     rest = np.ones(len(v), bool)
                     rest[at[shared]] = False
@@ -314,13 +315,13 @@ def compared(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     return _both(candidates, sets).mapInArrow(run, "a long, b long, na int, nb int, link boolean, near boolean, change array<long>")
 
 
-def linked(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(candidates: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
     """The pairs of ``candidates`` whose sets, of the table ``sets``, link by their exact intersections."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs_ = ((_unpack(x.as_py()), _unpack(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True))
-            ok = [_links(len(u), len(v), int(np.count_nonzero(_shared(u, v)[1]))) for u, v in pairs_]
+            ok = [_links(len(u), len(v), int(np.count_nonzero(_shared(u, v)[1])), percent) for u, v in pairs_]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return table(_both(candidates, sets).mapInArrow(run, "a long, b long"))
@@ -343,7 +344,7 @@ def centres(entries: DataFrame) -> DataFrame:
     return met.groupBy("sid").agg(F.max_by("centre", F.struct("times", -F.col("share"), "centre")).alias("centre"))
 
 
-def answered_pairs(groups: DataFrame) -> DataFrame:
+def answered_pairs(groups: DataFrame, percent: int = 80) -> DataFrame:
     """Links (a, b) between sets of one centre that have different labels, derived from what is known of each set and the centre.
 
     ``groups``: sid, centre, n, label, link (with the centre) and change.  Two
@@ -354,23 +355,27 @@ def answered_pairs(groups: DataFrame) -> DataFrame:
     of the changes of x; and where x does link with the centre, more than
     cy - ny / 4 of those of y, and at least one.  So a prefix of each set's
     changes, those that few of the group's sets have first, finds all its
-    partners; changes that no other set has take a place but make no list.
+    partners; changes that no other set has take a place but make no list.  At
+    ``percent`` p instead of 80, p / (100 + p) stands for 4/9, (100 - p) / p for
+    1/4 and (100 + p) / (100 - p) for 9.
     """
     k = F.size("change")
-    least = F.when(F.col("link"), F.floor(k * 4 / 9) + 1).otherwise(F.greatest(F.lit(1), F.least(F.floor(k * 4 / 9) + 1, k - F.floor(F.col("n") / 4)))).cast("int")
+    differ, whole = 100 - percent, 100 + percent
+    part = F.floor(k * percent / whole) + 1
+    least = F.when(F.col("link"), part).otherwise(F.greatest(F.lit(1), F.least(part, k - F.floor(F.col("n") * differ / percent)))).cast("int")
     held = groups.filter(k > 0).select("sid", "centre", "n", "label", k.alias("k"), (k - least + 1).alias("prefix"), F.explode("change").alias("token"))
     shared = held.groupBy("centre", "token").agg(F.count("*").alias("m")).filter("m > 1")
     ranked = held.join(shared, ["centre", "token"], "left").withColumn("pos", F.row_number().over(Window.partitionBy("sid").orderBy(F.coalesce("m", F.lit(1)), "token")) - 1)
     entries = table(ranked.filter("pos < prefix and m > 1").drop("prefix", "m"))
     x, y = entries.alias("x"), entries.alias("y")
-    need = 9 * (F.col("x.k") + F.col("y.k")) - F.col("x.n") - F.col("y.n")
+    need = whole * (F.col("x.k") + F.col("y.k")) - differ * (F.col("x.n") + F.col("y.n"))
     left = F.least(F.col("x.k") - F.col("x.pos"), F.col("y.k") - F.col("y.pos"))
-    on = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.label") != F.col("y.label")) & (18 * left >= need)
+    on = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.label") != F.col("y.label")) & (2 * whole * left >= need)
     maybe = x.join(y, on).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     own = groups.select("sid", "n", "change")
     both = maybe.join(own.toDF("a", "na", "ca"), "a").join(own.toDF("b", "nb", "cb"), "b")
     common = F.size(F.array_intersect("ca", "cb"))
-    return table(both.filter(9 * (F.size("ca") + F.size("cb") - 2 * common) <= F.col("na") + F.col("nb")).select("a", "b"))
+    return table(both.filter(whole * (F.size("ca") + F.size("cb") - 2 * common) <= differ * (F.col("na") + F.col("nb"))).select("a", "b"))
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
