@@ -1,7 +1,7 @@
 """Operator 12: vector code compression by product codebooks over Hilbert-sorted flat blocks.
 
-A task cuts its vectors into groups of 4,096.  For each part position of a group
-the parts are sorted along a Hilbert curve and cut into flat blocks of 64, each
+A task cuts its vectors into groups of some 2**21 components.  For each part position
+of a group the parts are sorted along a Hilbert curve and cut into flat blocks of 32, each
 with the least and greatest component (its box) and the sums of its parts.  The
 groups are written once; all rounds read them, and no vector is shuffled.
 
@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import ship, table
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
-GROUP_ROWS, BLOCK_ROWS = 4096, 64
+BLOCK_ROWS = 32
+#: Components of a group of vectors: 8 MB, and the more vectors, the smaller the boxes.
+GROUP_COMPONENTS = 1 << 21
 #: Scaled components beyond this are taken as this.
 LARGEST = 1 << 26
 
@@ -152,6 +154,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def _groups(width: int, parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["ids", "labels", "orders", "points", "low", "high", "sums"]
+    most = max(1024, GROUP_COMPONENTS // width)
 
     def group(rows: pa.Table) -> pa.RecordBatch:
         matrix = _matrix(rows.column(1), width)
@@ -165,11 +168,11 @@ def _groups(width: int, parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iter
         for batch in batches:
             held.append(batch)
             n += len(batch)
-            if n >= GROUP_ROWS:
+            if n >= most:
                 rows = pa.Table.from_batches(held)
-                while len(rows) >= GROUP_ROWS:
-                    yield group(rows.slice(0, GROUP_ROWS))
-                    rows = rows.slice(GROUP_ROWS)
+                while len(rows) >= most:
+                    yield group(rows.slice(0, most))
+                    rows = rows.slice(most)
                 held, n = rows.to_batches(), len(rows)
         if n:
             yield group(pa.Table.from_batches(held))
