@@ -6,20 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grounding import squeezed, words
+from ..functions.normalize import let
 from .probe import small
 
 _KEY = 3
 
 
+def _run(w: Column, i: Column, n: int) -> Column:
+    """A key of the ``n`` words from the ``i``-th on; behind the last word of fewer."""
+    return F.xxhash64(*(F.get(w, i + k) for k in range(n)))
+
+
 def _runs(w: Column, n: int) -> Column:
-    """The runs of ``n`` words."""
-    starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    return F.transform(w, lambda _, i: _run(w, i, n))
 
 
 def _lengths(keyed: DataFrame) -> list[int]:
     """The numbers of words that the runs have: three at most."""
-    return sorted(r[0] for r in keyed.select(F.size(F.split("run", " "))).distinct().collect()) or [_KEY]
+    return sorted(r[0] for r in keyed.select("n").distinct().collect()) or [_KEY]
 
 
 def quotes_in_texts(quotes: DataFrame, texts: DataFrame, min_words: int = 3) -> DataFrame:
@@ -34,10 +38,14 @@ def quotes_in_texts(quotes: DataFrame, texts: DataFrame, min_words: int = 3) ->
     run and are compared with every text.
     """
     q = quotes.select("quote_id", squeezed(F.col("text")).alias("quote"), words(F.col("text")).alias("w")).filter(F.size("w") >= min_words)
-    keyed = q.filter(F.size("w") > 2).select("quote_id", "quote", F.array_join(F.slice("w", F.lit(2), F.least(F.lit(_KEY), F.size("w") - 2)), " ").alias("run"))
+    n = F.least(F.lit(_KEY), F.size("w") - 2)
+    run = F.when(n == 1, _run(F.col("w"), F.lit(1), 1)).when(n == 2, _run(F.col("w"), F.lit(1), 2)).otherwise(_run(F.col("w"), F.lit(1), 3))
+    keyed = q.filter(F.size("w") > 2).select("quote_id", "quote", n.alias("n"), run.alias("run"))
     t = texts.select("key", squeezed(F.col("text")).alias("hay"))
-    w = F.split("hay", " ")
-    every = F.explode(F.array_distinct(F.concat(*(_runs(w, n) for n in _lengths(keyed)))))
+    lengths = _lengths(keyed)
+    # a text is cut into words once; all runs look into that array
+    runs = let(F.split("hay", " "), lambda w: F.concat(*(_runs(w, k) for k in lengths)))
+    every = F.explode(F.array_distinct(runs))
     if small(keyed):
         met = t.select("key", "hay", every.alias("run")).join(F.broadcast(keyed), "run")
     else:

@@ -18,13 +18,15 @@ def claim_key(text: Column) -> Column:
 
 
 def first_wins(rows: DataFrame, key: Column, *order: str) -> DataFrame:
-    """The first row of each key, by ``order``.
+    """The first row of each key, by ``order``; of rows that are equal there any one.
 
-    Keys are grouped by their digests; each task keeps one row of a key, so a large group of copies isn't gathered.
+    Keys are told apart by two 64-bit hashes.  Only these and the order meet in the
+    groups, a row of each task for each key; then the rows are filtered, so a large group of copies isn't gathered.
     """
-    columns = rows.columns
-    first = rows.groupBy(F.sha2(key.cast("string"), 256).alias("_key")).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_row"))
-    return first.select(*(F.col("_row")[c].alias(c) for c in columns))
+    hashed = {"_a": F.xxhash64(F.lit(0), key), "_b": F.xxhash64(F.lit(1), key)}
+    keyed = rows.select("*", *(h.alias(n) for n, h in hashed.items()), F.struct(*order).alias("_at"))
+    first = keyed.groupBy("_a", "_b").agg(F.min("_at").alias("_at"))
+    return keyed.join(first, ["_a", "_b", "_at"], "left_semi").dropDuplicates(["_a", "_b"]).select(*(F.col(f"`{c}`") for c in rows.columns))
 
 
 def claims_from_tags(tagged: DataFrame) -> DataFrame:

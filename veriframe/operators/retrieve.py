@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grounding import word_count, words
+from ..functions.grounding import words
 from ..functions.normalize import let
 from . import tree
+from .probe import small
+from .saved import saved
 
 # How roles are shown.
 ASSERTION = "assertion (the deck being checked)"
@@ -73,23 +75,45 @@ def content(requests: DataFrame, nodes: DataFrame, documents: DataFrame, manifes
     return rows.select("request", "pos", "doc_id", "node_id", "title", "path", "content", cite.alias("cite"), F.struct("line_start", "line_end", "anchor", "page_start", "page_end").alias("loc"))
 
 
+def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, key, tf, length) of the wanted ``terms`` in texts (key, text), and for each key a row without term: its texts and their words.
+
+    A text's words are found once, and their number goes along with each of them.
+    """
+    found = let(words(F.col("text")), lambda w: let(F.size(w), lambda n: F.concat(F.transform(w, lambda x: F.struct(x.alias("term"), n.alias("length"))), F.array(F.struct(F.lit(None).cast("string").alias("term"), n.alias("length"))))))
+    each = texts.select("key", F.explode(found).alias("e")).select("key", "e.*")
+    wanted = terms.select(F.col("term").alias("wanted")).distinct()
+    if small(wanted):
+        wanted = F.broadcast(wanted)
+    kept = each.join(wanted, F.col("term") == F.col("wanted"), "left").filter("wanted is not null or term is null")
+    return kept.groupBy("term", "key").agg(F.count("*").alias("tf"), F.sum("length").alias("total"), F.max("length").alias("length"))
+
+
 def bm25(queries: DataFrame, texts: DataFrame, k: int, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """query_id, key, score and rank of the ``k`` best texts (key, text) for each query (query_id, text).
 
-    Of a text's words only those that a query asks for are shuffled.
+    One pass over the texts gives the postings of the words that queries ask for;
+    they are written, and totals and document frequencies come from them.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    terms = texts.select("key", word_count(F.col("text")).alias("length"), F.explode(words(F.col("text"))).alias("term"))
-    totals = texts.select(word_count(F.col("text")).alias("length")).agg(F.count("*").alias("n_texts"), F.avg("length").alias("avg_length"))
-    wanted = terms.join(asked.select("term").distinct(), "term", "left_semi")
-    tf = wanted.groupBy("term", "key").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    held = saved(postings(texts, asked))
+    tf = held.filter("term is not null").select("term", "key", "tf", "length")
+    totals = held.filter("term is null").agg(F.sum("tf").alias("n_texts"), (F.sum("total") / F.sum("tf")).alias("avg_length"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = tf.join(df, "term").crossJoin(F.broadcast(totals))  # the totals are one row
     idf = F.log(1 + (F.col("n_texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     per_text = scored.select("term", "key", weight.alias("weight")).join(asked, "term").groupBy("query_id", "key").agg(F.sum("weight").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "key"))
-    return per_text.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best(per_text, "query_id", k)
+
+
+def best(scores: DataFrame, by: str, k: int) -> DataFrame:
+    """The ``k`` best rows (score, key) of each ``by`` with their rank; a task passes on its own best ones only."""
+    top = F.array_sort(F.collect_list(F.struct((-F.round("score", 6)).alias("down"), "key", "score")))
+    # the best of each slice of keys first, so that no query's rows meet in one task
+    part = scores.groupBy(by, F.pmod(F.xxhash64("key"), F.lit(64)).alias("_slice")).agg(F.slice(top, 1, k).alias("top"))
+    whole = part.groupBy(by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+    return whole.select(by, F.posexplode("top").alias("i", "t")).select(by, "t.key", "t.score", (F.col("i") + 1).alias("rank"))
 
 
 def route(operation: Column, has_figure: Column) -> Column:

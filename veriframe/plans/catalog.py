@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import grounding as g
 from ..functions import normalize as nz
 from ..operators import compare, containment, extract, report, retrieve, tree, validate
+from ..operators.saved import saved
 from ..sources import corpus, sinks
 from ..types import PERIOD, QUANTITY
 
@@ -378,7 +379,7 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'n' || ord AS node_id, path, CASE WHEN
 def section_content(spark, sf_dir):
     """Every section's text, path, place and citation, fetched by one request for each document."""
     docs = outlines(spark, sf_dir)
-    nodes = retrieve.addressed(docs).persist()  # asked for, and then joined
+    nodes = saved(retrieve.addressed(docs))  # asked for, and then joined
     asked = nodes.filter("node_id <> 'root'").groupBy("doc_id").agg(F.collect_list("node_id").alias("node_ids")).select(F.col("doc_id").alias("request"), "doc_id", "node_ids")
     manifest = docs.filter(F.col("doc_id").cast("bigint") % 3 != 0).select("doc_id", F.concat(F.lit("http://x/"), "doc_id").alias("url"))
     rows = retrieve.content(asked, nodes, docs, manifest)
