@@ -111,8 +111,8 @@ def with_addresses(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     return nodes.join(anchors, ["doc_id", "line_start"], "left").join(spans, ["doc_id", "node_id"], "left")
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """doc_id, node_id and the titles from the root down, joined.
+def _chains(nodes: DataFrame, *values: str) -> DataFrame:
+    """doc_id, node_id and chain: ``values`` of a section's ancestors from the root down, and its own.
 
     In page order a section's ancestors are, for each smaller level, the last
     section before it, unless one of a still smaller level stands between.  Parts
@@ -120,15 +120,34 @@ def paths(nodes: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("doc_id").orderBy("line_start", "level", "node_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    numbered = nodes.select("doc_id", "node_id", "line_start", "level", "title", F.row_number().over(order).alias("at"))
-    last = [F.last(F.when(F.col("level") == k, F.struct("at", "title")), ignorenulls=True).over(before).alias(f"l{k}") for k in range(1, 7)]
+    numbered = nodes.select("doc_id", "node_id", "line_start", "level", F.struct(*values).alias("own"), F.row_number().over(order).alias("at"))
+    last = [F.last(F.when(F.col("level") == k, F.struct("at", "own")), ignorenulls=True).over(before).alias(f"l{k}") for k in range(1, 7)]
     seen = numbered.select("*", *last)
     steps, nearest = [], F.lit(0)
     for k in range(1, 7):
         above = F.col(f"l{k}")
-        steps.append(F.when((F.col("level") > k) & (above["at"] > nearest), above["title"]))
+        steps.append(F.when((F.col("level") > k) & (above["at"] > nearest), above["own"]))
         nearest = F.greatest(nearest, F.coalesce(above["at"], F.lit(0)))
-    return seen.select("doc_id", "node_id", F.array_join(F.concat(F.array_compact(F.array(*steps)), F.array("title")), PATH_SEPARATOR).alias("path"))
+    return seen.select("doc_id", "node_id", F.concat(F.array_compact(F.array(*steps)), F.array("own")).alias("chain"))
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """doc_id, node_id and the titles from the root down, joined."""
+    return _chains(nodes, "title").select("doc_id", "node_id", F.array_join(F.transform("chain", lambda x: x["title"]), PATH_SEPARATOR).alias("path"))
+
+
+def line_sections(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, line_no and sections: the ids of all sections that hold the line, from the root down.
+
+    A line's sections are among those of the last section that starts at or before it, whose end decides.
+    """
+    chains = _chains(nodes, "node_id", "line_end")
+    started = nodes.join(chains, ["doc_id", "node_id"]).select("doc_id", F.col("line_start").alias("line_no"), "level", "chain", F.lit(False).alias("asked"))
+    all_ = started.unionByName(lines.select("doc_id", "line_no", F.lit(99).alias("level"), F.lit(None).cast(started.schema["chain"].dataType).alias("chain"), F.lit(True).alias("asked")))
+    upto = Window.partitionBy("doc_id").orderBy("line_no", "level").rowsBetween(Window.unboundedPreceding, 0)
+    held = all_.withColumn("chain", F.last("chain", ignorenulls=True).over(upto)).filter("asked")
+    inside = F.filter("chain", lambda x: x["line_end"] >= F.col("line_no"))
+    return held.select("doc_id", "line_no", F.coalesce(F.transform(inside, lambda x: x["node_id"]), F.array().cast("array<string>")).alias("sections"))
 
 
 def depths(nodes: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import grounding as g
 from ..functions import normalize as nz
-from ..operators import compare, containment, extract, report, retrieve, tree, validate
+from ..operators import compare, containment, extract, navigate, report, retrieve, tree, validate
 from ..operators.saved import saved
-from ..sources import corpus, sinks
+from ..sources import corpus, sinks, xbrl
 from ..types import PERIOD, QUANTITY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +154,67 @@ def verdict_basis_mismatch(spark, sf_dir):
     return compare.verdicts(_claims(rows, one("net", "adjusted"), "absolute"), evidence).select("claim_id", "claimed", "actual", "status", "actual_basis")
 
 
+# --- tagged facts ------------------------------------------------------------------
+
+
+def fact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each nation with tagged facts of every year.
+
+    Revenue stands in thousands and again, inside a tagged text, in millions, off by
+    five where d is 1; costs have a sign and are exact; a part of revenue has a dimension.
+    """
+    y, k = F.col("y").cast("string"), F.col("k")
+    shown = lambda x: F.format_number(x, 0)
+    millions = F.floor((k + 500) / 1000) + F.when(F.col("d") == 1, 5).otherwise(0)
+    period = "<xbrli:period><xbrli:startDate>%s-01-01</xbrli:startDate><xbrli:endDate>%s-12-31</xbrli:endDate></xbrli:period></xbrli:context>"
+    contexts = F.format_string(f'<xbrli:context id="y%s">{period}<xbrli:context id="s%s"><xbrli:segment><xbrldi:explicitMember dimension="srt:ProductAxis">x:Tea</xbrldi:explicitMember></xbrli:segment>{period}', y, y, y, y, y, y)
+    rows = F.format_string(
+        '<tr><td>Revenue</td><td>$ <ix:nonFraction name="us-gaap:Revenues" contextRef="y%s" unitRef="usd" scale="3" decimals="-3" format="ixt:num-dot-decimal"><b>%s</b></ix:nonFraction></td></tr>'
+        '<tr><td><ix:nonNumeric name="x:Note" contextRef="y%s">some <ix:nonFraction name="us-gaap:Revenues" contextRef="y%s" unitRef="usd" scale="6" decimals="-6">%s</ix:nonFraction> million</ix:nonNumeric></td></tr>'
+        '<tr><td>Costs (<ix:nonFraction name="us-gaap:OtherCosts" contextRef="y%s" unitRef="usd" scale="3" decimals="INF" sign="-">%s</ix:nonFraction>), tea <ix:nonFraction name="us-gaap:Revenues" contextRef="s%s" unitRef="usd" decimals="0">%s</ix:nonFraction></td></tr>',
+        y, shown(k), y, y, shown(millions), y, shown(k % 1000), y, shown(k),
+    )
+    by = revenue(spark, sf_dir).groupBy("nk").agg(F.array_sort(F.collect_list(F.struct("y", contexts.alias("c"), rows.alias("r")))).alias("years"))  # a row for each year
+    head = '<html><body><div style="display:none"><ix:header><ix:resources><xbrli:unit id="usd"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit>'
+    joined = lambda part: F.array_join(F.transform("years", lambda x: x[part]), "")
+    return by.select(F.col("nk").cast("string").alias("doc_id"), F.concat(F.lit(head), joined("c"), F.lit("</ix:resources></ix:header></div><table>"), joined("r"), F.lit("</table></body></html>")).alias("html"))
+
+
+@query(f"""WITH {_BASE}
+SELECT CAST(nk AS VARCHAR) AS doc_id, 'us-gaap:Revenues' AS concept, y AS year, k * 1000.0 AS value, 'USD' AS unit, -3 AS decimals, CAST(2 AS BIGINT) AS told,
+  abs(((k + 500) // 1000 + CASE WHEN d = 1 THEN 5 ELSE 0 END) * 1000000 - k * 1000) > 500000 AS conflict, '' AS member FROM pairs
+UNION ALL SELECT CAST(nk AS VARCHAR), 'us-gaap:OtherCosts', y, -(k % 1000) * 1000.0, 'USD', NULL, 1, false, '' FROM pairs
+UNION ALL SELECT CAST(nk AS VARCHAR), 'us-gaap:Revenues', y, k * 1.0, 'USD', 0, 1, false, 'x:Tea' FROM pairs""")
+def xbrl_facts(spark, sf_dir):
+    """All facts of the pages, one row for each, with the most precise of its tellings."""
+    q = F.col("quantity")
+    found = xbrl.resolved(xbrl.facts(fact_pages(spark, sf_dir)))
+    return found.select("doc_id", "concept", q["period"]["year"].cast("bigint").alias("year"), (q["value"] * q["scale"] + F.lit(0.0)).alias("value"), q["unit"].alias("unit"), "decimals", "told", "conflict", F.coalesce(F.try_element_at("dims", F.lit("srt:ProductAxis")), F.lit("")).alias("member"))
+
+
+@query(f"""WITH {_BASE},
+shown AS (SELECT *, k * CASE WHEN d = 3 THEN 3 ELSE 1 END AS v FROM pairs)
+SELECT claim_id, v * 1000.0 AS claimed, CASE WHEN d = 6 THEN 'NO_SOURCE' WHEN d = 3 THEN 'CONTRADICTED' ELSE 'SUPPORTED' END AS status, CASE WHEN d <> 6 THEN k * 1000.0 END AS actual, CASE WHEN d = 6 THEN 0 ELSE 1 END AS n_facts FROM shown
+UNION ALL SELECT claim_id + 1000000, v, status, actual, n_facts FROM (
+  SELECT claim_id, k, before, round(coalesce((k - before) * 100.0 / before, 50.0)) + CASE WHEN d = 3 THEN 40 ELSE 0 END AS v, round((k * 1000.0 - before * 1000.0) / (before * 1000.0) * 100.0, 6) AS actual, CASE WHEN before IS NULL THEN 1 ELSE 2 END AS n_facts,
+    CASE WHEN before IS NULL THEN 'NO_EVIDENCE' WHEN v <> 0 AND k <> before AND (abs(v) / abs((k - before) * 100.0 / before) >= 9.5 OR abs(v) / abs((k - before) * 100.0 / before) <= 1 / 9.5) THEN 'CONTRADICTED'
+      WHEN abs(v - (k - before) * 100.0 / before) <= CASE WHEN v = 0 THEN 0.0 ELSE 0.5 * pow(10.0, floor(log10(abs(v))) - (greatest(length(rtrim(ltrim(replace(CAST(CAST(v AS BIGINT) AS VARCHAR), '-', ''), '0'), '0')), 1) - 1)) END THEN 'SUPPORTED' ELSE 'CONTRADICTED' END AS status FROM pairs)""")
+def xbrl_verdicts(spark, sf_dir):
+    """Claims on revenue and its growth, decided by the facts that are found for their periods: of seven revenues one is tripled and one of a year that no fact covers."""
+    rows = revenue(spark, sf_dir)
+    found = xbrl.resolved(xbrl.facts(fact_pages(spark, sf_dir)))
+    year = F.when(F.col("d") == 6, F.col("y") + 60).otherwise(F.col("y"))
+    shown = F.col("k") * F.when(F.col("d") == 3, 3).otherwise(1)
+    flat = rows.select("claim_id", "nk", _q(shown, "USD", F.lit(1000.0), _fy(year), F.lit("GAAP"), shown.cast("string")).alias("value"), F.lit("absolute").alias("operation"), _fy(year).alias("period"))
+    ratio = F.col("before").cast("double")
+    percent = F.round(F.coalesce((F.col("k") - ratio) * 100.0 / ratio, F.lit(50.0))).cast("bigint") + F.when(F.col("d") == 3, 40).otherwise(0)
+    grown = rows.select((F.col("claim_id") + 1000000).alias("claim_id"), "nk", _q(percent, "percent", F.lit(1.0), _fy(F.col("y")), F.lit("GAAP"), percent.cast("string")).alias("value"), F.lit("growth").alias("operation"), _fy(F.col("y")).alias("period"))
+    both = flat.unionByName(grown)
+    asked = both.select("claim_id", F.col("nk").cast("string").alias("doc_id"), F.array(F.lit("us-gaap:Revenues")).alias("concepts"))
+    claims = both.withColumns({"text": F.lit(""), "basis": F.lit("unknown")}).drop("nk")
+    return compare.verdicts(claims, xbrl.fact_evidence(claims, asked, found)).select("claim_id", "claimed", "status", F.round("actual", 6).alias("actual"), F.size("quantities").alias("n_facts"))
+
+
 # --- parsing ---------------------------------------------------------------------
 
 # every other scale word stands behind a non-breaking space
@@ -400,6 +461,16 @@ def paged_tree(spark, sf_dir):
     return nodes.select("doc_id", "node_id", "title", *(F.col(c).cast("bigint").alias(c) for c in ("line_start", "line_end", "page_start", "page_end")))
 
 
+@query()
+def navigated_sections(spark, sf_dir):
+    """Where a question, one of the benchmark for each document, goes in the document's sections: six of them, two at a time."""
+    docs, items = outlines(spark, sf_dir), _read(spark, sf_dir, "benchmark").select("item_id", "text")
+    n = items.count()
+    numbered = items.select(F.pmod("item_id", F.lit(n)).alias("i"), "item_id", "text")
+    requests = docs.select("doc_id", F.pmod(F.col("doc_id").cast("bigint"), F.lit(n)).alias("i")).join(numbered, "i").select(F.col("item_id").alias("request"), "doc_id", "text")
+    return navigate.navigate(requests, docs).select("request", "doc_id", "step", "node_id", "n_terms", "n_hits", "is_leaf")
+
+
 # --- pages, listing, search ------------------------------------------------------------
 
 
