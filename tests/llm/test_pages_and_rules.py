@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -264,32 +265,95 @@ def test_keep_good(spark, varied):
     assert kept and quality_rules.keep_good(df.limit(0)).count() == 0 and quality_rules.quality(df.limit(0)).count() == 0
 
 
-def test_the_verdict_by_brute_force(spark, varied):
-    """``kept`` is the base rules and the band over the textbook model's scores, near a bound aside."""
-    df = spark.createDataFrame(varied, "doc_id long, text string, lang string")
-    rows = [(r, f) for r in varied for f in [base_columns(r[1])]]
-    by_lang = {}
-    for r, _ in rows:
-        by_lang.setdefault(r[2], []).append(r[1])
-    models = {k: brute_model(v) for k, v in by_lang.items()}
-
-    def score(text, lang):
+def folds(texts):
+    """The fold of each text, as the operator deals them out; the rest of the brute force doesn't use it."""
+    out = []
+    for t in texts:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        bounds = np.array([0, len(raw)])
+        out.append(int(quality_rules._folds(quality_rules._grams(raw, bounds, np.array([0])), bounds)[0]))
+    return out
+
+
+def brute_scores(rows):
+    """Thousandths of a bit for each row (doc_id, text, lang), by the textbook model of the other fold's texts of its language."""
+    own = folds([r[1] for r in rows])
+    models = {(lang, f): brute_model([r[1] for r, g in zip(rows, own, strict=True) if r[2] == lang and g != f]) for lang in {r[2] for r in rows} for f in (0, 1)}
+    out = []
+    for (_, text, lang), f in zip(rows, own, strict=True):
         padded = b"\n" * 4 + (text or "").encode().lower()
-        bits = [-math.log2(models[lang](padded[i - 4 : i + 1])) for i in range(4, len(padded))]
-        return sum(bits) / len(bits) if bits else 0.0
+        bits = [-math.log2(models[lang, f](padded[i - 4 : i + 1])) for i in range(4, len(padded))]
+        out.append(1000 * sum(bits) / len(bits) if bits else 0.0)
+    return out
+
+
+def brute_bands(rows, scores):
+    """(low, high) of each language: weighted quartiles of distinct texts that pass the base rules, and three IQRs around them."""
+    texts = {}
+    for (_, text, lang), s in zip(rows, scores, strict=True):
+        b = base_columns(text)
+        if b[0] >= 50 and 100 * b[4] <= 50 * b[0]:
+            texts[lang, text] = s
+    keys = {}
+    for lang, text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        keys[lang, text] = [(lang, i, k) for i, k in enumerate(quality_rules._sketches(raw, np.array([0, len(raw)])).to_pylist()[0])]
+    shared = Counter(k for ks in keys.values() for k in ks)
+    weight = {t: max(1, quality_rules.WEIGHT // max(shared[k] for k in ks)) for t, ks in keys.items()}
 
-    scored = quality_rules.scores(df, quality_rules.ranges(df))
-    limits = {r.code: (r.low / 1000, r.high / 1000) for r in quality_rules.bands(scored).collect()}
-    code = {r.lang: r.c for r in df.select("lang", F.xxhash64("lang").bitwiseAND(0xFFFFFF).alias("c")).distinct().collect()}
-    got = {(r.doc_id, r.n_words, r.word_chars): r.kept for r in quality_rules.quality(df).collect()}
+    def quartiles(pairs):
+        pairs = sorted(pairs)
+        total, upto, out = sum(w for _, w in pairs), 0, []
+        for v, w in pairs:
+            upto += w
+            while len(out) < 3 and 4 * upto >= (len(out) + 1) * total:
+                out.append(v)
+        return out
+
+    cut = {lang: quartiles([(s, weight[lang, t]) for (g, t), s in texts.items() if g == lang]) for lang in {g for g, _ in texts}}
+    off = quartiles([(s - cut[lang][1], weight[lang, t]) for (lang, t), s in texts.items()])
+    width = {lang: 3 * max(q[2] - q[0], off[2] - off[0], 20) for lang, q in cut.items()}
+    return {lang: (q[0] - width[lang], q[2] + width[lang]) for lang, q in cut.items()}
+
+
+def test_the_verdict_by_brute_force(spark, varied):
+    """Scores and ``kept`` by the textbook model over the other fold and plain quartiles, near a bound aside."""
+    got = {(r.doc_id, r.n_words, r.word_chars): r for r in quality_rules.quality(spark.createDataFrame(varied, "doc_id long, text string, lang string")).collect()}
+    scores = brute_scores(varied)
+    limits = brute_bands(varied, scores)
     checked = 0
-    for (doc_id, text, lang), b in rows:
-        low, high = limits.get(code[lang], (1.0, 0.0))
-        s, failed = score(text, lang), b[0] < 50 or 100 * b[4] > 50 * b[0]
-        if failed or min(abs(s - low), abs(s - high)) > 0.003:
-            assert got[doc_id, b[0], b[1]] == (not failed and low <= s <= high), doc_id
+    for (doc_id, text, lang), s in zip(varied, scores, strict=True):
+        b = base_columns(text)
+        r = got[doc_id, b[0], b[1]]
+        assert abs(r.bits_per_byte - s / 1000) <= 0.003, doc_id
+        low, high = limits.get(lang, (1.0, 0.0))
+        failed = b[0] < 50 or 100 * b[4] > 50 * b[0]
+        if failed or min(abs(s - low), abs(s - high)) > 15:
+            assert r.kept == (not failed and low <= s <= high), doc_id
             checked += 1
-    assert checked > len(rows) - 5
+    assert checked > len(varied) - 5
+
+
+def test_gibberish_is_improbable(spark, varied):
+    rng = random.Random(6)
+    letters = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(400))
+    signs = " ".join("".join(chr(rng.randrange(33, 127)) for _ in range(rng.randint(2, 9))) for _ in range(3000))
+    mixed = list(sentence(9, 300).replace(" ", ""))
+    rng.shuffle(mixed)
+    shuffled = "".join(c + (" " if i % 5 == 4 else "") for i, c in enumerate(mixed))
+    junk = [(900 + i, t, "en") for i, t in enumerate((letters, signs, shuffled))]
+    got = {r.doc_id: r for r in quality_rules.quality(spark.createDataFrame(varied + junk, "doc_id long, text string, lang string")).collect() if r.n_words >= 50}
+    middle = sorted(r.bits_per_byte for r in got.values())[len(got) // 2]
+    for doc_id, *_ in junk:
+        assert not got[doc_id].base_failed and got[doc_id].bits_per_byte > 1.5 * middle and not got[doc_id].kept, doc_id
+    assert sum(r.kept for d, r in got.items() if d is not None and 400 <= d < 440) == 40
+
+
+def test_copies_share_a_fold():
+    texts = [sentence(i, 200) for i in range(60)]
+    own = folds(texts)
+    assert 15 < sum(own) < 45 and folds(texts) == own
+    assert sum(a != b for a, b in zip(own, folds([edited(t, 50) for t in texts]), strict=True)) < 8
 
 
 def test_kernel_rows_are_apart():

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -93,6 +94,32 @@ def test_store(spark, odd, texts, tmp_path):
     assert len(block.offsets) == len(block.doc_ids) + 1
 
 
+def test_one_document_costs_one_frame(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "BLOCK_DOCS", 10)
+    path, where = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/store"
+    own = Tokenizer.from_file(path)
+    rows = [(i, f"text number {i} " + "word " * (i % 7)) for i in range(0, 600, 2)] + [(40, "another of this id"), (40, "another of this id")]
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), where, path, shards=3)
+    opened = spark.sparkContext.accumulator(0)
+    got = token_store.read_documents(spark, where, [40, 41, 598, 9999], opened)
+    assert sorted((r.doc_id, r.ids) for r in got.collect()) == sorted((i, own.encode(t, add_special_tokens=False).ids + [0]) for i, t in rows if i in (40, 598))
+    assert opened.value == 4
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    plan = token_store.read_documents(spark, where, [40])._jdf.queryExecution().toString()
+    assert re.search(r"PushedFilters: \[[^]]*LessThanOrEqual\(first_id,40\)", plan) and re.search(r"GreaterThanOrEqual\(last_id,40\)", plan)
+    assert token_store.read_documents(spark, where, []).count() == 0
+    many = token_store.read_documents(spark, where, range(100, 300))
+    assert sorted(r.doc_id for r in many.collect()) == list(range(100, 300, 2))
+
+
+def test_repeated_rows_are_sampled_once(spark, tmp_path):
+    path, where = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/store"
+    one = spark.createDataFrame([(1, "all rows are this one")], "doc_id long, text string")
+    token_store.write_store(one.join(spark.range(5000)).select("doc_id", "text"), where, path)
+    assert len(bytes(spark.read.parquet(f"{where}/dictionary").first().content)) < 100
+    assert token_store.read_store(spark, where).count() == 5000
+
+
 def test_empty_tables(spark, odd, tmp_path):
     none = odd.limit(0)
     assert bpe_replay.decode(bpe_replay.encode(none, RANKS), RANKS).count() == 0

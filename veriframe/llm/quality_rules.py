@@ -4,7 +4,11 @@ Spark counts the byte 5-grams of all documents of each language (bytes, A-Z
 lowered, with line ends before the start), and from them the continuation counts
 of all lower orders.  The interpolated modified Kneser-Ney model, with its three
 discounts by order and language, is computed by group-bys and joins; every n-gram
-counts.  Documents are scored against sorted arrays of at most ``range_ngrams``
+counts.  A language has two models: a document belongs to one of two folds, by
+the least hash of its runs of 20 bytes, so that copies share one, and is scored by the
+counts of the other fold.  So no document's own bytes make it likely; a 5-gram
+that the other fold doesn't have backs off through the lower orders, which joins
+settle for all 5-grams that any document has.  Documents are scored against sorted arrays of at most ``range_ngrams``
 5-grams, one hash range after another, so the arrays that go to the tasks are
 bounded while their number follows the n-grams.  A document's score is the mean
 negative log2 probability of a byte.  A language's band runs from Q1 - 3 IQR to
@@ -20,7 +24,7 @@ table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,8 +54,10 @@ SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 _U = np.uint64
-#: Of a gram, as a signed long: the language.
+#: Of a gram, as a signed long: the language and the fold.
 _LANG = -1 << 40
+#: The bits of a language's code; the lowest one is left for the fold that the counts are for.
+_CODES, _FOLD = 0xFFFFFE, 1 << 40
 
 
 def _grams(raw: np.ndarray, bounds: np.ndarray, langs: np.ndarray) -> np.ndarray:
@@ -69,7 +75,37 @@ def _grams(raw: np.ndarray, bounds: np.ndarray, langs: np.ndarray) -> np.ndarray
     return key
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _folds(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """0 or 1 for each text, by the least hash of its runs of 20 bytes: equal for copies, and for near ones mostly."""
+    out = np.zeros(len(bounds) - 1, _U)
+    sizes = np.diff(bounds)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        own = grams & _U(_FOLD - 1)
+        run = own.copy()
+        for j in range(ORDER, 4 * ORDER, ORDER):
+            run[j:] = run[j:] * _U(0x9E3779B97F4A7C15) + own[: max(len(own) - j, 0)]
+        back = np.arange(len(own)) - np.repeat(bounds[:-1], sizes)
+        cut = back < 3 * ORDER
+        long = np.repeat(sizes > 3 * ORDER, sizes)
+        # in a shorter text all its 5-grams count
+        least = np.where(cut & long, ~_U(0), kernel.mix(np.where(long, run, own)))
+        out[full] = kernel.mix(np.minimum.reduceat(least, bounds[full])) & _U(1)
+    return out
+
+
+def _own_fold(raw: np.ndarray, bounds: np.ndarray, langs: np.ndarray, other: int = 0) -> np.ndarray:
+    """The 5-grams with the fold of their text, or with the ``other`` one, in the code."""
+    grams = _grams(raw, bounds, langs)
+    return grams | (np.repeat(_folds(grams, bounds) ^ _U(other), np.diff(bounds)) << _U(40))
+
+
+def _count_for_others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts each text's 5-grams for the model of the other fold."""
+    return _count(batches, lambda raw, bounds, langs: _own_fold(raw, bounds, langs, 1))
+
+
+def _count(batches: Iterable[pa.RecordBatch], grams_of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] = _grams) -> Iterator[pa.RecordBatch]:
     keys, counts = np.zeros(0, _U), np.zeros(0, np.int64)
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -83,7 +119,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(1).to_numpy(zero_copy_only=False)
         for first, raw, bounds in kernel.chunks(batch.column(0)):
-            held.append(np.unique(_grams(raw, bounds, langs[first : first + len(bounds) - 1]), return_counts=True))
+            held.append(np.unique(grams_of(raw, bounds, langs[first : first + len(bounds) - 1]), return_counts=True))
             if sum(len(k) for k, _ in held) > FLUSH // 2:
                 keys, counts = merged([(keys, counts), *held])
                 held = []
@@ -150,13 +186,12 @@ def _discounted(grams: DataFrame) -> DataFrame:
     return grams.withColumn("lang", lang).join(seen.select("lang", *own), "lang").select("gram", "n", d.alias("d"))
 
 
-def estimates(docs: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: (gram, p) and (context, weight) of the interpolated model of all documents.
+def estimates(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1: (gram, p) and (context, weight) of the interpolated model of counted 5-grams (gram, n).
 
     Counts are raw for the highest order and continuation counts below.
     """
-    ship(docs.sparkSession)
-    counted = [table(_texts(docs).mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))]
+    counted = [counts]
     for order in range(ORDER - 1, 0, -1):
         counted.append(table(counted[-1].groupBy(_shared(order).alias("gram")).agg(F.count("*").alias("n"))))
     found: list[tuple[DataFrame, DataFrame]] = []
@@ -181,21 +216,42 @@ def _sorted_logs(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.log2(held[1].to_numpy()[order]).astype(np.float32)
 
 
-def _texts(docs: DataFrame, *also: Column) -> DataFrame:
-    return docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("lang").bitwiseAND(0xFFFFFF).alias("code"), *also)
+def _texts(docs: DataFrame, *also: Column, codes: int = _CODES) -> DataFrame:
+    return docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("lang").bitwiseAND(codes).alias("code"), *also)
+
+
+def _counted(texts: DataFrame, count: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    ship(texts.sparkSession)
+    return table(texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
 
 
 def fit(docs: DataFrame) -> Model:
-    """The model of all documents with all orders in one place, for texts that needn't be among them."""
-    return Model([(*_sorted_logs(p), *_sorted_logs(w)) for p, w in estimates(docs)])
+    """One model of all documents, without folds, with all orders in one place, for texts that aren't among them; for a corpus that a driver can hold."""
+    return Model([(*_sorted_logs(p), *_sorted_logs(w)) for p, w in estimates(_counted(_texts(docs, codes=_CODES | 1), _count))])
 
 
-def ranges(docs: DataFrame, range_ngrams: int = RANGE_NGRAMS) -> list[DataFrame]:
-    """(gram, p) of the highest order in hash ranges of about ``range_ngrams`` at most.
+def backed_off(needed: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(gram, p) of each of the distinct grams ``needed``, of the order of ``model``'s last, whether it was counted or not.
 
-    The model is of all documents, so none of their 5-grams backs off.
+    A gram that wasn't takes its context's back-off weight, 1 for an unknown
+    context, times the probability of the gram without its first byte.
     """
-    grams = estimates(docs)[-1][0]
+    order = len(model)
+    if not order:
+        return needed.select("gram", F.lit(1 / 256).alias("p"))
+    probabilities, weights = model[-1]
+    own = table(needed.join(probabilities, "gram", "left"))
+    missed = own.filter("p is null").select("gram", _context(order).alias("context"), _shared(order - 1).alias("suffix"))
+    below = backed_off(missed.select(F.col("suffix").alias("gram")).distinct(), model[:-1]).toDF("suffix", "below")
+    rest = missed.join(weights, "context", "left").join(below, "suffix").select("gram", (F.coalesce("weight", F.lit(1.0)) * F.col("below")).alias("p"))
+    return own.filter("p is not null").unionByName(rest)
+
+
+def ranges(docs: DataFrame, range_ngrams: int = RANGE_NGRAMS) -> list[DataFrame]:
+    """(gram, p) of all 5-grams that documents have, by the counts of the other fold, in hash ranges of about ``range_ngrams`` at most."""
+    counts = _counted(_texts(docs), _count_for_others)
+    needed = counts.select(F.col("gram").bitwiseXOR(_FOLD).alias("gram"))
+    grams = table(backed_off(needed, estimates(counts)))
     n = max(1, -(-grams.count() * 9 // (8 * range_ngrams)))
     return [grams.filter(F.pmod(F.xxhash64("gram"), F.lit(n)) == i) for i in range(n)]
 
@@ -270,7 +326,7 @@ def _sketches(raw: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 def _bits(keys: np.ndarray, logs: np.ndarray, raw: np.ndarray, bounds: np.ndarray, langs: np.ndarray) -> np.ndarray:
     """The bits that the n-grams among ``keys`` add to each text, in units of 2**-20."""
-    at, found = _find(keys, kernel.mix(_grams(raw, bounds, langs)))
+    at, found = _find(keys, kernel.mix(_own_fold(raw, bounds, langs)))
     sums = np.concatenate([[0.0], np.cumsum(np.where(found, logs[at], np.float32(0)) if len(keys) else np.zeros(len(raw)), dtype=np.float64)])
     return np.rint(-UNIT * (sums[bounds[1:]] - sums[bounds[:-1]])).astype(np.int64)
 
@@ -360,6 +416,6 @@ def keep_good(docs: DataFrame, range_ngrams: int = RANGE_NGRAMS) -> DataFrame:
     judged = _judged(scores(docs, ranges(docs, range_ngrams)))
     code, tid = fresh(docs, "code_"), fresh(docs, "tid_")
     bad = table(judged.filter(~F.col("kept")).select(F.col("code").alias(code), F.col("tid").alias(tid)).distinct())
-    keyed = docs.withColumns({code: F.xxhash64("lang").bitwiseAND(0xFFFFFF), tid: F.xxhash64("text")})
+    keyed = docs.withColumns({code: F.xxhash64("lang").bitwiseAND(_CODES), tid: F.xxhash64("text")})
     few = bad.count() <= MOST_BROADCAST
     return keyed.join(F.broadcast(bad) if few else bad, [code, tid], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -8,11 +8,14 @@ Layout below the store's folder, all Parquet, so that any store Spark writes to
   most.  Where these are too few or too short to train on, their first
   DICTIONARY_BYTES serve as the dictionary as they are.
 * ``data``: one row per block of documents in ascending doc_id order: shard,
-  block, dict_sha256, doc_ids, n_tokens, offsets (one more than documents),
+  block, dict_sha256, first_id and last_id (the least and greatest doc_id that
+  isn't null), doc_ids, n_tokens, offsets (one more than documents),
   shard_start (ids of the shard before the block) and frames.  Frame i is
   ``frames[offsets[i]:offsets[i + 1]]``, a zstandard frame of little-endian
   16-bit ids (32-bit where the vocabulary needs them) that decompresses alone,
-  so a short document costs one block row and one frame.
+  so a short document costs one block row and one frame: a row group holds a
+  block or so, and its statistics of first_id and last_id let a reader pass over it
+  (``read_documents``).
 
 Defined results: a null or empty text has only the end id; equal rows are kept
 each; rows with a null doc_id come first; ties are ordered by the hash of the text
@@ -23,15 +26,17 @@ ignored; an empty table gives an empty store.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import operator
 import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Accumulator, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +50,8 @@ DICTIONARY_BYTES = 64 << 10
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
 CACHE_IDS = 8_000_000
 WORDS_AT_ONCE = 4096
+#: Ids that a reader asks for one by one.
+MOST_PROBES = 64
 _caches: dict[str, tuple] = {}
 
 
@@ -85,8 +92,9 @@ def _train(spark: SparkSession, texts: DataFrame, n_docs: int, tokenizer_json: s
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(width).tobytes()[:SAMPLE_BYTES] for x in encoded(batch.column(0), shared.value, end_id)], pa.binary())], names=["ids"])
 
     share = min(1.0, sample_docs / max(n_docs, 1))
-    # a doc_id that many rows share is told apart by the text
-    sample = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select("text")
+    # a doc_id that many rows share is told apart by the text, and of equal rows one is taken, however many there are
+    key = F.xxhash64("doc_id", "text")
+    sample = texts.filter(F.pmod(key, F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).groupBy(key).agg(F.first("text").alias("text")).select("text")
     rows = sorted(bytes(r["ids"]) for r in sample.mapInArrow(run, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes()
@@ -124,7 +132,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
 
         def out() -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in frames])])
-            row = {"shard": shard, "block": block, "dict_sha256": digest, "doc_ids": doc_ids, "n_tokens": sizes, "offsets": offsets.tolist(), "shard_start": before, "frames": b"".join(frames)}
+            known = [x for x in doc_ids if x is not None]
+            row = {"shard": shard, "block": block, "dict_sha256": digest, "first_id": min(known, default=None), "last_id": max(known, default=None), "doc_ids": doc_ids, "n_tokens": sizes, "offsets": offsets.tolist(), "shard_start": before, "frames": b"".join(frames)}
             return pa.RecordBatch.from_pylist([row], schema=kinds)
 
         for batch in batches:
@@ -141,12 +150,47 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
             yield out()
 
     ints = pa.list_(pa.int32())
-    kinds = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("dict_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", ints), ("offsets", ints), ("shard_start", pa.int64()), ("frames", pa.binary())])
-    schema = "shard int, block int, dict_sha256 string, doc_ids array<long>, n_tokens array<int>, offsets array<int>, shard_start long, frames binary"
+    kinds = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("dict_sha256", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", ints), ("offsets", ints), ("shard_start", pa.int64()), ("frames", pa.binary())])
+    schema = "shard int, block int, dict_sha256 string, first_id long, last_id long, doc_ids array<long>, n_tokens array<int>, offsets array<int>, shard_start long, frames binary"
     n = shards or min(MOST_SHARDS, max(1, -(-size["bytes"] // SHARD_BYTES)))
     keyed = texts.withColumn("h", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    ordered.select("text", "doc_id").mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/data")
+    ordered.select("text", "doc_id").mapInArrow(run, schema).write.option("compression", "none").option("parquet.block.size", BLOCK_BYTES).parquet(f"{path}/data")
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: Iterable[int], opened: Accumulator[int] | None = None) -> DataFrame:
+    """doc_id, n_tokens and ids of the documents with these ids, all rows of each.
+
+    Row groups whose ids lie elsewhere are passed over, by each id where at most
+    MOST_PROBES are asked for, else by their range; in the blocks that are left only the
+    frames asked for are decompressed, which ``opened`` counts.
+    """
+    ship(spark)
+    wanted = sorted(set(doc_ids))
+    spans = [(i, i) for i in wanted] if len(wanted) <= MOST_PROBES else [(wanted[0], wanted[-1])]
+    inside = functools.reduce(operator.or_, ((F.col("first_id") <= b) & (F.col("last_id") >= a) for a, b in spans), F.lit(False))
+    row = spark.read.parquet(f"{path}/dictionary").first()
+    shared = spark.sparkContext.broadcast((row["dict_sha256"], bytes(row["content"]), row["width"], frozenset(wanted)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, content, width, ids = shared.value
+        held = _dictionary(content)
+        decompress = (zstandard.ZstdDecompressor(dict_data=held) if held else zstandard.ZstdDecompressor()).decompress
+        for batch in batches:
+            for k in range(len(batch)):
+                if batch.column(0)[k].as_py() != digest:
+                    raise ValueError("the block was written with another dictionary")
+                here = batch.column(1)[k].as_py()
+                at, frames = batch.column(2)[k].as_py(), memoryview(batch.column(3)[k].as_buffer())
+                some = [(x, np.frombuffer(decompress(frames[at[i] : at[i + 1]]), width).astype(np.int32)) for i, x in enumerate(here) if x in ids]
+                if opened is not None:
+                    opened.add(len(some))
+                sizes = [len(x) for _, x in some]
+                flat = np.concatenate([np.zeros(0, np.int32), *(x for _, x in some)])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))], names=["doc_id", "n_tokens", "ids"])
+
+    blocks = spark.read.parquet(f"{path}/data").filter(inside).select("dict_sha256", "doc_ids", "offsets", "frames")
+    return blocks.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
