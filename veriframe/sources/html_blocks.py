@@ -10,7 +10,7 @@ collapsing and line numbering are Column expressions in ``corpus``.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -56,6 +56,7 @@ class _Blocks:
         self.styled = self.plain = 0  # styled elements so far, and those of them with text that isn't bold
         self.open: list[_Open] = []
         self.counts: Counter[str] = Counter()
+        self.depths: defaultdict[str, list[int]] = defaultdict(list)  # where the open elements of each tag stand
         self.body_depth = -1
 
     def start(self, tag: str, written: str) -> None:
@@ -80,6 +81,7 @@ class _Blocks:
             self.cells.append(element.cell)
             if self.open and self.open[-1].tag == "tr":
                 self.open[-1].row.append(element.cell)
+        self.depths[tag].append(len(self.open))
         self.open.append(element)
         self.counts[tag] += 1
         if tag in VOID or written.endswith("/"):
@@ -88,10 +90,7 @@ class _Blocks:
     def end(self, tag: str) -> None:
         # what stands behind the body's end still belongs to it
         if self.counts[tag] and tag not in ("body", "html"):
-            depth = len(self.open) - 1
-            while self.open[depth].tag != tag:
-                depth -= 1
-            self.close_to(depth)
+            self.close_to(self.depths[tag][-1])
 
     def text(self, data: str) -> None:
         if not (self.open and self.open[-1].tag in ("script", "style")) and (text := unescape(data).strip()):
@@ -99,12 +98,13 @@ class _Blocks:
 
     def _end_before(self, tag: str) -> None:
         ends = CLOSES.get(tag, {"p"} if tag in BLOCK else set())
-        depth = len(self.open) - 1 if any(self.counts[t] for t in ends) else -1
-        while depth >= 0 and self.open[depth].tag not in ends:
-            depth = -1 if self.open[depth].tag in BARRIERS else depth - 1
-        if depth >= 0:
+        # an element ends those of ``ends`` that stand above the last barrier; one that is both is ended
+        if (depth := self._deepest(ends)) > self._deepest(BARRIERS - ends):
             self.close_to(depth)
 
+    def _deepest(self, tags: Iterable[str]) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=-1)
+
     def close_to(self, depth: int) -> None:
         while len(self.open) > depth:
             self._close()
@@ -113,6 +113,7 @@ class _Blocks:
         done = self.open.pop()
         tag = done.tag
         self.counts[tag] -= 1
+        self.depths[tag].pop()
         if done.cell:
             done.cell[1] = len(self.texts)
         if tag == "tr" and not done.row:
