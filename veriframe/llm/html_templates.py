@@ -21,7 +21,9 @@ name.  By its name or slot no element goes that is or holds an ``article`` or
 ``main`` or more than half of the page's text; nor does a form or header that
 holds an ``article`` or ``main``.  Inside an article only containers can be
 templates, not its paragraphs, headings or list items: a passage may well recur
-in many articles of a host.
+in many articles of a host.  There a slot acts on containers that have a class or
+an id and stand, on all pages, behind half of the article's text: comment
+threads, signup boxes and the like, whatever their names.
 
 Defined results: a null or empty page, or one without text, gives an empty text;
 very long and very deep pages are taken whole, in time in proportion to their
@@ -35,7 +37,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -79,33 +81,31 @@ class Page:
 
     def __init__(self, page: str) -> None:
         self.tags, self.written, self.parents, self.ends = [""], [""], [0], [0]
-        self.in_article = [False]
+        self.article = [0]  # the outermost article or main around an element, itself included
         self.events: list[tuple[int, int | str]] = []
-        open_, counts = [0], Counter()
+        open_: list[int] = [0]
+        depths: defaultdict[str, list[int]] = defaultdict(list)  # where the open elements of each tag stand
 
         def close_to(depth: int) -> None:
             while len(open_) > depth:
                 done = open_.pop()
-                counts[self.tags[done]] -= 1
+                depths[self.tags[done]].pop()
                 self.ends[done] = len(self.events)
                 self.events.append((_END, done))
 
+        def deepest(tags: Iterable[str]) -> int:
+            return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+
         def close(tags: set[str], stop: frozenset[str]) -> None:
-            depth = len(open_) - 1 if any(counts[t] for t in tags) else 0
-            while depth and self.tags[open_[depth]] not in tags:
-                depth = 0 if self.tags[open_[depth]] in stop else depth - 1
-            if depth:
+            if (depth := deepest(tags)) > deepest(stop):
                 close_to(depth)
 
         for kind, what, written in tokens(page):
             if kind == "text":
                 self.events.append((_TEXT, what))
             elif kind == "end":
-                if counts[what]:
-                    depth = len(open_) - 1
-                    while self.tags[open_[depth]] != what:
-                        depth -= 1
-                    close_to(depth)
+                if depths.get(what):
+                    close_to(depths[what][-1])
             else:
                 if what in BLOCK:
                     close({"p"}, SCOPE)
@@ -116,10 +116,10 @@ class Page:
                 self.written.append(written)
                 self.parents.append(open_[-1])
                 self.ends.append(0)
-                self.in_article.append(self.in_article[open_[-1]] or what in ("article", "main"))
+                self.article.append(self.article[open_[-1]] or (own if what in ("article", "main") else 0))
                 self.events.append((_START, own))
+                depths[what].append(len(open_))
                 open_.append(own)
-                counts[what] += 1
                 if what in VOID or (written.endswith("/") and what not in RAW):
                     close_to(len(open_) - 1)
         close_to(1)
@@ -137,14 +137,18 @@ class Page:
         n = len(self.tags)
         self.main = [t in ("article", "main") or self.role(i) == "main" for i, t in enumerate(self.tags)]
         self.holds_main, self.chars = self.main[:], [0] * n
-        at = [0]
+        self.begin, self.stop = [0] * n, [0] * n  # characters of text before an element and up to its end
+        at, seen = [0], 0
         for kind, what in self.events:
             if kind == _START:
                 at.append(what)
+                self.begin[what] = seen
             elif kind == _END:
-                at.pop()
+                self.stop[at.pop()] = seen
             else:
-                self.chars[at[-1]] += len("".join(what.split()))
+                own = len("".join(what.split()))
+                self.chars[at[-1]] += own
+                seen += own
         articles = [0] * n  # text of articles inside
         for i in range(n - 1, 0, -1):
             up = self.parents[i]
@@ -165,7 +169,7 @@ class Page:
     def is_content(self, i: int, by_name: bool) -> bool:
         tag = self.tags[i]
         wraps = tag in WRAPPERS and self.holds_main[i]
-        if not wraps and (tag in NOT_CONTENT or (tag == "header" and not self.in_article[i])):
+        if not wraps and (tag in NOT_CONTENT or (tag == "header" and not self.article[i])):
             return False
         if i in self.other_articles:
             return False
@@ -173,7 +177,7 @@ class Page:
             return True
         if self.role(i) in NOT_CONTENT_ROLES and not wraps:
             return False
-        if tag not in CONTAINER or self._is_large(i) or not (by_name or self.in_article[i]):
+        if tag not in CONTAINER or self._is_large(i) or not (by_name or self.article[i]):
             return True
         return not self.names(i) & NOT_CONTENT_NAMES
 
@@ -181,7 +185,7 @@ class Page:
         return self.holds_main[i] or 2 * self.chars[i] > self.chars[0]
 
     def may_be_template(self, i: int) -> bool:
-        return self.tags[i] in (CONTAINER if self.in_article[i] else BLOCK) and self.tags[i] not in ("html", "head", "body", "main", "article", "title")
+        return self.tags[i] in (CONTAINER if self.article[i] else BLOCK) and self.tags[i] not in ("html", "head", "body", "main", "article", "title")
 
     def hashes(self) -> dict[int, int]:
         """The hash of each subtree that may be a template."""
@@ -207,8 +211,11 @@ class Page:
         return found
 
     def in_slot(self, i: int) -> bool:
-        """Whether the element may go by its slot."""
-        return self.tags[i] in CONTAINER and not self.in_article[i]
+        """Whether the element may go by its slot: inside an article only a container with a name behind half of the article's text."""
+        if self.tags[i] not in CONTAINER:
+            return False
+        top = self.article[i]
+        return not top or (bool(self.names(i)) and 2 * (self.begin[i] - self.begin[top]) >= self.stop[top] - self.begin[top])
 
     def templates(self, subtrees: set[int], slots: set[int]) -> set[int]:
         """The elements that are templates."""
@@ -279,9 +286,10 @@ def _hash_pages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             subtrees.append(sorted(set(page.hashes().values())))
             own, held = page.slots(), {}
             for i in range(1, len(own)):
-                if page.tags[i] in BLOCK and not page.in_article[page.parents[i]]:
+                if page.tags[i] in BLOCK and (not page.article[page.parents[i]] or page.tags[i] in CONTAINER):
                     row = held.setdefault(own[i], {"slot": own[i], "parent": own[page.parents[i]], "chars": 0, "may_go": page.in_slot(i)})
                     row["chars"] += page.chars[i]
+                    row["may_go"] &= page.in_slot(i)
             slots.append(list(held.values()))
             chars.append(page.chars[0])
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(subtrees, pa.list_(pa.int64())), pa.array(slots, kind), pa.array(chars, pa.int64())], names=["host", "key", "subtrees", "slots", "chars"])
@@ -298,7 +306,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     counts = hashed.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     whole = counts.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_set("subtree").alias("subtrees"))
 
-    each = hashed.select("host", F.explode("slots").alias("s")).select("host", "s.*").groupBy("host", "slot").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.first("parent").alias("parent"), F.first("may_go").alias("may_go"))
+    each = hashed.select("host", F.explode("slots").alias("s")).select("host", "s.*").groupBy("host", "slot").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.first("parent").alias("parent"), F.bool_and("may_go").alias("may_go"))
     placed = table(each.filter(F.col("n") >= min_pages).join(sizes, "host"))
     frame = placed.filter(2 * F.col("chars") > F.col("all_chars")).select("host", F.col("slot").alias("parent"))
     small = placed.filter(F.col("may_go") & (F.col("n") >= SLOT_SHARE * F.col("pages")) & (F.col("chars") <= SLOT_TEXT * F.col("all_chars")))
