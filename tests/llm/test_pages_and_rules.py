@@ -363,3 +363,153 @@ def test_kernel_rows_are_apart():
     for _, raw, bounds in kernel.chunks(column.slice(1)):
         starts, ends, rows = kernel.words(raw, bounds)
         assert [(raw[a:b].tobytes().decode(), r) for a, b, r in zip(starts, ends, rows.tolist(), strict=True)] == [("cd", 0), ("ef", 0), ("gh", 4)]
+
+
+# --- whole extraction by brute force ------------------------------------------------
+
+
+class Node:
+    def __init__(self, tag, attrs, parent):
+        self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
+
+    def up(self):
+        return self.parent.up() + [self.parent] if self.parent else []
+
+    def words(self):
+        return " ".join(k if isinstance(k, str) else k.words() for k in self.kids).split()
+
+    def chars(self, counted=True):
+        return sum(len("".join(k.split())) if isinstance(k, str) else k.chars(counted) for k in self.kids if isinstance(k, str) or not counted or k.tag not in html_templates.NOT_CONTENT)
+
+    def below(self):
+        return [x for k in self.kids if not isinstance(k, str) for x in (k, *k.below())]
+
+    def article(self):
+        return next((a for a in [*self.up(), self] if a.tag in ("article", "main")), None)
+
+    def shown(self):
+        return f"<{self.tag} {sorted(self.attrs.items())}>" + "".join(f"[{' '.join(k.split())}]" if isinstance(k, str) else k.shown() for k in self.kids)
+
+    def slot(self):
+        return tuple((n.tag, re.sub("[0-9]+", "0", n.attrs.get("class", ""))) for n in [*self.up(), self])
+
+
+def dom(page):
+    """The tree of a well-formed page."""
+    top = at = Node("", {}, None)
+    for end, tag, attrs, text in re.findall(r"<(/?)(\w+)([^>]*)>|([^<]+)", page):
+        if text:
+            at.kids.append(text)
+        elif end:
+            at = at.parent
+        else:
+            at.kids.append(Node(tag, dict(re.findall(r'(\w+)="([^"]*)"', attrs)), at))
+            at = at.kids[-1]
+    return top
+
+
+def behind(n):
+    """Whether an element has a class and stands behind half of the article around it."""
+    a, before, found = n.article(), 0, False
+
+    def walk(x):
+        nonlocal before, found
+        for k in x.kids:
+            found |= k is n
+            if found:
+                return
+            if isinstance(k, str):
+                before += len("".join(k.split()))
+            else:
+                walk(k)
+
+    walk(a)
+    return "class" in n.attrs and 2 * before >= a.chars(False)
+
+
+def brute_texts(pages):
+    """Texts of pages of one host by plain walks: what recurs is counted over all pairs of page and element."""
+    trees = [dom(p) for p in pages]
+    different = [t for t, first in zip(trees, [pages.index(p) == i for i, p in enumerate(pages)], strict=True) if first]
+    may = lambda n: n.tag in (html_templates.CONTAINER if n.article() else html_templates.BLOCK) and n.tag not in ("html", "body", "main", "article")
+    goes = lambda n: n.tag in html_templates.CONTAINER and (not n.article() or behind(n))
+    whole = Counter(x for t in different for x in {n.shown() for n in t.below() if may(n)})
+    on, size, able = Counter(), Counter(), {}
+    for t in different:
+        held = [n for n in t.below() if n.tag in html_templates.BLOCK]
+        on.update({n.slot() for n in held})
+        for n in held:
+            size[n.slot()] += n.chars()
+            able[n.slot()] = able.get(n.slot(), True) and goes(n)
+    every, k = sum(t.chars() for t in different), len(different)
+    frames = {s for s in size if 2 * size[s] > every and on[s] >= 5}
+    slots = {s for s in size if on[s] >= max(5, k / 2) and size[s] <= 0.2 * every and able[s] and s[:-1] in frames}
+    out = []
+    for t in trees:
+        large = lambda n, t=t: any(x.tag in ("article", "main") for x in (n, *n.below())) or 2 * n.chars() > t.chars()
+        gone = lambda n: (may(n) and whole[n.shown()] >= max(5, 0.1 * k)) or (n.slot() in slots and goes(n) and not large(n)) or n.tag in html_templates.NOT_CONTENT or (n.article() and n.tag in html_templates.CONTAINER and not large(n) and n.attrs.get("class") in html_templates.NOT_CONTENT_NAMES)
+        blocks, line = [], []
+
+        def walk(n):
+            for x in n.kids:
+                if isinstance(x, str):
+                    line.append(x)
+                elif not gone(x):
+                    if x.tag in html_templates.BLOCK:
+                        blocks.append("".join(line))
+                        line.clear()
+                    walk(x)
+                    if x.tag in html_templates.BLOCK:
+                        blocks.append("".join(line))
+                        line.clear()
+
+        article = next((n for n in t.below() if n.tag == "article"), None)
+        walk(article or t)
+        blocks.append("".join(line))
+        out.append("\n".join(" ".join(b.split()) for b in blocks if b.split()))
+    return out
+
+
+def site(seed, n, article):
+    rng = random.Random(seed)
+    say = lambda k: " ".join(rng.choice("ash elm fir oak yew bay fig".split()) + str(rng.randrange(60)) for _ in range(k))
+    pages = []
+    for i in range(n):
+        body = "".join(f'<p>{say(rng.randrange(8, 30))}</p>' + (f'<div class="pull"><b>{say(4)}</b> {say(2)}</div>' if rng.random() < 0.7 else "") for _ in range(rng.randrange(2, 6)))
+        note = "<div>Reprints must name us</div>" if i % 3 else ""
+        extra = f'<div class="talk n{i}"><p>{say(5)}</p><ul><li>{say(2)}</li></ul></div><section class="mail-{i}">Letter {say(1)}</section>' if i % 5 else ""
+        lead = f'<div class="lead">{say(6)}</div>'
+        inner = f"<h1>{say(3)}</h1>{lead}{body}{note}{extra}"
+        inner = f"<article>{inner}</article>" if article else f'<div class="text">{inner}</div>'
+        pages.append(f'<html><body><div class="bar">Home {say(2)}</div><nav>Menu</nav>{inner}<div class="foot"><div>About us</div> seen {i}</div></body></html>')
+    return pages + pages[:2]
+
+
+@pytest.mark.parametrize("article", [True, False])
+@pytest.mark.parametrize("n", [12, 30])
+def test_extraction_by_brute_force(spark, article, n):
+    pages = site(n, n, article)
+    rows = [(i, f"http://one.example/{i}", p) for i, p in enumerate(pages)]
+    got = html_templates.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).orderBy("page_id").collect()
+    assert [r.text for r in got] == brute_texts(pages)
+
+
+def test_comments_in_articles_go_whatever_their_names(spark):
+    say = lambda i, k: " ".join(f"w{(i * 31 + j * 7) % 97}" for j in range(k))
+    pages = [f"<article><h1>T {i}</h1><p>{say(i, 40)}</p><div class='lead'>{say(i + 3, 6)}</div><p>{say(i + 7, 40)}</p><div class='c-thread'>COMMENT {say(i, 9)}</div><div class='signup-box'>SIGNUP {i}</div></article>" for i in range(40)]
+    rows = [(i, "http://two.example/x", p) for i, p in enumerate(pages)]
+    texts = [r.text for r in html_templates.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert all(t.count("\n") == 3 and "COMMENT" not in t and "SIGNUP" not in t for t in texts)
+
+
+@pytest.mark.parametrize("make", [lambda n: "<ul><li><ul>" + "<b>" * n + "<li></li>" * n, lambda n: "<select><option>" + "<b>" * n + "<option>x" * n, lambda n: "<table><tr><td>" + "<i>" * n + "<td>x</td>" * n])
+def test_hostile_pages_take_linear_time(make):
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        html_templates.Page(make(n))
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(40_000) < 10 * took(10_000)
