@@ -5,21 +5,20 @@ from pyspark.sql import functions as F
 from veriframe.functions import grounding as g
 from veriframe.operators import containment, validate
 
-#: Fixed: a table whose figures must be found.
-CONTENT = "(in thousands)\n| Operating income (loss) | 54,284 | (33,464) |\n| Revenue | 2,684,275 | 2,128,359 |"
-TITLE, CITE = "Results of Operations", "https://example.org/doc#a1"
-CLAIM = "GAAP operating income was $54 million in FY2024"
-GOOD = {"claim_index": 0, "verdict": "SUPPORTED", "found": "54,284", "quote": "Operating income (loss) 54,284", "doc_id": "d", "node_ids": ["n12"]}
+CONTENT = "(in thousands)\n| Harbour dues (net) | 31,906 | (7,250) |\n| Pilotage | 1,480,063 | 990,417 |\n| Berths in use | 88 | 86 |"
+TITLE, CITE = "Income from the port", "https://port.example/annual#dues"
+CLAIM = "Net harbour dues came to $32 million last year"
+GOOD = {"claim_index": 0, "verdict": "SUPPORTED", "found": "31,906", "quote": "harbour dues net 31,906", "doc_id": "d", "node_ids": ["n5"]}
 
 
 def test_figures(spark):
-    raws = {"674,000": False, "54,284": True, "54284": True, "$54,284": True, "54,284.00": True, "2,684,275": True, "$2.68": True, "": False, None: False}
+    raws = {"31,906": True, "$31906": True, "31,906.00": True, "1,480,063": True, "88.5": True, "7250": True, "412,000": False, "$55.17": False, "": False, None: False}
     got = spark.createDataFrame([(r,) for r in raws], "r string").select("r", g.figure_retrievable(F.col("r"), g.digits(F.lit(CONTENT))).alias("ok")).collect()
     assert {r.r: r.ok for r in got} == raws
 
 
 def test_quotes(spark):
-    quotes = {"Operating income (loss) 54,284": True, "our oldest client is a lighthouse": False, "Revenue 2": False, "operating   INCOME, loss": True, "": False}
+    quotes = {"Harbour dues (net) 31,906": True, "berths   IN use, 88": True, "the ferry was late again": False, "Pilotage 1": False, "": False}
     got = spark.createDataFrame([(x,) for x in quotes], "q string").select("q", g.quote_retrievable(F.col("q"), g.squeezed(F.lit(CONTENT))).alias("ok")).collect()
     assert {r.q: r.ok for r in got} == quotes
 
@@ -47,10 +46,10 @@ def test_contract(spark):
         ({**GOOD, "verdict": "MAYBE"}, CLAIM),
         ({**GOOD, "verdict": " no_source ", "doc_id": "", "node_ids": []}, CLAIM),
         ({**GOOD, "doc_id": "other"}, CLAIM),
-        ({**GOOD, "found": "674,000"}, CLAIM),
-        ({**GOOD, "found": "", "quote": "fabricated customer name here"}, CLAIM),
+        ({**GOOD, "found": "412,000"}, CLAIM),
+        ({**GOOD, "found": "", "quote": "ferries that never sailed"}, CLAIM),
         ({**GOOD, "found": ""}, CLAIM),
-        (GOOD, "Headcount reached record levels"),
+        (GOOD, "Cranes were painted in spring"),
         (None, CLAIM),
     ]
     got = results(spark, cases)
@@ -67,14 +66,14 @@ def test_answers_that_are_nearly_json(spark):
 
 
 def test_evidence_of_figures(spark):
-    finding = {"claim_index": 0, "doc_id": "d", "node_ids": ["n1"], "quote": "q", "figures": [{"raw": "54,284", "label": "Operating income (GAAP)", "unit": "", "period": "FY2024"}, {"raw": "674,000", "label": "", "unit": "", "period": ""}, {"raw": "2,684,275", "label": "Revenue", "unit": "(in millions)", "period": ""}]}
+    finding = {"claim_index": 0, "doc_id": "d", "node_ids": ["n1"], "quote": "q", "figures": [{"raw": "31,906", "label": "Dues under GAAP", "unit": "", "period": "FY2022"}, {"raw": "412,000", "label": "", "unit": "", "period": ""}, {"raw": "1,480,063", "label": "Pilotage", "unit": "(in millions)", "period": ""}]}
     decoded = validate.decode_findings(spark.createDataFrame([("r", json.dumps({"findings": [finding]}))], "run string, content string"))
     rows = spark.createDataFrame([(0, 0, CONTENT, TITLE, CITE)], "request int, pos int, content string, title string, cite string")
     fetched = validate.gathered(rows).withColumns({"run": F.lit("r"), "claim_index": F.col("request")})
     claims = spark.createDataFrame([("r", 0), ("r", 1)], "run string, claim_index int")
     got = validate.to_evidence(claims, validate.parse_figure_findings(decoded), fetched).orderBy("claim_index").collect()
-    assert [(q.value, q.scale, q.basis, q.period and q.period.year) for q in got[0].quantities] == [(54284.0, 1e3, "GAAP", 2024), (2684275.0, 1e6, "GAAP", None)]
-    assert got[0].quote == "[dropped, not present in the cited text: 674,000] q" and got[0].citation_url == CITE and len(got[0].covered_periods) == 1
+    assert [(q.value, q.scale, q.basis, q.period and q.period.year) for q in got[0].quantities] == [(31906.0, 1e3, "GAAP", 2022), (1480063.0, 1e6, "unknown", None)]
+    assert got[0].quote == "[dropped, not present in the cited text: 412,000] q" and got[0].citation_url == CITE and len(got[0].covered_periods) == 1
     assert got[1].quantities == [] and got[1].citation_url == ""
 
 
