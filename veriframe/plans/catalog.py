@@ -380,6 +380,40 @@ def evidence_verdicts(spark, sf_dir):
     return done.select("claim_id", "status", "claimed", "actual", "reason_code", F.size("quantities").alias("n_quantities"), "cite", "note")
 
 
+@query("""
+WITH t AS (SELECT CAST(p_partkey AS BIGINT) AS claim_id, p_size * 1000 + p_partkey % 1000 AS v, p_partkey % 6 AS d, p_size || ',' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS raw FROM part)
+SELECT claim_id, CASE d WHEN 0 THEN 'CONTRADICTED' WHEN 1 THEN 'SUPPORTED' ELSE 'NO_SOURCE' END AS status, v * CASE WHEN d = 0 THEN 3000.0 ELSE 1000.0 END AS claimed, CASE WHEN d < 2 THEN v * 1000.0 END AS actual, CASE WHEN d < 2 THEN 1 ELSE 0 END AS n_quantities,
+  CASE WHEN d IN (2, 3) THEN '' ELSE 'http://x/' || claim_id END AS cite,
+  CASE d WHEN 2 THEN '[dropped, not present in the cited text: ' || raw || ', 888888888] Revenue came to ' || raw WHEN 3 THEN '' WHEN 4 THEN '[dropped, not present in the cited text: quote not in cited text: nobody ever wrote this line]' WHEN 5 THEN 'the harbour, staff grew'
+    ELSE '[dropped, not present in the cited text: 888888888] Revenue came to ' || raw END AS note FROM t""")
+def evidence_path(spark, sf_dir):
+    """From answers to verdicts through the sections they cite: of six claims one is tripled, one cites a section that isn't there, one a deck, one a bad quote and one a good one."""
+    key = F.col("p_partkey")
+    raw = F.concat(F.col("p_size").cast("string"), F.lit(","), F.lpad((key % 1000).cast("string"), 3, "0"))
+    part = _read(spark, sf_dir, "part").select("p_partkey", "p_size", (key % 6).alias("d"), key.cast("string").alias("doc_id"), key.cast("int").alias("claim_index"), raw.alias("raw"), F.lit("r").alias("run"))
+    filler = F.lit("\nand so on" * 6)
+    markdown = F.concat(F.lit("# Item 1 Results\n(in thousands)\nRevenue came to "), F.col("raw"), F.lit(" in all."), filler, F.lit("\n# Item 2 People\nIn the harbour, staff grew."), filler)
+    none = F.create_map()
+    docs = part.select("doc_id", F.lit("md").alias("doc_type"), markdown.alias("markdown"), none.cast("map<int,string>").alias("anchors"), none.cast("map<int,int>").alias("pages"))
+    manifest = part.select("doc_id", F.when(F.col("d") == 3, "deck").alias("role"), F.lit("10-K").alias("type"), F.lit("FY2024").alias("period"), F.concat(F.lit("http://x/"), "doc_id").alias("url"))
+    listing = retrieve.list_documents(docs, manifest)
+
+    figure = lambda x: F.struct(x.alias("raw"), F.lit("total revenue").alias("label"), F.lit("").alias("unit"), F.lit("FY2024").alias("period"))
+    figures = F.when(F.col("d") < 4, F.array(figure(F.col("raw")), figure(F.lit("888888888")))).otherwise(F.array().cast("array<struct<raw:string,label:string,unit:string,period:string>>"))
+    quote = F.when(F.col("d") == 4, "nobody ever wrote this line").when(F.col("d") == 5, "the harbour, staff grew").otherwise(F.concat(F.lit("Revenue came to "), F.col("raw")))
+    sections = F.when(F.col("d") == 2, F.array(F.lit("n1"), F.lit("n9"))).otherwise(F.array(F.lit("n1"), F.lit("n2")))
+    answers = part.select("run", F.to_json(F.struct(F.array(F.struct("claim_index", figures.alias("figures"), "doc_id", sections.alias("node_ids"), quote.alias("quote"))).alias("findings"))).alias("content"))
+    findings = retrieve.evidence_only(validate.parse_figure_findings(validate.decode_findings(answers)), listing)
+
+    asked = findings.select(F.col("claim_index").alias("request"), "doc_id", "node_ids")
+    fetched = validate.gathered(retrieve.content(asked, saved(retrieve.addressed(docs)), docs, manifest)).withColumnRenamed("request", "claim_index").withColumn("run", F.lit("r"))
+    evidence = validate.to_evidence(part.select("run", "claim_index"), findings, fetched).withColumn("claim_id", F.col("claim_index").cast("bigint"))
+    value = (F.col("p_size") * 1000 + key % 1000) * F.when(F.col("d") == 0, 3).otherwise(1)
+    claims = _claims(part.withColumn("claim_id", key.cast("bigint")), _q(value, "count", F.lit(1000.0), _fy(F.lit(2024)), F.lit("GAAP"), value.cast("string")), "absolute")
+    done = compare.verdicts(claims, evidence).withColumnsRenamed({"citation_url": "cite", "quote": "note"})
+    return done.select("claim_id", "status", "claimed", "actual", F.size("quantities").alias("n_quantities"), "cite", "note")
+
+
 # --- extraction ---------------------------------------------------------------------
 
 
