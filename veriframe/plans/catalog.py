@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grounding as g
 from ..functions import normalize as nz
-from ..operators import compare, containment, extract, navigate, report, retrieve, tree, validate
+from ..operators import compare, containment, extract, navigate, report, retrieve, snapshots, tree, validate
 from ..operators.saved import saved
 from ..sources import corpus, sinks, xbrl
 from ..types import PERIOD, QUANTITY
@@ -495,6 +495,28 @@ def paged_tree(spark, sf_dir):
     return nodes.select("doc_id", "node_id", "title", *(F.col(c).cast("bigint").alias(c) for c in ("line_start", "line_end", "page_start", "page_end")))
 
 
+@query(f"""WITH {_HEADS.replace('i / 3', 'i // 3')},
+last AS (SELECT *, max(ord) OVER (PARTITION BY doc_id) AS deepest FROM kept WHERE line_end = n AND n % 3 <> 1 AND doc_id % 4 = 0)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'n' || ord AS node_id, 'changed' AS change, ord = deepest AS own_changed FROM last
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'n' || ord, 'added', true FROM kept WHERE doc_id % 4 = 1""")
+def tree_changes(spark, sf_dir):
+    """What changes when the last line of every fourth document is edited, unless it is a heading, and every fourth is new: the sections on the way from the line to the root, and all new ones."""
+    after = outlines(spark, sf_dir)
+    number = F.col("doc_id").cast("bigint")
+    edited = F.when((number % 4 == 0) & ~F.substring_index("markdown", "\n", -1).startswith("#"), F.concat("markdown", F.lit(" then")))
+    before = after.filter(number % 4 != 1)
+    after = after.withColumn("markdown", F.coalesce(edited, F.col("markdown")))
+    hashed = lambda docs: docs.withColumn("sha256", F.sha2("markdown", 256))
+    fresh = snapshots.changed_documents(hashed(before), hashed(after))
+    known = before.join(fresh.select("doc_id"), "doc_id", "left_semi")
+
+    def told(docs: DataFrame) -> DataFrame:
+        lines = tree.lines_of(docs)
+        return snapshots.digests(tree.build_tree(lines), lines)
+
+    return snapshots.changes(told(known), told(fresh)).select("doc_id", "node_id", "change", "own_changed")
+
+
 @query()
 def navigated_sections(spark, sf_dir):
     """Where a question, one of the benchmark for each document, goes in the document's sections: six of them, two at a time."""
