@@ -164,6 +164,32 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+class Lookup:
+    """Values by hash: the hashes in ascending order, and where each range of their top bits begins, so that one is found with a step or two."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values = keys, values
+        bits = max(8, len(keys).bit_length())
+        self.shift = _U(64 - bits)
+        self.starts = np.searchsorted(keys >> self.shift, np.arange(1 << bits, dtype=_U)).astype(np.int32)
+        self.steps = int(np.diff(np.append(self.starts, len(keys))).max())
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """The value of each hash, 0 for those that aren't there."""
+        if not len(self.keys):
+            return np.zeros(len(wanted), np.float32)
+        last = len(self.keys) - 1
+        at = np.minimum(self.starts[(wanted >> self.shift).astype(np.int64)], last)
+        found = self.keys[at] == wanted
+        rest = np.flatnonzero(~found)
+        for _ in range(self.steps - 1):
+            at[rest] = np.minimum(at[rest] + 1, last)
+            here = self.keys[at[rest]]
+            found[rest[here == wanted[rest]]] = True
+            rest = rest[here < wanted[rest]]
+        return np.where(found, self.values[at], np.float32(0))
+
+
 def _shared(order: int) -> Column:
     """Of a gram: its language and the last ``order`` bytes."""
     return F.col("gram").bitwiseAND(_LANG | ((1 << 8 * order) - 1))
@@ -324,10 +350,9 @@ def _sketches(raw: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * SKETCH_BANDS, pa.int32()), pa.array(out.ravel().view(np.int64)))
 
 
-def _bits(keys: np.ndarray, logs: np.ndarray, raw: np.ndarray, bounds: np.ndarray, langs: np.ndarray) -> np.ndarray:
-    """The bits that the n-grams among ``keys`` add to each text, in units of 2**-20."""
-    at, found = _find(keys, kernel.mix(_own_fold(raw, bounds, langs)))
-    sums = np.concatenate([[0.0], np.cumsum(np.where(found, logs[at], np.float32(0)) if len(keys) else np.zeros(len(raw)), dtype=np.float64)])
+def _bits(logs: Lookup, raw: np.ndarray, bounds: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """The bits that the n-grams in ``logs`` add to each text, in units of 2**-20."""
+    sums = np.concatenate([[0.0], np.cumsum(logs.of(kernel.mix(_own_fold(raw, bounds, langs))), dtype=np.float64)])
     return np.rint(-UNIT * (sums[bounds[1:]] - sums[bounds[:-1]])).astype(np.int64)
 
 
@@ -344,7 +369,7 @@ def scores(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
                 n = len(bounds) - 1
                 rows = [batch.column(i).slice(first, n) for i in (2, 3, 1, 4)]
                 values = [pa.array(base[c].astype(np.int64)) for c in columns]
-                bits = _bits(*shared.value, raw, bounds, codes[first : first + n])
+                bits = _bits(shared.value, raw, bounds, codes[first : first + n])
                 yield pa.RecordBatch.from_arrays([*rows, *values, pa.array(_failed(base)), pa.array(np.diff(bounds)), pa.array(bits), _sketches(raw, bounds)], names=["doc_id", "lang", "code", "tid", *columns, "base_failed", "size", "bits", "sketch"])
 
     def more_run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,15 +377,15 @@ def scores(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
             codes = batch.column(1).to_numpy(zero_copy_only=False)
             for first, raw, bounds in kernel.chunks(batch.column(0)):
                 n = len(bounds) - 1
-                bits = _bits(*shared.value, raw, bounds, codes[first : first + n])
+                bits = _bits(shared.value, raw, bounds, codes[first : first + n])
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, n), batch.column(4).slice(first, n), pa.array(bits)], names=["code", "tid", "more"])
 
-    shared = sc.broadcast(_sorted_logs(parts[0]))
+    shared = sc.broadcast(Lookup(*_sorted_logs(parts[0])))
     schema = "doc_id long, lang string, code long, tid long, " + ", ".join(f"{c} long" for c in columns) + ", base_failed boolean, size long, bits long, sketch array<long>"
     scored = table(texts.mapInArrow(first_run, schema))
     for part in parts[1:]:
         shared.unpersist()
-        shared = sc.broadcast(_sorted_logs(part))
+        shared = sc.broadcast(Lookup(*_sorted_logs(part)))
         more = table(texts.mapInArrow(more_run, "code long, tid long, more long").dropDuplicates(["code", "tid"]))
         scored = table(scored.join(more, ["code", "tid"]).withColumn("bits", F.col("bits") + F.col("more")).drop("more"))
     millibits = F.rint(1000 * F.col("bits") / (UNIT * F.greatest("size", F.lit(1)))).cast("long")
