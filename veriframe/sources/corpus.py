@@ -21,7 +21,11 @@ PART_OR_ITEM = r"(?i)^(PART|ITEM)\s+[IVX0-9]"
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, ext, content, sha256 and path of the files in a folder, of whatever format."""
-    raw = spark.read.format("binaryFile").load(folder)
+    return file_rows(spark.read.format("binaryFile").load(folder))
+
+
+def file_rows(raw: DataFrame) -> DataFrame:
+    """doc_id, ext, content, sha256 and path of read files (path, content)."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     return raw.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_id"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("ext"), "content", F.sha2("content", 256).alias("sha256"), "path")
 
