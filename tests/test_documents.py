@@ -107,3 +107,49 @@ def test_feeds(spark):
 def test_frames(spark):
     row = spark.range(1).select(sinks.sse_frame(F.lit("verdict"), F.struct(F.lit(1).alias("a"))).alias("f")).select("f", sinks.parse_sse(F.concat("f", "f", F.lit("event: cut"))).alias("p")).first()
     assert row.f == 'event: verdict\ndata: {"a":1}\n\n' and [tuple(x) for x in row.p] == [("verdict", '{"a":1}')] * 2
+
+
+def test_pages_of_sections_by_brute_force(spark):
+    rng = random.Random(8)
+    lines, nodes = [], []
+    for d in range(12):
+        n, page = rng.randrange(1, 60), 1
+        for i in range(1, n + 1):
+            page += rng.random() < 0.2
+            lines.append((str(d), i, None, None if rng.random() < 0.2 or d == 3 else page))
+        for k in range(8):
+            a = rng.randrange(1, n + 1)
+            nodes.append((str(d), f"n{k}", a, rng.randrange(a, n + 1)))
+    got = tree.with_addresses(spark.createDataFrame(nodes, "doc_id string, node_id string, line_start int, line_end int"), spark.createDataFrame(lines, "doc_id string, line_no int, anchor string, page int"))
+    expected = []
+    for d, k, a, b in nodes:
+        spans = {}
+        for doc, i, _, p in lines:
+            if doc == d and p:
+                lo, hi = spans.get(p, (i, i))
+                spans[p] = min(lo, i), max(hi, i)
+        held = [p for p, (lo, hi) in spans.items() if lo <= b and hi >= a]
+        expected.append((d, k, min(held, default=None), max(held, default=None)))
+    assert sorted(tuple(r) for r in got.select("doc_id", "node_id", "page_start", "page_end").collect()) == sorted(expected)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_references_that_go_in_circles(spark):
+    rng = random.Random(2)
+    edges = [(d, f"s{rng.randrange(9)}", f"s{rng.randrange(9)}") for d in "abc" for _ in range(11)] + [("a", "s1", None)]
+    got = tree.note_reach(spark.createDataFrame(edges, "doc_id string, node_id string, note_node string")).collect()
+    expected = []
+    for d in "abc":
+        step = {}
+        for doc, x, y in edges:
+            if doc == d and y:
+                step.setdefault(x, set()).add(y)
+        for start in step:
+            seen, now, hops = {}, {start}, 0
+            while now:
+                hops += 1
+                now = {y for x in now for y in step.get(x, ())} - set(seen)
+                seen |= dict.fromkeys(now, hops)
+            expected += [(d, start, y, h) for y, h in seen.items()]
+    assert sorted(map(tuple, got)) == sorted(expected)
+    assert tree.note_reach(spark.createDataFrame([], "doc_id string, node_id string, note_node string")).count() == 0

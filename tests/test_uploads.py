@@ -40,5 +40,5 @@ def test_a_batch_done_again_replaces_itself(spark, tmp_path):
     uploads.prepare(spark, out)
     rows = spark.createDataFrame([("a", "md", bytearray(b"# T\nx"), "s1", "/in/a.md")], "doc_id string, ext string, content binary, sha256 string, path string")
     for _ in range(2):
-        uploads.ingest(rows, 5, out)
+        uploads.ingest(rows, "q-5", out)
         assert uploads.current(spark, out, "documents").count() == 1 and uploads.current(spark, out, "uploads").count() == 1

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .saved import saved
+
 # Fixed values of the tree rules.
 MOST_CHARS = 80_000
 LEAST_LINES = 6
@@ -102,13 +104,28 @@ def build_tree(lines: DataFrame, min_lines: int = LEAST_LINES, most_chars: int =
 
 
 def with_addresses(nodes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Adds the heading line's anchor, and the pages a section spans where lines have pages."""
+    """Adds the heading line's anchor, and the pages a section spans where lines have pages.
+
+    Pages follow each other, so a section's first page is the first one that ends at
+    or behind its first line, and its last page the last one that starts at or
+    before its last line: a document's sections and pages are looked at in line order, not in pairs.
+    """
     anchors = lines.filter("anchor is not null").select("doc_id", F.col("line_no").alias("line_start"), "anchor")
     paged = lines.filter("page is not null").groupBy("doc_id", "page").agg(F.min("line_no").alias("a"), F.max("line_no").alias("b"))
-    n, p = nodes.alias("n"), paged.alias("p")
-    met = n.join(p, (F.col("n.doc_id") == F.col("p.doc_id")) & (F.col("p.a") <= F.col("n.line_end")) & (F.col("p.b") >= F.col("n.line_start")))
-    spans = met.groupBy("n.doc_id", "n.node_id").agg(F.min("p.page").alias("page_start"), F.max("p.page").alias("page_end"))
-    return nodes.join(anchors, ["doc_id", "line_start"], "left").join(spans, ["doc_id", "node_id"], "left")
+    kind = "struct<page:int,a:int,b:int>"
+    page, none = F.struct("page", "a", "b").cast(kind), F.lit(None).cast(kind)
+    own = nodes.select("doc_id", "node_id", "line_start", "line_end")
+
+    def beside(line: str, edge: str, node_first: bool) -> DataFrame:
+        marks = paged.select("doc_id", F.lit(None).cast("string").alias("node_id"), F.col(edge).alias("at"), F.lit(1).alias("kind"), page.alias("p"))
+        asked = own.select("doc_id", "node_id", F.col(line).alias("at"), F.lit(0 if node_first else 2).alias("kind"), none.alias("p"))
+        return asked.unionByName(marks)
+
+    order = Window.partitionBy("doc_id").orderBy("at", "kind")
+    first = beside("line_start", "b", True).withColumn("p", F.first("p", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))).filter("node_id is not null").select("doc_id", "node_id", F.col("p").alias("f"))
+    last = beside("line_end", "a", False).withColumn("p", F.last("p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("node_id is not null").select("doc_id", "node_id", F.col("p").alias("l"))
+    spans = own.join(first, ["doc_id", "node_id"]).join(last, ["doc_id", "node_id"]).filter((F.col("f.a") <= F.col("line_end")) & (F.col("l.b") >= F.col("line_start")))
+    return nodes.join(anchors, ["doc_id", "line_start"], "left").join(spans.select("doc_id", "node_id", F.col("f.page").alias("page_start"), F.col("l.page").alias("page_end")), ["doc_id", "node_id"], "left")
 
 
 def _chains(nodes: DataFrame, *values: str) -> DataFrame:
@@ -184,6 +201,24 @@ def notes(content: DataFrame, nodes: DataFrame) -> DataFrame:
     return asked.join(first, ["doc_id", "note"], "left").select("doc_id", "node_id", "note", "note_node")
 
 
+def note_reach(references: DataFrame, most_hops: int = 20) -> DataFrame:
+    """(doc_id, node_id, note_node, hops): the notes that a section reaches by references (doc_id, node_id, note_node), over other notes, in the fewest hops.
+
+    References may go round in circles: each round follows only what was reached for
+    the first time in the last one, and ends when nothing new is reached, or after ``most_hops``.
+    """
+    direct = references.filter("note_node is not null").select("doc_id", "node_id", "note_node").distinct()
+    step = saved(direct)
+    found = fresh = saved(step.withColumn("hops", F.lit(1)))
+    for hops in range(2, most_hops + 1):
+        next_ = fresh.select("doc_id", "node_id", F.col("note_node").alias("by")).join(step.select("doc_id", F.col("node_id").alias("by"), "note_node"), ["doc_id", "by"]).select("doc_id", "node_id", "note_node").distinct()
+        fresh = saved(next_.join(found, ["doc_id", "node_id", "note_node"], "left_anti").withColumn("hops", F.lit(hops)))
+        if fresh.isEmpty():
+            break
+        found = found.unionByName(fresh)
+    return found
+
+
 def unread(nodes: DataFrame, seen: DataFrame) -> DataFrame:
     """The leaf sections (doc_id, node_id) of documents that no step of a walk (doc_id, node_id) went to."""
     parents = nodes.select("doc_id", F.col("parent_id").alias("node_id")).distinct()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.normalize import let
 from ..types import MANIFEST
 from .html_blocks import BLOCK_TYPE as BLOCK
 from .html_blocks import block_rows
@@ -114,19 +115,24 @@ def page_blocks(pages: DataFrame) -> DataFrame:
 
 
 def html_documents(pages: DataFrame) -> DataFrame:
-    """Documents from (doc_id, html, sha256): a blank line before each block, and the last id seen as anchor of each heading line."""
-    text = F.coalesce("text", F.lit(""))
-    noise = (F.lower(text) == NOISE) | text.rlike(r"^\d{1,3}$")  # page numbers, bold ones too
-    heading = (F.col("kind") == "text") & ~noise & is_heading(F.col("tag"), text, F.coalesce("bold", F.lit(False)))
-    shown = F.when(F.col("kind") == "table", table_markdown(F.col("grid"))).when(heading, F.concat(F.repeat(F.lit("#"), heading_level(F.col("tag"), text)), F.lit(" "), text)).when(F.col("kind") == "text", F.when(noise, "").otherwise(text))
-    seen = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = page_blocks(pages).select("doc_id", "seq", shown.alias("shown"), heading.alias("heading"), F.last(F.when(F.col("kind") == "anchor", F.col("text")), ignorenulls=True).over(seen).alias("anchor")).filter(F.coalesce(F.col("shown"), F.lit("")) != "")
-    placed = blocks.withColumn("line_no", F.sum(F.size(F.split("shown", "\n", -1)) + 1).over(seen))
-    noted = F.filter(F.transform("b", lambda x: F.struct(x["line_no"].cast("int").alias("key"), F.when(x["heading"], x["anchor"]).alias("value"))), lambda e: e["value"].isNotNull())
-    whole = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "shown", "line_no", "heading", "anchor"))).alias("b"))
-    made = whole.select("doc_id", F.array_join(F.transform("b", lambda x: F.concat(F.lit("\n"), x["shown"])), "\n").alias("markdown"), F.map_from_entries(noted).alias("anchors"))
-    ids = pages.select(F.col("doc_id").cast("string").alias("doc_id"), "sha256")
-    return ids.join(made, "doc_id", "left").select("doc_id", F.lit("html").alias("doc_type"), F.coalesce("markdown", F.lit("")).alias("markdown"), F.coalesce("anchors", F.create_map().cast("map<int,string>")).alias("anchors"), F.create_map().cast("map<int,int>").alias("pages"), "sha256")
+    """Documents from (doc_id, html, sha256): a blank line before each block, and the last id seen as anchor of each heading line.
+
+    A page's blocks stay one array from the parser to the markdown: nothing is shuffled.
+    """
+    found = pages.select(F.col("doc_id").cast("string").alias("doc_id"), "html", "sha256").mapInArrow(block_rows, f"doc_id string, blocks array<{BLOCK}>, sha256 string")
+
+    def lines(b: Column) -> Column:
+        text = F.coalesce(b["text"], F.lit(""))
+        noise = (F.lower(text) == NOISE) | text.rlike(r"^\d{1,3}$")  # page numbers, bold ones too
+        heading = (b["kind"] == "text") & ~noise & is_heading(b["tag"], text, F.coalesce(b["bold"], F.lit(False)))
+        shown = F.when(b["kind"] == "table", table_markdown(b["grid"])).when(heading, F.concat(F.repeat(F.lit("#"), heading_level(b["tag"], text)), F.lit(" "), text)).when((b["kind"] == "text") & ~noise, text).otherwise("")
+        line = lambda x, anchor: F.struct(x.alias("text"), anchor.cast("string").alias("anchor"))
+        own = let(F.struct(shown.alias("shown"), F.when(heading, b["anchor"]).alias("anchor")), lambda s: F.when(s["shown"] != "", F.concat(F.array(line(F.lit(""), F.lit(None))), F.transform(F.split(s["shown"], "\n", -1), lambda x: line(x, s["anchor"])))))
+        return F.coalesce(own, F.array().cast("array<struct<text:string,anchor:string>>"))
+
+    placed = found.select("doc_id", "sha256", F.flatten(F.transform("blocks", lines)).alias("l"))
+    noted = F.filter(F.transform("l", lambda x, i: F.struct((i + 1).alias("key"), x["anchor"].alias("value"))), lambda e: e["value"].isNotNull())
+    return placed.select("doc_id", F.lit("html").alias("doc_type"), F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("markdown"), F.map_from_entries(noted).alias("anchors"), F.create_map().cast("map<int,int>").alias("pages"), "sha256")
 
 
 def paged_documents(pages: DataFrame) -> DataFrame:

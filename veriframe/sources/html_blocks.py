@@ -28,7 +28,7 @@ STYLED = frozenset("span font b strong".split())
 CELLS = frozenset("td th tr".split())
 #: Fixed: the most columns that HTML lets a cell span.
 MOST_COLUMNS = 1000
-BLOCK_TYPE = "struct<seq:int,kind:string,tag:string,text:string,bold:boolean,grid:array<array<struct<text:string,colspan:int>>>>"
+BLOCK_TYPE = "struct<seq:int,kind:string,tag:string,text:string,bold:boolean,grid:array<array<struct<text:string,colspan:int>>>,anchor:string>"
 
 
 class _Open:
@@ -149,10 +149,20 @@ def leaf_blocks(html: str) -> list[dict]:
     return found.blocks
 
 
+def _anchored(blocks: list[dict]) -> list[dict]:
+    """Blocks numbered, each with the last id seen."""
+    anchor = None
+    for k, b in enumerate(blocks):
+        anchor = b["text"] if b["kind"] == "anchor" else anchor
+        b["seq"], b["anchor"] = k, anchor
+    return blocks
+
+
 def block_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, html) to (doc_id, blocks)."""
-    kind = pa.list_(pa.struct([("seq", pa.int32()), ("kind", pa.string()), ("tag", pa.string()), ("text", pa.string()), ("bold", pa.bool_()), ("grid", pa.list_(pa.list_(pa.struct([("text", pa.string()), ("colspan", pa.int32())]))))]))
+    """(doc_id, html, ...) to (doc_id, blocks, ...)."""
+    grid = pa.list_(pa.list_(pa.struct([("text", pa.string()), ("colspan", pa.int32())])))
+    kind = pa.list_(pa.struct([("seq", pa.int32()), ("kind", pa.string()), ("tag", pa.string()), ("text", pa.string()), ("bold", pa.bool_()), ("grid", grid), ("anchor", pa.string())]))
     for batch in batches:
         for i in range(batch.num_rows):  # a page at a time, as one may be very long
-            rows = [{"seq": k, **b} for k, b in enumerate(leaf_blocks(batch.column(1)[i].as_py() or ""))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([rows], kind)], names=["doc_id", "blocks"])
+            own = batch.slice(i, 1)
+            yield own.set_column(1, "blocks", pa.array([_anchored(leaf_blocks(own.column(1)[0].as_py() or ""))], kind))
