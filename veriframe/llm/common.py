@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,6 +38,22 @@ def ship(spark: SparkSession) -> None:
     sc._llm_shipped = True
 
 
+Batches = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Batches) -> Batches:
+    """``run`` for ``mapInArrow``, after which the worker gives back the memory that it no longer uses: Spark keeps workers for later tasks."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import fresh, ship, table
+from .common import fresh, ship, table, tidy
 
 ORDER = 5
 RANGE_NGRAMS = 1 << 21
@@ -43,6 +43,8 @@ MIN_WORDS = 50
 #: Keys of texts that are broadcast at most: 32 MB.
 MOST_BROADCAST = 1 << 21
 FLUSH = 1 << 22
+#: Bytes of text that are counted, and scored, at a time.
+COUNT_BYTES, SCORE_BYTES = 1 << 19, 1 << 18
 #: Fixed: parts of a bit in which the sums of hash ranges are added.
 UNIT = 1 << 20
 #: Texts are alike if the least hashes of their word 5-grams agree in all rows of a band.
@@ -118,7 +120,7 @@ def _count(batches: Iterable[pa.RecordBatch], grams_of: Callable[[np.ndarray, np
 
     for batch in batches:
         langs = batch.column(1).to_numpy(zero_copy_only=False)
-        for first, raw, bounds in kernel.chunks(batch.column(0)):
+        for first, raw, bounds in kernel.chunks(batch.column(0), COUNT_BYTES):
             held.append(np.unique(grams_of(raw, bounds, langs[first : first + len(bounds) - 1]), return_counts=True))
             if sum(len(k) for k, _ in held) > FLUSH // 2:
                 keys, counts = merged([(keys, counts), *held])
@@ -248,7 +250,7 @@ def _texts(docs: DataFrame, *also: Column, codes: int = _CODES) -> DataFrame:
 
 def _counted(texts: DataFrame, count: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     ship(texts.sparkSession)
-    return table(texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    return table(texts.mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
 
 
 def fit(docs: DataFrame) -> Model:
@@ -284,7 +286,7 @@ def ranges(docs: DataFrame, range_ngrams: int = RANGE_NGRAMS) -> list[DataFrame]
 
 def _base(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
     """(first row, bytes, bounds, base columns) of runs of rows."""
-    for first, raw, bounds in kernel.chunks(text):
+    for first, raw, bounds in kernel.chunks(text, SCORE_BYTES):
         n = len(bounds) - 1
         starts, ends, rows = kernel.words(raw, bounds)
         lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
@@ -375,18 +377,18 @@ def scores(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
     def more_run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = batch.column(1).to_numpy(zero_copy_only=False)
-            for first, raw, bounds in kernel.chunks(batch.column(0)):
+            for first, raw, bounds in kernel.chunks(batch.column(0), SCORE_BYTES):
                 n = len(bounds) - 1
                 bits = _bits(shared.value, raw, bounds, codes[first : first + n])
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, n), batch.column(4).slice(first, n), pa.array(bits)], names=["code", "tid", "more"])
 
     shared = sc.broadcast(Lookup(*_sorted_logs(parts[0])))
     schema = "doc_id long, lang string, code long, tid long, " + ", ".join(f"{c} long" for c in columns) + ", base_failed boolean, size long, bits long, sketch array<long>"
-    scored = table(texts.mapInArrow(first_run, schema))
+    scored = table(texts.mapInArrow(tidy(first_run), schema))
     for part in parts[1:]:
         shared.unpersist()
         shared = sc.broadcast(Lookup(*_sorted_logs(part)))
-        more = table(texts.mapInArrow(more_run, "code long, tid long, more long").dropDuplicates(["code", "tid"]))
+        more = table(texts.mapInArrow(tidy(more_run), "code long, tid long, more long").dropDuplicates(["code", "tid"]))
         scored = table(scored.join(more, ["code", "tid"]).withColumn("bits", F.col("bits") + F.col("more")).drop("more"))
     millibits = F.rint(1000 * F.col("bits") / (UNIT * F.greatest("size", F.lit(1)))).cast("long")
     return scored.withColumn("millibits", millibits).drop("size", "bits")

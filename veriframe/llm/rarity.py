@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 KEY_BITS = 40
 FLUSH = 1 << 21
@@ -137,7 +137,7 @@ def count_levels(df: DataFrame, tokens: Tokens, levels: Levels) -> Maps:
         keys, level = keys[level > 0], level[level > 0]
         return pd.DataFrame({"range": [key[0]], "keys": [_packed(keys)], "levels": [zstandard.compress(level.tobytes(), 1)], "at": [[int((level > i).sum()) for i in range(len(thresholds))]]})
 
-    counted = df.mapInArrow(_counted(tokens, range_bits), "range int, keys binary, counts binary, copy boolean")
+    counted = df.mapInArrow(tidy(_counted(tokens, range_bits)), "range int, keys binary, counts binary, copy boolean")
     merged = table(counted.groupBy("range").applyInPandas(merge, "range int, keys binary, levels binary, at array<long>"))
     sizes = merged.select(F.posexplode("at").alias("i", "k")).groupBy("i").agg(F.sum("k").alias("k")).collect()
     reached = {r["i"]: r["k"] for r in sizes}

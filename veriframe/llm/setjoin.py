@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import table
+from .common import table, tidy
 from .rarity import Maps, bitmap_bits
 
 #: Ids beyond so many are matched by a join, up to it by a bitmap of 32 MB at most.
@@ -129,7 +129,7 @@ def index(df: DataFrame, records: Records, keys: str, maps: Broadcast[Maps], nar
 
     schema = f"{keys}, n int, sid long, sig long, sig2 long, alone int, tokens array<{'int' if narrow else 'long'}>" + ", leads array<int>" * bool(lead_level)
     names = [x.split()[0] for x in schema.split(", ")]
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def sized(n: Column, pos: Column, flag: Column) -> Column:
@@ -265,7 +265,7 @@ def members(df: DataFrame, records: Records, wanted: DataFrame) -> DataFrame:
                     names=["sid", "members"],
                 )
 
-    sets = df.mapInArrow(run, "sid long, members binary")
+    sets = df.mapInArrow(tidy(run), "sid long, members binary")
     if found is None:
         sets = sets.join(wanted.select("sid").distinct(), "sid", "left_semi")
     return sets.groupBy("sid").agg(F.first("members").alias("members"))
