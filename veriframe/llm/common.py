@@ -41,15 +41,20 @@ def ship(spark: SparkSession) -> None:
 Batches = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def release() -> None:
+    """Gives back the memory that this process no longer uses, which the allocators else keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(run: Batches) -> Batches:
     """``run`` for ``mapInArrow``, after which the worker gives back the memory that it no longer uses: Spark keeps workers for later tasks."""
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        release()
 
     return whole
 
@@ -77,6 +82,7 @@ def table(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    release()  # what the driver has made for this job
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -390,6 +390,7 @@ def scores(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
         shared = sc.broadcast(Lookup(*_sorted_logs(part)))
         more = table(texts.mapInArrow(tidy(more_run), "code long, tid long, more long").dropDuplicates(["code", "tid"]))
         scored = table(scored.join(more, ["code", "tid"]).withColumn("bits", F.col("bits") + F.col("more")).drop("more"))
+    shared.destroy()  # all that reads it is written
     millibits = F.rint(1000 * F.col("bits") / (UNIT * F.greatest("size", F.lit(1)))).cast("long")
     return scored.withColumn("millibits", millibits).drop("size", "bits")
 
