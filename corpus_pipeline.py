@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriframe.llm import bpe_replay, decontaminate, jaccard_join, line_dedup, quality_rules
-from veriframe.llm.common import documents, table
+from veriframe.llm.common import documents, fresh, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and whether decoding gives back the text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe_replay.encode(docs, path)
-    decoded = bpe_replay.decode(encoded, path)
-    return decoded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.encode("text", "utf-8")).alias("round_trip"))
+    decoded = bpe_replay.encode(docs, path, decoded=fresh(docs, "decoded"))
+    return decoded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col(fresh(docs, "decoded")) == F.encode("text", "utf-8")).alias("round_trip"))
 
 
 STAGES = [

@@ -12,8 +12,10 @@ import pyarrow as pa
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from veriframe.llm import bpe_replay, pretoken, token_counts, token_store, vocabulary
 
 PARTS = ["a", "b", "'s", "'t", "'re", "'ll", "'", "''", " ", "  ", "\n", "\t", "\xa0", "1", "23", "é", "É", "ΑΣ", "İ", "漢字", "🙂", "́", "!", "?!", "<|endoftext|>", "<|startoftext|>", "don't", "I'll", "THE", "\x1c", "\x85", "²", "-", "​", "\r\n", "ſ", "\U0010ffff", "\ufffe", "\ue000"]
@@ -134,3 +136,22 @@ def test_replay_takes_lower_ranks_first():
     own, draw = library(), random.Random(9)
     words = ["".join(draw.choice("abehlnorst") for _ in range(draw.randint(1, 40))) for _ in range(3000)] + ["a" * n for n in range(1, 60)]
     assert ranks.replay(words) == [own.encode_ordinary(w) for w in words]
+
+
+def test_tokens_stage_holds_one_python_worker_a_task(spark, odd, texts):
+    docs = odd.drop("ids").withColumn("decoded", F.lit("their own"))
+    staged = corpus_pipeline.tokens(spark, docs, "")
+    assert len(re.findall(r"MapInArrow", staged._jdf.queryExecution().optimizedPlan().toString())) == 1
+    own = library()
+    got = staged.collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        assert r.ids == own.encode_ordinary(r.text or "") and r.decoded == "their own" and r.round_trip == (None if r.text is None else True)
+
+
+def test_tasks_of_the_tokens_stage_give_back_memory(spark, odd, monkeypatch):
+    tidied = []
+    monkeypatch.setattr(bpe_replay, "tidy", lambda run: tidied.append(run) or run)
+    monkeypatch.setattr(vocabulary, "tidy", lambda run: tidied.append(run) or run)
+    bpe_replay.encode(odd, RANKS)
+    assert len(tidied) == 3

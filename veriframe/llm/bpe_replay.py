@@ -24,11 +24,11 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pretoken, vocabulary
-from .common import fresh, ship, table
+from .common import Batches, fresh, ship, table, tidy
 
 #: The frequent words that tasks get at once, about 20 MB.
 HEAD_WORDS = 1 << 19
@@ -133,7 +133,7 @@ def word_ids(docs: DataFrame, content: bytes) -> DataFrame:
             ids = _ranks(ranks.value).replay(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
-    return vocabulary.distinct_words(docs, "spaced").mapInArrow(run, "word string, n long, ids array<int>")
+    return vocabulary.distinct_words(docs, "spaced").mapInArrow(tidy(run), "word string, n long, ids array<int>")
 
 
 def word_table(words: pa.Table, column: str) -> pretoken.WordTable:
@@ -147,20 +147,16 @@ def word_table(words: pa.Table, column: str) -> pretoken.WordTable:
     return pretoken.WordTable(keys, sizes, lists.flatten().to_numpy().astype(np.int32))
 
 
-def encode(docs: DataFrame, vocabulary_path: str, column: str = "ids", head_words: int = HEAD_WORDS, keep: list[str] | None = None) -> DataFrame:
-    """``docs``, or its columns ``keep``, with the token ids of ``text`` in the array column ``column``."""
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.drop(column)
+def _content(vocabulary_path: str) -> bytes:
     with open(vocabulary_path, "rb") as f:
-        content = f.read()
+        return f.read()
+
+
+def _encoding(docs: DataFrame, content: bytes, column: str, head_words: int, width: int) -> Batches:
+    """The ids of the column ``width``, a text, in its place; the columns before it stay."""
     words = table(word_ids(docs, content))
     head = word_table(vocabulary.frequent(words, head_words).select("word", "ids").toArrow(), "ids")
-    shared = spark.sparkContext.broadcast((content, head.keys, head.sizes, head.starts, head.flat))
-    kept = docs.columns if keep is None else keep
-    schema = docs.select(*kept, F.lit(None).cast("array<int>").alias(column)).schema
-    texts = docs.select(*kept, F.col("text").alias(fresh(docs, "text")))
-    width = len(kept)
+    shared = docs.sparkSession.sparkContext.broadcast((content, head.keys, head.sizes, head.starts, head.flat))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content, keys, sizes, starts, flat = shared.value
@@ -175,20 +171,14 @@ def encode(docs: DataFrame, vocabulary_path: str, column: str = "ids", head_word
             if len(held.flat) - start > CACHE_IDS:
                 held.keys, held.sizes, held.starts, held.flat = keys, sizes, starts, flat
 
-    return texts.mapInArrow(run, schema)
+    return run
 
 
-def decode(encoded: DataFrame, vocabulary_path: str, column: str = "ids", to: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes of its ids in the binary column ``to``."""
-    spark = encoded.sparkSession
-    ship(spark)
-    encoded = encoded.drop(to)
-    with open(vocabulary_path, "rb") as f:
-        tokens = Ranks(f.read()).token
+def _decoding(spark: SparkSession, content: bytes, place: int, to: str) -> Batches:
+    """The bytes of the ids in the column ``place``, as a further column."""
+    tokens = Ranks(content).token
     sizes = np.array([len(t) for t in tokens], np.int64)
     shared = spark.sparkContext.broadcast((np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes))
-    place = encoded.columns.index(column)
-    schema = encoded.select("*", F.lit(None).cast("binary").alias(to)).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, starts, sizes = shared.value
@@ -200,7 +190,37 @@ def decode(encoded: DataFrame, vocabulary_path: str, column: str = "ids", to: st
             out = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(upto[at - at[0]].astype(np.int32)), pa.py_buffer(raw)])
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, to])
 
-    return encoded.mapInArrow(run, schema)
+    return run
+
+
+def encode(docs: DataFrame, vocabulary_path: str, column: str = "ids", head_words: int = HEAD_WORDS, keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with the token ids of ``text`` in the array column ``column``.
+
+    With ``decoded`` the bytes of these ids stand in the binary column of that name, as by ``decode``; the worker that encodes a batch decodes it.
+    """
+    ship(docs.sparkSession)
+    docs = docs.drop(column, *([decoded] if decoded else []))
+    kept = docs.columns if keep is None else keep
+    added = [F.lit(None).cast("array<int>").alias(column)] + ([F.lit(None).cast("binary").alias(decoded)] if decoded else [])
+    schema = docs.select(*kept, *added).schema
+    content = _content(vocabulary_path)
+    run = encoding = _encoding(docs, content, column, head_words, len(kept))
+    if decoded:
+        decoding = _decoding(docs.sparkSession, content, len(kept), decoded)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from decoding(encoding(batches))
+
+    return docs.select(*kept, F.col("text").alias(fresh(docs, "text"))).mapInArrow(tidy(run), schema)
+
+
+def decode(encoded: DataFrame, vocabulary_path: str, column: str = "ids", to: str = "decoded") -> DataFrame:
+    """``encoded`` with the bytes of its ids in the binary column ``to``."""
+    ship(encoded.sparkSession)
+    encoded = encoded.drop(to)
+    schema = encoded.select("*", F.lit(None).cast("binary").alias(to)).schema
+    run = _decoding(encoded.sparkSession, _content(vocabulary_path), encoded.columns.index(column), to)
+    return encoded.mapInArrow(tidy(run), schema)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

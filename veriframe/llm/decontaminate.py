@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, setjoin
-from .common import fresh, ship, table
+from .common import fresh, ship, table, tidy
 
 CONTAINMENT = 0.8
 SMALL_ITEM = 16
@@ -78,7 +78,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, containment: float =
     """doc_id, tid, item_id, n_item, n_common, containment of each item that a document contains."""
     spark = docs.sparkSession
     ship(spark)
-    items = table(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().mapInArrow(_items, "item_id long, n_item long, grams array<long>, size_class array<int>, key array<long>"))
+    items = table(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().mapInArrow(tidy(_items), "item_id long, n_item long, grams array<long>, size_class array<int>, key array<long>"))
     items = items.withColumn("item", F.xxhash64("item_id", "grams"))
     small = items.filter(F.col("n_item") < SMALL_ITEM)
     held = spark.sparkContext.broadcast(setjoin.id_filter(items.select(F.explode("grams").alias("sid")).distinct(), "sid"))
@@ -115,7 +115,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, containment: float =
                 )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))
-    found = table(texts.mapInArrow(hits, "doc_id long, tid long, size_class int, grams array<long>, sketched array<boolean>"))
+    found = table(texts.mapInArrow(tidy(hits), "doc_id long, tid long, size_class int, grams array<long>, sketched array<boolean>"))
     sketch = found.select("doc_id", "tid", "size_class", F.explode(F.arrays_zip("grams", "sketched")).alias("e")).filter("e.sketched").select("doc_id", "tid", "size_class", F.col("e.grams").alias("key"))
     keys = items.select("item", F.explode(F.arrays_zip("size_class", "key")).alias("e")).select("item", "e.size_class", "e.key")
     candidates = sketch.join(keys, ["size_class", "key"]).select("doc_id", "tid", "item").distinct()

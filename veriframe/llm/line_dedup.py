@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, setjoin
-from .common import fresh, ship, table
+from .common import fresh, ship, table, tidy
 from .rarity import Levels, count_levels
 
 #: Lines of fewer distinct words are left alone.
@@ -134,7 +134,7 @@ def _large_lists(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own[some]), *rest.columns[1:]], names=["token", *names])
 
     names = ["sid", "n", "sig", "sig2", "pos", "doc_id", "tid", "line_no"]
-    entries = keyed.mapInArrow(run, "token long, sid long, n int, sig long, sig2 long, pos int, doc_id long, tid long, line_no int")
+    entries = keyed.mapInArrow(tidy(run), "token long, sid long, n int, sig long, sig2 long, pos int, doc_id long, tid long, line_no int")
     return entries.select("token", "sid", "n", "sig", "sig2", "pos", F.struct("doc_id", "tid", "line_no").alias("f"))
 
 

@@ -147,8 +147,7 @@ FROM texts t LEFT JOIN named USING (doc_id) GROUP BY 1
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe_replay.encode(documents(spark, sf_dir), path, keep=["doc_id"])
-    return bpe_replay.digests(bpe_replay.decode(encoded, path))
+    return bpe_replay.digests(bpe_replay.encode(documents(spark, sf_dir), path, keep=["doc_id"], decoded="decoded"))
 
 
 def op7_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:

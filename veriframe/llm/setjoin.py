@@ -312,7 +312,7 @@ def compared(candidates: DataFrame, sets: DataFrame, percent: int = 80, near_by:
             columns = [pa.array(na, pa.int32()), pa.array(nb, pa.int32()), pa.array(link, pa.bool_()), pa.array(near, pa.bool_()), pa.array(change, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["a", "b", "na", "nb", "link", "near", "change"])
 
-    return _both(candidates, sets).mapInArrow(run, "a long, b long, na int, nb int, link boolean, near boolean, change array<long>")
+    return _both(candidates, sets).mapInArrow(tidy(run), "a long, b long, na int, nb int, link boolean, near boolean, change array<long>")
 
 
 def linked(candidates: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
@@ -324,7 +324,7 @@ def linked(candidates: DataFrame, sets: DataFrame, percent: int = 80) -> DataFra
             ok = [_links(len(u), len(v), int(np.count_nonzero(_shared(u, v)[1])), percent) for u, v in pairs_]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return table(_both(candidates, sets).mapInArrow(run, "a long, b long"))
+    return table(_both(candidates, sets).mapInArrow(tidy(run), "a long, b long"))
 
 
 def centres(entries: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretoken
+from .common import tidy
 
 #: The frequent words that tasks get at once: at most so many, none longer than LONGEST bytes.
 HEAD_WORDS = 1 << 18
@@ -46,7 +47,7 @@ def distinct_words(docs: DataFrame, style: str, specials: tuple[str, ...] = ())
         if len(keys):
             yield out()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(words: DataFrame, most: int = HEAD_WORDS) -> DataFrame:
