@@ -155,3 +155,23 @@ def test_tasks_of_the_tokens_stage_give_back_memory(spark, odd, monkeypatch):
     monkeypatch.setattr(vocabulary, "tidy", lambda run: tidied.append(run) or run)
     bpe_replay.encode(odd, RANKS)
     assert len(tidied) == 3
+
+
+def test_growing_words_keep_their_places():
+    draw = np.random.default_rng(4)
+    keys = np.unique(draw.integers(0, 1 << 63, 5000, dtype=np.uint64)) << np.uint64(1)
+    keys = np.concatenate([keys, np.uint64(7) + np.arange(300, dtype=np.uint64), np.uint64((1 << 64) - 1) - np.arange(300, dtype=np.uint64) * np.uint64(2)])  # many of one slot, the last slot too
+    draw.shuffle(keys)
+    values = [list(range(i % 5)) for i in range(len(keys))]
+    table = pretoken.GrowingWords(least_slots=4)
+    places = []
+    for a in range(0, len(keys), 700):
+        assert not table.find(keys[a:])[1].any()
+        table.add(keys[a : a + 700], values[a : a + 700])
+        at, found = table.find(keys[: a + 700])
+        assert found.all()
+        places.append(at[:700].tolist())
+    assert all(p == places[0] for p in places)
+    flat, bounds = table.gather(table.find(keys)[0])
+    assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == values
+    assert pretoken.GrowingWords().find(keys)[1].sum() == 0

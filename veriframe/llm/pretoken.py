@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -139,12 +140,70 @@ class WordTable:
         return ragged(self.flat, self.starts[at], self.sizes[at])
 
 
+class GrowingWords:
+    """As ``WordTable``, for tables that go on growing: words keep the places in which they came, and a slot table of at most half load leads to them."""
+
+    def __init__(self, least_slots: int = 1 << 16) -> None:
+        self.n, self.n_flat = 0, 0
+        self.keys, self.sizes, self.starts = np.zeros(1, np.uint64), np.zeros(1, np.int32), np.zeros(1, np.int64)
+        self.flat = np.zeros(1, np.int32)
+        self._slots = np.full(least_slots, -1, np.int32)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(65 - len(self._slots).bit_length())).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, found) of each hash."""
+        slot = self._home(wanted)
+        at = self._slots[slot]
+        open_ = np.flatnonzero((at >= 0) & (self.keys[at] != wanted))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self._slots) - 1)
+            at[open_] = self._slots[slot[open_]]
+            open_ = open_[(at[open_] >= 0) & (self.keys[at[open_]] != wanted[open_])]
+        return at, at >= 0
+
+    def add(self, keys: np.ndarray, values: list[list[int]]) -> None:
+        """Takes new words, each once."""
+        sizes = np.fromiter(map(len, values), np.int64, len(values))
+        first, begin = self.n, self.n_flat
+        self.n, self.n_flat = first + len(keys), begin + int(sizes.sum())
+        self.keys, self.sizes, self.starts = (_room(x, self.n) for x in (self.keys, self.sizes, self.starts))
+        self.flat = _room(self.flat, self.n_flat)
+        self.keys[first : self.n], self.sizes[first : self.n] = keys, sizes
+        self.starts[first : self.n] = begin + np.cumsum(sizes) - sizes
+        self.flat[begin : self.n_flat] = np.fromiter(chain.from_iterable(values), np.int32, self.n_flat - begin)
+        if 2 * self.n > len(self._slots):
+            self._slots = np.full(1 << (2 * self.n).bit_length(), -1, np.int32)
+            first = 0
+        at = np.arange(first, self.n, dtype=np.int32)
+        slot = self._home(self.keys[first : self.n])
+        while len(at):
+            free = self._slots[slot] < 0
+            self._slots[slot[free]] = at[free]
+            rest = self._slots[slot] != at  # their slot is another word's
+            at, slot = at[rest], (slot[rest] + 1) & (len(self._slots) - 1)
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, bounds): the values of the words at ``at``, one after the other."""
+        return ragged(self.flat, self.starts[at], self.sizes[at])
+
+
+def _room(held: np.ndarray, n: int) -> np.ndarray:
+    """``held`` with place for ``n`` items, half as long again each time it grows."""
+    if n <= len(held):
+        return held
+    out = np.zeros(max(n, 3 * len(held) // 2), held.dtype)
+    out[: len(held)] = held
+    return out
+
+
 def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     return flat[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
 
 
-def encode_column(column: pa.Array, words: WordTable, encode: Callable[[list[str]], list[list[int]]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encode_column(column: pa.Array, words: WordTable | GrowingWords, encode: Callable[[list[str]], list[list[int]]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, bounds) of runs of rows; ``encode`` is asked once for each word that ``words`` doesn't hold."""
     for first, joined, cp, bounds in texts(column):
         starts, ends = split(cp, bounds, "spaced")

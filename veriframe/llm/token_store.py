@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pretoken
-from .common import ship
+from .common import ship, tidy
 
 SAMPLE_DOCS, SAMPLE_BYTES = 1000, 32 << 10
 #: Bytes of text in a shard, about; of very large corpora more, so that there are MOST_SHARDS at most.
@@ -58,13 +58,13 @@ _caches: dict[str, tuple] = {}
 def _encoder(tokenizer_json: str) -> tuple:
     """(tokenizer, special strings, known words) of this worker; the words are kept from task to task."""
     key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
-    if key not in _caches or len(_caches[key][2].flat) > CACHE_IDS:
+    if key not in _caches or _caches[key][2].n_flat > CACHE_IDS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
         from tokenizers import Tokenizer
 
         _caches.clear()
         specials = [t["content"] for t in json.loads(tokenizer_json)["added_tokens"]]
-        _caches[key] = Tokenizer.from_str(tokenizer_json), specials, pretoken.WordTable(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        _caches[key] = Tokenizer.from_str(tokenizer_json), specials, pretoken.GrowingWords()
     return _caches[key]
 
 
@@ -95,7 +95,7 @@ def _train(spark: SparkSession, texts: DataFrame, n_docs: int, tokenizer_json: s
     # a doc_id that many rows share is told apart by the text, and of equal rows one is taken, however many there are
     key = F.xxhash64("doc_id", "text")
     sample = texts.filter(F.pmod(key, F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).groupBy(key).agg(F.first("text").alias("text")).select("text")
-    rows = sorted(bytes(r["ids"]) for r in sample.mapInArrow(run, "ids binary").collect())
+    rows = sorted(bytes(r["ids"]) for r in sample.mapInArrow(tidy(run), "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few or too short to train on
@@ -155,7 +155,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     n = shards or min(MOST_SHARDS, max(1, -(-size["bytes"] // SHARD_BYTES)))
     keyed = texts.withColumn("h", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    ordered.select("text", "doc_id").mapInArrow(run, schema).write.option("compression", "none").option("parquet.block.size", BLOCK_BYTES).parquet(f"{path}/data")
+    ordered.select("text", "doc_id").mapInArrow(tidy(run), schema).write.option("compression", "none").option("parquet.block.size", BLOCK_BYTES).parquet(f"{path}/data")
 
 
 def read_documents(spark: SparkSession, path: str, doc_ids: Iterable[int], opened: Accumulator[int] | None = None) -> DataFrame:
@@ -190,7 +190,7 @@ def read_documents(spark: SparkSession, path: str, doc_ids: Iterable[int], opene
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))], names=["doc_id", "n_tokens", "ids"])
 
     blocks = spark.read.parquet(f"{path}/data").filter(inside).select("dict_sha256", "doc_ids", "offsets", "frames")
-    return blocks.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return blocks.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids array<int>")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -228,7 +228,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = F.broadcast(totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_begins")))
     blocks = data.select("shard", "dict_sha256", "doc_ids", "offsets", "shard_start", "frames")
-    found = blocks.mapInArrow(run, "shard int, doc_id long, in_shard long, n_tokens long, ids array<int>")
+    found = blocks.mapInArrow(tidy(run), "shard int, doc_id long, in_shard long, n_tokens long, ids array<int>")
     return found.join(shards, "shard").select("doc_id", (F.col("shard_begins") + F.col("in_shard")).alias("start"), "n_tokens", "ids")
 
 
@@ -244,4 +244,4 @@ def with_crc32(stored: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return stored.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return stored.select("doc_id", "start", "n_tokens", "ids").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
