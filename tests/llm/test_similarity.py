@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 from samples import edited, sentence
 
@@ -202,3 +203,20 @@ def test_short_lines_in_the_pipeline(spark):
     got = corpus_pipeline.lines(spark, spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars long"), "")
     assert sorted((r.doc_id, r.text) for r in got.collect()) == lines
     assert lines[2][1] == "-- Ann Lee\nx"
+
+
+def test_folded_signatures_never_exceed_the_difference(spark):
+    draw = np.random.default_rng(8)
+    base = draw.integers(0, 1 << 63, 260, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: n - k], draw.integers(0, 1 << 63, k, dtype=np.uint64)])) for n in (1, 5, 40, 95, 96, 97, 98, 120, 250) for k in (0, 1, n // 3)]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    sig, sig2 = (x.tolist() for x in setjoin.signatures(np.concatenate(sets), bounds))
+    rows = [(i, len(x), a, b) for i, (x, a, b) in enumerate(zip(sets, sig, sig2, strict=True))]
+    whole = spark.createDataFrame(rows, "i int, n int, sig long, sig2 long")
+    packed = whole.select("i", *setjoin.folded(F.col("n"), F.col("sig"), F.col("sig2")))
+    assert all((r.sig2 is None) == (len(sets[r.i]) <= setjoin.FOLDED) for r in packed.collect())
+    full = {(r.a, r.b): r.d for r in whole.alias("x").crossJoin(whole.alias("y")).select(F.col("x.i").alias("a"), F.col("y.i").alias("b"), setjoin.signature_distance("x", "y").alias("d")).collect()}
+    for r in packed.alias("x").crossJoin(packed.alias("y")).select(F.col("x.i").alias("a"), F.col("y.i").alias("b"), setjoin.folded_distance("x", "y").alias("d")).collect():
+        u, v = sets[r.a], sets[r.b]
+        assert r.d <= full[r.a, r.b] <= len(np.setxor1d(u, v))
+        assert r.d == full[r.a, r.b] or min(len(u), len(v)) <= setjoin.FOLDED

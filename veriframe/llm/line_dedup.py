@@ -95,7 +95,7 @@ def repeated_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, levels: Levels
 
     known = joined.select("sid", "id", "f", "n", "sig", "sig2", "alone", "tokens").join(done, "sid", "left").withColumn("settled", F.col("settled").isNotNull())
     each = known.select("id", "sig", "sig2", "n", "alone", "settled", F.posexplode("tokens").alias("i", "token"))
-    entries = each.select("token", "id", "sig", "sig2", setjoin.sized(F.col("n"), F.col("alone") + F.col("i"), F.col("settled")).alias("meta"))
+    entries = each.select("token", "id", *setjoin.folded(F.col("n"), F.col("sig"), F.col("sig2")), setjoin.sized(F.col("n"), F.col("alone") + F.col("i"), F.col("settled")).alias("meta"))
     found = setjoin.pairs(entries, ["id"], lambda x, y: ~(setjoin.flagged(x) & setjoin.flagged(y)), sid="id", packed=True)
     names = known.select("id", F.struct("f", "sid", "settled").alias("s"))
     both = found.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "distance")
