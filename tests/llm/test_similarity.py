@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from samples import edited, sentence
 
-from veriframe.llm import decontaminate, jaccard_join, line_dedup, setjoin
+from veriframe.llm import decontaminate, jaccard_join, kernel, line_dedup, setjoin
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -220,3 +221,54 @@ def test_folded_signatures_never_exceed_the_difference(spark):
         u, v = sets[r.a], sets[r.b]
         assert r.d <= full[r.a, r.b] <= len(np.setxor1d(u, v))
         assert r.d == full[r.a, r.b] or min(len(u), len(v)) <= setjoin.FOLDED
+
+
+def test_only_chosen_lines_are_cut_into_sets():
+    """The sets of candidates come from their own lines; the other lines of their texts are passed over."""
+    texts = ["\n".join(sentence(50 * i + j, 9) for j in range(40)) for i in range(3)] + [None, "", "a\n\nb " + "w" * 200]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array([7 << 50, -5, 1 << 62, 4, 9, -(1 << 61)], pa.int64()), pa.array(texts)], names=["doc_id", "tid", "text"])
+    every = {(key[1][i].as_py(), key[2][i].as_py()): set(values[at[i] : at[i + 1]].tolist()) for key, values, at in line_dedup.line_sets(1)(batch) for i in range(len(at) - 1)}
+    wanted = [(7 << 50, 3), (7 << 50, 39), (1 << 62, 0), (-(1 << 61), 2)]
+    held = setjoin.IdFilter(20)
+    tids, numbers = (np.array(x) for x in zip(*wanted, strict=True))
+    flags = np.zeros(1 << 20, bool)
+    flags[(line_dedup._line_keys(tids, numbers) >> np.uint64(44)).astype(np.int64)] = True
+    held.held[:] = np.packbits(flags, bitorder="little")
+    got = [set(values[at[i] : at[i + 1]].tolist()) for _, values, at in line_dedup.chosen_sets(1)(batch, held) for i in range(len(at) - 1)]
+    assert got == [every[x] for x in wanted]
+    assert len(every) == 122
+
+
+def test_line_keys_agree(spark):
+    rows = [(t, n) for t in (0, 5, -5, (1 << 63) - 1, -(1 << 63)) for n in (0, 1, 77, (1 << 31) - 1)]
+    got = [r.k for r in spark.createDataFrame(rows, "tid long, n int").select(line_dedup.line_key(F.col("tid"), F.col("n")).alias("k")).collect()]
+    assert got == line_dedup._line_keys(*(np.array(x) for x in zip(*rows, strict=True))).view(np.int64).tolist()
+
+
+def test_word_hashes():
+    some = sorted({"x" * k for k in range(1, 140)} | {"x" * k + "y" for k in range(140)} | {"y" + "x" * k for k in range(140)} | {"x\0", "\0x", "\0"})
+    first = None
+    for text in (" ".join(some), "ab " + " ".join(reversed(some)) + " c"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        starts, ends, _ = kernel.words(raw, np.array([0, len(raw)]))
+        found = dict(zip((text[a:b] for a, b in zip(starts, ends, strict=True)), kernel.word_hash(raw, starts, ends).tolist(), strict=True))
+        assert len(set(found.values())) == len(found)
+        first = first or [found[k] for k in some]
+        assert [found[k] for k in some] == first
+
+
+def test_later_entries_do_not_meet(spark):
+    """Every link is found though entries behind a ninth of their set are joined with early ones of smaller sets only."""
+    draw = np.random.default_rng(3)
+    sets = []
+    for _ in range(40):
+        base = draw.choice(200, draw.integers(4, 60), replace=False)
+        sets += [np.unique(np.concatenate([base[draw.random(len(base)) > share], draw.choice(200, 2)])) for share in (0, 0.05, 0.1, 0.2)]
+    values = [np.sort(kernel.mix(np.asarray(x, np.uint64))) for x in sets]
+    sig, sig2 = setjoin.signatures(np.concatenate(values), np.concatenate([[0], np.cumsum([len(x) for x in values])]))
+    rows = [(int(t), i, len(x), int(sig[i]), int(sig2[i]), p) for i, x in enumerate(values) for p, t in enumerate(x.view(np.int64)) if p < len(x) + (-4 * len(x)) // 5 + 1]
+    df = spark.createDataFrame(rows, "token long, id long, n int, sig long, sig2 long, pos int")
+    entries = df.select("token", "id", *setjoin.folded(F.col("n"), F.col("sig"), F.col("sig2")), setjoin.sized(F.col("n"), F.col("pos"), F.lit(False)).alias("meta"))
+    found = setjoin.pairs(entries, lambda x, y: F.lit(True))
+    links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 10 * len(both := set(sets[i]) & set(sets[j])) >= 8 * (len(sets[i]) + len(sets[j]) - len(both))}
+    assert len(links) > 60 and links <= {(r.a, r.b) for r in found.select("a", "b").collect()}

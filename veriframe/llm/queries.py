@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_replay, decontaminate, html_templates, importance, jaccard_join, line_dedup, minhash_dedup, quality_rules, secret_scan, token_counts, token_store, vector_codes, warc_revisit
@@ -158,11 +158,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _line_count(text: Column) -> Column:
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     slim = docs.select("doc_id", "text")
     removed = line_dedup.removed_by_document(docs)
-    sizes = slim.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines")).alias("d")
+    sizes = slim.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), _line_count(F.coalesce("text", F.lit(""))).alias("n_lines")).alias("d")
     r = removed.alias("r")
     on = (F.col("d.tid") == F.col("r.tid")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id"))
     lost = F.coalesce("r.removed_lines", F.array().cast("array<int>"))

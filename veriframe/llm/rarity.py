@@ -56,10 +56,10 @@ class Maps:
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         """The number of bitmaps that hold each token: 0 for those that occur once."""
-        level = np.zeros(len(tokens), np.uint8)
+        level, top = np.zeros(len(tokens), np.uint8), (tokens >> np.uint64(32)).astype(np.uint32)
         for bits, held in zip(self.bits, self.held, strict=True):
-            slot = tokens >> np.uint64(64 - bits)
-            level += (held[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
+            slot = top >> np.uint32(32 - bits)
+            level += (held[slot >> np.uint32(3)] >> (slot.astype(np.uint8) & np.uint8(7))) & np.uint8(1)
         return level
 
 

@@ -44,7 +44,12 @@ def ordered(values: np.ndarray, bounds: np.ndarray, level: np.ndarray) -> tuple[
     some = level > 0
     v, r, lv = values[some], rows[some], level[some]
     # rows ascend and values ascend within them, so a stable sort by level is enough
-    order = np.argsort(r * 256 + lv, kind="stable")
+    if len(v) < 1 << 24 and len(bounds) < 1 << 32:
+        # places in the low bits make the plain sort of integers, which is faster, a stable one
+        place = np.uint64((1 << 24) - 1)
+        order = (np.sort((r * 256 + lv).astype(np.uint64) << np.uint64(24) | np.arange(len(v), dtype=np.uint64)) & place).astype(np.int64)
+    else:
+        order = np.argsort(r * 256 + lv, kind="stable")
     return v[order], r[order], lv[order]
 
 
@@ -73,6 +78,11 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return halves[0], halves[1]
 
 
+def _place(r: np.ndarray, n_rows: int) -> np.ndarray:
+    """Each entry's place among those of its row; ``r`` ascends."""
+    return np.arange(len(r)) - np.searchsorted(r, np.arange(n_rows))[r]
+
+
 #: Of a set's rarest LEAD_WINDOW tokens that are frequent enough, the LEAD_TOKENS of least hash lead it.
 LEAD_WINDOW, LEAD_TOKENS = 12, 4
 
@@ -84,20 +94,21 @@ def lead_tokens(v: np.ndarray, r: np.ndarray, level: np.ndarray, n_rows: int, le
     words that only a copy or two have take no part.
     """
     v, r = v[level >= least], r[level >= least]
-    near = np.arange(len(r)) - np.searchsorted(r, r) < LEAD_WINDOW
+    near = _place(r, n_rows) < LEAD_WINDOW
     v, r = v[near], r[near]
-    order = np.lexsort((kernel.mix(v), r))
+    order = np.argsort(r.astype(np.uint64) << np.uint64(32) | kernel.mix(v) >> np.uint64(32))
     v, r = v[order], r[order]
-    first = np.arange(len(r)) - np.searchsorted(r, r) < LEAD_TOKENS
+    first = _place(r, n_rows) < LEAD_TOKENS
     v, r = v[first], r[first]
     return (v.view(np.int64) >> 32).astype(np.int32), np.searchsorted(r, np.arange(n_rows + 1))
 
 
-def index(df: DataFrame, records: Records, keys: str, maps: Broadcast[Maps], narrow: bool = False, lead_level: int = 0) -> DataFrame:
+def index(df: DataFrame, records: Records, keys: str, maps: Broadcast[Maps], narrow: bool = False, lead_level: int = 0, repeats: bool = False) -> DataFrame:
     """One row per record: its key columns, n, sid (equal sets have equal ids), sig, sig2, and alone (tokens that no other set has) and the listed prefix tokens that follow them.
 
     ``narrow`` lists the top 32 bits of tokens: lists of some tokens fall together, which only adds candidates.
     With ``lead_level`` there are also the lead tokens, of that level or more.
+    With ``repeats``, where ``maps`` counts sids as well as tokens, a flag ``again`` tells of which sets there may be further records; it is null where no token is listed.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +116,7 @@ def index(df: DataFrame, records: Records, keys: str, maps: Broadcast[Maps], nar
             for key, values, bounds in records(batch):
                 v, r, level = ordered(values, bounds, maps.value.of(values))
                 tokens, at, alone = prefixes(v, r, bounds)
+                unlisted = np.diff(at) == 0
                 at = pa.array(at, pa.int32())
                 leads = []
                 if lead_level:
@@ -113,21 +125,24 @@ def index(df: DataFrame, records: Records, keys: str, maps: Broadcast[Maps], nar
                 if narrow:
                     tokens = (tokens >> 32).astype(np.int32)
                 sig, sig2 = signatures(values, bounds)
+                ids = kernel.set_ids(values, bounds)
+                again = [pa.array(maps.value.of(ids.view(np.uint64)) > 0, mask=unlisted)] * repeats
                 yield pa.RecordBatch.from_arrays(
                     [
                         *key,
                         pa.array(np.diff(bounds), pa.int32()),
-                        pa.array(kernel.set_ids(values, bounds)),
+                        pa.array(ids),
                         pa.array(sig),
                         pa.array(sig2),
                         pa.array(alone, pa.int32()),
                         pa.ListArray.from_arrays(at, pa.array(tokens)),
                         *leads,
+                        *again,
                     ],
                     names=names,
                 )
 
-    schema = f"{keys}, n int, sid long, sig long, sig2 long, alone int, tokens array<{'int' if narrow else 'long'}>" + ", leads array<int>" * bool(lead_level)
+    schema = f"{keys}, n int, sid long, sig long, sig2 long, alone int, tokens array<{'int' if narrow else 'long'}>" + ", leads array<int>" * bool(lead_level) + ", again boolean" * repeats
     names = [x.split()[0] for x in schema.split(", ")]
     return df.mapInArrow(tidy(run), schema)
 
@@ -137,6 +152,11 @@ def sized(n: Column, pos: Column, flag: Column) -> Column:
     return F.shiftleft(n.cast("long"), 32).bitwiseOR(F.shiftleft(pos.cast("long"), 1)).bitwiseOR(flag.cast("long"))
 
 
+def shifted_pos(meta: str) -> Column:
+    """The position in a ``sized`` column."""
+    return F.shiftright(F.col(meta).bitwiseAND(0xFFFFFFFF), 1)
+
+
 def flagged(entry: str) -> Column:
     return F.col(f"{entry}.meta").bitwiseAND(1) == 1
 
@@ -165,7 +185,7 @@ def may_link(a: str, b: str, packed: bool = False) -> Column:
     distance = (folded_distance if packed else signature_distance)(a, b)
     if packed:
         an, bn = (F.shiftright(F.col(f"{e}.meta"), 32) for e in (a, b))
-        ap, bp = (F.shiftright(F.col(f"{e}.meta").bitwiseAND(0xFFFFFFFF), 1) for e in (a, b))
+        ap, bp = (shifted_pos(f"{e}.meta") for e in (a, b))
     else:
         an, bn, ap, bp = (F.col(f"{e}.{c}") for c in ("n", "pos") for e in (a, b))
     return (5 * an >= 4 * bn) & (5 * bn >= 4 * an) & (9 * F.least(an - ap, bn - bp) >= 4 * (an + bn)) & (9 * distance <= an + bn)
@@ -199,11 +219,23 @@ def blocks_probed(n: Column, pos: Column) -> Column:
     return F.sequence(size_class(n), F.greatest(size_class(n), size_class(F.greatest(F.lit(1), F.floor((5 * n - 9 * pos) / 4)))))
 
 
-def pairs(entries: DataFrame, order: list[str], apart: Callable[[str, str], Column], sid: str = "sid", packed: bool = False) -> DataFrame:
-    """All pairs (a, b) of the column ``sid``, a before b in ``order``, that pass the filters and for which ``apart`` holds, with the distance of their signatures."""
-    x, y = entries.alias("x"), entries.alias("y")
-    on = (F.col("x.token") == F.col("y.token")) & _before("x", "y", order) & may_link("x", "y", packed) & apart("x", "y")
-    return x.join(y, on).select(F.col(f"x.{sid}").alias("a"), F.col(f"y.{sid}").alias("b"), (folded_distance if packed else signature_distance)("x", "y").alias("distance")).distinct()
+def pairs(entries: DataFrame, apart: Callable[[str, str], Column]) -> DataFrame:
+    """All pairs (a, b) of the column id, a < b, of packed entries that pass the filters and for which ``apart`` holds, with the distance of their signatures.
+
+    Where two sets link, the smaller one holds the first token that they share
+    within the ninth part of its own size, by the positional filter.  So later
+    entries meet only the early ones of smaller sets, and not each other.
+    """
+    early = 9 * shifted_pos("meta") <= F.shiftright("meta", 32)
+    first, later = entries.filter(early), entries.filter(~early)
+    x = first.alias("x")
+    found = []
+    for others, once in ((first, F.col("x.id") < F.col("y.id")), (later, F.col("x.id") != F.col("y.id"))):
+        # most entries of a list are told apart by one half of their signatures
+        near = 9 * F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig"))) <= F.shiftright("x.meta", 32) + F.shiftright("y.meta", 32)
+        on = (F.col("x.token") == F.col("y.token")) & near & once & may_link("x", "y", packed=True) & apart("x", "y")
+        found.append(x.join(others.alias("y"), on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), folded_distance("x", "y").alias("distance")))
+    return found[0].union(found[1]).distinct()
 
 
 def block_pairs(entries: DataFrame, apart: Callable[[str, str], Column]) -> DataFrame:
@@ -251,12 +283,13 @@ def _unpack(members: bytes) -> np.ndarray:
     return np.frombuffer(members, "<u8")
 
 
-def members(df: DataFrame, records: Records, wanted: DataFrame) -> DataFrame:
+def members(df: DataFrame, records: Records | Callable[[pa.RecordBatch, IdFilter | None], Iterator], wanted: DataFrame, by: str = "sid") -> DataFrame:
     """(sid, members): the packed values of the sets whose ids are among ``wanted``, and of a few more.
 
     Where ``wanted`` has the column tid, only the texts of ``df`` with these keys are cut into sets, unless they are very many.
+    With ``by`` another column than sid, ``records`` chooses by a filter of its values, which it gets, what it cuts into sets.
     """
-    found = id_filter(wanted, "sid")
+    found = id_filter(wanted, by)
     held = df.sparkSession.sparkContext.broadcast(found)
     if "tid" in wanted.columns:
         keys = wanted.select("tid").distinct()
@@ -266,10 +299,10 @@ def members(df: DataFrame, records: Records, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, values, bounds in records(batch):
+            for _, values, bounds in records(batch) if by == "sid" else records(batch, held.value):
                 ids = kernel.set_ids(values, bounds)
                 mine = np.diff(bounds) > 0
-                if held.value is not None:
+                if held.value is not None and by == "sid":
                     mine &= held.value.of(ids)
                 rows = [i for i in np.flatnonzero(mine).tolist() if ids[i] not in seen]
                 if not rows:
