@@ -18,6 +18,7 @@ TEXT_FORMATS = ("md", "markdown", "txt")
 SYMBOLS = ("$", "%", "(", ")", "—", "-")
 NOISE = "table of contents"
 PART_OR_ITEM = r"(?i)^(PART|ITEM)\s+[IVX0-9]"
+SPACE_SEPARATORS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,6 +115,17 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return found.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
 
 
+def written_heading(html: Column) -> Column:
+    """What stands in a page's first plain <h1> that ends on its line, tags and references as written but for &amp;; empty if there is none.
+
+    Lines are looked at one by one, so a page of unclosed headings takes time in proportion to its length.
+    """
+    behind = F.transform(F.split(html, "\n", -1), lambda x: F.substr(x, F.length(F.substring_index(x, "<h1>", 1)) + len("<h1>") + 1))
+    first = F.substring_index(F.get(F.filter(behind, lambda x: x.contains("</h1>")), F.lit(0)), "</h1>", 1)
+    title = F.btrim(F.regexp_replace(F.replace(first, F.lit("&amp;"), F.lit("&")), r"[\t\n\f\r ]+", " "), F.lit(SPACE_SEPARATORS))
+    return F.when(html.isNotNull(), F.coalesce(title, F.lit("")))
+
+
 def html_documents(pages: DataFrame) -> DataFrame:
     """Documents from (doc_id, html, sha256): a blank line before each block, and the last id seen as anchor of each heading line.
 
