@@ -16,6 +16,8 @@ ASSERTION = "assertion (the deck being checked)"
 EVIDENCE = "evidence (a filing to check against)"
 #: Fixed: the usual parameters of the ranking function.
 BM25_K1, BM25_B = 1.2, 0.75
+#: Postings, one for each query that asks for their word, that one task of a search adds up.
+MET_IN_TASK = 5_000_000
 
 
 def is_assertion(doc_id: Column, kind: Column, role: Column) -> Column:
@@ -93,27 +95,34 @@ def bm25(queries: DataFrame, texts: DataFrame, k: int, k1: float = BM25_K1, b: f
     """query_id, key, score and rank of the ``k`` best texts (key, text) for each query (query_id, text).
 
     One pass over the texts gives the postings of the words that queries ask for;
-    they are written, and totals and document frequencies come from them.
+    they are written, and totals and document frequencies come from them.  Queries
+    of the same words are answered once.  A text's postings meet in one task, so
+    its score for a query is a sum within the task, and only the task's ``k`` best
+    texts of a query go on: texts times queries are never written anywhere.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    sets = saved(queries.select("query_id", F.array_sort(F.array_distinct(words(F.col("text")))).alias("terms")))
+    askers = sets.groupBy("terms").agg(F.min("query_id").alias("asker"))
+    asked = askers.select("asker", F.explode("terms").alias("term"))
     held = saved(postings(texts, asked))
     tf = held.filter("term is not null").select("term", "key", "tf", "length")
-    totals = held.filter("term is null").agg(F.sum("tf").alias("n_texts"), (F.sum("total") / F.sum("tf")).alias("avg_length"))
+    totals = F.broadcast(held.filter("term is null").agg(F.sum("tf").alias("n_texts"), (F.sum("total") / F.sum("tf")).alias("avg_length")))  # one row
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(totals))  # the totals are one row
     idf = F.log(1 + (F.col("n_texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    per_text = scored.select("term", "key", weight.alias("weight")).join(asked, "term").groupBy("query_id", "key").agg(F.sum("weight").alias("score"))
-    return best(per_text, "query_id", k)
+    wanted = saved(asked.join(df, "term").crossJoin(totals).select("term", "asker", "df", idf.alias("idf")))
+    n_met = wanted.agg(F.sum("df")).first()[0] or 0
+    if small(wanted):
+        wanted = F.broadcast(wanted)
+    parts = max(held.sparkSession.sparkContext.defaultParallelism, -(-n_met // MET_IN_TASK))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+    scored = tf.repartition(parts, "key").crossJoin(totals).join(wanted.drop("df"), "term").select("asker", "key", weight.alias("weight"))
+    top = best(scored.groupBy("key", "asker").agg(F.sum("weight").alias("score")), "asker", k)
+    return top.join(sets.join(askers, "terms").select("asker", "query_id"), "asker").select("query_id", "key", "score", "rank")
 
 
 def best(scores: DataFrame, by: str, k: int) -> DataFrame:
-    """The ``k`` best rows (score, key) of each ``by`` with their rank; a task passes on its own best ones only."""
-    top = F.array_sort(F.collect_list(F.struct((-F.round("score", 6)).alias("down"), "key", "score")))
-    # the best of each slice of keys first, so that no query's rows meet in one task
-    part = scores.groupBy(by, F.pmod(F.xxhash64("key"), F.lit(64)).alias("_slice")).agg(F.slice(top, 1, k).alias("top"))
-    whole = part.groupBy(by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
-    return whole.select(by, F.posexplode("top").alias("i", "t")).select(by, "t.key", "t.score", (F.col("i") + 1).alias("rank"))
+    """The ``k`` best rows (score, key) of each ``by`` with their rank; a task passes on its own best ones only (Spark sees to that up to a ``k`` of 1,000)."""
+    order = Window.partitionBy(by).orderBy(-F.round("score", 6), "key")
+    return scores.select(by, "key", "score", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= k)
 
 
 def route(operation: Column, has_figure: Column) -> Column:
