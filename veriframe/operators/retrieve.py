@@ -45,7 +45,7 @@ def find_node(nodes: DataFrame, doc_id: str, node_id: str) -> DataFrame:
 def addressed(documents: DataFrame, min_lines: int = tree.LEAST_LINES) -> DataFrame:
     """The section table of documents, with addresses and paths, and the root of each as a row."""
     lines = tree.lines_of(documents)
-    nodes = tree.build_tree(lines, min_lines)
+    nodes = saved(tree.build_tree(lines, min_lines))
     full = tree.with_addresses(nodes, lines).join(tree.paths(nodes), ["doc_id", "node_id"])
     size = lines.groupBy("doc_id").agg(F.max("line_no").cast("int").alias("line_end"), F.min("page").alias("page_start"), F.max("page").alias("page_end"))
     root = size.select("doc_id", F.lit("root").alias("node_id"), F.col("doc_id").cast("string").alias("title"), F.lit(1).alias("line_start"), "line_end", "page_start", "page_end", F.lit("").alias("path"))

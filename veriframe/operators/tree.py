@@ -46,7 +46,7 @@ def place(heads: DataFrame, sizes: DataFrame) -> DataFrame:
     parents = [F.when(level > k, F.last(F.when(level == k, F.col("ord")), ignorenulls=True).over(before)) for k in range(1, 6)]
     ends = [F.when(level >= k, F.first(F.when(level == k, F.col("line_no")), ignorenulls=True).over(after)) for k in range(1, 7)]
     placed = heads.select("*", F.coalesce(F.greatest(*parents), F.lit(0)).alias("parent_ord"), F.least(*ends).alias("_next"))
-    return placed.join(sizes, "doc_id").select("doc_id", "ord", "parent_ord", "level", "title", F.col("line_no").alias("line_start"), F.coalesce(F.col("_next") - 1, F.col("n_lines")).cast("int").alias("line_end"), "paged")
+    return placed.join(sizes, "doc_id").select("doc_id", "ord", "parent_ord", "level", "title", F.col("line_no").alias("line_start"), F.coalesce(F.col("_next") - 1, F.col("n_lines")).cast("int").alias("line_end"), "paged", "doc_chars")
 
 
 def prune(nodes: DataFrame, min_lines: int = LEAST_LINES) -> DataFrame:
@@ -88,19 +88,24 @@ def build_tree(lines: DataFrame, min_lines: int = LEAST_LINES, most_chars: int =
     """doc_id, node_id, parent_id, ord, level, title, line_start, line_end of every kept section.
 
     A document without headings is one section n1.  The root, which spans all
-    lines, is not a row: it is the parent_id "root".
+    lines, is not a row: it is the parent_id "root".  The sections are written
+    before long ones are split, so that plans over them stay small.
     """
     paged = F.max(F.col("page").isNotNull()) if "page" in lines.columns else F.lit(False)
-    sizes = lines.groupBy("doc_id").agg(F.max("line_no").alias("n_lines"), paged.alias("paged"))
+    sizes = lines.groupBy("doc_id").agg(F.max("line_no").alias("n_lines"), paged.alias("paged"), F.sum(F.length("text") + 1).alias("doc_chars"))
     heads = headings(lines)
     placed = place(heads, sizes)
     kept = prune(placed, min_lines)
     # a kept section's parent contains it, so it is kept too
     node = lambda ord_: F.concat(F.lit("n"), ord_.cast("string"))
-    named = kept.select("doc_id", node(F.col("ord")).alias("node_id"), F.when(F.col("parent_ord") == 0, "root").otherwise(node(F.col("parent_ord"))).alias("parent_id"), "ord", "level", "title", "line_start", "line_end", "paged")
+    named = kept.select("doc_id", node(F.col("ord")).alias("node_id"), F.when(F.col("parent_ord") == 0, "root").otherwise(node(F.col("parent_ord"))).alias("parent_id"), "ord", "level", "title", "line_start", "line_end", "paged", "doc_chars")
     bare = sizes.join(heads.select("doc_id").distinct(), "doc_id", "left_anti")
-    single = bare.select("doc_id", F.lit("n1").alias("node_id"), F.lit("root").alias("parent_id"), F.lit(1).alias("ord"), F.lit(1).alias("level"), F.col("doc_id").cast("string").alias("title"), F.lit(1).alias("line_start"), F.col("n_lines").cast("int").alias("line_end"), "paged")
-    return split_long(named.unionByName(single), lines, most_chars).drop("paged")
+    single = bare.select("doc_id", F.lit("n1").alias("node_id"), F.lit("root").alias("parent_id"), F.lit(1).alias("ord"), F.lit(1).alias("level"), F.col("doc_id").cast("string").alias("title"), F.lit(1).alias("line_start"), F.col("n_lines").cast("int").alias("line_end"), "paged", "doc_chars")
+    whole = saved(named.unionByName(single))
+    long = whole.filter(~F.col("paged") & (F.col("doc_chars") > most_chars)).select("doc_id").distinct()
+    nodes = whole.drop("doc_chars")
+    # a section is no longer than its document
+    return (nodes if long.isEmpty() else split_long(nodes, lines.join(long, "doc_id", "left_semi"), most_chars)).drop("paged")
 
 
 def with_addresses(nodes: DataFrame, lines: DataFrame) -> DataFrame:
@@ -110,6 +115,7 @@ def with_addresses(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     or behind its first line, and its last page the last one that starts at or
     before its last line: a document's sections and pages are looked at in line order, not in pairs.
     """
+    lines = saved(lines.filter("anchor is not null or page is not null").select("doc_id", "line_no", "anchor", "page"))
     anchors = lines.filter("anchor is not null").select("doc_id", F.col("line_no").alias("line_start"), "anchor")
     paged = lines.filter("page is not null").groupBy("doc_id", "page").agg(F.min("line_no").alias("a"), F.max("line_no").alias("b"))
     kind = "struct<page:int,a:int,b:int>"
