@@ -39,3 +39,11 @@ def test_search_as_its_sql_has_it(spark, tmp_path, monkeypatch, broadcast):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     want = sorted(db.execute(catalog.ORACLE_SQL["bm25_topk"]).fetchall())
     assert sorted(map(tuple, catalog.bm25_topk(spark, str(tmp_path)).collect())) == want and len(want) > 20
+
+
+def test_scores_round_as_in_sql(spark):
+    scores = [197.25435, 24.64625, 0.00005, 1.00005, 2.675, 1e-9, 0.0, 123456.78905, 39.45085000000001] + [k / 8000 + 0.00005 for k in range(400)]
+    want = [x for (x,) in duckdb.execute("SELECT round(round(x, 6), 4) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [scores]).fetchall()]
+    rows = spark.createDataFrame(list(enumerate(scores)), "i int, x double")
+    got = rows.select("i", retrieve.rounded(retrieve.rounded(rows.x, 6), 4).alias("y")).orderBy("i").collect()
+    assert [r.y for r in got] == want

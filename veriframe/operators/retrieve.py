@@ -119,9 +119,14 @@ def bm25(queries: DataFrame, texts: DataFrame, k: int, k1: float = BM25_K1, b: f
     return top.join(sets.join(askers, "terms").select("asker", "query_id"), "asker").select("query_id", "key", "score", "rank")
 
 
+def rounded(score: Column, digits: int) -> Column:
+    """A score to so many decimals as SQL engines round doubles: the nearest whole of the multiple.  Spark's round would take the decimals as printed, which differs on ties."""
+    return F.round(score * 10.0**digits) / 10.0**digits
+
+
 def best(scores: DataFrame, by: str, k: int) -> DataFrame:
     """The ``k`` best rows (score, key) of each ``by`` with their rank; a task passes on its own best ones only (Spark sees to that up to a ``k`` of 1,000)."""
-    order = Window.partitionBy(by).orderBy(-F.round("score", 6), "key")
+    order = Window.partitionBy(by).orderBy(-rounded(F.col("score"), 6), "key")
     return scores.select(by, "key", "score", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= k)
 
 
